@@ -101,7 +101,7 @@ def shingles(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
         return mix64(total), out_bounds
 
 
-def batches(texts: list[bytes], most: int = 2_000_000):
+def batches(texts: list[bytes], most: int = 200_000):
     """Ranges of texts of about so many bytes together; a longer text stands alone."""
     begin, held = 0, 0
     for i, t in enumerate(texts):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import fingerprints, mixing, packing
 
-QUERIES = {"op6_mix_sources": mixing.op6_mix_sources}
+QUERIES = {
+    "op2_pack_documents": packing.op2_pack_documents,
+    "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_mix_sources": mixing.op6_mix_sources,
+}
 ORACLE_SQL: dict[str, str] = {}
