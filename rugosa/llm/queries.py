@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, packing
+from . import fingerprints, langid, mixing, packing, quality
 
 QUERIES = {
     "op2_pack_documents": packing.op2_pack_documents,
+    "op4_quality": quality.op4_quality,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op9_language": langid.op9_language,
 }
 ORACLE_SQL: dict[str, str] = {}
