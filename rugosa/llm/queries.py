@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprints, langid, mixing, packing, quality
+from . import fingerprints, htmltext, langid, mixing, near_vectors, ngram_join, packing, quality
 
 QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_pack_documents": packing.op2_pack_documents,
+    "op3_near_vectors": near_vectors.op3_near_vectors,
     "op4_quality": quality.op4_quality,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op8_html_text": htmltext.op8_html_text,
     "op9_language": langid.op9_language,
 }
 ORACLE_SQL: dict[str, str] = {}
