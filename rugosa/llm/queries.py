@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, htmltext, langid, mixing, near_vectors, ngram_join, packing, quality
+from . import fingerprints, htmltext, langid, mixing, near_vectors, ngram_join, packing, pii, quality
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -13,5 +13,6 @@ QUERIES = {
     "op6_mix_sources": mixing.op6_mix_sources,
     "op8_html_text": htmltext.op8_html_text,
     "op9_language": langid.op9_language,
+    "op10_personal_data": pii.op10_personal_data,
 }
 ORACLE_SQL: dict[str, str] = {}
