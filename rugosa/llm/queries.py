@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, htmltext, langid, mixing, near_vectors, ngram_join, packing, pii, quality
+from . import fingerprints, htmltext, langid, line_dedup, mixing, near_vectors, ngram_join, packing, pii, quality
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_fingerprints": fingerprints.op5_fingerprints,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_html_text": htmltext.op8_html_text,
     "op9_language": langid.op9_language,
     "op10_personal_data": pii.op10_personal_data,
