@@ -109,7 +109,7 @@ def digests(texts: list[str]) -> np.ndarray:
 
 
 def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """One row a document: doc_id, class_id, n_links, component_id, kept.
+    """One row a document: doc_id, class_id, n_links, component_id, kept, text_key (a hash of the text).
 
     class_id is the least doc_id with an equal text (null counts as empty). n_links counts the other
     rows whose text is equal or whose set of n-grams has a Jaccard similarity >= threshold.
@@ -127,10 +127,11 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
             digest = digests(texts)
             keys, sizes = s.sign([t.lower().encode() for t in texts])
             flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(sizes.astype(np.int64)), flat], ["doc_id", "c1", "c2", "grams", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array(sizes.astype(np.int64)), flat], ["doc_id", "text_key", "c1", "c2", "grams", "keys"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    signed = cut(source.mapInArrow(sign, "doc_id long, c1 long, c2 long, grams long, keys array<long>"))
+    keyed = source.withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    signed = cut(keyed.mapInArrow(sign, "doc_id long, text_key long, c1 long, c2 long, grams long, keys array<long>"))
     classes = cut(signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size")))
     reps = signed.join(classes, ["c1", "c2"]).where("doc_id = class_id and grams > 0")
     # one id may stand for several texts where ids repeat; the class's digest tells them apart
@@ -158,7 +159,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     comps = components(named, "x", "y")
     table = classes.withColumn("id", F.xxhash64("c1", "c2")).join(links, "id", "left").join(comps, F.col("class_id") == F.col("node"), "left")
     table = table.select("c1", "c2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    return signed.select("doc_id", "c1", "c2").join(table, ["c1", "c2"]).select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return signed.select("doc_id", "text_key", "c1", "c2").join(table, ["c1", "c2"]).select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_key")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:
