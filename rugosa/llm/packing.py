@@ -13,6 +13,7 @@ are dealt to the items in a distributed way, and the plan is joined back.
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import batches, cut
 
 #: Chunks of text kept with their ids by each worker: two generations of this many at most.
 CACHE = 300_000
@@ -39,6 +40,7 @@ class ChunkTokenizer:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -49,21 +51,22 @@ class ChunkTokenizer:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
-        for text in texts:
-            chunks = (text if b"<|" in text else text.lower()).replace(b"\n", b" ").split(b" ")
+        for i, j in batches(texts, 500_000):
+            split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts[i:j]]
             new, old = self.new, self.old
-            if missing := set(chunks).difference(new):
-                again = missing.intersection(old)
-                new.update((c, old[c]) for c in again)
-                missing = list(missing - again)
-                ids = self._ids(missing)
-                long = {c: i for c, i in zip(missing, ids) if len(c) > CACHED_BYTES}
-                new.update((c, i) for c, i in zip(missing, ids) if len(c) <= CACHED_BYTES)
-                yield b"".join([new[c] if c in new else long[c] for c in chunks]) if long else b"".join(map(new.__getitem__, chunks))
-                if len(new) > CACHE:
-                    self.old, self.new = new, {b"": b""}
-            else:
+            missing = set().union(*split).difference(new)
+            again = missing.intersection(old)
+            new.update((c, old[c]) for c in again)
+            missing = list(missing - again)
+            ids = self._ids(missing)
+            new.update(zip(missing, ids))
+            for chunks in split:
                 yield b"".join(map(new.__getitem__, chunks))
+            for c in missing:
+                if len(c) > CACHED_BYTES:
+                    del new[c]
+            if len(new) > CACHE:
+                self.old, self.new = new, {b"": b""}
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
