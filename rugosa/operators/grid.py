@@ -145,7 +145,7 @@ def fill_holes(grid: DataFrame, rounds: int = 8) -> DataFrame:
     filled = tiled(grid, rounds, program, f"patch {dict(grid.dtypes)['patch']}, iy int, ix int, z double, valid boolean")
     mean = grid.where("valid").groupBy("patch").agg(F.avg("z").alias("m"))
     rest = filled.join(F.broadcast(mean), "patch", "left")
-    return rest.select("patch", "iy", "ix", F.when(F.isnan("z"), F.coalesce("m", F.lit(0.0))).otherwise(F.col("z")).alias("z"), "valid")
+    return rest.select("patch", "iy", "ix", F.when(F.col("z").isNull() | F.isnan("z"), F.coalesce("m", F.lit(0.0))).otherwise(F.col("z")).alias("z"), "valid")
 
 
 def rasterize(points: DataFrame, pitch: float) -> tuple[DataFrame, DataFrame]:

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cut
-from .grid import CROSS, shifted, tiled
+from .grid import CROSS, TILE, shifted, tiled
 
 EIGHT = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
 SIX = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
@@ -26,26 +27,77 @@ def erode(marked: DataFrame, rounds: int = 2) -> DataFrame:
     return tiled(ones, rounds, program, f"patch {dict(marked.dtypes)['patch']}, iy int, ix int, on boolean", columns=("on",)).where("on").select("patch", "iy", "ix")
 
 
-def components(cells: DataFrame, keys: tuple, offsets: tuple, rounds: int = 60) -> DataFrame:
-    """cells with `label`: the least cell number (row-major rank) that neighbours reach.
+def _local_labels(at: np.ndarray, offsets: tuple) -> np.ndarray:
+    """For rows of integer coordinates: the index of the first row (in row-major order) that each one reaches."""
+    low = at.min(axis=0) - 1
+    span = at.max(axis=0) - low + 2
+    step = np.concatenate((np.cumprod(span[:0:-1])[::-1], [1]))
+    number = (at - low) @ step
+    order = np.argsort(number)
+    number = number[order]
+    pairs = []
+    for o in offsets:
+        to = np.searchsorted(number, number + np.array(o) @ step)
+        found = (to < len(number)) & (number[np.minimum(to, len(number) - 1)] == number + np.array(o) @ step)
+        pairs.append((np.flatnonzero(found), to[found]))
+    a, b = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    label = np.arange(len(number))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, label, new)  # a root learns what its members have met
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = np.empty(len(at), np.int64)
+    out[order] = order[label]
+    return out
+
+
+def components(cells: DataFrame, keys: tuple, offsets: tuple, rounds: int = 60, tile: int = TILE) -> DataFrame:
+    """cells with `label`: the first cell (by patch, then keys) that neighbours reach.
 
-    Each round takes the least label of a cell's neighbours and of the cell that its label names, so
-    that long shapes settle in few rounds; ends when no label changes.
+    Cells are labelled within tiles first; a cell of a tile's border is in its neighbour's halo as
+    well, and the two labels that it gets there are joined by a distributed union-find over labels.
     """
-    id_ = F.struct("patch", *keys)
-    now = cut(cells.select("patch", *keys).distinct().withColumn("label", id_))
-    near = F.explode(F.array(*[F.struct(*[(F.col(k) + d).cast(dict(cells.dtypes)[k]).alias(k) for k, d in zip(keys, o)]) for o in offsets]))
+    types = dict(cells.dtypes)
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / tile).cast("int"), F.floor((F.col(c) + 1) / tile).cast("int")))
+    d = cells.select("patch", *keys).distinct()
+    for k in keys:
+        d = d.withColumn(f"t_{k}", reach(k))
+    names = ["patch", *keys, *[f"l_{k}" for k in keys], "core"]
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        at = pdf[list(keys)].to_numpy()
+        core = ((at // tile) == np.array(key[1:])).all(axis=1)
+        if not core.any():
+            return pd.DataFrame(columns=names)
+        first = at[_local_labels(at, offsets)]
+        return pd.DataFrame({"patch": key[0]} | {k: at[:, i] for i, k in enumerate(keys)} | {f"l_{k}": first[:, i] for i, k in enumerate(keys)} | {"core": core})
+
+    schema = f"patch {types['patch']}, " + ", ".join(f"{p}{k} int" for p in ("", "l_") for k in keys) + ", core boolean"
+    local = d.groupBy("patch", *[f"t_{k}" for k in keys]).applyInPandas(run, schema)
+    label = F.struct("patch", *[F.col(f"l_{k}").alias(k) for k in keys]).alias("label")
+    local = cut(local.select("patch", *[F.col(k).cast(types[k]).alias(k) for k in keys], label, "core"))
+    own = local.where("core").drop("core")
+    ties = own.select("patch", *keys, F.col("label").alias("a")).join(local.where("not core").select("patch", *keys, F.col("label").alias("b")), ["patch", *keys]).where("a <> b").select("a", "b").distinct()
+    ties = cut(ties)
+    if not ties.limit(1).count():
+        return own
+    both = ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    now = cut(both.select(F.col("a").alias("at"), F.col("a").alias("to")).distinct())
     for _ in range(rounds):
-        told = now.select("patch", near.alias("n"), "label").select("patch", *[F.col(f"n.{k}").alias(k) for k in keys], "label").unionByName(now)
-        least = told.groupBy("patch", *keys).agg(F.min("label").alias("low"))
-        met = now.join(least, ["patch", *keys])
-        root = met.select(id_.alias("at"), F.col("low").alias("jump"))
-        new = cut(met.join(root, F.col("low") == F.col("at"), "left").select("patch", *keys, "label", F.least("low", F.coalesce("jump", "low")).alias("new")))
-        changed = new.where("label <> new").limit(1).count()
-        now = new.select("patch", *keys, F.col("new").alias("label"))
+        told = both.join(now, F.col("b") == F.col("at")).select(F.col("a").alias("at"), "to").unionByName(now)
+        least = told.groupBy("at").agg(F.min("to").alias("to"))
+        jump = now.select(F.col("at").alias("j"), F.col("to").alias("jump"))
+        new = cut(least.join(jump, F.col("to") == F.col("j"), "left").select("at", F.least("to", F.coalesce("jump", "to")).alias("to")))
+        changed = new.join(now.withColumnRenamed("to", "was"), "at").where("to <> was").limit(1).count()
+        now = new
         if not changed:
             break
-    return now
+    joined = own.join(now, F.col("label") == F.col("at"), "left")
+    return joined.select("patch", *keys, F.coalesce("to", "label").alias("label"))
 
 
 def near_background(marked: DataFrame, radius_cells: float) -> DataFrame:
