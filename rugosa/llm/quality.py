@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample
+from .common import fold
 
 WIDTH, FILTERS, HALF = 6, 24, 128
 SEGMENT = 256  # halves looked at together, so that memory stays small for very long texts
@@ -114,12 +114,22 @@ class ByteConvNet:
         return sigmoid(np.array([self._features(t) @ self.top for t in texts]))
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> ByteConvNet:
-    """Fits on at most `per_label` documents of each quality outside the held-out fold (a documented bound)."""
-    rows = docs.where(fold(F.col("doc_id")) != 0).select("doc_id", "text").join(labels.where("quality is not null").select("doc_id", "quality"), "doc_id")
-    prior = rows.agg(F.avg("quality")).first()[0]  # of all labelled rows that may be learned from
-    sample = labelled_sample(rows, "quality", per_label, max_labels=2)
-    return ByteConvNet().fit([t.encode() for t, _ in sample], np.array([int(q) for _, q in sample], np.int64), prior)
+def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1500, max_chars: int = 100_000, seed: int = 1) -> ByteConvNet:
+    """Fits on about `per_label` documents of each quality outside the held-out fold (a documented bound).
+
+    Labels are counted and drawn by ids alone; only the drawn ids' texts (up to max_chars characters
+    each) are fetched, by a join with that bounded list.
+    """
+    ids = docs.select("doc_id").where(fold(F.col("doc_id")) != 0).join(labels.where("quality in (0, 1)").select("doc_id", "quality"), "doc_id")
+    good, n = ids.agg(F.coalesce(F.sum("quality"), F.lit(0)), F.count("*")).first()  # of all rows that may be learned from
+    if not n:
+        return ByteConvNet().fit([], np.zeros(0, np.int64))
+    luck = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    share = F.when(F.col("quality") == 1, min(1.0, per_label / max(good, 1))).otherwise(min(1.0, per_label / max(n - good, 1)))
+    drawn = ids.where(luck < share).dropDuplicates(["doc_id"]).toArrow()  # about 2 x per_label rows
+    texts = docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame(drawn)), "doc_id").where(F.length("text") <= max_chars)
+    sample = sorted((r.doc_id, r.text, r.quality) for r in texts.collect())
+    return ByteConvNet().fit([t.encode() for _, t, _ in sample], np.array([q for _, _, q in sample], np.int64), good / n)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: tuple = ("doc_id",), **bounds) -> DataFrame:
