@@ -19,7 +19,10 @@ from rugosa.llm.ngram_join import ngram_join
 from rugosa.llm.packing import pack_documents
 from rugosa.llm.quality import quality_scores
 
-TEXT_KEY = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+def text_key():
+    """A hash of the text, null counting as empty, as `ngram_join` returns it."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,12 +40,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that word 5-grams link. Documents without an id stay."""
     gone = ngram_join(docs).where(~F.col("kept")).select("doc_id", "text_key").distinct()
-    return docs.withColumn("text_key", TEXT_KEY).join(gone, ["doc_id", "text_key"], "left_anti").select(*docs.columns)
+    return docs.withColumn("text_key", text_key()).join(gone, ["doc_id", "text_key"], "left_anti").select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    keyed = docs.withColumn("text_key", TEXT_KEY)
+    keyed = docs.withColumn("text_key", text_key())
     mix = mix_sources(keyed, keep=("doc_id", "text_key")).where("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), F.col("source").alias("m_source"), "copies").dropDuplicates(["m_id", "m_key", "m_source"])
     taken = keyed.join(mix, (F.col("text_key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")))
     return taken.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
