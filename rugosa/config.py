@@ -42,7 +42,7 @@ class RoughnessConfig:
     min_abnormality_area_mm2: float = 2.0
 
     @classmethod
-    def surfinspect_defaults(cls) -> RoughnessConfig:
+    def instrument_defaults(cls) -> RoughnessConfig:
         return cls()
 
     @classmethod
