@@ -27,28 +27,30 @@ def bucket_keys(hashes: np.ndarray) -> np.ndarray:
 
 
 def tasks(members: DataFrame, block_rows: int, block_weight: int) -> DataFrame:
-    """members (id, weight, keys: one bucket key a table) -> (id, bucket, first, second, own).
+    """members (id, weight, keys: one bucket key a table) -> (id, weight, bucket, first, second, own).
 
     Buckets of one member go, and of buckets with the very same members the first table's stays.
     first <= second are the two blocks a task compares, own is the member's. A block has about
     block_rows members or block_weight of their weights.
     """
-    rows = members.select("id", F.col("weight").cast("long").alias("weight"), F.explode("keys").alias("bucket"))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # counted and joined on the bucket: one exchange serves both
+    rows = members.select("id", F.col("weight").cast("long").alias("weight"), F.explode("keys").alias("bucket")).repartition(n, "bucket")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("id") % (1 << 40)).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("s2")).where("n > 1")
     kept = sizes.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket"), F.min("weight").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("weight") / block_weight), F.lit(1)).cast("int")
     kept = kept.select("bucket", blocks.alias("blocks"))
-    at = rows.select("id", "bucket").join(kept, "bucket").withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int"))
+    at = rows.join(kept, "bucket").withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return at.select("id", "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own")
+    return at.select("id", "weight", "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own")
 
 
-def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Callable[[list], np.ndarray]) -> DataFrame:
+def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Callable[[list], np.ndarray], prepare: Callable[[pa.Array], list]) -> DataFrame:
     """Compares the members of each task; (a, b, links): links of a where b is null, else a link a-b of the forest.
 
-    payload: (id, size, keys, and the columns of payload_schema, in order). `link` gets the payload
-    column of a task's members and returns a boolean matrix; it must be symmetric. A member's links
-    count the sizes of those it is linked to.
+    payload: (id, size, keys, and the column of payload_schema). `prepare` turns that column of many
+    rows into an object a row; `link` gets those of a task's members and returns a symmetric boolean
+    matrix. A member's links count the sizes of those it is linked to.
     """
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value = payload.columns[3]
@@ -57,6 +59,11 @@ def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Cal
 
     def task(own: np.ndarray, first: int, second: int, bucket: int, ids: np.ndarray, size: np.ndarray, keys: np.ndarray, values: list) -> tuple | None:
         table = bucket >> TABLE_BITS
+        if len(ids) == 2:  # most tasks: a pair
+            if (keys[0, :table] == keys[1, :table]).any() or (first != second and own[0] == own[1]) or not link(values)[0, 1]:
+                return None
+            low = int(ids[0] > ids[1])
+            return ids, size[::-1].astype(np.int64), ids[1 - low : 2 - low], ids[low : low + 1]
         new = np.ones((len(ids), len(ids)), bool)
         for t in range(table):
             new &= keys[:, t][:, None] != keys[:, t][None, :]
@@ -86,21 +93,22 @@ def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Cal
 
         def done(batch: list[pa.RecordBatch]) -> None:
             t = pa.Table.from_batches(batch)
-            columns = t.to_pydict()
-            keys = np.array(columns["keys"], np.int64)
-            key = list(zip(columns["bucket"], columns["first"], columns["second"]))
-            ids, size, own = (np.array(columns[c], np.int64) for c in ("id", "size", "own"))
-            begin = 0
-            for i in range(1, len(key) + 1):
-                if i == len(key) or key[i] != key[begin]:
-                    if i - begin > 1:
-                        s = slice(begin, i)
-                        got = task(own[s], key[begin][1], key[begin][2], key[begin][0], ids[s], size[s], keys[s], columns[value][s])
+            bucket, first, second, own, ids, size = (t.column(c).to_numpy() for c in ("bucket", "first", "second", "own", "id", "size"))
+            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            bounds = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1]), [True])))
+            for group in np.array_split(np.arange(len(bounds) - 1), max(1, t.num_rows // 2000)):
+                if not len(group):
+                    continue
+                low, high = bounds[group[0]], bounds[group[-1] + 1]
+                values = prepare(t.column(value).slice(low, high - low).combine_chunks())
+                for g in group:
+                    s = slice(bounds[g], bounds[g + 1])
+                    if s.stop - s.start > 1:
+                        got = task(own[s], int(first[s.start]), int(second[s.start]), int(bucket[s.start]), ids[s], size[s], keys[s], values[s.start - low : s.stop - low])
                         if got:
                             a.extend(got[0].tolist() + got[2].tolist())
                             b.extend([None] * len(got[0]) + got[3].tolist())
                             links.extend(got[1].tolist() + [0] * len(got[2]))
-                    begin = i
 
         def out() -> pa.RecordBatch:
             r = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.int64())], ["a", "b", "links"])
@@ -133,6 +141,13 @@ def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Cal
     return rows.mapInArrow(run, "a long, b long, links long")
 
 
+def lists(column: pa.Array) -> list[np.ndarray]:
+    """The rows of a list column as arrays, without an object for each item."""
+    flat, at = column.flatten().to_numpy(), column.offsets.to_numpy()
+    at = at - at[0]
+    return [flat[i:j] for i, j in zip(at[:-1], at[1:])]
+
+
 def summed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, links) of all members with links, and the edges (a, b) of the forests; computed once."""
     found = cut(found)

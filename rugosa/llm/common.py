@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +30,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame):
+    """(df, a function that deletes it): written as Parquet in the shared folder, for tables of which
+    later jobs read some columns only."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path), lambda: at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5; 0 is held out. A null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5

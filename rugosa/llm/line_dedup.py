@@ -1,41 +1,88 @@
-"""Line dedup: fuzzy lines by MinHash (DataFrame functions only).
+"""Line dedup: fuzzy lines by MinHash.
 
 Equal lines form one class, by 128 bits of hash. Each class has a MinHash signature of its
-character shingles, cut into bands; classes that agree on a band meet. Their Jaccard similarity is
-verified on the full sets of shingles, and a distributed union-find over the verified links gives
-components, of which one line stays: the first one by document id and position.
-
-Signatures are made by a plain aggregation: one row a shingle, partial minima before the shuffle.
-Within a bucket of the bands every member is verified against the bucket's least; a member that
-fails is verified against all others of the bucket, so that no link is lost, and members already
-linked through the least are not compared again.
+character shingles, cut into bands; classes that agree on a band meet in a bucket. Their Jaccard
+similarity is verified on the full sets of shingles, in blocks, and a distributed union-find over
+the links gives components, of which one line stays: the first one by document id and position.
+
+Signing and verifying are array programs inside tasks; the README says why not column functions.
 """
 
 from __future__ import annotations
 
-import random
+import hashlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from . import blocks
+from .common import components, cut, mix64, stored
+from .ngram_join import band_plan, jaccard_links
 
-SHINGLE, BANDS, ROWS, SEED = 9, 9, 3, 7
-#: Shorter lines are left alone.
+SHINGLE, ROWS, RECALL, SEED = 9, 4, 0.996, 7
+#: Shorter lines are left alone; at least SHINGLE.
 LEAST_CHARS = 10
 #: A list of at most so many short rows is sent to every executor; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 LINE = "\n"
-
-
-def _coefficients() -> list[tuple[int, int]]:
-    rng = random.Random(SEED)
-    return [(rng.randrange(1 << 28, 1 << 30) | 1, rng.randrange(1 << 31)) for _ in range(BANDS * ROWS)]
-
-
-def shingles_of(line: Column) -> Column:
-    """Every run of SHINGLE characters; of a shorter line, the line."""
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def powers() -> list[np.uint64]:
+    return [np.uint64(pow(int(BASE), k, 1 << 64)) for k in (1, 2, 4, 8)]
+
+
+def character_hashes(text: str) -> np.ndarray:
+    """The hash of the SHINGLE characters that begin at each place; the last SHINGLE - 1 places mean nothing."""
+    cp = np.frombuffer((text + "\0" * 16).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    p1, p2, p4, p8 = powers()
+    with np.errstate(over="ignore"):
+        two = cp[:-1] + cp[1:] * p1
+        four = two[:-2] + two[2:] * p2
+        eight = four[:-4] + four[4:] * p4
+        return mix64(eight[: len(text)] + cp[8 : 8 + len(text)] * p8)
+
+
+def shingle_sets(lines: pa.Array) -> list[np.ndarray]:
+    """The shingle sets of many lines, hashed as one text."""
+    lines = lines.to_pylist()
+    h, at, out = character_hashes(LINE.join(lines)), 0, []
+    for line in lines:
+        x = np.sort(h[at : at + max(1, len(line) - SHINGLE + 1)])
+        out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
+        at += len(line) + 1
+    return out
+
+
+class LineSigner:
+    def __init__(self, bands: int, rows: int) -> None:
+        rng = np.random.default_rng(SEED)
+        self.bands, self.rows = bands, rows
+        self.a = (rng.integers(1, 1 << 31, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
+        self.b = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint64).astype(np.uint32)
+
+    def __call__(self, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Bucket keys of the lines text[start:end], each of at least SHINGLE characters."""
+        h = character_hashes(text)
+        low = np.append((h ^ (h >> np.uint64(32))).astype(np.uint32), np.zeros(1, np.uint32))
+        cuts = np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
+        least = np.empty((len(starts), len(self.a)), np.uint32)
+        v, w = np.empty_like(low), np.empty_like(low)
+        for k, (a, b) in enumerate(zip(self.a, self.b)):
+            np.multiply(low, a, out=v)
+            v += b
+            np.right_shift(v, 15, out=w)
+            v ^= w
+            least[:, k] = np.minimum.reduceat(v, cuts)[::2]
+        with np.errstate(over="ignore"):
+            parts = least.reshape(len(starts), self.bands, self.rows).astype(np.uint64)
+            band = np.zeros((len(starts), self.bands), np.uint64)
+            for r in range(self.rows):
+                band = mix64(band * BASE + parts[:, :, r] + np.uint64(r + 1))
+        return blocks.bucket_keys(band)
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -43,15 +90,6 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _verified(pairs: DataFrame, text: DataFrame, threshold: float) -> DataFrame:
-    """pairs (a, b) with `similar`: whether the lines' sets of shingles reach the threshold."""
-    sets = lambda c: F.array_distinct(F.transform(shingles_of(F.col(c)), lambda x: F.xxhash64(x)))
-    p = pairs.join(text.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(text.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-    p = p.select("a", "b", sets("la").alias("sa"), sets("lb").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return cut(p.select("a", "b", both.alias("n"), (F.size("sa") + F.size("sb")).alias("all")).select("a", "b", (F.col("n") >= (F.col("all") - F.col("n")) * threshold - 1e-9).alias("similar")))
-
-
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = LEAST_CHARS) -> DataFrame:
     """docs with `text` less its duplicate lines, and n_lines and n_removed.
 
@@ -62,48 +100,77 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = LEAS
     Columns n_lines and n_removed of docs, if any, are replaced; others pass.
     """
     docs = docs.drop("n_lines", "n_removed")
+    bands, rows = band_plan(threshold, RECALL, ROWS)
+    least_chars = max(least_chars, SHINGLE)
     own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
     source = docs.select("doc_id", own.alias("row"), "text").where(F.col("text").isNotNull())
 
-    def lines(d: DataFrame) -> DataFrame:
-        """doc_id, row, pos, line of the lines that take part."""
-        return d.select("doc_id", "row", F.posexplode(F.split("text", LINE)).alias("pos", "line")).where((F.length("line") >= least_chars) & F.col("line").rlike(r"\S"))
-
-    h1, h2 = F.xxhash64("line").alias("h"), F.xxhash64("line", F.lit(SEED)).alias("h2")
-    seen = cut(lines(source).select("doc_id", "row", "pos", h1, h2))
-    classes = cut(seen.groupBy("h", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row", "pos")).alias("first")))
-
-    low = F.col("x").bitwiseAND((1 << 31) - 1)
-    grams = lines(source).select(h1, F.explode(shingles_of(F.col("line"))).alias("s")).select("h", F.xxhash64("s").alias("x"))
-    minima = grams.groupBy("h").agg(*[F.min((low * a + b).bitwiseAND((1 << 31) - 1)).alias(f"m{i}") for i, (a, b) in enumerate(_coefficients())])
-    bands = F.array(*[F.xxhash64(F.lit(k), *[f"m{k * ROWS + r}" for r in range(ROWS)]) for k in range(BANDS)])
-    banded = cut(minima.select("h", bands.alias("bands"))).select("h", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("h").alias("least")).where("n > 1").select("band", "n", "least")
-    met = cut(banded.join(buckets, "band"))
-
-    stars = met.where("h <> least").select(F.col("least").alias("a"), F.col("h").alias("b")).distinct()
-    stars = cut(stars)
-    wanted = cut(stars.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes, "h").select("h", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row"), F.col("first.pos").alias("pos")))
-    # the documents that hold a line to be verified, then only those lines
-    holders = small(wanted.select("row").distinct())
-    held = lines(source.join(holders, "row", "left_semi")).select("row", "pos", "line", F.xxhash64("line").alias("h"))
-    text = cut(held.join(small(wanted.select("h", "row", "pos")), ["h", "row", "pos"]).select("h", "line").dropDuplicates(["h"]))
-
-    first = _verified(stars, text, threshold)
-    failed = first.where("not similar").select(F.col("a").alias("least"), F.col("b").alias("h"))
-    lone = met.where("n > 2").join(failed, ["least", "h"]).select("band", "least", "h")
-    rest = lone.join(met.select("band", F.col("h").alias("o")), "band").where("h <> o and o <> least").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
-    rest = cut(rest.join(stars, ["a", "b"], "left_anti"))
-    second = _verified(rest, text, threshold)
-    comps = components(first.where("similar").select("a", "b").unionByName(second.where("similar").select("a", "b")))
-
-    part = classes.join(comps.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("component", "h"))
-    kept = part.where("component is not null").groupBy("c").agg(F.min(F.struct("first", "h", "h2")).alias("k")).select("c", F.col("k.h").alias("k_h"), F.col("k.h2").alias("k_h2"))
-    part = part.where("n > 1 or component is not null").join(kept, "c", "left")
-    stays = F.col("k_h").isNull() | ((F.col("k_h") == F.col("h")) & (F.col("k_h2") == F.col("h2")))
-    part = cut(part.select("h", "h2", F.when(stays, F.col("first")).alias("keep")))
-    gone = seen.join(part, ["h", "h2"]).where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("keep"))).groupBy("row").agg(F.collect_set("pos").alias("gone"))
+    def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = LineSigner(bands, rows)
+
+        def signed(some: list) -> pa.RecordBatch:
+            """(document, row, text) whose texts are signed together, as one text."""
+            text = LINE.join(t for _, _, t in some)
+            docs_, rows_, pos, c1, c2, starts, ends, at = [], [], [], [], [], [], [], 0
+            for d, r, t in some:
+                for i, line in enumerate(t.split(LINE)):
+                    n = len(line)
+                    if n >= least_chars and not line.isspace():
+                        docs_.append(d), rows_.append(r), pos.append(i), starts.append(at), ends.append(at + n)
+                        x = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                        c1.append(int.from_bytes(x[:8], "little", signed=True)), c2.append(int.from_bytes(x[8:], "little", signed=True))
+                    at += n + 1
+            keys = signer(text, np.array(starts), np.array(ends)) if starts else np.zeros((0, bands), np.int64)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
+            weight = pa.array(np.array(ends, np.int64) - np.array(starts, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(docs_, kind), pa.array(rows_, pa.int64()), pa.array(pos, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), weight, flat], ["doc_id", "row", "pos", "id", "c2", "weight", "keys"])
+
+        for part in parts:
+            kind = part.schema.field(0).type
+            some, size = [], 0
+            for x in zip(*(part.column(i).to_pylist() for i in range(3))):
+                some.append(x)
+                size += len(x[2])
+                if size > 100_000:
+                    yield signed(some)
+                    some, size = [], 0
+            if some:
+                yield signed(some)
+
+    seen, forget = stored(source.mapInArrow(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, pos int, id long, c2 long, weight long, keys array<long>"))
+    first = F.min(F.struct("doc_id", "row", "pos")).alias("first")
+    reps = seen.select("id", "weight", "keys").dropDuplicates(["id"])
+    dealt = cut(blocks.tasks(reps, 2048, 1_000_000))
+    met = cut(dealt.select("id").distinct())
+    where = cut(seen.join(small(met), "id", "left_semi").groupBy("id").agg(F.first("keys").alias("keys"), F.min(F.struct("row", "pos")).alias("at")))
+    places = where.groupBy("at.row").agg(F.collect_list(F.struct("at.pos", "id")).alias("places"))  # bounded by a document's lines
+
+    def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ids, lines = [], []
+            for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                split = text.split(LINE)
+                for w in wanted:
+                    ids.append(w["id"])
+                    lines.append(split[w["pos"]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
+
+    texts = source.join(small(cut(places)), "row").select("text", "places").mapInArrow(fetch, "id long, line string").dropDuplicates(["id"])
+    payload = where.select("id", F.lit(1).cast("long").alias("size"), "keys").join(texts, "id")
+    found = blocks.compare(dealt, payload, "line string", lambda sets: jaccard_links(sets, threshold), shingle_sets)
+    _, edges = blocks.summed(found)
+    comps = components(edges)
+
+    again = seen.groupBy("id", "c2").agg(F.count("*").alias("n"), first).where("n > 1")
+    tied = seen.join(small(comps.select(F.col("node").alias("id"))), "id", "left_semi").groupBy("id", "c2").agg(F.count("*").alias("n"), first)
+    part = cut(again.unionByName(tied).distinct().join(comps.withColumnRenamed("node", "id"), "id", "left"))
+    kept = part.where("component is not null").groupBy("component").agg(F.min(F.struct("first", "id", "c2")).alias("k"))
+    part = part.join(kept, "component", "left")
+    stays = F.col("k").isNull() | ((F.col("k.id") == F.col("id")) & (F.col("k.c2") == F.col("c2")))
+    part = cut(part.select("id", "c2", F.when(stays, F.col("first")).alias("keep")))
+    gone = seen.select("doc_id", "row", "pos", "id", "c2").join(part, ["id", "c2"]).where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("keep"))).groupBy("row").agg(F.collect_set("pos").alias("gone"))
     gone = small(cut(gone.select(F.col("row").alias("row_"), "gone")))
+    forget()
     out = docs.withColumn("own_", F.when(F.col("text").isNotNull(), own)).join(gone, F.col("own_") == F.col("row_"), "left").withColumn("lines_", F.split("text", LINE))
     left = F.expr("array_join(transform(array_except(sequence(0, size(lines_) - 1), gone), i -> lines_[i]), '\\n')")
     return out.select(*[F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines_")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"))

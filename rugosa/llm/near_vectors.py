@@ -119,7 +119,7 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, recall: float = 0.999
         c = v @ v.T
         return np.maximum(c, c.T) >= threshold
 
-    found = blocks.compare(dealt, payload, "unit array<double>", link)
+    found = blocks.compare(dealt, payload, "unit array<double>", link, blocks.lists)
     links, edges = blocks.summed(found)
     top = classes.select(F.xxhash64("c1", "c2").alias("id"), "class_id")
     named = edges.join(top.withColumnRenamed("id", "a"), "a").select("b", F.col("class_id").alias("x")).join(top.withColumnRenamed("id", "b"), "b").select("x", F.col("class_id").alias("y"))

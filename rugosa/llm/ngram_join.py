@@ -152,7 +152,7 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     payload = kept.join(source, "doc_id").select("id", "size", "keys", "text").mapInArrow(sets, "id long, size long, keys array<long>, grams array<long>, c1 long, c2 long")
     # of rows that repeat an id, only one with the class's own text
     payload = payload.where(F.xxhash64("c1", "c2") == F.col("id")).drop("c1", "c2").dropDuplicates(["id"])
-    found = blocks.compare(dealt, payload, "grams array<long>", lambda values: jaccard_links([np.array(v, np.int64) for v in values], threshold))
+    found = blocks.compare(dealt, payload, "grams array<long>", lambda sets: jaccard_links(sets, threshold), blocks.lists)
     links, edges = blocks.summed(found)
     top = classes.select(F.xxhash64("c1", "c2").alias("id"), "class_id")
     named = edges.join(top.withColumnRenamed("id", "a"), "a").select("b", F.col("class_id").alias("x")).join(top.withColumnRenamed("id", "b"), "b").select("x", F.col("class_id").alias("y"))
