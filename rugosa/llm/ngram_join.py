@@ -93,8 +93,9 @@ def jaccard_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
         common = np.zeros((m, m), np.float32)
-        step = max(64, 4_000_000 // m)
-        for begin in range(0, int(shared.sum()), step):
+        width = int(shared.sum())
+        step = max(1, min(width, max(64, 4_000_000 // m)))
+        for begin in range(0, width, step):
             i, j = np.searchsorted(column, (begin, begin + step))
             x = np.zeros((m, step), np.float32)
             x[owner[i:j], column[i:j] - begin] = 1
