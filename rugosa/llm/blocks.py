@@ -34,8 +34,8 @@ def tasks(members: DataFrame, block_rows: int, block_weight: int) -> DataFrame:
     block_rows members or block_weight of their weights.
     """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # counted and joined on the bucket: one exchange serves both
-    rows = members.select("id", F.col("weight").cast("long").alias("weight"), F.explode("keys").alias("bucket")).repartition(n, "bucket")
+    # counted and joined on the bucket: one exchange serves both, if both have the join's own filter
+    rows = members.select("id", F.col("weight").cast("long").alias("weight"), F.explode("keys").alias("bucket")).where("bucket is not null").repartition(n, "bucket")
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("id") % (1 << 40)).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("s2")).where("n > 1")
     kept = sizes.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket"), F.min("weight").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("weight") / block_weight), F.lit(1)).cast("int")
