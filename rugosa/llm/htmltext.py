@@ -3,7 +3,8 @@
 Each element of a page is a row of features: its place, the density of text and links in its
 subtree, tokens of its class, id and role, and how it compares with its siblings and parent.
 Boosted trees give the probability that the element holds main text. Decoding picks the likeliest
-labelling of the whole tree in which no element is kept below one that is dropped.
+labelling of the whole tree in which no element is kept below one that is dropped. A formula or a
+drawing is one element with all its text.
 
 The trees are trained here, on pages made from a seeded generator of layouts whose labels are known
 by construction; no row of any table is used for training.
@@ -21,18 +22,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
+XMP_END = re.compile(r"</xmp", re.I | re.A)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 # Element names as the HTML standard groups them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noembed noframes".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul caption".split())
+RAW = frozenset("script style textarea title template".split())
+FOREIGN = frozenset("svg math".split())
+#: Parts of formulas and drawings that may hold elements of HTML.
+INTEGRATION = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+#: Parts of them that don't continue the word before.
+APART = frozenset("text desc foreignobject annotation annotation-xml".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul caption xmp".split())
 GROUPS = ["p", "h1 h2 h3 h4 h5 h6 hgroup", "a", "ul ol dl menu", "li dd dt", "div", "section", "article main", "nav", "header", "footer", "aside dialog", "form fieldset input button select option label legend textarea", "table tbody thead tr td th", "blockquote pre figure figcaption", "html body"]
 GROUP_OF = {t: i for i, g in enumerate(GROUPS) for t in g.split()}
 SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-SCOPE = frozenset("ul ol dl table article section div main nav aside header footer form blockquote td th body".split())
+SCOPE = frozenset("ul ol dl table article section div main nav aside header footer form blockquote td th body object".split()) | INTEGRATION
+#: The end of a start tag whose last slash belongs to a value without quotes.
+UNQUOTED = re.compile(r"""=\s*[^\s"'>]+\Z""")
 
 # Tokens that authors give to the parts of a page.
 TOKENS = {
@@ -55,12 +64,13 @@ N_TOKENS = len(TOKENS)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "items", "tokens", "depth", "own", "text", "link", "tags", "punct", "para", "controls", "start", "index", "label")
+    __slots__ = ("tag", "parent", "children", "items", "tokens", "depth", "own", "text", "link", "tags", "punct", "para", "controls", "start", "index", "label", "foreign")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = "") -> None:
         self.tag, self.parent, self.children, self.items = tag, parent, [], []
         self.depth = parent.depth + 1 if parent else 0
         self.index, self.label = None, False
+        self.foreign = (parent.foreign if parent else None) or (self if tag in FOREIGN else None)  # the svg or math it is or lies in
         self.tokens = 0
         for m in ATTR.finditer(attrs) if attrs else ():
             for w in WORD.findall(CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower()):
@@ -91,11 +101,20 @@ def parse(source: str) -> Node:
             if x is not root and x.tag == tag:
                 node = x.parent
             continue
+        attrs = m[3] or m[6] or ""
+        foreign = node.foreign is not None or tag in FOREIGN
+        closed = foreign and attrs.endswith("/") and not UNQUOTED.search(attrs)
+        if tag == "title" and node.foreign is not None:
+            if not closed:
+                node = Node("title", node)  # as head: a drawing's name is never read
+            continue
         if tag in RAW:
+            if closed:
+                continue
             low = low or source.lower()
             end = low.find("</" + tag, at)
             if end < 0:
-                if tag in ("script", "style", "textarea", "title"):
+                if tag != "template":
                     break
                 continue
             end = source.find(">", end)
@@ -106,9 +125,17 @@ def parse(source: str) -> Node:
         if tag == "head":
             node = Node("head", node)  # not linked to its parent: its text is never read
             continue
+        if node.tag == "head" and tag == "noscript":
+            continue
         if node.tag == "head" and tag not in VOID:
             node = node.parent
         if tag in BLOCK:
+            if node.foreign is not None:
+                x = node
+                while x is not node.foreign and x.tag not in INTEGRATION:
+                    x = x.parent
+                if x is node.foreign:  # it ends the formula or drawing
+                    node = x.parent
             x = node
             while x is not root and x.tag != "p" and x.tag not in SCOPE:
                 x = x.parent
@@ -124,14 +151,38 @@ def parse(source: str) -> Node:
         if tag == "br":
             node.items.append(" ")
             continue
-        child = Node(tag, node, m[3] or m[6] or "")
-        node.children.append(child)
+        child = Node(tag, node, attrs)
+        if child.foreign is None or child.foreign is child:
+            node.children.append(child)
+        else:
+            child.label = True  # goes with the svg or math
+            if tag in APART:
+                node.items.append(" ")
         node.items.append(child)
-        if tag not in VOID:
+        if tag == "xmp":  # all up to its end is text as it stands
+            end = XMP_END.search(source, at)
+            end = end.start() if end else n
+            child.items.append(source[at:end].replace("&", "&amp;"))
+            at = end
+        if tag not in VOID and not closed:
             node = child
     return root
 
 
+def own_text(x: Node) -> str:
+    """The text of x outside its children; all that lies in a formula or drawing is its own."""
+    if x.foreign is None:
+        return "".join([i for i in x.items if i.__class__ is str])
+    out, stack = [], list(reversed(x.items))
+    while stack:
+        i = stack.pop()
+        if i.__class__ is str:
+            out.append(i)
+        else:
+            stack.extend(reversed(i.items))
+    return "".join(out)
+
+
 PUNCT = re.compile(r"[.,;:!?]")
 CONTROL = frozenset("input button select textarea label".split())
 
@@ -146,7 +197,7 @@ def nodes_of(root: Node) -> list[Node]:
     # text in page order, for offsets
     seen = 0
     for x in order:
-        own = "".join([i for i in x.items if i.__class__ is str])
+        own = own_text(x)
         x.own = len(own.strip())
         x.punct = len(PUNCT.findall(own)) if x.own else 0
     for x in order:

@@ -285,6 +285,29 @@ def test_html(spark):
     assert len(got) == 5 and got[2].text == "" and got[3].n_chars == 0 and all(r.n_chars == len(r.text) for r in got.values())
 
 
+def article(body):
+    return f"<html><head><title>T</title><noscript><link href=x></noscript><meta name=x></head><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>More things</a></ul></nav><article><h1>Head line</h1>{body}</article><footer>&copy; us, all rights reserved.</footer>"
+
+
+def test_html_keeps_formulas_drawings_and_fallbacks():
+    model = htmltext.train()
+    one, two, three = "First paragraph of the text, with a number of words in it.", "Second one; it has more words than the first, and a comma.", "Third one ends the story here, with no surprise at all."
+    for middle, want in [
+        (f'<p>An <svg class="i"/> icon in it, with words.</p><p>{two}</p><svg><path d=m /></svg>', ["An icon in it, with words.", two]),
+        (f'<p>An <svg>{"<path/>" * 200}</svg> icon in it, with words.</p><p>{two}</p>', ["An icon in it, with words.", two]),
+        (f"<svg class=i/><p>{two}</p>", [two]),
+        (f"<svg><script href='x'/><title/></svg><p>{two}</p>", [two]),
+        (f"<p>{two}</p><svg><title>Logo</title><text>One label</text><text>two</text></svg>", [two, "One label two"]),
+        ("<p>So <math><mi>E</mi><mo>=</mo><mi>m</mi><mspace/><msup><mi>c</mi><mn>2</mn></msup></math>, in short, <math/> for a body at rest.</p>", ["So E=mc2, in short, for a body at rest."]),
+        (f"<noscript><p>{two}</p></noscript>", [two]),
+        (f"<object data=x><p>{two}</p></object>", [two]),
+        (f"<iframe src=x><p>{two}</p></iframe>", [two]),
+        ("<xmp>if a <b> & c &amp; d: print(a, b)</xmp>", ["if a <b> & c &amp; d: print(a, b)"]),
+    ]:
+        page = article(f"<p>{one}</p>{middle}<p>{three}</p>")
+        assert htmltext.extract([page], model) == ["\n\n".join(["Head line", one, *want, three])], middle
+
+
 def test_language(spark):
     rng = random.Random(9)
     kinds = {"aa": "ka to mi ne su ra".split(), "bb": "sch ung ei pf lich ver".split(), "cc": "çé eau oi tion ment què".split()}
