@@ -22,7 +22,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-XMP_END = re.compile(r"</xmp", re.I | re.A)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -30,6 +29,8 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 # Element names as the HTML standard groups them.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title template".split())
+#: Searched in the page itself: its lower case may be longer.
+END_OF = {t: re.compile("</" + t, re.I | re.A) for t in (*RAW, "xmp")}
 FOREIGN = frozenset("svg math".split())
 #: Parts of formulas and drawings that may hold elements of HTML.
 INTEGRATION = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
@@ -81,7 +82,7 @@ class Node:
 def parse(source: str) -> Node:
     """A tree of elements; `items` hold text and children in page order. Bad markup is repaired as it comes."""
     root = node = Node("html", None)
-    at, n, low = 0, len(source), None
+    at, n = 0, len(source)
     while at < n:
         m = TOKEN.search(source, at)
         if m is None:
@@ -111,13 +112,12 @@ def parse(source: str) -> Node:
         if tag in RAW:
             if closed:
                 continue
-            low = low or source.lower()
-            end = low.find("</" + tag, at)
-            if end < 0:
+            end = END_OF[tag].search(source, at)
+            if end is None:
                 if tag != "template":
                     break
                 continue
-            end = source.find(">", end)
+            end = source.find(">", end.end())
             at = end + 1 if end >= 0 else n
             continue
         if tag in ("html", "body"):
@@ -160,7 +160,7 @@ def parse(source: str) -> Node:
                 node.items.append(" ")
         node.items.append(child)
         if tag == "xmp":  # all up to its end is text as it stands
-            end = XMP_END.search(source, at)
+            end = END_OF["xmp"].search(source, at)
             end = end.start() if end else n
             child.items.append(source[at:end].replace("&", "&amp;"))
             at = end

@@ -308,6 +308,13 @@ def test_html_keeps_formulas_drawings_and_fallbacks():
         assert htmltext.extract([page], model) == ["\n\n".join(["Head line", one, *want, three])], middle
 
 
+def test_html_letters_that_grow_in_lower_case():
+    model = htmltext.train()
+    one, two, three = "İ" * 20 + " stands first in the text, with some words.", "Second one; it has more words than the first, and a comma.", "Third one ends the story here, with no surprise at all."
+    for raw in ("<script>x</script>", "<STYLE>x</StYLe >", "<textarea>x</textarea>", "<svg/><script>x</ſcript></script>"):
+        assert htmltext.extract([article(f"<p>{one}</p>{raw}<p>{two}</p><p>{three}</p>")], model) == ["\n\n".join(["Head line", one, two, three])], raw
+
+
 def test_language(spark):
     rng = random.Random(9)
     kinds = {"aa": "ka to mi ne su ra".split(), "bb": "sch ung ei pf lich ver".split(), "cc": "çé eau oi tion ment què".split()}
