@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.unionfind import components as components
+
 #: ASCII white space, as in the class [\x20\x09-\x0D].
 SPACES = b" \t\n\v\f\r"
 
@@ -124,38 +126,6 @@ def batches(texts: list[bytes], most: int = 200_000):
         yield begin, len(texts)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, component): each node of the edges with the smallest node that it can reach.
-
-    Distributed union-find by alternating large-star and small-star steps. Each step is a
-    grouped minimum (partial sums before the shuffle) and a join back, so that a node with very
-    many neighbours is never gathered in one task. Ends when a round changes nothing. Null ends
-    and loops are left out.
-    """
-    e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u is not null and v is not null and u <> v").distinct()
-    e = cut(e)
-
-    def mark(x: DataFrame) -> tuple:
-        return tuple(x.agg(F.count("*"), F.expr("coalesce(bit_xor(xxhash64(u, v)), 0L)"), F.expr("coalesce(sum(xxhash64(v, u) % 1000003), 0L)")).first())
-
-    now = mark(e)
-    for _ in range(rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        e = cut(small)
-        before, now = now, mark(e)
-        if now == before:
-            break
-    else:
-        raise RuntimeError(f"the components did not settle in {rounds} rounds")
-    leaves = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return leaves.unionByName(roots).groupBy("node").agg(F.min("component").alias("component"))
-
-
 def labelled_sample(rows: DataFrame, label: str, per_label: int, max_labels: int = 512, max_chars: int = 100_000, seed: int = 1) -> list[tuple[str, str]]:
     """(text, label as text) of about `per_label` rows of each label, on the driver.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import cut
+from ..functions.unionfind import components as linked
 from .grid import CROSS, TILE, shifted, tiled
 
 EIGHT = tuple((dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx)
@@ -85,19 +86,9 @@ def components(cells: DataFrame, keys: tuple, offsets: tuple, rounds: int = 60,
     ties = cut(ties)
     if not ties.limit(1).count():
         return own
-    both = ties.unionByName(ties.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    now = cut(both.select(F.col("a").alias("at"), F.col("a").alias("to")).distinct())
-    for _ in range(rounds):
-        told = both.join(now, F.col("b") == F.col("at")).select(F.col("a").alias("at"), "to").unionByName(now)
-        least = told.groupBy("at").agg(F.min("to").alias("to"))
-        jump = now.select(F.col("at").alias("j"), F.col("to").alias("jump"))
-        new = cut(least.join(jump, F.col("to") == F.col("j"), "left").select("at", F.least("to", F.coalesce("jump", "to")).alias("to")))
-        changed = new.join(now.withColumnRenamed("to", "was"), "at").where("to <> was").limit(1).count()
-        now = new
-        if not changed:
-            break
-    joined = own.join(now, F.col("label") == F.col("at"), "left")
-    return joined.select("patch", *keys, F.coalesce("to", "label").alias("label"))
+    now = linked(ties, rounds=rounds)
+    joined = own.join(now, F.col("label") == F.col("node"), "left")
+    return joined.select("patch", *keys, F.coalesce("component", "label").alias("label"))
 
 
 def near_background(marked: DataFrame, radius_cells: float) -> DataFrame:

@@ -169,6 +169,16 @@ def test_components_across_tiles(spark):
     assert pick(7) == pick(512)
 
 
+def test_components_of_a_long_u(spark):
+    arm = 60  # tiles
+    cells_ = [(0, y, x) for y in range(arm) for x in (0, 2)] + [(0, arm, x) for x in range(3)]
+    c = spark.createDataFrame(cells_, "patch int, iy int, ix int")
+    got = morphology.components(c, ("iy", "ix"), morphology.EIGHT, tile=1).collect()
+    assert len(got) == len(cells_) and {tuple(r.label) for r in got} == {(0, 0, 0)}
+    with pytest.raises(RuntimeError):
+        morphology.components(c, ("iy", "ix"), morphology.EIGHT, rounds=1, tile=1)
+
+
 def test_curvature(spark):
     a = lattice(10, 10, 0.5)
     corner = np.concatenate([a, np.stack([a[:, 0], np.zeros(len(a)), a[:, 1]], axis=1)[a[:, 1] > 0]])
