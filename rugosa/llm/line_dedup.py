@@ -22,7 +22,7 @@ from . import blocks
 from .common import components, cut, mix64, stored
 from .ngram_join import band_plan, jaccard_links
 
-SHINGLE, ROWS, RECALL, SEED = 9, 4, 0.996, 7
+SHINGLE, ROWS, RECALL, SEED = 5, 4, 0.9999, 7
 #: Shorter lines are left alone; at least SHINGLE.
 LEAST_CHARS = 10
 #: A list of at most so many short rows is sent to every executor; a longer one is joined by a shuffle.
@@ -32,18 +32,17 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def powers() -> list[np.uint64]:
-    return [np.uint64(pow(int(BASE), k, 1 << 64)) for k in (1, 2, 4, 8)]
+    return [np.uint64(pow(int(BASE), k, 1 << 64)) for k in (1, 2, 4)]
 
 
 def character_hashes(text: str) -> np.ndarray:
     """The hash of the SHINGLE characters that begin at each place; the last SHINGLE - 1 places mean nothing."""
     cp = np.frombuffer((text + "\0" * 16).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    p1, p2, p4, p8 = powers()
+    p1, p2, p4 = powers()
     with np.errstate(over="ignore"):
         two = cp[:-1] + cp[1:] * p1
         four = two[:-2] + two[2:] * p2
-        eight = four[:-4] + four[4:] * p4
-        return mix64(eight[: len(text)] + cp[8 : 8 + len(text)] * p8)
+        return mix64(four[: len(text)] + cp[4 : 4 + len(text)] * p4)
 
 
 def shingle_sets(lines: pa.Array) -> list[np.ndarray]:

@@ -269,6 +269,18 @@ def test_line_dedup_is_brute_force(spark):
     assert line_dedup.dedup_lines(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_line_dedup_links_one_edit_in_lines_of_middle_length(spark):
+    rng = random.Random(18)
+    base = [words(rng, 40)[:n].strip().ljust(n, "z") for n in range(30, 91, 2)]
+    at = [rng.randrange(len(b)) for b in base]
+    lines = base + [b[:i] + "#" + b[i + 1 :] for b, i in zip(base, at)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, lines)).collect()}
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in lines]
+    near = [[j for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])] for i in range(len(lines))]
+    assert sum(map(bool, near)) > 15
+    assert all(got[i] == ("" if near[i] else lines[i]) for i in range(len(lines)))
+
+
 def test_html(spark):
     model = htmltext.train()
     page = "<!DOCTYPE html><html><head><title>T</title><script>var a='</p><p>no</p>';</script></head><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>More things</a></ul></nav><!-- x --><div class='ad'>Buy this now, it is cheap.</div><article><h1>Head &amp; line</h1><p><b>First par&#233;graph of\n the text, with words.<br><p>Second one; it has more words than the first.</article><section id=comments><p>I liked this a lot, thanks.</p></section><form><label>Mail</label><input></form><footer>&copy; us, all rights reserved.</footer>"
