@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, less the lines that occur, or nearly so, in another place; n_chars follows."""
-    done = dedup_lines(docs)
+    done = dedup_lines(docs, least_chars=1)
     return done.select(*[F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 

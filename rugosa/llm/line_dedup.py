@@ -23,7 +23,7 @@ from .common import components, cut, mix64, stored
 from .ngram_join import band_plan, jaccard_links
 
 SHINGLE, ROWS, RECALL, SEED = 5, 4, 0.9999, 7
-#: Shorter lines are left alone; at least SHINGLE.
+#: Shorter lines are left alone unless the caller names another length.
 LEAST_CHARS = 10
 #: A list of at most so many short rows is sent to every executor; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -94,13 +94,14 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = LEAS
 
     Lines end at line feeds. Of each component of lines of at least `least_chars` characters, one
     occurrence in all documents stays: the first of its earliest class by doc_id (nulls first), then
-    position. Shorter and blank lines stay. Every document stays, if with an empty text; a null text
+    position. A line shorter than a shingle is one shingle, so that equal ones are a component.
+    Lines of fewer than `least_chars` and blank ones stay. Every document stays, if with an empty text; a null text
     stays null with 0 lines. Rows that repeat both id and text are one document and get equal texts.
     Columns n_lines and n_removed of docs, if any, are replaced; others pass.
     """
     docs = docs.drop("n_lines", "n_removed")
     bands, rows = band_plan(threshold, RECALL, ROWS)
-    least_chars = max(least_chars, SHINGLE)
+    least_chars = max(least_chars, 1)
     own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
     source = docs.select("doc_id", own.alias("row"), "text").where(F.col("text").isNotNull())
 
@@ -119,9 +120,11 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = LEAS
                         x = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                         c1.append(int.from_bytes(x[:8], "little", signed=True)), c2.append(int.from_bytes(x[8:], "little", signed=True))
                     at += n + 1
-            keys = signer(text, np.array(starts), np.array(ends)) if starts else np.zeros((0, bands), np.int64)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, bands, dtype=np.int32)), pa.array(keys.ravel()))
-            weight = pa.array(np.array(ends, np.int64) - np.array(starts, np.int64))
+            begin, size = np.array(starts, np.int64), np.array(ends, np.int64) - np.array(starts, np.int64)
+            whole = size >= SHINGLE  # a shorter line is only like its equals, and meets none in buckets
+            keys = signer(text, begin[whole], (begin + size)[whole]) if whole.any() else np.zeros((0, bands), np.int64)
+            flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(whole * bands))).astype(np.int32)), pa.array(keys.ravel()))
+            weight = pa.array(size)
             return pa.RecordBatch.from_arrays([pa.array(docs_, kind), pa.array(rows_, pa.int64()), pa.array(pos, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), weight, flat], ["doc_id", "row", "pos", "id", "c2", "weight", "keys"])
 
         for part in parts:
@@ -176,4 +179,4 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = LEAS
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), least_chars=1)

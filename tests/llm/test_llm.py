@@ -281,6 +281,15 @@ def test_line_dedup_links_one_edit_in_lines_of_middle_length(spark):
     assert all(got[i] == ("" if near[i] else lines[i]) for i in range(len(lines)))
 
 
+def test_line_dedup_of_short_lines(spark, tmp_path):
+    texts = ["Les.\n\nShare\na", "Share\n \nLes.\nLes", "a\nLes.\nabcde\nabcdef", "a line that has more than ten characters\nLes.\nabcdef", None, "", "b\nb"]
+    want = ["Les.\n\nShare\na", " \nLes", "abcde\nabcdef", "a line that has more than ten characters", None, "", "b"]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].text for i in range(len(texts))] == want
+    assert [got[i].n_removed for i in range(len(texts))] == [0, 2, 2, 2, 0, 0, 1]
+
+
 def test_html(spark):
     model = htmltext.train()
     page = "<!DOCTYPE html><html><head><title>T</title><script>var a='</p><p>no</p>';</script></head><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>More things</a></ul></nav><!-- x --><div class='ad'>Buy this now, it is cheap.</div><article><h1>Head &amp; line</h1><p><b>First par&#233;graph of\n the text, with words.<br><p>Second one; it has more words than the first.</article><section id=comments><p>I liked this a lot, thanks.</p></section><form><label>Mail</label><input></form><footer>&copy; us, all rights reserved.</footer>"
