@@ -80,7 +80,7 @@ def score_graph(pairs: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame
     for _ in range(rounds):
         hits = edges.join(known, "instance").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("hit"), F.count("*").alias("instances"))
         patterns = cut(hits.join(total, "pattern").select("pattern", "kind", "instances", (F.col("hit") / (F.col("total") + 1)).alias("score")))
-        more = edges.join(patterns.where("score > 0.05"), "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("score")))))).alias("score"))
+        more = edges.join(patterns, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-12), 1 - F.col("score")))))).alias("score"))
         known = cut(seeds.unionByName(more.join(seeds.select("instance", "kind"), ["instance", "kind"], "left_anti")))
     return patterns, known
 

@@ -371,6 +371,13 @@ def test_personal_data(spark):
     assert pii.find_personal_data(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_many_weak_patterns_add_up(spark):
+    rows = [r for i in range(60) for r in ((f"seed{i}", f"p{i}", 0, 1), (f"other{i}", f"p{i}", None, 18), ("x", f"p{i}", None, 1))]
+    _, known = pii.score_graph(spark.createDataFrame(rows, "instance string, pattern string, kind int, n long"), 1)
+    got = {r.instance: r.score for r in known.collect()}
+    assert got["x"] == pytest.approx(1 - (20 / 21) ** 60) and got["other3"] == pytest.approx(1 / 21) and got["seed3"] == 1
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
