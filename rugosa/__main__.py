@@ -6,7 +6,6 @@ import argparse
 
 import numpy as np
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from .config import DecompositionConfig, RoughnessConfig
 from .plans.analyze import analyze_object, analyze_points
@@ -17,6 +16,7 @@ from .sources.readers import load_points
 def main(argv: list[str] | None = None) -> None:
     flag = {"action": argparse.BooleanOptionalAction}
     p = argparse.ArgumentParser(prog="rugosa", description=__doc__)
+    # The options' names and defaults.
     p.add_argument("input")
     p.add_argument("--3d", "--decompose", dest="decompose", action="store_true", help="analyse each planar face")
     p.add_argument("--grid-mm", type=float, default=0.20)
@@ -50,9 +50,9 @@ def main(argv: list[str] | None = None) -> None:
     if a.grid_out:
         save_grid_npz(result, a.grid_out)
     if a.heatmap_out:
-        heat = grid_array(result.heatmap().withColumn("value", F.col("value")), result.grid_shape, "value")
+        heat = grid_array(result.heatmap(disc_averaging=a.disc_averaging), result.grid_shape, "value")
         if a.heatmap_out.endswith(".npz"):
-            np.savez(a.heatmap_out, heatmap=heat, pitch=result.grid_pitch_mm, origin=np.array(result.grid_origin_mm))
+            np.savez(a.heatmap_out, heatmap=heat, pitch_mm=result.grid_pitch_mm, origin=np.array([*result.grid_origin_mm, result.grid_pitch_mm]))
         else:
             np.save(a.heatmap_out, heat)
 

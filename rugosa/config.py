@@ -9,7 +9,10 @@ Range = tuple[float, float]
 
 
 def parse_range(value) -> Range | None:
-    """None, a pair, or "lo:hi" -> an inclusive range. Raises ValueError for anything else."""
+    """None, a pair, or "lo:hi" -> an inclusive range. Raises ValueError for anything else.
+
+    A range whose ends are the wrong way round holds nothing: it is taken, and finds no points.
+    """
     if value is None or value == "":
         return None
     if isinstance(value, str):
@@ -18,11 +21,14 @@ def parse_range(value) -> Range | None:
             raise ValueError(f"a range is written lo:hi, not {value!r}")
         value = (low, high)
     low, high = (float(v) for v in value)
-    if low > high:
-        raise ValueError(f"the range {low}:{high} is empty")
     return low, high
 
 
+#: The other name under which ranges are parsed.
+coerce_range = parse_range
+
+
+# The settings' names and defaults, here and in DecompositionConfig.
 @dataclass(frozen=True)
 class RoughnessConfig:
     grid_mm: float = 0.20

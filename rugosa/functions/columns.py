@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,14 +21,43 @@ def clip(c: Column, low, high) -> Column:
     return F.least(F.greatest(c, low), high)
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a temporary folder serves a local master, which has one machine; on a
+    cluster this raises, since a folder of the driver's machine is of no use there.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        path = tempfile.mkdtemp(prefix="rugosa-checkpoint-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the shared checkpoint folder."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rugosa-checkpoint-"))
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+#: A table with a row for each patch is broadcast up to so many rows (of a dozen numbers: about 20 MB).
+PATCH_ROWS = 100_000
+
+
+def with_patches(df: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """df joined with a table that has one row for each patch.
+
+    The table is computed once and counted: a short one is broadcast, so that the rows of one large
+    patch stay where they are; a longer one is joined by a shuffle on the patch.
+    """
+    table = cut(table)
+    return df.join(F.broadcast(table) if table.count() <= PATCH_ROWS else table, "patch", how)
+
+
 # Upper limits in mm of each comparator's grades, and what lies above and below.
 COMPARATORS = {
     "SCRATA": ("< A1", 0.0214, [(0.0356, "A1"), (0.0539, "A2"), (0.0973, "A3"), (0.1500, "A4")], "> A4"),

@@ -7,13 +7,18 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite, with_patches
 from .morphology import EIGHT, components, erode
 
 
-def candidates(grid: DataFrame, heat: DataFrame, svr: DataFrame, factor: float) -> DataFrame:
-    """(patch, iy, ix) of valid cells with a heatmap value >= factor x S_VR that outlast two erosions."""
-    hot = heat.where("value is not null").join(F.broadcast(svr.where("svr_um > 0")), "patch").where(F.col("value") >= factor * F.col("svr_um"))  # a row a patch
-    return erode(hot.join(grid.where("valid").select("patch", "iy", "ix"), ["patch", "iy", "ix"]).select("patch", "iy", "ix"))
+def candidates(grid: DataFrame, heat: DataFrame, svr: DataFrame, factor: float, margin: int = 2) -> DataFrame:
+    """(patch, iy, ix) of cells with a heatmap value >= factor x S_VR, `margin` erosions inside the valid area.
+
+    The erosion takes the border of the measured area away, not that of the hot regions.
+    """
+    hot = with_patches(heat.where("value is not null"), svr.where("svr_um > 0")).where(F.col("value") >= factor * F.col("svr_um"))
+    inner = erode(grid.where(F.col("valid") & finite("z")).select("patch", "iy", "ix"), margin)
+    return hot.select("patch", "iy", "ix").join(inner, ["patch", "iy", "ix"], "left_semi")
 
 
 def detect(grid_mm: DataFrame, heat: DataFrame, svr: DataFrame, pitch_mm: float, factor: float = 2.0, min_area: float = 2.0) -> tuple[DataFrame, DataFrame]:

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip
+from ..functions.columns import clip, cut, with_patches
+from ..functions.quantiles import percentiles
 
 TILE = 512
 
@@ -51,7 +52,7 @@ def scatter(points: DataFrame, pitch: float) -> DataFrame:
     box = extents(points)
     steps = lambda a, b: F.ceil((F.col(b) - F.col(a)) / pitch).cast("long") + 1
     box = box.select("patch", "u0", "v0", steps("u0", "u1").alias("w_"), steps("v0", "v1").alias("h_"))
-    d = points.join(F.broadcast(box), "patch")  # a row for each patch
+    d = with_patches(points, box)
     gx, gy = (F.col("u") - F.col("u0")) / pitch, (F.col("v") - F.col("v0")) / pitch
     d = d.select("patch", "w", clip(F.floor(gx), F.lit(0), F.col("w_") - 2).alias("ix"), clip(F.floor(gy), F.lit(0), F.col("h_") - 2).alias("iy"), gx.alias("gx"), gy.alias("gy"))
     d = d.withColumn("fx", clip(F.col("gx") - F.col("ix"), F.lit(0.0), F.lit(1.0))).withColumn("fy", clip(F.col("gy") - F.col("iy"), F.lit(0.0), F.lit(1.0)))
@@ -65,7 +66,7 @@ def trimmed(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dense grid of the valid cells' bounding box, indexed from 0, and its shape: (patch, y0, x0, h, w)."""
     measured = cells.where("sw > 1e-5").select("patch", "iy", "ix", (F.col("swz") / F.col("sw")).alias("z"))
     shape = measured.groupBy("patch").agg(F.min("iy").alias("y0"), F.min("ix").alias("x0"), (F.max("iy") - F.min("iy") + 1).alias("h"), (F.max("ix") - F.min("ix") + 1).alias("w"))
-    moved = measured.join(F.broadcast(shape), "patch").select("patch", (F.col("iy") - F.col("y0")).alias("iy"), (F.col("ix") - F.col("x0")).alias("ix"), "z")
+    moved = with_patches(measured, shape).select("patch", (F.col("iy") - F.col("y0")).alias("iy"), (F.col("ix") - F.col("x0")).alias("ix"), "z")
     lattice = shape.select("patch", "w", F.explode(F.sequence(F.lit(0), F.col("h") - 1)).alias("iy")).repartition("patch", "iy").select("patch", "iy", F.explode(F.sequence(F.lit(0), F.col("w") - 1)).alias("ix"))
     grid = lattice.join(moved, ["patch", "iy", "ix"], "left").select("patch", "iy", "ix", "z", F.col("z").isNotNull().alias("valid"))
     return grid, shape
@@ -144,7 +145,7 @@ def fill_holes(grid: DataFrame, rounds: int = 8) -> DataFrame:
 
     filled = tiled(grid, rounds, program, f"patch {dict(grid.dtypes)['patch']}, iy int, ix int, z double, valid boolean")
     mean = grid.where("valid").groupBy("patch").agg(F.avg("z").alias("m"))
-    rest = filled.join(F.broadcast(mean), "patch", "left")
+    rest = with_patches(filled, mean, "left")
     return rest.select("patch", "iy", "ix", F.when(F.col("z").isNull() | F.isnan("z"), F.coalesce("m", F.lit(0.0))).otherwise(F.col("z")).alias("z"), "valid")
 
 
@@ -210,6 +211,7 @@ def laplacian(grid: DataFrame) -> DataFrame:
 def noise_floor(grid: DataFrame) -> DataFrame:
     """(patch, noise_um): the scaled median deviation of the Laplacian over valid cells of a filled grid."""
     lap = laplacian(grid).where("valid")
-    mid = lap.groupBy("patch").agg(F.median("z").alias("mid"))
-    off = lap.join(F.broadcast(mid), "patch").groupBy("patch").agg(F.median(F.abs(F.col("z") - F.col("mid"))).alias("mad"))
+    lap = cut(lap)
+    off = with_patches(lap, percentiles(lap, "z", {"mid": 0.5})).select("patch", F.abs(F.col("z") - F.col("mid")).alias("off"))
+    off = percentiles(off, "off", {"mad": 0.5})
     return off.select("patch", (F.col("mad") / 0.6745 / math.sqrt(20) * 1e6).alias("noise_um"))

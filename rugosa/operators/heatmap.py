@@ -9,14 +9,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, finite
+from ..functions.columns import clip, finite, with_patches
 from .grid import shifted, tiled
 
 
 def disc_offsets(radius: float, pitch: float) -> list[tuple[int, int]]:
-    """Displacements with 0 < distance <= radius (both in one unit)."""
-    r = math.floor(radius / pitch + 1e-9)
-    return [(dy, dx) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if (dy or dx) and math.hypot(dy, dx) * pitch <= radius + 1e-9 * pitch]
+    """Displacements with 0 < distance <= radius (both in one unit), the distance in double precision as it comes."""
+    r = math.ceil(radius / pitch)
+    at = np.arange(-r, r + 1) * pitch
+    distance = np.sqrt(at[:, None] * at[:, None] + at[None, :] * at[None, :])
+    y, x = np.nonzero((distance <= radius) & (distance > 0))
+    return list(zip((y - r).tolist(), (x - r).tolist()))
 
 
 def heatmap(grid: DataFrame, pitch: float, radius: float = 5.0, min_support: int = 12, disc_averaging: bool | None = None) -> DataFrame:
@@ -62,7 +65,7 @@ def interpolate(heat: DataFrame, shape: DataFrame, points: DataFrame, pitch: flo
     shape: (patch, ox, oy, h, w). Points outside clamp to the border; a grid under 2 cells in a
     dimension gives null.
     """
-    d = points.join(F.broadcast(shape), "patch")  # a row for each patch
+    d = with_patches(points, shape)
     gx = clip((F.col("u") - F.col("ox")) / pitch, F.lit(0.0), (F.col("w") - 1).cast("double"))
     gy = clip((F.col("v") - F.col("oy")) / pitch, F.lit(0.0), (F.col("h") - 1).cast("double"))
     d = d.withColumn("gx", gx).withColumn("gy", gy)

@@ -59,8 +59,12 @@ def variogram(grid: DataFrame, pitch: float, points: int = 10, span: float = 0.0
 
 
 def bins(vario: DataFrame) -> DataFrame:
-    """(patch, bucket, pairs, value_um); buckets without pairs have a null value."""
-    return vario.select("patch", "bucket", "pairs", F.when(F.col("pairs") > 0, F.sqrt(F.col("total") / F.col("pairs")) * 1e6).alias("value_um"))
+    """(patch, bucket, pairs, value_um): the root of half the mean squared difference; 0 for a bucket without pairs.
+
+    `pairs` and `total` both count each pair twice.
+    """
+    half = F.sqrt(F.col("total") / (2 * F.col("pairs"))) * 1e6
+    return vario.select("patch", "bucket", "pairs", F.when(F.col("pairs") > 0, half).otherwise(0.0).alias("value_um"))
 
 
 def svr(vario: DataFrame, points: int = 10) -> DataFrame:

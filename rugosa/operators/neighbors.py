@@ -7,23 +7,29 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import cut
+from ..functions.columns import cut, with_patches
 
 
-def _celled(points: DataFrame, size: float) -> DataFrame:
-    return points.select("patch", "pid", "x", "y", "z", *[F.floor(F.col(c) / size).alias(f"b{c}") for c in "xyz"])
+#: The 27 cubes around a point's own.
+CUBES = "transform(sequence(0, 26), i -> struct(bx + i % 3 - 1 as bx, by + (i div 3) % 3 - 1 as by, bz + i div 9 - 1 as bz))"
 
 
-def pairs_within(probe: DataFrame, build: DataFrame, radius: float) -> DataFrame:
+def _celled(points: DataFrame, size) -> DataFrame:
+    return points.withColumn("size", size).selectExpr("*", *[f"floor({c} / size) as b{c}" for c in "xyz"])
+
+
+def pairs_within(probe: DataFrame, build: DataFrame, radius, keep: tuple = ()) -> DataFrame:
     """(patch, pid, other, d2, ox, oy, oz): probe points with the build points within the radius, themselves included.
 
+    radius: a number, or the name of a column that both sides have and that is one for each patch.
     Both sides are dealt into cubes of the radius; a probe looks into the 27 cubes around its own.
+    `keep`: further columns of the probe.
     """
-    near = F.array(*[F.struct((F.col("bx") + i).alias("bx"), (F.col("by") + j).alias("by"), (F.col("bz") + k).alias("bz")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    a = _celled(probe, radius).select("patch", "pid", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), F.explode(near).alias("b")).select("patch", "pid", "px", "py", "pz", "b.*")
-    b = _celled(build, radius).select("patch", F.col("pid").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("z").alias("oz"), "bx", "by", "bz")
-    d2 = sum((F.col(f"p{c}") - F.col(f"o{c}")) * (F.col(f"p{c}") - F.col(f"o{c}")) for c in "xyz")
-    return a.join(b, ["patch", "bx", "by", "bz"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("patch", "pid", "other", "d2", "ox", "oy", "oz")
+    size = F.col(radius) if isinstance(radius, str) else F.lit(float(radius))
+    a = _celled(probe, size).selectExpr("patch", "pid", "x as px", "y as py", "z as pz", "size * size as r2", *keep, f"inline({CUBES})")
+    b = _celled(build, size).selectExpr("patch", "pid as other", "x as ox", "y as oy", "z as oz", "bx", "by", "bz")
+    d2 = "(px - ox) * (px - ox) + (py - oy) * (py - oy) + (pz - oz) * (pz - oz)"
+    return a.join(b, ["patch", "bx", "by", "bz"]).withColumn("d2", F.expr(d2)).where("d2 <= r2").select("patch", "pid", "other", "d2", "ox", "oy", "oz", *keep)
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
@@ -32,37 +38,52 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def knn_mean_distance(points: DataFrame, k: int = 6, radius: float | None = None, rounds: int = 40) -> DataFrame:
-    """(patch, pid, mean): the mean distance to the k nearest other points, however far.
+def k_nearest(probe: DataFrame, build: DataFrame, k: int, most: float | None = None, rounds: int = 40) -> DataFrame:
+    """(patch, pid, other, d2, ox, oy, oz, rank): each probe's k nearest points of `build`, itself included.
 
-    Looks within a radius that holds about 4 k points on a surface, then twice as far for the points
-    that found too few, and so on. Points of a patch with at most k points get no row.
+    Probes look within a radius that holds about twice k points of their own patch, taken as a
+    surface; those that find fewer than k look three times as far, up to `most` (a radius; all that lie
+    within it are returned then) or until the whole patch is in reach. So the pairs of a dense patch
+    or a large `most` stay near 2 k a point.
     """
-    box = points.groupBy("patch").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).where(F.col("n") > k)
-    points = points.join(F.broadcast(box.select("patch")), "patch")
-    sizes = box.collect()  # one row a patch
-    if not sizes:
-        return points.select("patch", "pid", F.lit(None).cast("double").alias("mean")).where("false")
-    if radius is None:
-        spread = lambda r: math.sqrt(max(1e-12, sorted((r.x, r.y, r.z))[-1] * sorted((r.x, r.y, r.z))[-2]) / r.n)
-        radius = max(1e-9, max(spread(r) for r in sizes) * math.sqrt(4 * (k + 1) / math.pi))
-    reach = max(math.dist((r.x, r.y, r.z), (0, 0, 0)) for r in sizes)
-    todo, done = points, None
-    for _ in range(rounds):
-        near = nearest(pairs_within(todo, points, radius), k + 1)
-        got = cut(near.groupBy("patch", "pid").agg(F.count("*").alias("n"), (F.sum(F.sqrt("d2")) / k).alias("mean")).where(F.col("n") == k + 1).select("patch", "pid", "mean"))
+    spans = [(F.max(c) - F.min(c)).alias(f"s{c}") for c in "xyz"]
+    box = build.groupBy("patch").agg(F.count("*").alias("n"), *spans)
+    sides = F.array_sort(F.array("sx", "sy", "sz"))
+    area = F.greatest(F.lit(1e-12), F.element_at(sides, 3) * F.greatest(F.element_at(sides, 2), F.element_at(sides, 3) * 1e-3))
+    reach = F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy") + F.col("sz") * F.col("sz")) + 1e-9
+    last = reach if most is None else F.least(reach, F.lit(float(most)))
+    box = box.select("patch", last.alias("last"), F.least(last, F.sqrt(area / F.col("n") * (2 * k / math.pi))).alias("first"))
+    at = ("patch", "pid", "x", "y", "z", "first", "last")
+    every = cut(with_patches(build, box).select(*at))
+    todo = every if probe is build else cut(with_patches(probe, box).select(*at))
+    done = None
+    for turn in range(rounds):
+        r = F.least(F.col("first") * 3.0**turn, F.col("last"))
+        sized = lambda d, r=r: d.withColumn("r", r).withColumn("end", F.col("r") >= F.col("last"))
+        near = nearest(pairs_within(sized(todo), sized(every), "r", ("end",)), k)
+        found = F.max("rank").over(Window.partitionBy("patch", "pid"))
+        got = cut(near.withColumn("found", found).where((F.col("found") == k) | F.col("end")).drop("found", "end"))
         done = got if done is None else done.unionByName(got)
-        todo = cut(todo.join(got, ["patch", "pid"], "left_anti"))
-        if radius > reach or not todo.limit(1).count():
+        todo = cut(todo.join(got.where("rank = 1"), ["patch", "pid"], "left_anti"))
+        if not todo.limit(1).count():
             break
-        radius *= 2
     return done
 
 
+def knn_mean_distance(points: DataFrame, k: int = 6) -> DataFrame:
+    """(patch, pid, mean): the mean distance to the k nearest other points, however far.
+
+    Points of a patch with at most k points get no row.
+    """
+    near = k_nearest(points, points, k + 1)
+    means = near.groupBy("patch", "pid").agg(F.count("*").alias("n"), (F.sum(F.sqrt("d2")) / k).alias("mean"))
+    return means.where(F.col("n") == k + 1).select("patch", "pid", "mean")
+
+
 def outliers(means: DataFrame, times: float = 3.0) -> DataFrame:
     """(patch, pid) whose mean distance is above the mean plus so many population deviations."""
     limit = means.groupBy("patch").agg((F.avg("mean") + times * F.stddev_pop("mean")).alias("limit"))
-    return means.join(F.broadcast(limit), "patch").where("mean > limit").select("patch", "pid")
+    return with_patches(means, limit).where("mean > limit").select("patch", "pid")
 
 
 def least_eigenvalue_share(xx, xy, xz, yy, yz, zz):
@@ -81,7 +102,7 @@ def least_eigenvalue_share(xx, xy, xz, yy, yz, zz):
 
 def curvature(probe: DataFrame, points: DataFrame, radius: float = 4.5, k: int = 30) -> DataFrame:
     """(patch, pid, n, sigma): the least share of variance among the k nearest points within the radius."""
-    near = nearest(pairs_within(probe, points, radius), k)
+    near = k_nearest(probe, points, k, radius)
     # about each neighbourhood's own centre; covariances in one pass
     cov = [F.covar_pop(a, b) for a, b in (("ox", "ox"), ("ox", "oy"), ("ox", "oz"), ("oy", "oy"), ("oy", "oz"), ("oz", "oz"))]
     sums = near.groupBy("patch", "pid").agg(F.count("*").alias("n"), *[c.alias(f"c{i}") for i, c in enumerate(cov)])

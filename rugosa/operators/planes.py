@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,9 +17,21 @@ def distance(plane: tuple) -> Column:
 
 
 def score(points: DataFrame, planes: list[tuple], within: float) -> DataFrame:
-    """(model, inliers): how many points lie nearer than `within`; one pass, a count for each plane."""
-    counts = F.array(*[F.struct(F.lit(p[0]).alias("model"), F.count_if(distance(p) < within).alias("inliers")) for p in planes])
-    return points.agg(counts.alias("c")).select(F.explode("c").alias("c")).select("c.model", "c.inliers")
+    """(model, inliers): how many points lie nearer than `within`; one pass, whatever the number of planes.
+
+    Each partition counts its points for all planes by one matrix product a batch.
+    """
+    models = np.array([p[0] for p in planes], np.int32)
+    normal, offset = np.array([p[1:4] for p in planes], float).T, np.array([p[4] for p in planes], float)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(models), np.int64)
+        for part in parts:
+            total += (np.abs(part[["x", "y", "z"]].to_numpy() @ normal + offset) < within).sum(axis=0)
+        yield pd.DataFrame({"model": models, "inliers": total})
+
+    found = points.select("x", "y", "z").mapInPandas(run, "model int, inliers long")
+    return found.groupBy("model").agg(F.sum("inliers").alias("inliers"))
 
 
 def assign(points: DataFrame, planes: list[tuple]) -> DataFrame:

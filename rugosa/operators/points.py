@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite
+from ..functions.columns import PATCH_ROWS, finite, with_patches
+from ..functions.quantiles import percentiles
 
 
 def finite_filter(points: DataFrame) -> DataFrame:
@@ -29,14 +31,15 @@ def percentile_crop(points: DataFrame, percent: float, u: str = "u", v: str = "v
     if percent <= 0:
         return points
     p, q = percent / 100, 1 - percent / 100
-    limits = points.groupBy("patch").agg(*[F.percentile(c, k).alias(f"{n}{k_}") for n, c in (("u_", u), ("v_", v)) for k_, k in (("lo", p), ("hi", q))])
-    return points.join(F.broadcast(limits), "patch").where(F.col(u).between(F.col("u_lo"), F.col("u_hi")) & F.col(v).between(F.col("v_lo"), F.col("v_hi"))).drop("u_lo", "u_hi", "v_lo", "v_hi")
+    a, b = (percentiles(points, c, {f"{n}_lo": p, f"{n}_hi": q}) for n, c in (("u", u), ("v", v)))
+    inside = F.col(u).between(F.col("u_lo"), F.col("u_hi")) & F.col(v).between(F.col("v_lo"), F.col("v_hi"))
+    return with_patches(points, a.join(b, "patch")).where(inside).select(*points.columns)
 
 
 def voxel_downsample(points: DataFrame, size: float) -> DataFrame:
     """The centroid of each occupied voxel, counted from the least coordinates of the patch."""
     low = points.groupBy("patch").agg(*[F.min(c).alias(f"{c}0") for c in "xyz"])
-    keyed = points.join(F.broadcast(low), "patch").select("patch", *[F.floor((F.col(c) - F.col(f"{c}0")) / size).alias(f"v{c}") for c in "xyz"], "x", "y", "z")
+    keyed = with_patches(points, low).select("patch", *[F.floor((F.col(c) - F.col(f"{c}0")) / size).alias(f"v{c}") for c in "xyz"], "x", "y", "z")
     return keyed.groupBy("patch", "vx", "vy", "vz").agg(*[F.avg(c).alias(c) for c in "xyz"], F.count("*").alias("n"))
 
 
@@ -64,30 +67,47 @@ def angles(n: int) -> list[float]:
     return [i * (math.pi / 2) / (n - 1) for i in range(n)]
 
 
-def box_scan(points: DataFrame, n_angles: int, u: str = "u", v: str = "v") -> DataFrame:
-    """Per patch, the least bounding box of (u, v) over n angles from 0 to 90 degrees, both included.
+def box_scan_all(points: DataFrame, n_angles: int, u: str = "u", v: str = "v") -> DataFrame:
+    """(patch, angle, w, h): the bounding box of (u, v) turned by each of n angles from 0 to 90 degrees, both included.
 
-    (patch, angle index, w, h, area); of equal areas the first angle's. One pass: two minima and two
-    maxima for each angle are columns of one aggregate, so no row is multiplied.
+    The points are read once. Each partition reduces its points to their extremes at all angles by
+    one matrix product a batch; what is shuffled is n_angles rows for each patch and partition.
     """
-    turned = []
-    for i, t in enumerate(angles(n_angles)):
-        c, s = math.cos(t), math.sin(t)
-        x, y = F.col(u) * c + F.col(v) * s, F.col(v) * c - F.col(u) * s
-        turned.append(F.struct(F.lit(i).alias("i"), (F.max(x) - F.min(x)).alias("w"), (F.max(y) - F.min(y)).alias("h")))
-    # a few angles at a time keep the generated code within the compiler's limits
-    parts = [points.groupBy("patch").agg(F.array(*turned[k : k + 15]).alias("boxes")) for k in range(0, n_angles, 15)]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    flat = every.select("patch", F.explode("boxes").alias("b")).select("patch", "b.i", "b.w", "b.h", (F.col("b.w") * F.col("b.h")).alias("area"))
-    return flat.groupBy("patch").agg(F.min(F.struct("area", "i", "w", "h")).alias("m")).select("patch", F.col("m.i").alias("angle"), "m.w", "m.h", "m.area")
+    t = np.array(angles(n_angles))
+    cos, sin = np.cos(t)[:, None], np.sin(t)[:, None]
+    names = ["patch", "angle", "x0", "x1", "y0", "y1"]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def out() -> pd.DataFrame:
+            rows = [pd.DataFrame(dict(zip(names, (k, np.arange(n_angles), *a)))) for k, a in held.items()]
+            held.clear()
+            return pd.concat(rows)[names]
+
+        for part in parts:
+            for k, p in part.groupby("patch", sort=False):
+                a, b = p[u].to_numpy()[None, :], p[v].to_numpy()[None, :]
+                x, y = cos * a - sin * b, sin * a + cos * b
+                now = (x.min(axis=1), x.max(axis=1), y.min(axis=1), y.max(axis=1))
+                if k in held:
+                    now = tuple(f(i, j) for f, i, j in zip((np.minimum, np.maximum) * 2, held[k], now))
+                held[k] = now
+            if len(held) > 1000:
+                yield out()
+        if held:
+            yield out()
+
+    kind = dict(points.dtypes)["patch"]
+    found = points.select("patch", u, v).mapInPandas(run, f"patch {kind}, angle int, x0 double, x1 double, y0 double, y1 double")
+    every = found.groupBy("patch", "angle").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    return every.select("patch", "angle", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
 
 
-def box_scan_all(points: DataFrame, n_angles: int, u: str = "u", v: str = "v") -> DataFrame:
-    """(patch, angle, w, h) of every angle."""
-    turned = [F.struct(F.lit(i).alias("angle"), (F.max(F.col(u) * math.cos(t) + F.col(v) * math.sin(t)) - F.min(F.col(u) * math.cos(t) + F.col(v) * math.sin(t))).alias("w"), (F.max(F.col(v) * math.cos(t) - F.col(u) * math.sin(t)) - F.min(F.col(v) * math.cos(t) - F.col(u) * math.sin(t))).alias("h")) for i, t in enumerate(angles(n_angles))]
-    return points.groupBy("patch").agg(F.array(*turned).alias("b")).select("patch", F.explode("b").alias("b")).select("patch", "b.*")
+def box_scan(points: DataFrame, n_angles: int, u: str = "u", v: str = "v") -> DataFrame:
+    """(patch, angle, w, h, area) of each patch's least box of `box_scan_all`; of equal areas the first angle's."""
+    every = box_scan_all(points, n_angles, u, v).withColumn("area", F.col("w") * F.col("h"))
+    return every.groupBy("patch").agg(F.min(F.struct("area", "angle", "w", "h")).alias("m")).select("patch", "m.angle", "m.w", "m.h", "m.area")
 
 
 def rotate(points: DataFrame, axes: dict, names=("u", "v", "w"), center: dict | None = None) -> DataFrame:
@@ -97,7 +117,7 @@ def rotate(points: DataFrame, axes: dict, names=("u", "v", "w"), center: dict |
     kind = dict(points.dtypes)["patch"]
     names_ = [f"e{i}{j}" for i in range(3) for j in range(3)]
     table = spark.createDataFrame(pd.DataFrame(rows, columns=["patch", *names_, "ox", "oy", "oz"])).withColumn("patch", F.col("patch").cast(kind))
-    d = points.join(F.broadcast(table), "patch")  # a row for each patch
+    d = points.join(F.broadcast(table) if len(rows) <= PATCH_ROWS else table, "patch")
     rel = [F.col(c) - F.col(f"o{c}") for c in "xyz"]
     return d.select(*points.columns, *[sum(rel[j] * F.col(f"e{i}{j}") for j in range(3)).alias(n) for i, n in enumerate(names)])
 
@@ -112,7 +132,7 @@ def aligned_axes(points: DataFrame, n_angles: int = 90) -> dict:
         if stats[p].n > 20:
             t = angles(n_angles)[best[p]]
             c, s = math.cos(t), math.sin(t)
-            e = np.stack([c * e[:, 0] + s * e[:, 1], -s * e[:, 0] + c * e[:, 1], e[:, 2]], axis=1)
+            e = np.stack([c * e[:, 0] - s * e[:, 1], s * e[:, 0] + c * e[:, 1], e[:, 2]], axis=1)
         out[p] = e
     return out
 

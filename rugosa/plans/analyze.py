@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -89,12 +90,12 @@ def analyze_patches(df: DataFrame, config: RoughnessConfig, progress: Callable |
     curve = lambda g: metrics.bins(metrics.variogram(g, pitch, config.svr_points, span))
     noise = {r.patch: r.noise_um for r in grid.noise_floor(surface).collect()}
     flat = {r.patch: r for r in metrics.sa_sq(rough).collect()}
-    bins = {k: [(None, 0)] * config.svr_points for k in good}
+    bins = {k: [(0.0, 0)] * config.svr_points for k in good}
     for r in curve(rough).collect():
         bins[r.patch][r.bucket] = (r.value_um, r.pairs)
 
     def total_svr(pairs: list) -> float:
-        return sum(v for v, _ in pairs if v is not None) / config.svr_points
+        return sum(v for v, _ in pairs) / config.svr_points
 
     def net(k, raw: float) -> float:
         return math.sqrt(max(0.0, raw * raw - noise[k] ** 2)) if config.subtract_noise and noise[k] > 0 else raw
@@ -102,11 +103,12 @@ def analyze_patches(df: DataFrame, config: RoughnessConfig, progress: Callable |
     raw = {k: total_svr(bins[k]) for k in good}
     svr = {k: net(k, raw[k]) for k in good}
     in_mm = rough.select("patch", "iy", "ix", F.when(F.col("valid"), F.col("z") * 1000).alias("z"), "valid")
+    heat = None
     found, cells, clean_svr = {k: [] for k in good}, None, dict(svr) if config.detect_abnormalities else dict.fromkeys(good)
     if config.detect_abnormalities:
         tell("looking for defects", 0.8)
         level = df.sparkSession.createDataFrame([(k, float(v)) for k, v in svr.items()], f"patch {dict(in_mm.dtypes)['patch']}, svr_um double")
-        heat = heatmap.heatmap(in_mm, config.grid_mm)
+        heat = cut(heatmap.heatmap(in_mm, config.grid_mm))
         listed, cells = defects.detect(in_mm, heat, level, config.grid_mm, config.abnormality_threshold, config.min_abnormality_area_mm2)
         cells = cut(cells)
         for d in listed.orderBy("patch", "id").collect():
@@ -115,7 +117,8 @@ def analyze_patches(df: DataFrame, config: RoughnessConfig, progress: Callable |
         if hit:  # without the defects' cells, filled anew
             marked = surface.where(F.col("patch").isin(hit)).join(cells.withColumnRenamed("id", "defect"), ["patch", "iy", "ix"], "left")
             again = marked.select("patch", "iy", "ix", "z", (F.col("valid") & F.col("defect").isNull()).alias("ok"), "valid", "defect")
-            holes = grid.fill_holes(again.select("patch", "iy", "ix", "z", F.col("defect").isNull().alias("valid")))
+            # what was a hole before isn't a measurement now: only `ok` cells are known
+            holes = grid.fill_holes(again.select("patch", "iy", "ix", "z", F.col("ok").alias("valid")))
             refilled = holes.select("patch", "iy", "ix", "z").join(again.select("patch", "iy", "ix", F.col("ok").alias("valid")), ["patch", "iy", "ix"])
             left = {r.patch for r in refilled.where("valid").select("patch").distinct().collect()}
             pairs = {k: [] for k in left}
@@ -125,15 +128,35 @@ def analyze_patches(df: DataFrame, config: RoughnessConfig, progress: Callable |
             for k in left:
                 clean_svr[k] = net(k, total_svr(pairs[k]))
     tell("done", 1.0)
+    flat_mm = [(F.col(c) * 1000).alias(c) for c in "uvw"]
+    raised = surface.select("patch", "iy", "ix", F.when(F.col("valid"), F.col("z") * 1000).alias("z"))
     out = {}
     for k in good:
         b, s, e = boxes[k], shapes[k], axes[k]
+        of = lambda df, k=k: df.where(F.col("patch") == k) if df is not None else None
         out[k] = RoughnessResult(
-            svr[k], flat[k].sa_um, flat[k].sq_um, raw[k], noise[k], total[k], processed[k], (s.h, s.w), config.grid_mm,
-            ((b.u0 + s.x0 * pitch) * 1000, (b.v0 + s.y0 * pitch) * 1000), ((b.u1 - b.u0) * 1000, (b.v1 - b.v0) * 1000),
-            PlaneFit(np.array(mean[k]), e[:, 2], e[:, 0], e[:, 1]), in_mm.where(F.col("patch") == k),
-            tuple(float("nan") if v is None else v for v, _ in bins[k]), tuple(n for _, n in bins[k]), config, tuple(found[k]), clean_svr[k], cells.where(F.col("patch") == k) if cells is not None else None,
-        )
+            svr_um=svr[k],
+            sa_um=flat[k].sa_um,
+            sq_um=flat[k].sq_um,
+            svr_raw_um=raw[k],
+            noise_floor_um=noise[k],
+            points=total[k],
+            processed_points=processed[k],
+            grid_shape=(s.h, s.w),
+            grid_pitch_mm=config.grid_mm,
+            grid_origin_mm=((b.u0 + s.x0 * pitch) * 1000, (b.v0 + s.y0 * pitch) * 1000),
+            extent_mm=((b.u1 - b.u0) * 1000, (b.v1 - b.v0) * 1000),
+            plane=PlaneFit(np.array(mean[k]), e[:, 2], e[:, 0], e[:, 1], of(laid).select(*flat_mm)),
+            grid=of(in_mm),
+            variogram_bins_um=tuple(v for v, _ in bins[k]),
+            variogram_counts=tuple(n for _, n in bins[k]),
+            config=config,
+            abnormalities=tuple(found[k]),
+            svr_clean_um=clean_svr[k],
+            abnormal_cells=of(cells),
+            elevation_grid=of(raised),
+            heatmap_grid_um=of(heat),
+        )
     return out, errors
 
 
@@ -149,6 +172,50 @@ def analyze_points(df: DataFrame, config: RoughnessConfig | None = None, progres
 compute_roughness = analyze_points
 
 
+class PurePythonResult(NamedTuple):
+    """The engine's figures under the names of its interface; grids are DataFrames of cells."""
+
+    # The names of the fields.
+    sa_um: float
+    sq_um: float
+    svr_um: float
+    processed_points: int
+    variogram_bins_um: np.ndarray
+    variogram_counts: np.ndarray
+    grid_width: int
+    grid_height: int
+    grid_origin_mm: np.ndarray
+    grid_z_mm: DataFrame
+    elevation_grid_mm: DataFrame | None = None
+    noise_floor_um: float = 0.0
+    svr_raw_um: float = 0.0
+    plane_centroid_mm: np.ndarray | None = None
+    plane_normal: np.ndarray | None = None
+    plane_x_axis: np.ndarray | None = None
+    plane_y_axis: np.ndarray | None = None
+    abnormalities: tuple[Abnormality, ...] = ()
+    svr_clean_um: float | None = None
+    abnormal_mask: DataFrame | None = None
+    heatmap_grid_um: DataFrame | None = None
+
+
+def analyze_pure_python(df: DataFrame, voxel_size_mm: float = 0.20, variogram_points: int = 10, variogram_span_mm: float = 0.5, **options) -> PurePythonResult:
+    """The engine without crops: points (x, y, z) in mm; `options` are settings of RoughnessConfig."""
+    names = {"min_abnormality_area_mm2", "abnormality_threshold", "detect_abnormalities", "gaussian_mesh", "subtract_noise", "short_cutoff_mm", "long_cutoff_mm"}
+    if unknown := set(options) - names:
+        raise TypeError(f"unknown options: {', '.join(sorted(unknown))}")
+    r = analyze_points(df, grid_mm=voxel_size_mm, svr_points=variogram_points, svr_span_mm=variogram_span_mm, **options)
+    p = r.plane
+    return PurePythonResult(
+        sa_um=r.sa_um, sq_um=r.sq_um, svr_um=r.svr_um, processed_points=r.processed_points,
+        variogram_bins_um=np.array(r.variogram_bins_um), variogram_counts=np.array(r.variogram_counts, np.int64),
+        grid_width=r.grid_shape[1], grid_height=r.grid_shape[0], grid_origin_mm=np.array([*r.grid_origin_mm, voxel_size_mm]),
+        grid_z_mm=r.grid, elevation_grid_mm=r.elevation_grid, noise_floor_um=r.noise_floor_um, svr_raw_um=r.svr_raw_um,
+        plane_centroid_mm=p.centroid, plane_normal=p.normal, plane_x_axis=p.x_axis, plane_y_axis=p.y_axis,
+        abnormalities=r.abnormalities, svr_clean_um=r.svr_clean_um, abnormal_mask=r.abnormal_cells, heatmap_grid_um=r.heatmap_grid_um,
+    )
+
+
 def analyze_file(spark: SparkSession, path: str, config: RoughnessConfig | None = None, auto_decompose: bool = False, progress: Callable | None = None, **overrides):
     """Roughness of a point file; with auto_decompose, of each face where the points aren't planar."""
     p = load_points(spark, path)

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import COMPARATORS, grade
+from ..functions.quantiles import percentiles
 from ..operators import defects, grid, heatmap, metrics, morphology, neighbors, planes, points
+from . import decompose
 
 PITCH, PITCH_MM, SHORT, LONG = 0.001, 1.0, 0.001, 0.025
 SPAN, BINS = 0.0005, 10
@@ -177,6 +179,76 @@ def q_heatmap_interpolate(s, d):
     return heatmap.interpolate(h, shape, p, PITCH_MM).select("pid", F.round(F.col("value").cast("double"), 2).alias("value"))
 
 
+FINE, FINE_MM = 0.0002, 0.2
+
+
+def fine(s, d):
+    """The scan at the default pitch, 525 cells wide: its stencils cross a seam between tiles."""
+    return grid.rasterize(lineitem_m(s, d), FINE)[0]
+
+
+def q_hole_fill_fine(s, d):
+    return fine(s, d).select("iy", "ix", F.round(F.col("z") * 1e6 + OFF, 3).alias("z"), "valid")
+
+
+def q_variogram_fine(s, d):
+    v = metrics.variogram(fine(s, d), FINE, BINS, SPAN)
+    return metrics.bins(v).select(F.col("bucket").cast("long").alias("bucket"), "pairs", r("value_um", 4))
+
+
+def q_heatmap_fine(s, d):
+    return heatmap.heatmap(in_mm(fine(s, d)), FINE_MM, 5.0, disc_averaging=False).select("iy", "ix", r("value", 3))
+
+
+def q_box_scan(s, d):
+    b = points.box_scan(lineitem_mm(s, d), 90, "x", "y")
+    return b.select("angle", r("w"), r("h"), r("area", 4))
+
+
+def q_percentiles(s, d):
+    t = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_returnflag").alias("patch"), "l_extendedprice")
+    return percentiles(t, "l_extendedprice", {"p05": 0.05, "p50": 0.5, "p99": 0.99}).select("patch", r("p05", 4), r("p50", 4), r("p99", 4))
+
+
+def q_clean_refill(s, d):
+    """The grid with the cells of a disc taken for unmeasured and filled anew, beside a hole that was filled before."""
+    g = grid.rasterize(holed(lineitem_m(s, d)), PITCH)[0]
+    bad = (F.col("iy") - 22) * (F.col("iy") - 22) + (F.col("ix") - 48) * (F.col("ix") - 48) <= 9
+    again = grid.fill_holes(g.withColumn("valid", F.col("valid") & ~bad))
+    return again.select("iy", "ix", F.round(F.col("z") * 1e6, 3).alias("z"), "valid")
+
+
+def q_closing(s, d):
+    return morphology.close_gaps(marks(s, d)).select("iy", "ix")
+
+
+def q_near_background(s, d):
+    return morphology.near_background(marks(s, d), 3.0).select("iy", "ix")
+
+
+def q_enclosed(s, d):
+    return morphology.fill_enclosed(marks(s, d)).select("iy", "ix")
+
+
+def q_largest_component(s, d):
+    c = morphology.components(marks(s, d), ("iy", "ix"), morphology.EIGHT)
+    return decompose.of_largest(c).select("iy", "ix")
+
+
+def q_planarity(s, d):
+    """Share of variance across the plane, by kind of part: the figure that flatness is judged by."""
+    t = s.read.parquet(f"{d}/lineitem.parquet")
+    p = t.select(F.col("l_returnflag").alias("patch"), (F.col("l_extendedprice") / 1000.0).alias("x"), F.col("l_quantity").alias("y"), ((F.col("l_discount") + F.col("l_tax")) * 100).alias("z"))
+    c = points.covariance(p, sample=True)
+    share = neighbors.least_eigenvalue_share(*[F.col(x) for x in ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")])
+    return c.select("patch", "n", r("cxx"), r("cxy"), r("cyy"), r("czz"), F.round(share, 5).alias("share"))
+
+
+def q_unassigned(s, d):
+    a = planes.assign(lineitem_mm(s, d), unit_planes()).where(F.col("distance") >= 1.5)
+    return a.select("x", "y", r("z"), "model")
+
+
 def q_erosion(s, d):
     return morphology.erode(marks(s, d), 2).select("iy", "ix")
 
@@ -258,31 +330,36 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows)
 
 
-def _scatter(where: str = "TRUE") -> str:
+def _scatter(where: str = "TRUE", pitch: float = PITCH) -> str:
     return f"""{MM}, m AS (SELECT x * 0.001::DOUBLE AS u, y * 0.001::DOUBLE AS v, z * 0.001::DOUBLE AS w FROM mm), p AS (SELECT * FROM m WHERE {where}),
-box AS (SELECT min(u) AS u0, min(v) AS v0, ceil((max(u) - min(u)) / {PITCH}::DOUBLE)::BIGINT + 1 AS w_, ceil((max(v) - min(v)) / {PITCH}::DOUBLE)::BIGINT + 1 AS h_ FROM p),
-g AS (SELECT (u - u0) / {PITCH}::DOUBLE AS gx, (v - v0) / {PITCH}::DOUBLE AS gy, w, w_, h_ FROM p, box),
+box AS (SELECT min(u) AS u0, min(v) AS v0, ceil((max(u) - min(u)) / {pitch}::DOUBLE)::BIGINT + 1 AS w_, ceil((max(v) - min(v)) / {pitch}::DOUBLE)::BIGINT + 1 AS h_ FROM p),
+g AS (SELECT (u - u0) / {pitch}::DOUBLE AS gx, (v - v0) / {pitch}::DOUBLE AS gy, w, w_, h_ FROM p, box),
 c AS (SELECT *, greatest(0, least(floor(gx)::BIGINT, w_ - 2)) AS ix, greatest(0, least(floor(gy)::BIGINT, h_ - 2)) AS iy FROM g),
 f AS (SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, gx - ix)) AS fx, greatest(0.0::DOUBLE, least(1.0::DOUBLE, gy - iy)) AS fy FROM c),
 k AS (SELECT iy + dy AS iy, ix + dx AS ix, (CASE WHEN dx = 1 THEN fx ELSE 1 - fx END) * (CASE WHEN dy = 1 THEN fy ELSE 1 - fy END) AS q, w FROM f, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx)),
 cells AS (SELECT iy, ix, sum(q) AS sw, sum(q * w) AS swz FROM k GROUP BY iy, ix)"""
 
 
-def _trim(where: str = "TRUE") -> str:
-    return _scatter(where) + """,
+def _trim(where: str = "TRUE", pitch: float = PITCH) -> str:
+    return _scatter(where, pitch) + """,
 seen AS (SELECT iy, ix, swz / sw AS z FROM cells WHERE sw > 1e-5), lim AS (SELECT min(iy) AS y0, max(iy) AS y1, min(ix) AS x0, max(ix) AS x1 FROM seen),
 lat AS (SELECT y.y AS iy, x.x AS ix FROM lim, unnest(generate_series(0::BIGINT, y1 - y0)) y(y), unnest(generate_series(0::BIGINT, x1 - x0)) x(x)),
 grid AS (SELECT lat.iy, lat.ix, s.z, s.z IS NOT NULL AS valid FROM lat LEFT JOIN (SELECT iy - y0 AS iy, ix - x0 AS ix, z FROM seen, lim) s ON lat.iy = s.iy AND lat.ix = s.ix)"""
 
 
-def _filled(where: str = "TRUE") -> str:
-    out, last = _trim(where), "grid"
+def _filled(where: str = "TRUE", pitch: float = PITCH) -> str:
+    return _trim(where, pitch) + _rounds("grid", "full_")
+
+
+def _rounds(last: str, name: str) -> str:
+    """Eight rounds of the mean of known side neighbours, then the mean of what was known at first."""
+    out, first = "", last
     for i in range(8):
         out += f""",
-fill{i} AS (SELECT a.iy, a.ix, coalesce(a.z, n.z) AS z, a.valid FROM {last} a LEFT JOIN (SELECT b.iy + dy AS iy, b.ix + dx AS ix, avg(b.z) AS z FROM {last} b, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dy, dx) WHERE b.z IS NOT NULL GROUP BY 1, 2) n ON a.iy = n.iy AND a.ix = n.ix)"""
-        last = f"fill{i}"
+{name}{i} AS (SELECT a.iy, a.ix, coalesce(a.z, n.z) AS z, a.valid FROM {last} a LEFT JOIN (SELECT b.iy + dy AS iy, b.ix + dx AS ix, avg(b.z) AS z FROM {last} b, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dy, dx) WHERE b.z IS NOT NULL GROUP BY 1, 2) n ON a.iy = n.iy AND a.ix = n.ix)"""
+        last = f"{name}{i}"
     return out + f""",
-full_ AS (SELECT iy, ix, coalesce(z, (SELECT avg(z) FROM grid WHERE valid), 0.0::DOUBLE) AS z, valid FROM {last})"""
+{name} AS (SELECT iy, ix, coalesce(z, (SELECT avg(z) FROM {first} WHERE valid), 0.0::DOUBLE) AS z, valid FROM {last})"""
 
 
 def _smooth(name: str, source: str, cutoff: float) -> str:
@@ -299,12 +376,19 @@ def _rough() -> str:
 rough AS (SELECT s1.iy, s1.ix, s1.z - s2.z AS z, full_.valid FROM s1 JOIN s2 ON s1.iy = s2.iy AND s1.ix = s2.ix JOIN full_ ON s1.iy = full_.iy AND s1.ix = full_.ix)"""
 
 
-def _vario(source: str = "rough", scale: str = "1.0") -> str:
-    o = _values(metrics.pair_offsets(PITCH, BINS, SPAN))
+def _vario(source: str = "rough", scale: str = "1.0", pitch: float = PITCH) -> str:
+    """v(b) = sqrt(1/(2 N) sum (z_i - z_j)^2) over the pairs of the distance bucket, each pair counted both ways."""
+    most = f"ceil({BINS} * {SPAN}::DOUBLE / {pitch}::DOUBLE)::INT"
     return f""",
-vario AS (SELECT n.b AS bucket, coalesce(2 * count(t.d), 0)::BIGINT AS pairs, sqrt(2 * sum(t.d * t.d) / (2 * count(t.d))) * 1e6 AS value_um FROM generate_series(0, {BINS - 1}) n(b) LEFT JOIN
- (SELECT o.bucket, (a.z - c.z) / {scale}::DOUBLE AS d FROM {source} a, (VALUES {o}) o(dy, dx, bucket), {source} c WHERE c.iy = a.iy + dy AND c.ix = a.ix + dx AND a.valid AND c.valid) t ON t.bucket = n.b GROUP BY n.b),
-total AS (SELECT coalesce(sum(value_um), 0) / {BINS} AS svr_um FROM vario)"""
+steps AS (SELECT unnest(generate_series(-{most}, {most}))::INT AS k),
+offs AS (SELECT y.k AS dy, x.k AS dx, floor(sqrt(pow(x.k * {pitch}::DOUBLE, 2) + pow(y.k * {pitch}::DOUBLE, 2)) / {SPAN}::DOUBLE)::INT AS bucket
+ FROM steps y, steps x WHERE y.k > 0 OR (y.k = 0 AND x.k > 0)),
+met AS (SELECT o.bucket, count(*) AS n, sum((a.z - c.z) / {scale}::DOUBLE * ((a.z - c.z) / {scale}::DOUBLE)) AS d2
+ FROM {source} a, offs o, {source} c
+ WHERE o.bucket < {BINS} AND c.iy = a.iy + o.dy AND c.ix = a.ix + o.dx AND a.valid AND c.valid GROUP BY o.bucket),
+vario AS (SELECT b.b AS bucket, 2 * coalesce(n, 0)::BIGINT AS pairs, coalesce(sqrt(d2 / (2 * n)), 0) * 1e6 AS value_um
+ FROM generate_series(0, {BINS - 1}) b(b) LEFT JOIN met ON met.bucket = b.b),
+total AS (SELECT sum(value_um) / {BINS} AS svr_um FROM vario)"""
 
 
 NOISE = """,
@@ -312,11 +396,16 @@ lap AS (SELECT a.iy, a.ix, coalesce(sum(b.z), 0) - 4 * any_value(a.z) AS z, any_
 noise AS (SELECT median(abs(z - (SELECT median(z) FROM lap WHERE valid))) / 0.6745::DOUBLE / sqrt(20::DOUBLE) * 1e6 AS noise_um FROM lap WHERE valid)"""
 
 
-def _heat_sql(source: str, disc: bool) -> str:
-    o = _values(heatmap.disc_offsets(5.0, PITCH_MM))
+def _heat_sql(source: str, disc: bool, pitch: float = PITCH_MM, radius: float = 5.0) -> str:
     value = "sqrt(2 * v)" if disc else "sqrt(0.5 * ((hn.z - m) * (hn.z - m) + v))"
+    most = f"ceil({radius}::DOUBLE / {pitch}::DOUBLE)::INT"
     return f""",
-hn AS (SELECT a.iy, a.ix, any_value(a.z) AS z, count(b.z) AS n, avg(b.z) AS m, var_pop(b.z) AS v FROM {source} a, (VALUES {o}) o(dy, dx), {source} b WHERE b.iy = a.iy + dy AND b.ix = a.ix + dx AND b.z IS NOT NULL AND a.z IS NOT NULL GROUP BY a.iy, a.ix),
+span AS (SELECT unnest(generate_series(-{most}, {most}))::INT AS k),
+disc AS (SELECT y.k AS dy, x.k AS dx FROM span y, span x
+ WHERE (y.k <> 0 OR x.k <> 0) AND sqrt(x.k * {pitch}::DOUBLE * (x.k * {pitch}::DOUBLE) + y.k * {pitch}::DOUBLE * (y.k * {pitch}::DOUBLE)) <= {radius}::DOUBLE),
+hn AS (SELECT a.iy, a.ix, any_value(a.z) AS z, count(b.z) AS n, avg(b.z) AS m, var_pop(b.z) AS v
+ FROM {source} a, disc o, {source} b
+ WHERE b.iy = a.iy + o.dy AND b.ix = a.ix + o.dx AND b.z IS NOT NULL AND a.z IS NOT NULL GROUP BY a.iy, a.ix),
 heat AS (SELECT g.iy, g.ix, CASE WHEN n >= 12 THEN {value} * 1000 END AS value FROM {source} g LEFT JOIN hn ON g.iy = hn.iy AND g.ix = hn.ix)"""
 
 
@@ -359,21 +448,33 @@ def _grades() -> str:
     return f"SELECT event_id, {', '.join(out)} FROM events"
 
 
-def _angles() -> str:
-    return _values((i, math.cos(t), math.sin(t)) for i, t in enumerate(points.angles(90)))
-
-
 FACES = "face AS (SELECT p_size AS face, sin(p_size::DOUBLE) AS nx, cos(p_size::DOUBLE * 2) AS ny, sin(p_size::DOUBLE * 3 + 1) AS nz, round(sum(p_retailprice), 2) AS area, avg(p_retailprice) / 10 AS svr_um FROM part GROUP BY p_size)"
 PL = f"pl AS (SELECT * FROM (VALUES {_values(unit_planes())}) t(model, nx, ny, nz, o))"
 DIST = "abs(x * nx + y * ny + z * nz + o)"
 
+NINE = "(SELECT * FROM (VALUES (-1), (0), (1)) y(dy), (VALUES (-1), (0), (1)) x(dx))"
+HOLE = "NOT (u BETWEEN 0.040::DOUBLE AND 0.046::DOUBLE AND v BETWEEN 0.020::DOUBLE AND 0.024::DOUBLE)"
+
+
+def _planarity() -> str:
+    """The least root of the characteristic polynomial, by Newton steps from below: p(t) = t^3 - c2 t^2 + c1 t - c0."""
+    cov = ", ".join(f"covar_samp({a}, {b}) AS {a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz"))
+    out = f"""WITH p AS (SELECT l_returnflag AS patch, l_extendedprice / 1000.0::DOUBLE AS x, l_quantity AS y, (l_discount + l_tax) * 100 AS z FROM lineitem),
+c AS (SELECT patch, count(*) AS n, {cov} FROM p GROUP BY patch),
+t0 AS (SELECT *, xx + yy + zz AS c2, xx * yy + xx * zz + yy * zz - xy * xy - xz * xz - yz * yz AS c1,
+ xx * (yy * zz - yz * yz) - xy * (xy * zz - yz * xz) + xz * (xy * yz - yy * xz) AS c0, 0.0::DOUBLE AS t FROM c)"""
+    for i in range(12):
+        out += f", t{i + 1} AS (SELECT * REPLACE (t - (t * t * t - c2 * t * t + c1 * t - c0) / (3 * t * t - 2 * c2 * t + c1) AS t) FROM t{i})"
+    return out + " SELECT patch, n, round(xx, 6) AS cxx, round(xy, 6) AS cxy, round(yy, 6) AS cyy, round(zz, 6) AS czz, round(t / c2, 5) AS share FROM t12"
+
+
 ORACLE_SQL = {
     "finite_filter": f"WITH {MM} SELECT x, y, round(z, 6) AS z FROM mm WHERE isfinite(x) AND isfinite(y) AND isfinite(z)",
     "range_crop": f"WITH {MM} SELECT x, y, round(z, 6) AS z FROM mm WHERE x BETWEEN 20 AND 60 AND y BETWEEN 10 AND 40 AND z BETWEEN 0.02::DOUBLE AND 0.15::DOUBLE",
     "percentile_crop": f"WITH {MM}, l AS (SELECT quantile_cont(x, 0.05) AS a, quantile_cont(x, 0.95) AS b, quantile_cont(y, 0.05) AS c, quantile_cont(y, 0.95) AS d FROM mm) SELECT x, y, round(z, 6) AS z FROM mm, l WHERE x BETWEEN a AND b AND y BETWEEN c AND d",
     "voxel_downsample": f"WITH {MM}, l AS (SELECT min(x) AS a, min(y) AS b, min(z) AS c FROM mm) SELECT floor((x - a) / 2.0::DOUBLE)::BIGINT AS vx, floor((y - b) / 2.0::DOUBLE)::BIGINT AS vy, floor((z - c) / 2.0::DOUBLE)::BIGINT AS vz, round(avg(x) + {OFF}::DOUBLE, 6) AS x, round(avg(y) + {OFF}::DOUBLE, 6) AS y, round(avg(z) + {OFF}::DOUBLE, 6) AS z, count(*) AS n FROM mm, l GROUP BY 1, 2, 3",
     "covariance": f"WITH {MM} SELECT count(*) AS n, round(avg(x), 6) AS mx, round(avg(y), 6) AS my, round(avg(z), 6) AS mz, " + ", ".join(f"round(covar_pop({a}, {b}), 6) AS c{a}{b}" for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")) + " FROM mm",
-    "obb_angle_scan": f"WITH {MM} SELECT a.i AS angle, round(max(x * c + y * s) - min(x * c + y * s), 6) AS w, round(max(y * c - x * s) - min(y * c - x * s), 6) AS h FROM mm, (VALUES {_angles()}) a(i, c, s) GROUP BY a.i",
+    "obb_angle_scan": f"WITH {MM} SELECT a.i::INT AS angle, round(max(cos(t) * x - sin(t) * y) - min(cos(t) * x - sin(t) * y), 6) AS w, round(max(sin(t) * x + cos(t) * y) - min(sin(t) * x + cos(t) * y), 6) AS h FROM mm, (SELECT i, i * pi() / 2 / 89 AS t FROM range(90) r(i)) a GROUP BY a.i",
     "raster_scatter": f"WITH {_scatter()} SELECT iy::INT AS iy, ix::INT AS ix, round(sw + {OFF}::DOUBLE, 6) AS sw, round(swz * 1e6 + {OFF}::DOUBLE, 3) AS swz FROM cells",
     "grid_trim": f"WITH {_trim()} SELECT iy::INT AS iy, ix::INT AS ix, round(z * 1e6, 3) AS z, valid FROM grid",
     "hole_fill": f"WITH {_filled('NOT (u BETWEEN 0.040::DOUBLE AND 0.046::DOUBLE AND v BETWEEN 0.020::DOUBLE AND 0.024::DOUBLE)')} SELECT iy::INT AS iy, ix::INT AS ix, round(z * 1e6, 3) AS z, valid FROM full_",
@@ -387,9 +488,24 @@ ORACLE_SQL = {
     "heatmap_point": f"WITH {_rough()}{MMGRID}{_heat_sql('gmm', False)} SELECT iy::INT AS iy, ix::INT AS ix, round(value, 4) AS value FROM heat",
     "heatmap_disc": f"WITH {_rough()}{MMGRID}{_heat_sql('gmm', True)} SELECT iy::INT AS iy, ix::INT AS ix, round(value, 4) AS value FROM heat",
     "heatmap_interpolate": f"WITH {_rough()}{MMGRID}{_heat_sql('gmm', False)}, {EV}, sh AS (SELECT max(iy) + 1 AS h, max(ix) + 1 AS w FROM heat), pt AS (SELECT pid, greatest(0, least(x * 1.03::DOUBLE + 0.25::DOUBLE, (w - 1)::DOUBLE)) AS gx, greatest(0, least(y * 0.5::DOUBLE + z, (h - 1)::DOUBLE)) AS gy, w, h FROM ev, sh), lo AS (SELECT *, least(floor(gx)::BIGINT, w - 2) AS ix0, least(floor(gy)::BIGINT, h - 2) AS iy0 FROM pt), co AS (SELECT pid, iy0 + dy AS iy, ix0 + dx AS ix, (CASE WHEN dx = 1 THEN gx - ix0 ELSE 1 - (gx - ix0) END) * (CASE WHEN dy = 1 THEN gy - iy0 ELSE 1 - (gy - iy0) END) AS k FROM lo, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx)), s AS (SELECT pid, sum(k) AS k, sum(k * value) AS kv FROM co JOIN heat USING (iy, ix) WHERE value IS NOT NULL GROUP BY pid) SELECT ev.pid, round((CASE WHEN k > 1e-6 THEN kv / k END)::FLOAT::DOUBLE, 2) AS value FROM ev LEFT JOIN s ON ev.pid = s.pid",
+    "hole_fill_fine": f"WITH {_filled(pitch=FINE)} SELECT iy::INT AS iy, ix::INT AS ix, round(z * 1e6 + {OFF}::DOUBLE, 3) AS z, valid FROM full_",
+    "variogram_fine": f"WITH {_filled(pitch=FINE)}{_vario('full_', pitch=FINE)} SELECT bucket, pairs, round(value_um, 4) AS value_um FROM vario",
+    "heatmap_fine": f"WITH {_filled(pitch=FINE)}, gmm AS (SELECT iy, ix, CASE WHEN valid THEN z * 1000 END AS z, valid FROM full_){_heat_sql('gmm', False, FINE_MM)} SELECT iy::INT AS iy, ix::INT AS ix, round(value, 3) AS value FROM heat",
+    "box_scan": f"WITH {MM}, a AS (SELECT i, i * pi() / 2 / 89 AS t FROM range(90) r(i)), "
+    "w AS (SELECT i, max(cos(t) * x - sin(t) * y) - min(cos(t) * x - sin(t) * y) AS w, max(sin(t) * x + cos(t) * y) - min(sin(t) * x + cos(t) * y) AS h FROM mm, a GROUP BY i) "
+    "SELECT i::INT AS angle, round(w, 6) AS w, round(h, 6) AS h, round(w * h, 4) AS area FROM w ORDER BY w * h, i LIMIT 1",
+    "percentiles": "SELECT l_returnflag AS patch, round(quantile_cont(l_extendedprice, 0.05), 4) AS p05, round(median(l_extendedprice), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99 FROM lineitem GROUP BY 1",
+    "clean_refill": f"WITH {_filled(HOLE)}, ok AS (SELECT iy, ix, CASE WHEN v THEN z END AS z, v AS valid FROM (SELECT iy, ix, z, valid AND (iy - 22) * (iy - 22) + (ix - 48) * (ix - 48) > 9 AS v FROM full_)){_rounds('ok', 'again')} SELECT iy::INT AS iy, ix::INT AS ix, round(z * 1e6, 3) AS z, valid FROM again",
+    "closing": f"WITH {MARKS}, grown AS (SELECT DISTINCT iy + dy AS iy, ix + dx AS ix FROM mark, {NINE}) SELECT (g.iy)::INT AS iy, (g.ix)::INT AS ix FROM grown g, {NINE}, grown h WHERE h.iy = g.iy + dy AND h.ix = g.ix + dx GROUP BY 1, 2 HAVING count(*) = 9",
+    "near_background": f"WITH {MARKS}, o AS (SELECT y AS dy, x AS dx FROM range(-3, 4) a(y), range(-3, 4) b(x) WHERE x * x + y * y BETWEEN 1 AND 9) SELECT a.iy, a.ix FROM mark a, o LEFT JOIN mark b ON b.iy = a.iy + dy AND b.ix = a.ix + dx GROUP BY a.iy, a.ix HAVING count(b.iy) < count(*)",
+    "enclosed": f"WITH RECURSIVE {MARKS}, lim AS (SELECT min(iy) - 1 AS y0, max(iy) + 1 AS y1, min(ix) - 1 AS x0, max(ix) + 1 AS x1 FROM mark), every AS (SELECT y.y AS iy, x.x AS ix FROM lim, unnest(generate_series(y0, y1)) y(y), unnest(generate_series(x0, x1)) x(x)), empty AS (SELECT * FROM every ANTI JOIN mark USING (iy, ix)), "
+    "outer_ AS (SELECT y0 AS iy, x0 AS ix FROM lim UNION SELECT e.iy, e.ix FROM outer_ u, (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dy, dx), empty e WHERE e.iy = u.iy + dy AND e.ix = u.ix + dx) SELECT iy::INT AS iy, ix::INT AS ix FROM every ANTI JOIN outer_ USING (iy, ix)",
+    "largest_component": f"WITH RECURSIVE {MARKS}{_labels('mark')}, sz AS (SELECT label, count(*) AS n FROM lab GROUP BY label ORDER BY n DESC, label LIMIT 1) SELECT num.iy, num.ix FROM num JOIN lab USING (id) JOIN sz USING (label)",
+    "planarity": _planarity(),
+    "unassigned": f"WITH {MM}, {PL}, n AS (SELECT row_number() OVER () AS i, * FROM mm), a AS (SELECT i, any_value(x) AS x, any_value(y) AS y, any_value(z) AS z, arg_min(model, ({DIST}, model)) AS model, min({DIST}) AS distance FROM n, pl GROUP BY i) SELECT x, y, round(z, 6) AS z, model FROM a WHERE distance >= 1.5::DOUBLE",
     "erosion": f"WITH {MARKS}, n AS (SELECT a.iy, a.ix, count(b.iy) AS n FROM mark a, (VALUES {CROSS12}) o(dy, dx), mark b WHERE b.iy = a.iy + dy AND b.ix = a.ix + dx GROUP BY a.iy, a.ix) SELECT iy, ix FROM n WHERE n = 12",
     "components": f"WITH RECURSIVE {MARKS}{_labels('mark')} SELECT num.iy, num.ix, (label // 1000000)::INT AS label_y, (label % 1000000)::INT AS label_x FROM num JOIN lab USING (id)",
-    "defects": f"WITH RECURSIVE {_rough()}{MMGRID}, bump AS (SELECT iy, ix, z + CASE WHEN (iy - 12) * (iy - 12) + (ix - 30) * (ix - 30) <= 36 THEN 0.5::DOUBLE WHEN (iy - 35) * (iy - 35) + (ix - 70) * (ix - 70) <= 36 THEN -0.5::DOUBLE ELSE 0 END AS z, valid FROM gmm){_vario('bump', '1000.0')}{_heat_sql('bump', False)}, hot AS (SELECT heat.iy, heat.ix FROM heat JOIN bump USING (iy, ix), total WHERE valid AND value >= 2 * svr_um AND svr_um > 0), n AS (SELECT a.iy, a.ix, count(b.iy) AS n FROM hot a, (VALUES {CROSS12}) o(dy, dx), hot b WHERE b.iy = a.iy + dy AND b.ix = a.ix + dx GROUP BY a.iy, a.ix), cand AS (SELECT iy, ix FROM n WHERE n = 12){_labels('cand')}, d AS (SELECT label, count(*) AS points, avg(z) AS mean, max(abs(z)) AS peak, avg(num.iy) AS my, avg(num.ix) AS mx FROM num JOIN lab USING (id) JOIN bump ON bump.iy = num.iy AND bump.ix = num.ix GROUP BY label HAVING count(*) >= 2) SELECT row_number() OVER (ORDER BY label) AS id, CASE WHEN mean >= 0 THEN 'protrusion' ELSE 'depression' END AS kind, round(points::DOUBLE, 4) AS area_mm2, round(2 * sqrt(points / pi()), 4) AS diameter_mm, round(peak * 1000, 2) AS peak_deviation_um, round(mx, 3) AS u_mm, round(my, 3) AS v_mm, points FROM d",
+    "defects": f"WITH RECURSIVE {_rough()}{MMGRID}, bump AS (SELECT iy, ix, z + CASE WHEN (iy - 12) * (iy - 12) + (ix - 30) * (ix - 30) <= 36 THEN 0.5::DOUBLE WHEN (iy - 35) * (iy - 35) + (ix - 70) * (ix - 70) <= 36 THEN -0.5::DOUBLE ELSE 0 END AS z, valid FROM gmm){_vario('bump', '1000.0')}{_heat_sql('bump', False)}, inside AS (SELECT a.iy, a.ix FROM bump a, (VALUES {CROSS12}) o(dy, dx), bump b WHERE a.valid AND b.valid AND b.iy = a.iy + dy AND b.ix = a.ix + dx GROUP BY a.iy, a.ix HAVING count(*) = 12), cand AS (SELECT heat.iy, heat.ix FROM heat JOIN inside USING (iy, ix), total WHERE value >= 2 * svr_um AND svr_um > 0){_labels('cand')}, d AS (SELECT label, count(*) AS points, avg(z) AS mean, max(abs(z)) AS peak, avg(num.iy) AS my, avg(num.ix) AS mx FROM num JOIN lab USING (id) JOIN bump ON bump.iy = num.iy AND bump.ix = num.ix GROUP BY label HAVING count(*) >= 2) SELECT row_number() OVER (ORDER BY label) AS id, CASE WHEN mean >= 0 THEN 'protrusion' ELSE 'depression' END AS kind, round(points::DOUBLE, 4) AS area_mm2, round(2 * sqrt(points / pi()), 4) AS diameter_mm, round(peak * 1000, 2) AS peak_deviation_um, round(mx, 3) AS u_mm, round(my, 3) AS v_mm, points FROM d",
     "plane_score": f"WITH {MM}, {PL} SELECT model, count(*) FILTER (WHERE {DIST} < 1.5::DOUBLE) AS inliers FROM mm, pl GROUP BY model",
     "plane_assign": f"WITH {MM}, {PL}, n AS (SELECT row_number() OVER () AS i, * FROM mm), a AS (SELECT i, arg_min(model, ({DIST}, model)) AS model, min({DIST}) AS distance FROM n, pl GROUP BY i) SELECT model, count(*) AS points, count(*) FILTER (WHERE distance < 1.5::DOUBLE) AS near, round(sum(distance), 3) AS total FROM a GROUP BY model",
     "knn_mean_distance": f"WITH {_knn(6)} SELECT pid, round(mean, 6) AS mean FROM mean_",

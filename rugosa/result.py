@@ -16,10 +16,13 @@ from .functions.columns import grade_of
 
 @dataclass(frozen=True)
 class PlaneFit:
+    """The fitted plane; coords: DataFrame (u, v, w) of the analysed points in mm along its axes."""
+
     centroid: np.ndarray
     normal: np.ndarray
     x_axis: np.ndarray
     y_axis: np.ndarray
+    coords: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -30,22 +33,41 @@ class Abnormality:
     diameter_mm: float
     peak_deviation_um: float
     centroid_uv_mm: tuple[float, float]
-    point_count: int
+    point_count: int = 0
 
 
 def _round(x, digits: int):
     return round(float(x), digits) if x is not None and math.isfinite(x) else None
 
 
+def _defect(a: Abnormality) -> dict:
+    # The keys of the interface.
+    return {
+        "id": a.id,
+        "kind": a.kind,
+        "area_mm2": round(a.area_mm2, 3),
+        "diameter_mm": round(a.diameter_mm, 3),
+        "peak_deviation_um": round(a.peak_deviation_um, 2),
+        "centroid_uv_mm": [round(v, 2) for v in a.centroid_uv_mm],
+        "point_count": a.point_count,
+    }
+
+
 @dataclass(frozen=True)
 class RoughnessResult:
+    """Figures of one surface; grids are DataFrames of cells (patch, iy, ix, ...).
+
+    grid: filtered z in mm; elevation_grid: z in mm before filtering, null where unmeasured;
+    heatmap_grid_um: value, if defects were looked for.
+    """
+
     svr_um: float
     sa_um: float
     sq_um: float
-    svr_raw_um: float
-    noise_floor_um: float
-    points: int
-    processed_points: int
+    svr_raw_um: float = 0.0
+    noise_floor_um: float = 0.0
+    points: int = 0
+    processed_points: int = 0
     grid_shape: tuple[int, int] = (0, 0)
     grid_pitch_mm: float = 0.20
     grid_origin_mm: tuple[float, float] = (0.0, 0.0)
@@ -58,6 +80,8 @@ class RoughnessResult:
     abnormalities: tuple[Abnormality, ...] = ()
     svr_clean_um: float | None = None
     abnormal_cells: DataFrame | None = None
+    elevation_grid: DataFrame | None = None
+    heatmap_grid_um: DataFrame | None = None
 
     @property
     def svr_mm(self) -> float:
@@ -113,12 +137,26 @@ class RoughnessResult:
         return heatmap(self.grid, self.grid_pitch_mm, radius_mm, disc_averaging=disc_averaging)
 
     def to_dict(self) -> dict:
-        figures = {f"{n}_um": _round(getattr(self, f"{n}_um"), 3) for n in ("svr", "sa", "sq", "svr_raw", "noise_floor", "svr_clean")}
-        shares = {"abnormal_area_mm2": round(self.abnormal_area_mm2, 3), "abnormal_area_pct": round(self.abnormal_area_pct, 2), "abnormal_frequency_per_dm2": round(self.abnormal_frequency_per_dm2, 2)}
-        found = [{"id": a.id, "kind": a.kind, "area_mm2": round(a.area_mm2, 3), "diameter_mm": round(a.diameter_mm, 3), "peak_deviation_um": round(a.peak_deviation_um, 2), "centroid_uv_mm": [round(v, 2) for v in a.centroid_uv_mm], "point_count": a.point_count} for a in self.abnormalities]
-        counts = {"points": int(self.points), "processed_points": int(self.processed_points), "grid_shape": list(self.grid_shape), "grid_pitch_mm": float(self.grid_pitch_mm)}
-        curve = {"variogram_bins_um": [round(float(v), 4) for v in self.variogram_bins_um], "variogram_counts": [int(c) for c in self.variogram_counts]}
-        return figures | counts | curve | {"comparators": self.comparator_equivalents()} | shares | {"abnormalities": found}
+        # The keys of the interface, in its order.
+        return {
+            "svr_um": _round(self.svr_um, 3),
+            "sa_um": _round(self.sa_um, 3),
+            "sq_um": _round(self.sq_um, 3),
+            "svr_raw_um": _round(self.svr_raw_um, 3),
+            "noise_floor_um": _round(self.noise_floor_um, 3),
+            "points": int(self.points),
+            "processed_points": int(self.processed_points),
+            "grid_shape": list(self.grid_shape),
+            "grid_pitch_mm": float(self.grid_pitch_mm),
+            "variogram_bins_um": [_round(v, 4) for v in self.variogram_bins_um],
+            "variogram_counts": [int(n) for n in self.variogram_counts],
+            "comparators": self.comparator_equivalents(),
+            "svr_clean_um": _round(self.svr_clean_um, 3),
+            "abnormal_area_mm2": round(self.abnormal_area_mm2, 3),
+            "abnormal_area_pct": round(self.abnormal_area_pct, 2),
+            "abnormal_frequency_per_dm2": round(self.abnormal_frequency_per_dm2, 2),
+            "abnormalities": [_defect(a) for a in self.abnormalities],
+        }
 
     metrics_dict = to_dict
 
@@ -132,34 +170,66 @@ class RoughnessResult:
         return format_report(self, target_svr_mm)
 
     def __repr__(self) -> str:
-        return f"RoughnessResult(svr_um={self.svr_um:.3f}, sa_um={self.sa_um:.3f}, sq_um={self.sq_um:.3f}, points={self.points}, grid={self.grid_shape})"
+        h, w = self.grid_shape
+        noise = f", noise floor: {self.noise_floor_um:.1f} µm" if self.noise_floor_um > 0 else ""
+        # The labels.
+        rows = {
+            "Svr =": f"{self.svr_um:.1f} µm (raw: {self.svr_raw_um:.1f} µm{noise})",
+            "Sa  =": f"{self.sa_um:.1f} µm",
+            "Sq  =": f"{self.sq_um:.1f} µm",
+            "Points:": f"{self.points:,} (processed: {self.processed_points:,})",
+            "Grid:  ": f"{w} × {h} cells (pitch: {self.grid_pitch_mm:.3f} mm)" if h else "None",
+        }
+        return "RoughnessResult(\n" + "".join(f"  {k} {v}\n" for k, v in rows.items()) + ")"
 
 
 @dataclass
 class SurfacePatchResult:
+    """One face. points: (pid, x, y, z) on it; invalid_points: those near its plane that cleaning took away."""
+
     patch_id: int
     name: str
     normal: np.ndarray
     centroid: np.ndarray
     area_mm2: float
-    dimensions_mm: tuple[float, float]
+    dims_mm: tuple[float, float]
     point_count: int
-    astm_compliant: bool
+    is_astm_compliant: bool
     roughness: RoughnessResult
+    points: DataFrame | None = field(default=None, repr=False)
+    invalid_points: DataFrame | None = field(default=None, repr=False)
 
     def to_dict(self) -> dict:
-        return {"patch_id": self.patch_id, "name": self.name, "normal": [round(float(v), 4) for v in self.normal], "centroid": [round(float(v), 3) for v in self.centroid], "area_mm2": round(self.area_mm2, 1), "dimensions_mm": list(self.dimensions_mm), "point_count": self.point_count, "astm_compliant": self.astm_compliant, "roughness": self.roughness.to_dict()}
+        # The keys of the interface, in its order.
+        return {
+            "patch_id": self.patch_id,
+            "name": self.name,
+            "normal": [round(float(v), 4) for v in self.normal],
+            "centroid": [round(float(v), 2) for v in self.centroid],
+            "area_mm2": round(float(self.area_mm2), 1),
+            "dims_mm": [round(float(v), 1) for v in self.dims_mm],
+            "point_count": int(self.point_count),
+            "is_astm_compliant": bool(self.is_astm_compliant),
+            "roughness": self.roughness.to_dict(),
+        }
 
 
 @dataclass
 class ObjectRoughnessResult:
+    """All faces of an object. status: (pid, patch_id) of points on faces; unassigned: (pid, x, y, z) of the rest."""
+
     patches: list[SurfacePatchResult]
     total_points: int
     assigned_points: int
     status: DataFrame | None = None
     config: RoughnessConfig | None = None
-    decomposition: DecompositionConfig | None = None
+    decomp_config: DecompositionConfig | None = None
     warnings: list[str] = field(default_factory=list)
+    unassigned: DataFrame | None = field(default=None, repr=False)
+
+    @property
+    def patch_count(self) -> int:
+        return len(self.patches)
 
     @property
     def unassigned_points(self) -> int:
@@ -188,18 +258,48 @@ class ObjectRoughnessResult:
         return self.patches[0] if self.patches else None
 
     def to_dict(self) -> dict:
-        return {"total_points": self.total_points, "assigned_points": self.assigned_points, "unassigned_points": self.unassigned_points, "coverage_pct": round(self.coverage_pct, 2), "mean_svr_um": _round(self.mean_svr_um, 3), "worst_svr_um": _round(self.worst_svr_um, 3), "best_svr_um": _round(self.best_svr_um, 3), "patches": [p.to_dict() for p in self.patches]}
+        # The keys of the interface, in its order.
+        return {
+            "patch_count": self.patch_count,
+            "total_points": int(self.total_points),
+            "assigned_points": int(self.assigned_points),
+            "unassigned_points": int(self.unassigned_points),
+            "coverage_pct": round(float(self.coverage_pct), 1),
+            "mean_svr_um": _round(self.mean_svr_um, 3),
+            "worst_svr_um": _round(self.worst_svr_um, 3),
+            "best_svr_um": _round(self.best_svr_um, 3),
+            "dominant_patch_id": self.dominant_patch.patch_id if self.patches else None,
+            "patches": [p.to_dict() for p in self.patches],
+        }
 
     def save_metrics_json(self, path: str) -> None:
         save_metrics_json(self, path)
 
     def format_report(self, target_svr_mm: float | None = None) -> str:
-        lines = ["Surface roughness of an object", f"Faces: {len(self.patches)}   points on faces: {self.assigned_points} of {self.total_points} ({self.coverage_pct:.1f} %)", f"S_VR by area: mean {self.mean_svr_um:.2f} um, worst {self.worst_svr_um:.2f} um, best {self.best_svr_um:.2f} um"]
+        total = [
+            ("Total Scan Points", f"{self.total_points:,}"),
+            ("Assigned Face Points", f"{self.assigned_points:,} ({self.coverage_pct:.1f}% surface coverage)"),
+            ("Detected Surface Faces", self.patch_count),
+        ]
+        levels = [
+            ("Area-Weighted Mean S_VR", f"{self.mean_svr_um:.1f} µm"),
+            ("Worst-Case Face S_VR", f"{self.worst_svr_um:.1f} µm"),
+            ("Best-Case Face S_VR", f"{self.best_svr_um:.1f} µm"),
+            *_target(self.worst_svr_um / 1000, target_svr_mm, "Worst Face Spec Status"),
+        ]
+        out = _section("Multi-Surface 3D Object Roughness Report", total) + _section("Global 3D Object Roughness Summary", levels)
         for p in self.patches:
-            lines.append(f"  {p.patch_id}. {p.name}: {p.dimensions_mm[0]:.1f} x {p.dimensions_mm[1]:.1f} mm, {p.point_count} points, S_VR {p.roughness.svr_um:.2f} um, Sa {p.roughness.sa_um:.2f} um, Sq {p.roughness.sq_um:.2f} um, {'compliant' if p.astm_compliant else 'WARNING: below the standard size'}")
-        if target_svr_mm is not None:
-            lines.append(f"Target S_VR {target_svr_mm:g} mm on the worst face: {'PASS' if self.worst_svr_um / 1000 <= target_svr_mm else 'FAIL'}")
-        return "\n".join(lines)
+            r, density = p.roughness, p.point_count / p.area_mm2 if p.area_mm2 > 0 else 0.0
+            spacing = 1 / math.sqrt(density) if density > 0 else 0.0
+            dims = f"{p.dims_mm[0]:.1f} × {p.dims_mm[1]:.1f} mm"
+            out += _section(p.name, [
+                ("Points", f"{p.point_count:,} ({dims}, Area: {p.area_mm2:.0f} mm²)"),
+                ("Face Size", "PASS (>=50x50mm)" if p.is_astm_compliant else "WARN (<50x50mm)"),
+                ("Density", f"PASS ({spacing:.3f} mm spacing)" if spacing <= 0.20 else f"WARNING ({spacing:.3f} mm > 0.20 mm required)"),
+                ("S_VR", f"{r.svr_um:.1f} µm  |  Sa: {r.sa_um:.1f} µm  |  Sq: {r.sq_um:.1f} µm"),
+                ("SCRATA", r.comparator_equivalents()["SCRATA (A802)"]),
+            ])
+        return "\n".join(out + self.warnings)
 
 
 def save_metrics_json(result, path: str) -> None:
@@ -208,6 +308,13 @@ def save_metrics_json(result, path: str) -> None:
         f.write(json.dumps(result.to_dict(), indent=2) + "\n")
 
 
+def save_grid_parquet(result: RoughnessResult, path: str) -> None:
+    """The cells of a grid, written by the executors: for grids of any size."""
+    if result.grid is None:
+        raise ValueError("the result has no grid")
+    result.grid.write.mode("overwrite").parquet(path)
+
+
 def grid_array(cells: DataFrame, shape: tuple[int, int], column: str = "z") -> np.ndarray:
     """A patch's cells as an array on the driver, NaN where null; for files of one scan."""
     out = np.full(shape, np.nan)
@@ -217,29 +324,88 @@ def grid_array(cells: DataFrame, shape: tuple[int, int], column: str = "z") -> n
 
 
 def save_grid_npz(result: RoughnessResult, path: str) -> None:
+    """One array file on the driver; `save_grid_parquet` is the way for large grids."""
     if result.grid is None:
         raise ValueError("the result has no grid")
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     p, zero = result.plane, np.zeros(3)
-    np.savez(path, grid=grid_array(result.grid, result.grid_shape), grid_pitch_mm=result.grid_pitch_mm, grid_origin=np.array(result.grid_origin_mm), plane_centroid=p.centroid if p else zero, plane_normal=p.normal if p else zero, plane_x_axis=p.x_axis if p else zero, plane_y_axis=p.y_axis if p else zero)
+    # The names of the arrays.
+    np.savez(
+        path,
+        grid=grid_array(result.grid, result.grid_shape),
+        grid_pitch_mm=result.grid_pitch_mm,
+        grid_origin=np.array([*result.grid_origin_mm, result.grid_pitch_mm]),
+        plane_centroid=p.centroid if p else zero,
+        plane_normal=p.normal if p else zero,
+        plane_x_axis=p.x_axis if p else zero,
+        plane_y_axis=p.y_axis if p else zero,
+    )
+
+
+RULE = "─" * 55
+
+
+def _section(title: str, rows: list[tuple]) -> list[str]:
+    return [RULE, f"  {title}", RULE, *[f"  {k + ':':<27}{v}" if k else f"    {v}" for k, v in rows], ""]
+
+
+def _target(svr_mm: float, target: float | None, label: str = "Status") -> list[tuple]:
+    if target is None or target <= 0:
+        return []
+    verdict = "PASS (Within specification)" if svr_mm <= target else "FAIL (Exceeds specification)"
+    return [("Purchaser Spec Target", f"<= {target:.4f} mm"), (label, verdict)]
 
 
 def format_report(result, target_svr_mm: float | None = None) -> str:
+    """The report of the standard's section 10; the labels are fixed values."""
     if not isinstance(result, RoughnessResult):
         return result.format_report(target_svr_mm)
-    r = result
-    lines = ["Surface roughness", f"S_VR {r.svr_um:.2f} um ({r.svr_mm:.4f} mm, {r.svr_in:.5f} in), raw {r.svr_raw_um:.2f} um, noise floor {r.noise_floor_um:.2f} um", f"Sa {r.sa_um:.2f} um   Sq {r.sq_um:.2f} um", f"Points {r.points}, voxels {r.processed_points}, grid {r.grid_shape[0]} x {r.grid_shape[1]} at {r.grid_pitch_mm:g} mm"]
-    if target_svr_mm is not None:
-        lines.append(f"Target S_VR {target_svr_mm:g} mm: {'PASS' if r.svr_mm <= target_svr_mm else 'FAIL'}")
-    size_ok = min(r.patch_width_mm, r.patch_height_mm) >= 50
-    space_ok = 0 < r.average_point_spacing_mm <= 0.20
-    lines.append(f"Size {r.patch_width_mm:.1f} x {r.patch_height_mm:.1f} mm: {'OK' if size_ok else 'WARNING: under 50 x 50 mm'}")
-    lines.append(f"Spacing {r.average_point_spacing_mm:.3f} mm, density {r.point_density_pts_mm2:.1f} points a mm2: {'OK' if space_ok else 'WARNING: spacing over 0.20 mm'}")
-    lines += [f"{k}: {v}" for k, v in r.comparator_equivalents().items()]
+    r, c = result, result.config
+    h, w = r.grid_shape
+    span = c.svr_span_mm if c else 0.5
+    test = [("S_VR", f"{r.svr_mm:.4f} mm  ({r.svr_um:.1f} µm / {r.svr_in:.5f} in)"), ("Sa", f"{r.sa_um:.1f} µm"), ("Sq", f"{r.sq_um:.1f} µm")]
+    if r.noise_floor_um > 0:
+        test.append(("Dynamic Noise Floor", f"{r.noise_floor_um:.1f} µm, Raw S_VR: {r.svr_raw_um:.1f} µm"))
+    test += _target(r.svr_mm, target_svr_mm)
+    test += [
+        ("Evaluation Length", f"{c.svr_points * c.svr_span_mm if c else 5.0:.1f} mm"),
+        ("Distance Bucket Size", f"{span} mm"),
+        ("Cutoff Wavelengths", f"Short (λs): {c.short_cutoff_mm:g} mm, Long (λc): {c.long_cutoff_mm:g} mm" if c else "N/A"),
+    ]
+    large = min(r.patch_width_mm, r.patch_height_mm) >= 50
+    dense = 0 < r.average_point_spacing_mm <= 0.20
+    size = [
+        ("Patch Dimensions", f"{r.patch_width_mm:.1f} × {r.patch_height_mm:.1f} mm (Area: {r.patch_area_mm2:.0f} mm²)"),
+        ("Patch Size Status", "VALID (>= 50x50 mm)" if large else "WARNING (< 50x50 mm recommended)"),
+        ("Raw Points", f"{r.points:,}"),
+        ("Processed Points", f"{r.processed_points:,}"),
+        ("Avg Point Spacing", f"{r.average_point_spacing_mm:.3f} mm (~{r.point_density_pts_mm2:.1f} pts/mm²)"),
+        ("Point Density Status", "VALID (<= 0.20 mm spacing)" if dense else "WARNING (> 0.20 mm required)"),
+        ("Grid", f"{w} × {h} cells, pitch={r.grid_pitch_mm:.4f} mm" if h else "None"),
+    ]
+    out = _section("Surface Variogram Roughness (S_VR) Report", test)
+    out += _section("Surface Patch & Sensor Validation", size)
+    out += _section("Visual Comparator Equivalents", list(r.comparator_equivalents().items()))
     if r.plane is not None:
-        lines.append("Plane normal " + ", ".join(f"{v:.4f}" for v in r.plane.normal))
-    for i, v in enumerate(r.variogram_bins_um):
-        lines.append(f"  bin {i}: " + (f"{v:.3f} um" if v is not None and math.isfinite(v) else "no pairs"))
-    if r.abnormalities:
-        lines.append(f"Abnormalities: {len(r.abnormalities)}, {r.abnormal_area_mm2:.2f} mm2 ({r.abnormal_area_pct:.2f} %), {r.abnormal_frequency_per_dm2:.2f} a dm2; S_VR without them {r.svr_clean_um:.2f} um")
-        lines += [f"  {a.id}. {a.kind}: {a.area_mm2:.2f} mm2, {a.diameter_mm:.2f} mm across, peak {a.peak_deviation_um:.1f} um" for a in r.abnormalities]
-    return "\n".join(lines)
+        out += _section("Plane & Geometry Alignment", [("Plane centroid", r.plane.centroid), ("Plane normal", r.plane.normal)])
+    if len(r.variogram_bins_um):
+        counts = [*r.variogram_counts, *[None] * len(r.variogram_bins_um)]
+        lines = []
+        for i, (v, n) in enumerate(zip(r.variogram_bins_um, counts)):
+            text = f"{v:.3f} µm ({v / 1000:.4f} mm)" + (f"  pairs={n}" if n is not None else "") if math.isfinite(v) else "no pairs"
+            lines.append(("", f"{i * span:.3f}–{(i + 1) * span:.3f} mm: {text}"))
+        out += _section("Variogram Bins", lines)
+    if r.abnormalities or r.svr_clean_um is not None:
+        clean = f"{r.svr_clean_um / 1000:.4f} mm ({r.svr_clean_um:.1f} µm)" if r.svr_clean_um is not None else "N/A"
+        rows = [
+            ("Abnormalities Detected", len(r.abnormalities)),
+            ("Clean S_VR (w/o abn)", clean),
+            ("Total Abnormal Area", f"{r.abnormal_area_mm2:.2f} mm² ({r.abnormal_area_pct:.2f}%)"),
+            ("Abnormality Frequency", f"{r.abnormal_frequency_per_dm2:.2f} per dm²"),
+        ]
+        for a in r.abnormalities:
+            u, v = a.centroid_uv_mm
+            what = f"area={a.area_mm2:.2f} mm², d={a.diameter_mm:.2f} mm, peak={a.peak_deviation_um:.1f} µm"
+            rows.append(("", f"#{a.id} {a.kind.capitalize()}: {what} at ({u:.1f}, {v:.1f}) mm"))
+        out += _section("Abnormality Analysis (ASTM WK92969 §8.7 / §10.1.5.3)", rows)
+    return "\n".join(out)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import io
 import os
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,11 @@ def _xyz(names: list[str]) -> list[int]:
     return [low.index(c) for c in "xyz"]
 
 
-def _rows(lines: list[str], count: int, at: list[int]) -> np.ndarray:
-    picked = [line.split() for line in lines if line.strip()][:count]
-    return np.array([[float(t[i]) for i in at] for t in picked], float).reshape(-1, 3)
+def _rows(body: bytes, count: int, at: list[int]) -> np.ndarray:
+    """The wanted columns of the first `count` rows of numbers; blank lines and what follows a # are no rows."""
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", UserWarning)  # a file without rows
+        return np.loadtxt(io.BytesIO(body), usecols=at, max_rows=count, ndmin=2).reshape(-1, 3)
 
 
 def decode_ply(raw: bytes) -> np.ndarray:
@@ -52,7 +55,7 @@ def decode_ply(raw: bytes) -> np.ndarray:
             fields.append((words[2], words[1]))
     at = _xyz([n for n, _ in fields])
     if form == "ascii":
-        return _rows(body.decode("ascii", "replace").splitlines(), count, at)
+        return _rows(body, count, at)
     if form not in PLY_ORDER:
         raise ValueError(f"PLY format {form!r} is not known")
     for _, t in fields:
@@ -79,7 +82,7 @@ def decode_pcd(raw: bytes) -> np.ndarray:
     names, count, form = head["FIELDS"], int(head["POINTS"][0]), head["DATA"][0].lower()
     xyz = _xyz(names)
     if form == "ascii":
-        return _rows(raw[at:].decode("ascii", "replace").splitlines(), count, xyz)
+        return _rows(raw[at:], count, xyz)
     if form != "binary":
         raise ValueError(f"PCD data {form!r} is not read")
     codes = {"F": ("f4", "f8"), "I": ("i1", "i2", "i4", "i8"), "U": ("u1", "u2", "u4", "u8")}
@@ -145,8 +148,8 @@ def _numbers(tokens, first: int):
 
 
 def read_obj(spark: SparkSession, path: str) -> DataFrame:
-    """Vertices of OBJ files; a vertex without three numbers fails."""
-    d = _numbered(spark, path, lambda v: F.ltrim(v).rlike(r"^v[ \t]")).select("scan", "pid", *_numbers(F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " "), 2))
+    """Vertices of OBJ files; a line of fewer than three values is skipped, one that isn't numbers fails."""
+    d = _numbered(spark, path, lambda v: v.rlike(r"^\s*v[ \t]+\S+\s+\S+\s+\S")).select("scan", "pid", *_numbers(F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " "), 2))
     bad = F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
     return d.withColumn("x", F.when(bad, F.raise_error(F.concat(F.lit("not a vertex in "), "scan"))).otherwise(F.col("x")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rugosa.config import DecompositionConfig, RoughnessConfig, config_from_values, parse_range
 from rugosa.functions.columns import COMPARATORS, grade, grade_of
+from rugosa.functions.quantiles import percentiles
 from rugosa.operators import defects, grid, heatmap, metrics, morphology, neighbors, points
 from rugosa.plans import decompose
 from rugosa.plans.analyze import analyze_file, analyze_object, analyze_points
@@ -41,6 +42,7 @@ def test_config():
     assert parse_range("1:2.5") == (1, 2.5) and parse_range(None) is None
     with pytest.raises(ValueError):
         parse_range("7")
+    assert parse_range("-5.5:10.2") == (-5.5, 10.2) and parse_range([3, 4]) == (3, 4) and parse_range("3:1") == (3, 1)
     assert config_from_values(x_range="0:4", grid_mm=0.5).x_range == (0, 4)
     with pytest.raises(TypeError):
         RoughnessConfig().with_(colour=1)
@@ -87,34 +89,107 @@ def test_constant_surface_is_smooth(spark):
     assert np.abs(out).max() < 1e-8
 
 
-def test_variogram_counts(spark):
+def test_variogram_of_two_measured_cells(spark):
     z = np.full((4, 4), np.nan)
-    z[0, 0], z[0, 1] = 0, 1e-4
-    v = metrics.bins(metrics.variogram(cells(spark, z), 0.0005, 2, 0.0005)).orderBy("bucket").collect()
-    pairs = {r.bucket: r.pairs for r in v}
-    assert sum(pairs.values()) == 2
-    assert [r.value_um for r in v if r.pairs][0] == pytest.approx(100 / math.sqrt(2) * math.sqrt(2), rel=1e-6)
-    assert metrics.svr(metrics.variogram(cells(spark, z), 0.0005, 2, 0.0005), 2).first()[1] > 0
+    z[1, 1], z[1, 2] = 0, 1e-4
+    v = metrics.variogram(cells(spark, z), 0.001, 2, 0.002)
+    got = metrics.bins(v).orderBy("bucket").collect()
+    assert [r.pairs for r in got] == [2, 0] and got[0].value_um == pytest.approx(100 / math.sqrt(2), abs=1e-5) and got[1].value_um == 0
+    assert metrics.svr(v, 2).first().svr_um == pytest.approx(100 / (2 * math.sqrt(2)), abs=1e-5)
+
+
+def test_variogram_of_a_constant_and_of_a_step(spark):
+    mask = np.zeros((8, 8), bool)
+    mask[2:6, 2:6] = True
+    g = cells(spark, np.full((8, 8), 1e-4), mask)
+    flat, v = metrics.sa_sq(g).first(), metrics.bins(metrics.variogram(g, 0.001, 5, 0.001)).orderBy("bucket").collect()
+    assert flat.sa_um == pytest.approx(100) and flat.sq_um == pytest.approx(100)
+    assert v[0].pairs == 0 and sum(r.pairs for r in v) < 8 * 8 * 25 and all(r.value_um == pytest.approx(0, abs=1e-4) for r in v)
+    step = metrics.variogram(cells(spark, np.array([[0.0, 1e-4]])), 0.001, 4, 0.002)
+    b = metrics.bins(step).collect()
+    assert sum(r.pairs > 0 for r in b) == 1 and metrics.svr(step, 4).first().svr_um == pytest.approx(sum(r.value_um for r in b) / 4)
+
+
+def test_variogram_of_noise(spark):
+    z = np.random.default_rng(123).normal(0, 5e-5, (100, 100))
+    g = cells(spark, z)
+    v, flat = metrics.bins(metrics.variogram(g, 0.0002)).orderBy("bucket").collect(), metrics.sa_sq(g).first()
+    assert len(v) == 10 and all(r.pairs > 0 for r in v) and flat.sq_um >= flat.sa_um > 0
+    # half the mean squared difference of independent values is their variance
+    assert all(r.value_um == pytest.approx(50, rel=0.05) for r in v)
+
+
+def test_disc_of_the_default_setting():
+    # cells within 5 mm at each pitch, as counted in double precision
+    assert [len(heatmap.disc_offsets(5.0, p)) for p in (0.2, 0.1, 1.0)] == [1952, 7836, 80]
+
+
+def test_axes_turn_towards_the_least_box(spark):
+    """A rectangle whose longer side lies along (0.8, 0.6): the axes lie along its sides, and turn as documented."""
+    x, y = np.meshgrid(np.linspace(-5, 5, 60), np.linspace(-2, 2, 25))
+    x, y = x.ravel(), y.ravel()
+    p = frame(spark, np.column_stack([0.8 * x - 0.6 * y, 0.6 * x + 0.8 * y, np.zeros(x.size)]))
+    stats = points.covariance(p).first()
+    e = points.principal_axes(points.matrix(stats))
+    laid = points.rotate(p, {0: e})
+    boxes = {r.angle: (r.w, r.h) for r in points.box_scan_all(laid, 90).collect()}
+    a = np.array(laid.select("u", "v").collect())
+    for i in (0, 23, 66, 89):
+        t = i * math.pi / 2 / 89
+        w = np.ptp(math.cos(t) * a[:, 0] - math.sin(t) * a[:, 1])
+        h = np.ptp(math.sin(t) * a[:, 0] + math.cos(t) * a[:, 1])
+        assert boxes[i] == pytest.approx((w, h))
+    best = points.box_scan(laid, 90).first()
+    assert best.area == pytest.approx(min(w * h for w, h in boxes.values()))
+    got = points.aligned_axes(p)[0]
+    t = best.angle * math.pi / 2 / 89
+    assert np.allclose(got[:, 0], math.cos(t) * e[:, 0] - math.sin(t) * e[:, 1])
+    turned = points.rotate(p, {0: got})
+    spans = turned.agg(F.max("u") - F.min("u"), F.max("v") - F.min("v")).first()
+    assert sorted(spans) == pytest.approx([4, 10], rel=0.02)
+
+
+def test_percentiles(spark):
+    rng = np.random.default_rng(3)
+    v = {0: rng.normal(size=5001), 1: rng.integers(0, 4, 1000).astype(float), 2: np.array([7.0]), 3: np.exp(rng.normal(0, 6, 2000)), 4: np.full(9, -2.0)}
+    d = spark.createDataFrame(pd.DataFrame([(k, x) for k, a in v.items() for x in a], columns=["patch", "v"]))
+    shares = {"a": 0.05, "b": 0.5, "c": 0.95, "d": 1.0}
+    got = {r.patch: r for r in percentiles(d, "v", shares).collect()}
+    for k, a in v.items():
+        assert [got[k][n] for n in shares] == pytest.approx(np.percentile(a, [5, 50, 95, 100]).tolist())
+    assert percentiles(d.where("false"), "v", shares).count() == 0
 
 
 def test_heatmap_modes(spark, monkeypatch):
     z = np.zeros((40, 40))
     z[20, 20] = 0.05
-    point = dense(heatmap.heatmap(cells(spark, z), 0.5, 5.0, disc_averaging=False), z.shape, "value")
-    disc = dense(heatmap.heatmap(cells(spark, z), 0.5, 5.0, disc_averaging=True), z.shape, "value")
-    assert np.nanmax(point) > 2 * np.nanmax(disc)
-    monkeypatch.setenv("SVR_DISC_AVERAGING", "yes")
-    assert np.allclose(dense(heatmap.heatmap(cells(spark, z), 0.5, 5.0), z.shape, "value"), disc)
+    point = dense(heatmap.heatmap(cells(spark, z), 0.2, 2.0, disc_averaging=False), z.shape, "value")
+    disc = dense(heatmap.heatmap(cells(spark, z), 0.2, 2.0, disc_averaging=True), z.shape, "value")
+    assert point[20, 20] > 2 * disc[20, 20] and np.nanmin(point) >= 0
+    # the definition, cell by cell
+    y, x = np.indices(z.shape)
+    for cy, cx in ((20, 20), (20, 25), (0, 0), (12, 20)):
+        d = np.sqrt(((y - cy) * 0.2) ** 2 + ((x - cx) * 0.2) ** 2)
+        near = z[(d <= 2.0) & (d > 0)]
+        assert point[cy, cx] == pytest.approx(1000 * math.sqrt(0.5 * ((z[cy, cx] - near.mean()) ** 2 + near.var())), abs=1e-6)
+        assert disc[cy, cx] == pytest.approx(1000 * math.sqrt(2 * near.var()), abs=1e-6)
+    for value, want in (("1", disc), (" Yes ", disc), ("0", point)):
+        monkeypatch.setenv("SVR_DISC_AVERAGING", value)
+        assert np.allclose(dense(heatmap.heatmap(cells(spark, z), 0.2, 2.0), z.shape, "value"), want)
     with pytest.raises(ValueError):
         heatmap.heatmap(cells(spark, z), 0.0)
 
 
 def test_interpolation(spark):
-    h = spark.createDataFrame([(0, y, x, v) for y, r in enumerate([[10.0, 20.0], [10.0, 20.0]]) for x, v in enumerate(r)], "patch int, iy int, ix int, value double")
-    shape = spark.createDataFrame([(0, 0.0, 0.0, 2, 2)], "patch int, ox double, oy double, h int, w int")
-    p = spark.createDataFrame([(0, 1, 0.0, 0.0), (0, 2, 1.0, 1.0), (0, 3, 0.5, 0.5), (0, 4, 9.0, -3.0)], "patch int, pid long, u double, v double")
+    h = spark.createDataFrame([(0, y, x, 10.0 * (x + 1)) for y in range(4) for x in range(4)], "patch int, iy int, ix int, value double")
+    shape = spark.createDataFrame([(0, 0.0, 0.0, 4, 4)], "patch int, ox double, oy double, h int, w int")
+    at = [(0, 1, 0.0, 0.0), (0, 2, 1.0, 0.0), (0, 3, 0.5, 0.0), (0, 4, 9.0, -3.0)]
+    p = spark.createDataFrame(at, "patch int, pid long, u double, v double")
     got = {r.pid: r.value for r in heatmap.interpolate(h, shape, p, 1.0).collect()}
-    assert got == {1: 10, 2: 20, 3: 15, 4: 20}
+    assert got == {1: 10, 2: 20, 3: 15, 4: 40}
+    assert heatmap.interpolate(h, shape, p.limit(0), 1.0).count() == 0
+    thin = spark.createDataFrame([(0, 0.0, 0.0, 1, 2)], "patch int, ox double, oy double, h int, w int")
+    assert heatmap.interpolate(h.where("iy = 0 and ix < 2"), thin, p.limit(1), 1.0).first().value is None
 
 
 def test_components_and_erosion(spark):
@@ -137,17 +212,27 @@ def test_enclosed_gap_is_filled(spark):
 
 
 def test_one_bump_and_one_pit(spark):
-    rng = np.random.default_rng(5)
-    z = rng.normal(0, 0.002, (100, 100))
+    z = np.random.default_rng(123).normal(0, 0.002, (100, 100))
     y, x = np.indices(z.shape)
-    z[(y - 30) ** 2 + (x - 30) ** 2 <= 64] += 0.2
-    z[(y - 70) ** 2 + (x - 70) ** 2 <= 64] -= 0.2
+    z[np.hypot((x - 20) * 0.2, (y - 20) * 0.2) <= 1.5] += 0.050
+    z[np.hypot((x - 80) * 0.2, (y - 80) * 0.2) <= 1.5] -= 0.050
     g = cells(spark, z)
     level = spark.createDataFrame([(0, 5.0)], "patch int, svr_um double")
-    found, marked = defects.detect(g, heatmap.heatmap(g, 0.5), level, 0.5)
-    assert [r.kind for r in found.orderBy("id").collect()] == ["protrusion", "depression"]
-    none, _ = defects.detect(g, heatmap.heatmap(g, 0.5), spark.createDataFrame([(0, 0.0)], "patch int, svr_um double"), 0.5)
+    heat = heatmap.heatmap(g, 0.2)
+    found, marked = defects.detect(g, heat, level, 0.2)
+    rows = found.orderBy("id").collect()
+    assert [r.kind for r in rows] == ["protrusion", "depression"]
+    assert all(r.area_mm2 >= 2 and r.peak_deviation_um >= 40 for r in rows)
+    # every hot cell two cells inside the measured area is in a region: the border goes, not the regions' rims
+    hot = dense(heat, z.shape, "value") >= 10
+    hot[:2] = hot[-2:] = False
+    hot[:, :2] = hot[:, -2:] = False
+    assert {(r.iy, r.ix) for r in defects.candidates(g, heat, level, 2.0).collect()} == set(zip(*map(np.ndarray.tolist, np.nonzero(hot))))
+    assert sum(r.points for r in rows) == marked.count()
+    none, _ = defects.detect(g, heat, spark.createDataFrame([(0, 0.0)], "patch int, svr_um double"), 0.2)
     assert none.count() == 0
+    flat = cells(spark, np.zeros((50, 50)))
+    assert defects.detect(flat, heatmap.heatmap(flat, 0.2), spark.createDataFrame([(0, 10.0)], "patch int, svr_um double"), 0.2)[0].count() == 0
 
 
 def test_neighbours(spark):
@@ -195,11 +280,23 @@ def test_grades(spark):
     assert grade_of(0.01, "SCRATA") == "< A1" and grade_of(0.2, "ACI SIS") == "> SIS-4"
 
 
+def result(**figures):
+    return RoughnessResult(**({"svr_um": 30.0, "sa_um": 25.0, "sq_um": 35.0, "config": RoughnessConfig()} | figures))
+
+
 def test_result_record():
-    r = RoughnessResult(25.4, 1, float("nan"), 30, 2, 6000, 10, (20, 30), 0.2)
+    r = result(svr_um=25.4, points=6000, processed_points=5000, grid_shape=(20, 30), grid_pitch_mm=0.2)
     assert r.svr_mm == pytest.approx(0.0254) and r.svr_in == pytest.approx(0.001)
-    assert (r.patch_width_mm, r.patch_height_mm, r.point_density_pts_mm2) == pytest.approx((6.0, 4.0, 250))
-    assert r.to_dict()["sq_um"] is None and "FAIL" in r.format_report(0.02) and "PASS" in r.format_report(0.05)
+    assert (r.patch_width_mm, r.patch_height_mm, r.patch_area_mm2, r.point_density_pts_mm2) == pytest.approx((6.0, 4.0, 24.0, 250))
+    assert r.average_point_spacing_mm == pytest.approx(1 / math.sqrt(250))
+    low, high = result(svr_um=10.0).comparator_equivalents(), result(svr_um=200.0).comparator_equivalents()
+    assert list(low.values()) == ["< A1", "C-9 200", "SIS-1"] and list(high.values()) == ["> A4", "> C-9 900", "> SIS-4"]
+    odd = result(svr_um=float("nan"), sa_um=20.5, sq_um=float("inf"), points=100).to_dict()
+    assert (odd["svr_um"], odd["sa_um"], odd["sq_um"], odd["points"]) == (None, 20.5, None, 100) and "20.5" in json.dumps(odd)
+    large = result(points=10_000, grid_shape=(300, 300))
+    good, bad = large.format_report(0.05), large.format_report(0.02)
+    assert "PASS (Within specification)" in good and "VALID (>= 50x50 mm)" in good and "FAIL (Exceeds specification)" in bad
+    assert "Evaluation Length" in good and "5.0 mm" in good and "Svr =" in repr(r)
 
 
 def test_analyze_noisy_plane(spark, tmp_path):
@@ -230,7 +327,41 @@ def test_defects_lower_the_clean_figure(spark):
     a = lattice(12, 12, 0.2)
     a[:, 2] = rng.normal(0, 0.002, len(a)) + 0.08 * ((a[:, 0] - 6) ** 2 + (a[:, 1] - 6) ** 2 < 2.25)
     r = analyze_points(frame(spark, a), detect_abnormalities=True, long_cutoff_mm=8.0)
-    assert r.abnormalities and r.svr_clean_um < r.svr_um and 0 < r.abnormal_area_pct < 20
+    assert r.abnormalities and r.svr_clean_um < r.svr_um and 0 < r.abnormal_area_pct < 50
+    text = r.format_report()
+    assert "Abnormality Analysis" in text and f"#{r.abnormalities[0].id}" in text and f"({r.svr_clean_um:.1f} µm)" in text
+
+
+def filled(z, known):
+    """Rounds of the mean of known side neighbours, then the mean of what was known at first; cell by cell."""
+    z, mean, now = z.copy(), z[known].mean(), known.copy()
+    for _ in range(8):
+        new = {}
+        for y, x in zip(*np.nonzero(~now)):
+            side = [(y + a, x + b) for a, b in ((-1, 0), (1, 0), (0, -1), (0, 1)) if 0 <= y + a < z.shape[0] and 0 <= x + b < z.shape[1] and now[y + a, x + b]]
+            if side:
+                new[y, x] = np.mean([z[p] for p in side])
+        for p, v in new.items():
+            z[p], now[p] = v, True
+    z[~now] = mean
+    return z
+
+
+def test_the_clean_figure_takes_filled_holes_for_unknown(spark):
+    rng = np.random.default_rng(4)
+    a = lattice(20, 20, 0.2)
+    a[:, 2] = rng.normal(0, 0.002, len(a)) + 0.08 * ((a[:, 0] - 10) ** 2 + (a[:, 1] - 10) ** 2 < 2.25)
+    a = a[~((abs(a[:, 0] - 14.6) < 1.05) & (abs(a[:, 1] - 10) < 1.05))]  # a hole beside the bump
+    r = analyze_points(frame(spark, a), detect_abnormalities=True, gaussian_mesh=False, subtract_noise=False)
+    z = dense(r.elevation_grid, r.grid_shape)
+    bad = np.zeros(r.grid_shape, bool)
+    for c in r.abnormal_cells.collect():
+        bad[c.iy, c.ix] = True
+    assert bad.any() and np.isnan(z).any()
+    ok = np.isfinite(z) & ~bad
+    z = filled(np.where(np.isfinite(z), z, 0), ok) / 1000
+    v = metrics.variogram(cells(spark, z, ok), 0.0002)
+    assert r.svr_clean_um == pytest.approx(metrics.svr(v).first().svr_um, rel=1e-9)
 
 
 def test_formats(spark, tmp_path):
@@ -259,6 +390,12 @@ def test_formats(spark, tmp_path):
         got = readers.load_points(spark, str(tmp_path / name)).orderBy("pid").toPandas()
         assert np.allclose(got[["x", "y", "z"]], p), name
         assert got.pid.tolist() == [0, 1, 2], name
+    commented = pcd.format("ascii") + "1 2 3 0 0\n# not a point\n\n4 5 6 0 0\n7 8 9.5 0 0 # the last\n"
+    (tmp_path / "k.pcd").write_text(commented)
+    (tmp_path / "k.obj").write_text("v 1 2 3\nv 4 5\nv\nv 4 5 6\nv 7 8 9.5 1\n")
+    for name in ("k.pcd", "k.obj"):
+        got = readers.load_points(spark, str(tmp_path / name)).orderBy("pid").toPandas()
+        assert np.allclose(got[["x", "y", "z"]], p), name
     (tmp_path / "r.csv").write_text("1,2,3\n4,5\n6,7,8\n")
     (tmp_path / "w.csv").write_text("1,2,3\n4,5,6\na,7,8\n9,9,9\n")
     for name in ("r.csv", "w.csv"):
@@ -283,7 +420,10 @@ def test_single_surface_object(spark):
     a = lattice(60, 60, 0.8)
     a[:, 2] = np.random.default_rng(9).normal(0, 0.02, len(a))
     r = analyze_object(frame(spark, a), RoughnessConfig(grid_mm=1.0))
-    assert len(r.patches) == 1 and r.patches[0].name == "Primary Surface" and r.coverage_pct > 80
+    assert len(r.patches) == 1 and r.patches[0].name == "Primary Surface" and r.coverage_pct >= 90
+    assert r.patches[0].is_astm_compliant and r.unassigned.count() == r.unassigned_points
+    with pytest.raises(RuntimeError):
+        analyze_object(frame(spark, a), RoughnessConfig(grid_mm=1.0), DecompositionConfig(min_patch_points=len(a)))
 
 
 def test_corner_has_two_faces(spark):
@@ -293,9 +433,13 @@ def test_corner_has_two_faces(spark):
     p = np.concatenate([np.column_stack([a[:, 0], a[:, 1], n[0]]), np.column_stack([a[:, 0], n[1], a[:, 1]])])
     r = analyze_object(frame(spark, p), RoughnessConfig(grid_mm=1.0), DecompositionConfig(min_patch_points=2000))
     assert len(r.patches) == 2 and r.unassigned_points > 0
-    assert all(max(f.dimensions_mm) < 60 for f in r.patches)
-    assert r.status.count() == r.assigned_points
-    assert "Faces: 2" in r.format_report(0.5) and len(r.to_dict()["patches"]) == 2
+    assert all(max(f.dims_mm) < 60 and f.invalid_points.count() > 0 for f in r.patches)
+    assert r.status.count() == r.assigned_points and r.unassigned.count() == r.unassigned_points
+    text, d = r.format_report(0.5), r.to_dict()
+    assert "Multi-Surface 3D Object Roughness Report" in text and "Face 2 (" in text
+    assert (d["patch_count"], d["dominant_patch_id"], len(d["patches"])) == (2, 1, 2)
+    with pytest.raises(RuntimeError):
+        analyze_object(frame(spark, p), RoughnessConfig(grid_mm=1.0), DecompositionConfig(min_patch_points=2000, min_patch_area_mm2=1e6))
 
 
 def test_command_line(spark, tmp_path, capsys):
