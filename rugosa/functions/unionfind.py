@@ -8,13 +8,24 @@ from pyspark.sql import functions as F
 from .columns import cut
 
 
+SALTS = 32
+
+
+def _joined(pairs: DataFrame, where: str = "true") -> DataFrame:
+    """pairs (u, v) that meet `where`, with m: the least v of all pairs of the same u."""
+    part = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    low = part.groupBy("u", "part").agg(F.min("v").alias("m"))
+    low = low.groupBy("u").agg(F.min("m").alias("m"), F.collect_set("part").alias("parts"))  # at most SALTS entries
+    return part.where(where).join(low.select("u", "m", F.explode("parts").alias("part")), ["u", "part"])
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): each node of the edges with the smallest node that it can reach.
 
     Distributed union-find by alternating large-star and small-star steps. Each step is a
-    grouped minimum (partial sums before the shuffle) and a join back, so that a node with very
-    many neighbours is never gathered in one task. Ends when a round changes nothing. Null ends
-    and loops are left out.
+    grouped minimum (partial minima before the shuffle) and a join back. The neighbours of a node are
+    dealt into SALTS parts, by which they are joined as well, so that those of a hub are never in one
+    task. Ends when a round changes nothing. Null ends and loops are left out.
     """
     e = edges.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u is not null and v is not null and u <> v").distinct()
     e = cut(e)
@@ -25,10 +36,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     now = mark(e)
     for _ in range(rounds):
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
+        large = _joined(both, "v > u").selectExpr("v as u", "least(m, u) as v").where("u <> v").distinct()
+        small = _joined(large).selectExpr("inline(array(struct(u as u, m as v), struct(v as u, m as v)))").where("u <> v").distinct()
         e = cut(small)
         before, now = now, mark(e)
         if now == before:
