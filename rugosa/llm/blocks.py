@@ -20,72 +20,87 @@ from .common import cut
 TABLE_BITS = 48
 
 
-def bucket_keys(hashes: np.ndarray) -> np.ndarray:
-    """(rows, tables) hashes -> bucket keys as signed longs."""
+def bucket_keys(hashes: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
+    """(rows, tables) hashes -> bucket keys as signed longs, of `bits` bits of the hashes."""
     tables = np.arange(hashes.shape[1], dtype=np.uint64) << np.uint64(TABLE_BITS)
-    return ((hashes & np.uint64((1 << TABLE_BITS) - 1)) | tables).astype(np.int64)
+    return ((hashes & np.uint64((1 << bits) - 1)) | tables).astype(np.int64)
 
 
-def tasks(members: DataFrame, block_rows: int, block_weight: int) -> DataFrame:
-    """members (id, weight, keys: one bucket key a table) -> (id, weight, bucket, first, second, own).
+def tasks(rows: DataFrame, block_rows: int, block_weight: int) -> DataFrame:
+    """rows (id, weight, bucket) -> (id, bucket, first, second, own).
 
     Buckets of one member go, and of buckets with the very same members the first table's stays.
     first <= second are the two blocks a task compares, own is the member's. A block has about
     block_rows members or block_weight of their weights.
     """
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # counted and joined on the bucket: one exchange serves both, if both have the join's own filter
-    rows = members.select("id", F.col("weight").cast("long").alias("weight"), F.explode("keys").alias("bucket")).where("bucket is not null").repartition(n, "bucket")
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), F.sum(F.xxhash64("id") % (1 << 40)).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("s2")).where("n > 1")
+    rows = rows.where("bucket is not null").repartition(n, "bucket").dropDuplicates(["bucket", "id"])
+    of_members = [F.sum(F.xxhash64("id") % (1 << 40)).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("s2")]
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), *of_members).where("n > 1")
     kept = sizes.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket"), F.min("weight").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("weight") / block_weight), F.lit(1)).cast("int")
     kept = kept.select("bucket", blocks.alias("blocks"))
     at = rows.join(kept, "bucket").withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return at.select("id", "weight", "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own")
+    return at.select("id", "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own")
 
 
-def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Callable[[list], np.ndarray], prepare: Callable[[pa.Array], list]) -> DataFrame:
+#: Rows of a task that are compared with all its members at once: matrices have so many rows at most.
+STRIP = 256
+
+
+def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Callable[[list, slice], np.ndarray], prepare: Callable[[pa.Array], list], count: bool = True) -> DataFrame:
     """Compares the members of each task; (a, b, links): links of a where b is null, else a link a-b of the forest.
 
-    payload: (id, size, keys, and the column of payload_schema). `prepare` turns that column of many
-    rows into an object a row; `link` gets those of a task's members and returns a symmetric boolean
-    matrix. A member's links count the sizes of those it is linked to.
+    payload: (id, member, size, keys, and the column of payload_schema). `prepare` turns that column
+    of many rows into an object a row; `link(objects, rows)` returns which objects each of some rows is
+    linked to, as a boolean matrix. A member's links count the sizes of those it is linked to, each
+    pair in the first table in which it meets. If not `count`, only the forest is wanted: pairs that
+    are joined already are not compared, and keys may be left out of the payload.
+
+    A task holds two blocks of members and matrices of STRIP rows: its memory doesn't grow with a bucket.
     """
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    value = payload.columns[3]
-    rows = dealt.join(payload, "id").select("bucket", "first", "second", "own", "id", "size", "keys", value)
+    value, more = payload.columns[-1], ["size", "keys"] if count else []
+    rows = dealt.join(payload, "id").select("bucket", "first", "second", "own", "member", *more, value)
     rows = rows.repartition(n, "bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
 
     def task(own: np.ndarray, first: int, second: int, bucket: int, ids: np.ndarray, size: np.ndarray, keys: np.ndarray, values: list) -> tuple | None:
-        table = bucket >> TABLE_BITS
-        if len(ids) == 2:  # most tasks: a pair
-            if (keys[0, :table] == keys[1, :table]).any() or (first != second and own[0] == own[1]) or not link(values)[0, 1]:
-                return None
-            low = int(ids[0] > ids[1])
-            return ids, size[::-1].astype(np.int64), ids[1 - low : 2 - low], ids[low : low + 1]
-        new = np.ones((len(ids), len(ids)), bool)
-        for t in range(table):
-            new &= keys[:, t][:, None] != keys[:, t][None, :]
-        if first != second:
-            new &= own[:, None] != own[None, :]
-        np.fill_diagonal(new, False)
-        if not new.any():
-            return None
-        linked = new & link(values)
-        count = linked @ size.astype(np.float64)
-        some = np.flatnonzero(count > 0)
-        if not len(some):
+        m, table = len(ids), bucket >> TABLE_BITS
+        root, total = np.arange(m), np.zeros(m)
+        for low in range(0, m, STRIP):
+            part = slice(low, min(m, low + STRIP))
+            new = root[part, None] != root[None, :] if not count else np.ones((part.stop - low, m), bool)
+            if count:
+                for t in range(table):
+                    new &= keys[part, t][:, None] != keys[:, t][None, :]
+                new[np.arange(part.stop - low), np.arange(low, part.stop)] = False
+            if first != second:
+                new &= own[part, None] != own[None, :]
+            if not new.any():
+                continue
+            linked = new & link(values, part)
+            if not linked.any():
+                continue
+            if count:
+                total[part] += linked @ size
+            while True:  # the least label among the linked goes to all that bear one of their labels
+                least = np.minimum(root[part], np.where(linked, root[None, :], m).min(axis=1))
+                lower = np.minimum(root, np.where(linked, least[:, None], m).min(axis=0))
+                lower[part] = np.minimum(lower[part], least)
+                label = np.arange(m)
+                np.minimum.at(label, root, lower)
+                label = label[label]
+                if (label[root] == root).all():
+                    break
+                root = label[root]
+        while (root[root] != root).any():
+            root = root[root]
+        tied, some = np.flatnonzero(root != np.arange(m)), np.flatnonzero(total > 0)
+        if not len(tied):
             return None
-        root = np.arange(len(ids))
-        while True:  # least label among the linked, until nothing changes
-            lower = np.minimum(root, np.where(linked, root[None, :], len(ids)).min(axis=1))
-            lower = lower[lower]
-            if (lower == root).all():
-                break
-            root = lower
-        tied = some[root[some] != some]
-        return ids[some], count[some].astype(np.int64), ids[tied], ids[root[tied]]
+        return ids[some], total[some].astype(np.int64), ids[tied], ids[root[tied]]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -93,10 +108,11 @@ def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Cal
 
         def done(batch: list[pa.RecordBatch]) -> None:
             t = pa.Table.from_batches(batch)
-            bucket, first, second, own, ids, size = (t.column(c).to_numpy() for c in ("bucket", "first", "second", "own", "id", "size"))
-            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+            bucket, first, second, own, ids = (t.column(c).to_numpy() for c in ("bucket", "first", "second", "own", "member"))
+            size = t.column("size").to_numpy().astype(float) if count else np.ones(t.num_rows)
+            keys = t.column("keys").combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1) if count else np.zeros((t.num_rows, 0))
             bounds = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1]), [True])))
-            for group in np.array_split(np.arange(len(bounds) - 1), max(1, t.num_rows // 2000)):
+            for group in np.array_split(np.arange(len(bounds) - 1), max(1, t.num_rows // 1000)):
                 if not len(group):
                     continue
                 low, high = bounds[group[0]], bounds[group[-1] + 1]
@@ -115,24 +131,26 @@ def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Cal
             a.clear(), b.clear(), links.clear()
             return r
 
-        for part in parts:
-            # the batch up to the beginning of its last task is whole; the rest waits
-            k = [part.column(i) for i in range(3)]
-            last, at = tuple(c[-1].as_py() for c in k), part.num_rows - 1
-            while at > 0 and tuple(c[at - 1].as_py() for c in k) == last:
-                at -= 1
-            if at == 0 and held and tuple(c[0].as_py() for c in (held[-1].column(i) for i in range(3))) == last:
-                held.append(part)
-                continue
-            if at:
-                done([*held, part.slice(0, at)])
-                held = []
-            elif held:
-                done(held)
-                held = []
-            held.append(part.slice(at))
-            if len(a) > 50_000:
-                yield out()
+        for whole in parts:
+            for begin in range(0, whole.num_rows, 2000):
+                part = whole.slice(begin, 2000)
+                # the batch up to the beginning of its last task is whole; the rest waits
+                k = [part.column(i) for i in range(3)]
+                last, at = tuple(c[-1].as_py() for c in k), part.num_rows - 1
+                while at > 0 and tuple(c[at - 1].as_py() for c in k) == last:
+                    at -= 1
+                if at == 0 and held and tuple(c[0].as_py() for c in (held[-1].column(i) for i in range(3))) == last:
+                    held.append(part)
+                    continue
+                if at:
+                    done([*held, part.slice(0, at)])
+                    held = []
+                elif held:
+                    done(held)
+                    held = []
+                held.append(part.slice(at))
+                if len(a) > 50_000:
+                    yield out()
         if held:
             done(held)
         if a:

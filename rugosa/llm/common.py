@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import checkpoint_dir as checkpoint_dir
+from ..functions.columns import cut as cut
 from ..functions.unionfind import components as components
 
 #: ASCII white space, as in the class [\x20\x09-\x0D].
 SPACES = b" \t\n\v\f\r"
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        held = spark.sparkContext.getCheckpointDir()
-        path = held or tempfile.mkdtemp(prefix="rugosa-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the shared folder, so that a lost executor costs nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame):
     """(df, a function that deletes it): written as Parquet in the shared folder, for tables of which
     later jobs read some columns only."""
@@ -42,6 +26,20 @@ def stored(df: DataFrame):
     return spark.read.parquet(path), lambda: at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: What may be sent to every executor at once.
+BROADCAST_BYTES = 64_000_000
+
+
+def sent_if_small(df: DataFrame, row_bytes: int, items: str | None = None, item_bytes: int = 0) -> DataFrame:
+    """df, marked for broadcast if its size is counted to be within BROADCAST_BYTES.
+
+    A row takes row_bytes, and item_bytes for each entry of the array column `items`. A larger table
+    is joined by a shuffle. Pass a table that was cut or stored: it is read for the count.
+    """
+    n, more = df.agg(F.count("*"), F.coalesce(F.sum(F.size(items)), F.lit(0)) if items else F.lit(0)).first()
+    return F.broadcast(df) if n * row_bytes + more * item_bytes <= BROADCAST_BYTES else df
+
+
 def fold(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5; 0 is held out. A null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5

@@ -5,12 +5,12 @@ character shingles, cut into bands; classes that agree on a band meet in a bucke
 similarity is verified on the full sets of shingles, in blocks, and a distributed union-find over
 the links gives components, of which one line stays: the first one by document id and position.
 
-Signing and verifying are array programs inside tasks; the README says why not column functions.
+Splitting, classes, buckets, union-find and rebuilding are DataFrame functions. Signing and
+verifying are array programs inside tasks; the README says why not column functions.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,16 +19,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import components, cut, mix64, stored
+from .common import components, cut, mix64, sent_if_small, stored
 from .ngram_join import band_plan, jaccard_links
 
-SHINGLE, ROWS, RECALL, SEED = 5, 4, 0.9999, 7
-#: Shorter lines are left alone unless the caller names another length.
-LEAST_CHARS = 10
-#: A list of at most so many short rows is sent to every executor; a longer one is joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+SHINGLE, ROWS, RECALL, SEED = 5, 5, 0.9999, 7
 LINE = "\n"
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Characters hashed or signed together, so that memory stays small.
+CHUNK = 300_000
+#: A line's number in buckets: so many bits of its hash above, its length (up to 2^20 - 1) below.
+#: Two lines may share a number; both are then members, and verifying tells them apart.
+HASH_BITS, LENGTH_BITS = 43, 20
 
 
 def powers() -> list[np.uint64]:
@@ -45,138 +46,173 @@ def character_hashes(text: str) -> np.ndarray:
         return mix64(four[: len(text)] + cp[4 : 4 + len(text)] * p4)
 
 
-def shingle_sets(lines: pa.Array) -> list[np.ndarray]:
-    """The shingle sets of many lines, hashed as one text."""
-    lines = lines.to_pylist()
-    h, at, out = character_hashes(LINE.join(lines)), 0, []
-    for line in lines:
-        x = np.sort(h[at : at + max(1, len(line) - SHINGLE + 1)])
-        out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
-        at += len(line) + 1
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
+def shingle_set(line: str) -> np.ndarray:
+    """The sorted, distinct shingle hashes of a line of any length; a shorter line is one shingle."""
+    n, out = max(1, len(line) - SHINGLE + 1), np.zeros(0, np.uint64)
+    for at in range(0, n, CHUNK):
+        out = distinct(np.concatenate((out, character_hashes(line[at : at + CHUNK + SHINGLE - 1])[: min(CHUNK, n - at)])))
     return out
 
 
+def chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
+    begin, held = 0, 0
+    for i, line in enumerate(lines):
+        if held and held + len(line) > CHUNK:
+            yield begin, i
+            begin, held = i, 0
+        held += len(line) + 1
+    if begin < len(lines):
+        yield begin, len(lines)
+
+
+def hashed(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For chunks of lines of at least SHINGLE characters: the hashes of all shingles, and how many each line has."""
+    for i, j in chunks(lines):
+        if len(lines[i]) > CHUNK:  # stands alone
+            x = shingle_set(lines[i])
+            yield x, np.array([len(x)])
+            continue
+        h = character_hashes(LINE.join(lines[i:j]))
+        size = np.fromiter(map(len, lines[i:j]), np.int64, j - i)
+        inside = np.ones(len(h) + 1, bool)
+        ends = np.cumsum(size + 1)
+        for k in range(SHINGLE):
+            inside[ends - 1 - k] = False
+        yield h[inside[:-1]], size - SHINGLE + 1
+
+
+def shingle_sets(lines: pa.Array) -> list[np.ndarray]:
+    return [shingle_set(x) for x in lines.to_pylist()]
+
+
 class LineSigner:
-    def __init__(self, bands: int, rows: int) -> None:
-        rng = np.random.default_rng(SEED)
-        self.bands, self.rows = bands, rows
-        self.a = (rng.integers(1, 1 << 31, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).astype(np.uint32)
-        self.b = rng.integers(0, 1 << 32, bands * rows, dtype=np.uint64).astype(np.uint32)
-
-    def __call__(self, text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Bucket keys of the lines text[start:end], each of at least SHINGLE characters."""
-        h = character_hashes(text)
-        low = np.append((h ^ (h >> np.uint64(32))).astype(np.uint32), np.zeros(1, np.uint32))
-        cuts = np.stack([starts, ends - SHINGLE + 1], axis=1).ravel()
-        least = np.empty((len(starts), len(self.a)), np.uint32)
-        v, w = np.empty_like(low), np.empty_like(low)
-        for k, (a, b) in enumerate(zip(self.a, self.b)):
-            np.multiply(low, a, out=v)
-            v += b
-            np.right_shift(v, 15, out=w)
-            v ^= w
-            least[:, k] = np.minimum.reduceat(v, cuts)[::2]
-        with np.errstate(over="ignore"):
-            parts = least.reshape(len(starts), self.bands, self.rows).astype(np.uint64)
-            band = np.zeros((len(starts), self.bands), np.uint64)
-            for r in range(self.rows):
-                band = mix64(band * BASE + parts[:, :, r] + np.uint64(r + 1))
-        return blocks.bucket_keys(band)
-
-
-def small(df: DataFrame) -> DataFrame:
-    """df, marked for broadcast if it is counted to be short."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """MinHash signatures of many lines at once, by hashing each shingle to one place of the signature.
+
+    In each round every shingle of a line goes to one of the k places, with a random value above
+    those of the rounds before; places keep the least. A line is done once all its places are taken,
+    so that a round or two do for a long line, where k hash functions would cost k rounds. From round
+    k on the place is the round's number, which ends any line (fast similarity sketching). Two lines
+    agree at a place with a probability equal to their Jaccard similarity.
+    """
+
+    def __init__(self, bands: int, rows: int, seed: int = SEED) -> None:
+        self.bands, self.rows, self.k = bands, rows, bands * rows
+        self.turn = np.random.default_rng(seed).integers(0, 1 << 63, 2 * self.k, dtype=np.uint64)
+
+    def signatures(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """(lines, k) of lines with so many of the shingle hashes each, one after another."""
+        n, k, none = len(counts), self.k, np.uint64(0xFFFFFFFFFFFFFFFF)
+        least, line = np.full(n * k, none, np.uint64), np.repeat(np.arange(n) * k, counts)
+        for i in range(2 * k):
+            with np.errstate(over="ignore"):
+                v = mix64(h + self.turn[i])
+            place = ((v >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64) if i < k else i - k
+            np.minimum.at(least, line + place, (v & np.uint64(0xFFFFFFFF)) | np.uint64(i << 32))
+            todo = (least.reshape(n, k) == none).any(axis=1)
+            if not todo.any():
+                break
+            keep = todo[line // k]
+            h, line = h[keep], line[keep]
+        return least.reshape(n, k)
+
+    def __call__(self, lines: list[str]) -> np.ndarray:
+        """Bucket keys of the lines' bands; lines have at least SHINGLE characters."""
+        out = []
+        for h, counts in hashed(lines):
+            parts = self.signatures(h, counts).reshape(len(counts), self.bands, self.rows)
+            band = np.zeros((len(counts), self.bands), np.uint64)
+            with np.errstate(over="ignore"):
+                for r in range(self.rows):
+                    band = mix64(band * BASE + parts[:, :, r] + np.uint64(r + 1))
+            out.append(blocks.bucket_keys(band, 40))
+        return np.concatenate(out)
+
+
+def number(c1, length):
+    """A line's number in buckets, of columns."""
+    return F.shiftleft(c1.bitwiseAND(F.lit((1 << HASH_BITS) - 1)), LENGTH_BITS).bitwiseOR(F.least(length, F.lit((1 << LENGTH_BITS) - 1)).cast("long"))
+
+
+def signed_buckets(lines: DataFrame, bands: int, rows: int) -> DataFrame:
+    """lines (id, line) -> (id, bucket): a row for each band. A task signs a line that repeats once."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer, seen = LineSigner(bands, rows), set()
+        for part in parts:
+            if len(seen) > 200_000:
+                seen.clear()
+            ids, texts = [], []
+            for i, line in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if i not in seen:
+                    seen.add(i), ids.append(i), texts.append(line)
+            for i, j in chunks(texts):
+                keys = signer(texts[i:j])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[i:j], np.int64), bands)), pa.array(keys.ravel())], ["id", "bucket"])
+
+    return lines.mapInArrow(run, "id long, bucket long")
+
+
+def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = 1) -> DataFrame:
     """docs with `text` less its duplicate lines, and n_lines and n_removed.
 
     Lines end at line feeds. Of each component of lines of at least `least_chars` characters, one
     occurrence in all documents stays: the first of its earliest class by doc_id (nulls first), then
-    position. A line shorter than a shingle is one shingle, so that equal ones are a component.
-    Lines of fewer than `least_chars` and blank ones stay. Every document stays, if with an empty text; a null text
-    stays null with 0 lines. Rows that repeat both id and text are one document and get equal texts.
-    Columns n_lines and n_removed of docs, if any, are replaced; others pass.
+    the text's hash, then position. A line shorter than a shingle is one shingle, so that equal ones
+    are a component. Lines of white space only stay, as do shorter ones than `least_chars`. Every
+    document stays, if with an empty text; a null text stays null with 0 lines. Rows that repeat both
+    id and text are one document and get equal texts. An empty table gives an empty one. Columns
+    n_lines and n_removed of docs, if any, are replaced; others pass, whatever their names.
     """
     docs = docs.drop("n_lines", "n_removed")
     bands, rows = band_plan(threshold, RECALL, ROWS)
-    least_chars = max(least_chars, 1)
-    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
-    source = docs.select("doc_id", own.alias("row"), "text").where(F.col("text").isNotNull())
-
-    def sign(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = LineSigner(bands, rows)
-
-        def signed(some: list) -> pa.RecordBatch:
-            """(document, row, text) whose texts are signed together, as one text."""
-            text = LINE.join(t for _, _, t in some)
-            docs_, rows_, pos, c1, c2, starts, ends, at = [], [], [], [], [], [], [], 0
-            for d, r, t in some:
-                for i, line in enumerate(t.split(LINE)):
-                    n = len(line)
-                    if n >= least_chars and not line.isspace():
-                        docs_.append(d), rows_.append(r), pos.append(i), starts.append(at), ends.append(at + n)
-                        x = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                        c1.append(int.from_bytes(x[:8], "little", signed=True)), c2.append(int.from_bytes(x[8:], "little", signed=True))
-                    at += n + 1
-            begin, size = np.array(starts, np.int64), np.array(ends, np.int64) - np.array(starts, np.int64)
-            whole = size >= SHINGLE  # a shorter line is only like its equals, and meets none in buckets
-            keys = signer(text, begin[whole], (begin + size)[whole]) if whole.any() else np.zeros((0, bands), np.int64)
-            flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(whole * bands))).astype(np.int32)), pa.array(keys.ravel()))
-            weight = pa.array(size)
-            return pa.RecordBatch.from_arrays([pa.array(docs_, kind), pa.array(rows_, pa.int64()), pa.array(pos, pa.int32()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), weight, flat], ["doc_id", "row", "pos", "id", "c2", "weight", "keys"])
-
-        for part in parts:
-            kind = part.schema.field(0).type
-            some, size = [], 0
-            for x in zip(*(part.column(i).to_pylist() for i in range(3))):
-                some.append(x)
-                size += len(x[2])
-                if size > 100_000:
-                    yield signed(some)
-                    some, size = [], 0
-            if some:
-                yield signed(some)
-
-    seen, forget = stored(source.mapInArrow(sign, f"doc_id {dict(docs.dtypes)['doc_id']}, row long, pos int, id long, c2 long, weight long, keys array<long>"))
-    first = F.min(F.struct("doc_id", "row", "pos")).alias("first")
-    reps = seen.select("id", "weight", "keys").dropDuplicates(["id"])
-    dealt = cut(blocks.tasks(reps, 2048, 1_000_000))
+    key = (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text"))
+    source = docs.select("doc_id", F.xxhash64(*key).alias("r1"), F.xxhash64(F.lit(SEED), *key).alias("r2"), "text").where(F.col("text").isNotNull())
+    lines = source.select("doc_id", "r1", "r2", F.posexplode(F.split("text", LINE)).alias("pos", "line"))
+    lines = lines.where((F.length("line") >= max(least_chars, 1)) & F.col("line").rlike(r"(?U)\S"))
+    c1 = F.xxhash64("line")
+    seen, forget = stored(lines.select("doc_id", "r1", "r2", "pos", c1.alias("c1"), F.xxhash64(F.lit(SEED), "line").alias("c2"), F.length("line").alias("length")))
+
+    buckets = signed_buckets(lines.where(F.length("line") >= SHINGLE).select(number(c1, F.length("line")).alias("id"), "line"), bands, rows)
+    weight = F.col("id").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).alias("weight")
+    dealt = cut(blocks.tasks(buckets.select("id", weight, "bucket"), 512, 500_000))
     met = cut(dealt.select("id").distinct())
-    where = cut(seen.join(small(met), "id", "left_semi").groupBy("id").agg(F.first("keys").alias("keys"), F.min(F.struct("row", "pos")).alias("at")))
-    places = where.groupBy("at.row").agg(F.collect_list(F.struct("at.pos", "id")).alias("places"))  # bounded by a document's lines
-
-    def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            ids, lines = [], []
-            for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                split = text.split(LINE)
-                for w in wanted:
-                    ids.append(w["id"])
-                    lines.append(split[w["pos"]])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], ["id", "line"])
-
-    texts = source.join(small(cut(places)), "row").select("text", "places").mapInArrow(fetch, "id long, line string").dropDuplicates(["id"])
-    payload = where.select("id", F.lit(1).cast("long").alias("size"), "keys").join(texts, "id")
-    found = blocks.compare(dealt, payload, "line string", lambda sets: jaccard_links(sets, threshold), shingle_sets)
+    # one place of each class that met another
+    at = F.min(F.struct("r1", "r2", "pos")).alias("at")
+    where = seen.withColumn("id", number(F.col("c1"), F.col("length"))).join(sent_if_small(met, 32), "id", "left_semi").groupBy("id", "c1", "c2").agg(at)
+    where = cut(where.select("id", "c1", "c2", "at.*").withColumn("member", F.monotonically_increasing_id()))
+    texts = lines.select("r1", "r2", "pos", "line").join(sent_if_small(where.select("id", "member", "r1", "r2", "pos"), 100), ["r1", "r2", "pos"])
+    payload = texts.select("id", "member", "line").dropDuplicates(["member"])  # rows of docs may repeat
+    found = blocks.compare(dealt, payload, "line string", lambda sets, some: jaccard_links(sets, threshold, some), shingle_sets, count=False)
     _, edges = blocks.summed(found)
     comps = components(edges)
 
-    again = seen.groupBy("id", "c2").agg(F.count("*").alias("n"), first).where("n > 1")
-    tied = seen.join(small(comps.select(F.col("node").alias("id"))), "id", "left_semi").groupBy("id", "c2").agg(F.count("*").alias("n"), first)
-    part = cut(again.unionByName(tied).distinct().join(comps.withColumnRenamed("node", "id"), "id", "left"))
-    kept = part.where("component is not null").groupBy("component").agg(F.min(F.struct("first", "id", "c2")).alias("k"))
-    part = part.join(kept, "component", "left")
-    stays = F.col("k").isNull() | ((F.col("k.id") == F.col("id")) & (F.col("k.c2") == F.col("c2")))
-    part = cut(part.select("id", "c2", F.when(stays, F.col("first")).alias("keep")))
-    gone = seen.select("doc_id", "row", "pos", "id", "c2").join(part, ["id", "c2"]).where(~F.struct("doc_id", "row", "pos").eqNullSafe(F.col("keep"))).groupBy("row").agg(F.collect_set("pos").alias("gone"))
-    gone = small(cut(gone.select(F.col("row").alias("row_"), "gone")))
+    linked = comps.join(where.select("member", "c1", "c2"), comps.node == F.col("member")).select("c1", "c2", "component")
+    every = seen.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "r1", "r2", "pos")).alias("first"))
+    part = cut(every.join(linked, ["c1", "c2"], "left").where("n > 1 or component is not null"))
+    kept = part.where("component is not null").groupBy("component").agg(F.min(F.struct("first", "c1", "c2")).alias("k"))
+    part = part.join(kept.select("k.c1", "k.c2", F.lit(True).alias("leads")), ["c1", "c2"], "left")
+    stays = F.when(F.col("component").isNull() | F.col("leads"), F.struct("first.r1", "first.r2", "first.pos"))
+    part = cut(part.select("c1", "c2", stays.alias("stays")))
+    gone = seen.select("r1", "r2", "pos", "c1", "c2").join(sent_if_small(part, 80), ["c1", "c2"])
+    gone = gone.where(~F.struct("r1", "r2", "pos").eqNullSafe(F.col("stays"))).groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone"))  # of one document's lines
+    gone = sent_if_small(cut(gone), 80, "gone", 8)
     forget()
-    out = docs.withColumn("own_", F.when(F.col("text").isNotNull(), own)).join(gone, F.col("own_") == F.col("row_"), "left").withColumn("lines_", F.split("text", LINE))
-    left = F.expr("array_join(transform(array_except(sequence(0, size(lines_) - 1), gone), i -> lines_[i]), '\\n')")
-    return out.select(*[F.when(F.col("gone").isNull(), F.col("text")).otherwise(left).alias("text") if c == "text" else F.col(c) for c in docs.columns], F.coalesce(F.when(F.col("text").isNotNull(), F.size("lines_")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"))
+    # working columns lie in one struct, away from the names of docs
+    mine = F.struct(F.when(F.col("text").isNotNull(), F.xxhash64(*key)).alias("r1"), F.xxhash64(F.lit(SEED), *key).alias("r2"))
+    held = docs.select(F.struct(*docs.columns).alias("doc"), mine.alias("mine"))
+    out = held.join(gone, (F.col("mine.r1") == F.col("r1")) & (F.col("mine.r2") == F.col("r2")), "left").withColumn("lines", F.split("doc.text", LINE))
+    left = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\\n')")
+    text = F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(left).alias("text")
+    columns = [text if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns]
+    n_lines = F.when(F.col("doc.text").isNotNull(), F.size("lines")).otherwise(0).cast("long").alias("n_lines")
+    n_removed = F.when(F.col("gone").isNotNull(), F.size("gone")).otherwise(0).cast("long").alias("n_removed")
+    return out.select(*columns, n_lines, n_removed)
 
 
 def op7_line_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), least_chars=1)
+    return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -68,6 +68,11 @@ def usable(vectors: list) -> list[np.ndarray | None]:
     return out
 
 
+def digest(v: np.ndarray) -> tuple[int, int]:
+    """128 bits of a vector, as two signed longs; 0.0 and -0.0 are one number."""
+    return tuple(np.frombuffer(hashlib.blake2b((v + 0.0).tobytes(), digest_size=16).digest(), np.int64).tolist())
+
+
 def near_vectors(rows: DataFrame, threshold: float = 0.95, recall: float = 0.999, width: float = 2.0, seed: int = 3) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding).
 
@@ -92,40 +97,52 @@ def near_vectors(rows: DataFrame, threshold: float = 0.95, recall: float = 0.999
                     got = p.keys(np.stack([vectors[j] for j in at])).tolist()
                     for j, key in zip(at, got):
                         keys[j] = key
-                        c1[j], c2[j] = np.frombuffer(hashlib.blake2b((vectors[j] + 0.0).tobytes(), digest_size=16).digest(), np.int64).tolist()
+                        c1[j], c2[j] = digest(vectors[j])
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["vec_id", "c1", "c2", "keys"])
 
     signed = cut(source.mapInArrow(sign, "vec_id long, c1 long, c2 long, keys array<long>"))
     valid = signed.where("c1 is not null and vec_id is not null")
     classes = cut(valid.groupBy("c1", "c2").agg(F.min("vec_id").alias("class_id"), F.count("*").alias("size")))
-    reps = valid.join(classes, ["c1", "c2"]).where("vec_id = class_id").select(F.xxhash64("c1", "c2").alias("id"), "vec_id", "size", F.lit(1).alias("weight"), "keys").dropDuplicates(["id"])
-    reps = cut(reps)
-    dealt = cut(blocks.tasks(reps, 1024, 1 << 40))
-    met = dealt.select("id").distinct()
+    # numbers, not hashes, stand for classes: they can't collide
+    reps = valid.join(classes, ["c1", "c2"]).where("vec_id = class_id").dropDuplicates(["c1", "c2"])
+    reps = cut(reps.select("c1", "c2", "class_id", "size", "keys").withColumn("id", F.monotonically_increasing_id()))
+    dealt = cut(blocks.tasks(reps.select("id", F.lit(1).alias("weight"), F.explode("keys").alias("bucket")), 1024, 1 << 40))
+    kept = reps.join(dealt.select("id").distinct(), "id").withColumnRenamed("class_id", "vec_id")
 
     def units(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            vectors = usable(part.column(3).to_pylist())
-            keep = [i for i, v in enumerate(vectors) if v is not None]
-            digest = [np.frombuffer(hashlib.blake2b((vectors[i] + 0.0).tobytes(), digest_size=16).digest(), np.int64).tolist() for i in keep]
-            t = part.take(pa.array(keep, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*t.columns[:3], pa.array([vectors[i].tolist() for i in keep], pa.list_(pa.float64())), pa.array([x[0] for x in digest], pa.int64()), pa.array([x[1] for x in digest], pa.int64())], ["id", "size", "keys", "unit", "c1", "c2"])
-
-    payload = reps.join(met, "id").join(source, "vec_id").select("id", "size", "keys", "embedding").mapInArrow(units, "id long, size long, keys array<long>, unit array<double>, c1 long, c2 long")
-    payload = payload.where(F.xxhash64("c1", "c2") == F.col("id")).drop("c1", "c2").dropDuplicates(["id"])
-
-    def link(values: list) -> np.ndarray:
-        v = np.array(values, np.float64)
-        c = v @ v.T
-        return np.maximum(c, c.T) >= threshold
+            vectors = usable(part.column("embedding").to_pylist())
+            ours = list(zip(part.column("c1").to_pylist(), part.column("c2").to_pylist()))
+            own = [v is not None and digest(v) == tuple(c) for v, c in zip(vectors, ours)]
+            unit = pa.array([v.tolist() if o else None for v, o in zip(vectors, own)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], unit], ["id", "size", "keys", "unit"])
+
+    payload = kept.join(source, "vec_id").select("id", "size", "keys", "c1", "c2", "embedding").mapInArrow(units, "id long, size long, keys array<long>, unit array<double>")
+    # of rows that repeat an id, only one with the class's own vector
+    payload = payload.where("unit is not null").dropDuplicates(["id"]).select("id", F.col("id").alias("member"), "size", "keys", "unit")
+
+    def link(values: list, some: slice) -> np.ndarray:
+        lengths = np.array([len(v) for v in values])
+        out = np.zeros((some.stop - some.start, len(values)), bool)
+        for d in set(lengths[some].tolist()):  # a bucket's hash holds the dimension: one, but for a chance collision
+            at, rows = np.flatnonzero(lengths == d), np.flatnonzero(lengths[some] == d)
+            v = np.array([values[i] for i in at], np.float64)
+            r = np.array([values[some.start + i] for i in rows], np.float64)
+            out[np.ix_(rows, at)] = r @ v.T >= threshold - 1e-12
+            # close calls are decided by a sum that doesn't depend on the order of the two
+            for i, j in zip(*np.nonzero(np.abs(r @ v.T - threshold) < 1e-12)):
+                out[rows[i], at[j]] = math.fsum(r[i] * v[j]) >= threshold
+        return out
 
     found = blocks.compare(dealt, payload, "unit array<double>", link, blocks.lists)
     links, edges = blocks.summed(found)
-    top = classes.select(F.xxhash64("c1", "c2").alias("id"), "class_id")
-    named = edges.join(top.withColumnRenamed("id", "a"), "a").select("b", F.col("class_id").alias("x")).join(top.withColumnRenamed("id", "b"), "b").select("x", F.col("class_id").alias("y"))
-    comps = components(named, "x", "y")
-    table = classes.withColumn("id", F.xxhash64("c1", "c2")).join(links, "id", "left").join(comps, F.col("class_id") == F.col("node"), "left")
-    table = table.select("c1", "c2", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
+    comps = components(edges)
+    top = reps.select("id", "c1", "c2", "class_id")
+    least = comps.join(top, comps.node == top.id).groupBy("component").agg(F.min("class_id").alias("component_id"))
+    nodes = comps.join(least, "component").select(F.col("node").alias("id"), "component_id")
+    figures = links.join(nodes, "id", "full").join(top, "id").select("c1", "c2", "links", "component_id")
+    table = classes.join(figures, ["c1", "c2"], "left")
+    table = table.select("c1", "c2", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
     out = signed.select("vec_id", "c1", "c2").join(table, ["c1", "c2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))

@@ -75,32 +75,40 @@ def signer(*key) -> Signer:
     return _HELD[key]
 
 
-def jaccard_links(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs of sorted sets have a Jaccard similarity of at least the threshold."""
+#: Entries of a matrix of members and shingles.
+CELLS = 2_000_000
+
+
+def jaccard_links(sets: list[np.ndarray], threshold: float, rows: slice = slice(None)) -> np.ndarray:
+    """Which of `rows` have a Jaccard similarity of at least the threshold with which sets (sorted, distinct)."""
     m = len(sets)
+    rows = slice(*rows.indices(m))
     sizes = np.array([len(s) for s in sets], np.float64)
     if m == 2:
-        both = np.intersect1d(sets[0], sets[1], assume_unique=True)
-        common = np.array([[0, len(both)], [len(both), 0]], np.float64)
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        common = np.full((2, 2), both, np.float64)[rows]
     else:
+        # only shingles of these rows that another member has as well can be shared
+        mine = np.unique(np.concatenate(sets[rows]))
         every = np.concatenate(sets)
         owner = np.repeat(np.arange(m), sizes.astype(np.int64))
-        values, at, n = np.unique(every, return_inverse=True, return_counts=True)
-        shared = n > 1
-        column = np.cumsum(shared) - 1
-        use = shared[at]
-        owner, column = owner[use], column[at[use]]
+        column = np.searchsorted(mine, every)
+        ok = column < len(mine)
+        ok[ok] = mine[column[ok]] == every[ok]
+        owner, column = owner[ok], column[ok]
+        shared = np.bincount(column, minlength=len(mine)) > 1
+        ok = shared[column]
+        owner, column = owner[ok], (np.cumsum(shared) - 1)[column[ok]]
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        common = np.zeros((m, m), np.float32)
-        width = int(shared.sum())
-        step = max(1, min(width, max(64, 4_000_000 // m)))
+        common, width = np.zeros((rows.stop - rows.start, m), np.float32), int(shared.sum())
+        step = max(1, min(width, max(64, CELLS // m)))
         for begin in range(0, width, step):
             i, j = np.searchsorted(column, (begin, begin + step))
             x = np.zeros((m, step), np.float32)
             x[owner[i:j], column[i:j] - begin] = 1
-            common += x @ x.T
-    union = sizes[:, None] + sizes[None, :] - common
+            common += x[rows] @ x.T
+    union = sizes[rows, None] + sizes[None, :] - common
     return (common >= threshold * union - 1e-9) & (common > 0)
 
 
@@ -135,32 +143,39 @@ def ngram_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: floa
     signed = cut(keyed.mapInArrow(sign, "doc_id long, text_key long, c1 long, c2 long, grams long, keys array<long>"))
     classes = cut(signed.groupBy("c1", "c2").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size")))
     reps = signed.join(classes, ["c1", "c2"]).where("doc_id = class_id and grams > 0")
-    # one id may stand for several texts where ids repeat; the class's digest tells them apart
-    reps = cut(reps.select(F.xxhash64("c1", "c2").alias("id"), "doc_id", "size", F.col("grams").alias("weight"), "keys").dropDuplicates(["id"]))
-    dealt = cut(blocks.tasks(reps, 2048, 1_000_000))
-    met = dealt.select("id").distinct()
-    kept = reps.join(met, "id").select("id", "doc_id", "size", "keys")
+    # numbers, not hashes, stand for classes: they can't collide. One doc_id may stand for several texts where ids repeat
+    reps = reps.dropDuplicates(["c1", "c2"]).select("c1", "c2", "class_id", "size", F.col("grams").alias("weight"), "keys")
+    reps = cut(reps.withColumn("id", F.monotonically_increasing_id()))
+    dealt = cut(blocks.tasks(reps.select("id", "weight", F.explode("keys").alias("bucket")), 1024, 500_000))
+    kept = reps.join(dealt.select("id").distinct(), "id")
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = signer(n, bands, rows)
         for part in parts:
-            texts = [t or "" for t in part.column(3).to_pylist()]
+            texts = [t or "" for t in part.column("text").to_pylist()]
             got, digest = s.sets([t.lower().encode() for t in texts]), digests(texts)
             at = np.concatenate(([0], np.cumsum([len(g) for g in got]))).astype(np.int32)
             values = np.concatenate([*got, np.zeros(0, np.uint64)]).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(at), pa.array(values)), pa.array(digest[:, 0]), pa.array(digest[:, 1])], ["id", "size", "keys", "grams", "c1", "c2"])
+            own = pa.array((digest[:, 0] == part.column("c1").to_numpy()) & (digest[:, 1] == part.column("c2").to_numpy()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(at), pa.array(values)), own], ["id", "size", "keys", "grams", "own"])
 
-    payload = kept.join(source, "doc_id").select("id", "size", "keys", "text").mapInArrow(sets, "id long, size long, keys array<long>, grams array<long>, c1 long, c2 long")
+    payload = kept.withColumnRenamed("class_id", "doc_id").join(source, "doc_id").select("id", "size", "keys", "c1", "c2", "text")
+    payload = payload.mapInArrow(sets, "id long, size long, keys array<long>, grams array<long>, own boolean")
     # of rows that repeat an id, only one with the class's own text
-    payload = payload.where(F.xxhash64("c1", "c2") == F.col("id")).drop("c1", "c2").dropDuplicates(["id"])
-    found = blocks.compare(dealt, payload, "grams array<long>", lambda sets: jaccard_links(sets, threshold), blocks.lists)
+    payload = payload.where("own").dropDuplicates(["id"]).select("id", F.col("id").alias("member"), "size", "keys", "grams")
+    found = blocks.compare(dealt, payload, "grams array<long>", lambda sets, some: jaccard_links(sets, threshold, some), blocks.lists)
     links, edges = blocks.summed(found)
-    top = classes.select(F.xxhash64("c1", "c2").alias("id"), "class_id")
-    named = edges.join(top.withColumnRenamed("id", "a"), "a").select("b", F.col("class_id").alias("x")).join(top.withColumnRenamed("id", "b"), "b").select("x", F.col("class_id").alias("y"))
-    comps = components(named, "x", "y")
-    table = classes.withColumn("id", F.xxhash64("c1", "c2")).join(links, "id", "left").join(comps, F.col("class_id") == F.col("node"), "left")
-    table = table.select("c1", "c2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
-    return signed.select("doc_id", "text_key", "c1", "c2").join(table, ["c1", "c2"]).select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_key")
+    comps = components(edges)
+    # the least doc_id of each component: numbers of classes to doc_ids
+    top = reps.select("id", "c1", "c2", "class_id", "weight")
+    named = comps.join(top, comps.node == top.id).select("component", "class_id")
+    least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    nodes = comps.join(least, "component").select(F.col("node").alias("id"), "component_id")
+    figures = links.join(nodes, "id", "full").join(top, "id").select("c1", "c2", "links", "component_id")
+    table = classes.join(figures, ["c1", "c2"], "left")
+    table = table.select("c1", "c2", "class_id", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component_id", "class_id").alias("component_id"))
+    out = signed.select("doc_id", "text_key", "c1", "c2").join(table, ["c1", "c2"])
+    return out.select("doc_id", "class_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "text_key")
 
 
 def op1_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -81,14 +81,46 @@ def test_ngram_join_is_brute_force(spark):
     assert ngram_join.ngram_join(docs(spark, texts).limit(0)).count() == 0
 
 
-def test_one_hot_bucket_in_blocks(spark):
-    members = spark.createDataFrame([(i, 1, [5]) for i in range(40)], "id long, weight long, keys array<long>")
-    dealt = blocks.tasks(members, 8, 1 << 40)
-    payload = members.select("id", F.lit(2).cast("long").alias("size"), "keys", F.col("id").alias("value"))
-    links, edges = blocks.summed(blocks.compare(dealt, payload, "value long", lambda v: np.abs(np.subtract.outer(v, v)) <= 1, lambda column: column.to_pylist()))
-    got = {r.id: r.links for r in links.collect()}
-    assert got == {i: 4 - 2 * (i in (0, 39)) for i in range(40)}
-    assert {r.component for r in common.components(edges).collect()} == {0}
+def test_one_hot_bucket_in_blocks(spark, monkeypatch):
+    members = spark.createDataFrame([(i, 1, 5) for i in range(40)], "id long, weight long, bucket long")
+    payload = members.select("id", F.col("id").alias("member"), F.lit(2).cast("long").alias("size"), F.array(F.lit(5)).cast("array<long>").alias("keys"), F.col("id").alias("value"))
+    near = lambda v, some: np.abs(np.subtract.outer(v[some], v)) <= 1
+    whole = lambda column: column.to_pylist()
+    monkeypatch.setattr(blocks, "STRIP", 3)
+    for size in (8, 100):
+        dealt = blocks.tasks(members, size, 1 << 40)
+        links, edges = blocks.summed(blocks.compare(dealt, payload, "value long", near, whole))
+        got = {r.id: r.links for r in links.collect()}
+        assert got == {i: 4 - 2 * (i in (0, 39)) for i in range(40)}
+        assert {r.component for r in common.components(edges).collect()} == {0}
+        _, edges = blocks.summed(blocks.compare(dealt, payload.select("id", "member", "value"), "value long", near, whole, count=False))
+        got = common.components(edges).collect()
+        assert len(got) == 40 and {r.component for r in got} == {0}
+
+
+def test_line_signatures_agree_as_often_as_sets_are_alike():
+    rng = np.random.default_rng(1)
+    signer, got = line_dedup.LineSigner(24, 5), {}
+    for n in (1, 6, 40, 3000):
+        for shared in (0.5, 0.8, 1.0):
+            agree = []
+            for _ in range(12 if n > 100 else 40):
+                x = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+                k = round(n * 2 * shared / (1 + shared))
+                a, b = x[:n], np.concatenate((x[:k], x[n : 2 * n - k]))
+                s = signer.signatures(np.concatenate((a, np.sort(b))), np.array([n, n]))
+                agree.append((s[0] == s[1]).mean() - k / (2 * n - k))
+            got[n, shared] = np.mean(agree)
+    assert all(abs(v) < 0.05 for v in got.values()), got
+
+
+def test_long_lines_hash_in_chunks(monkeypatch):
+    line = words(random.Random(3), 900)
+    want = line_dedup.shingle_set(line)
+    assert len(want) == len({line[i : i + 5] for i in range(len(line) - 4)})
+    keys = line_dedup.LineSigner(24, 5)([line, line[:100]])
+    monkeypatch.setattr(line_dedup, "CHUNK", 70)
+    assert (line_dedup.shingle_set(line) == want).all() and (line_dedup.LineSigner(24, 5)([line, line[:100]]) == keys).all()
 
 
 def test_packing(spark):
@@ -246,9 +278,9 @@ def test_line_dedup_is_brute_force(spark):
     places, up = {}, {}
     for i, t in enumerate(texts):
         for p, line in enumerate((t or "").split("\n")):
-            if len(line) >= 10 and line.strip():
+            if line.strip():
                 places.setdefault(line, []).append((i, p))
-    sets = {x: {x[i : i + 9] for i in range(max(1, len(x) - 8))} for x in places}
+    sets = {x: {x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in places}
 
     def find(x):
         while up.setdefault(x, x) != x:
