@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -26,24 +26,24 @@ def bucket_keys(hashes: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
     return ((hashes & np.uint64((1 << bits) - 1)) | tables).astype(np.int64)
 
 
-def tasks(rows: DataFrame, block_rows: int, block_weight: int) -> DataFrame:
-    """rows (id, weight, bucket) -> (id, bucket, first, second, own).
+def tasks(rows: DataFrame, block_rows: int, block_weight: int, weight: Column | None = None) -> DataFrame:
+    """rows (id, bucket, and weight, unless `weight` is one of their columns) -> rows with first, second, own.
 
     Buckets of one member go, and of buckets with the very same members the first table's stays.
     first <= second are the two blocks a task compares, own is the member's. A block has about
     block_rows members or block_weight of their weights.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # counted and joined on the bucket: one exchange serves both, if both have the join's own filter
+    # counted and joined on the bucket: one exchange serves both, if both have the join's own filter and all columns
     rows = rows.where("bucket is not null").repartition(n, "bucket").dropDuplicates(["bucket", "id"])
     of_members = [F.sum(F.xxhash64("id") % (1 << 40)).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("s2")]
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), *of_members).where("n > 1")
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("weight") if weight is None else weight).alias("weight"), *of_members).where("n > 1")
     kept = sizes.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket"), F.min("weight").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("weight") / block_weight), F.lit(1)).cast("int")
     kept = kept.select("bucket", blocks.alias("blocks"))
     at = rows.join(kept, "bucket").withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int"))
     at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return at.select("id", "bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own")
+    return at.select(*rows.columns, F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own")
 
 
 #: Rows of a task that are compared with all its members at once: matrices have so many rows at most.

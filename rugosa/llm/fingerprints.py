@@ -6,14 +6,15 @@ r, c ~ Gamma(2, 1) and b ~ U(0, 1) fixed for each shingle and k (improved consis
 sampling), together with its t. Two signatures agree at k with a probability equal to the
 generalised Jaccard similarity sum(min(w)) / sum(max(w)) of the bags.
 
-The variates are drawn once into a table that a shingle's hash points into; what the signature
-keeps of a sample is a hash of the whole 64-bit shingle and t, so shingles that share a table row
-are never taken for one another.
+Variates are drawn once into tables. Two parts of a shingle's hash point into them, one for c and one
+for r and b, so that two shingles have the same variates only if 2 x ROWS_LOG2 bits agree; what the
+signature keeps of a sample is a hash of the whole 64-bit shingle and t.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ from .common import Words, batches, cut, mix64, shingles
 SAMPLES = 128
 ROWS_LOG2 = 16
 WORDS = 5
+#: Documents of a run that one task goes through in order.
+RUN_ROWS = 20_000
 #: Shingles looked at together, so that memory stays small for very long texts.
 BLOCK = 1024
 
@@ -36,27 +39,29 @@ class Sampler:
     def __init__(self, samples: int = SAMPLES, rows_log2: int = ROWS_LOG2, n: int = WORDS, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
         size = (1 << rows_log2, samples)
-        self.n, self.samples, self.mask = n, samples, np.uint64((1 << rows_log2) - 1)
+        self.n, self.samples, self.mask, self.shift = n, samples, np.uint64((1 << rows_log2) - 1), np.uint64(rows_log2)
         self.r = rng.standard_gamma(2.0, size, np.float32)
         self.c = np.log(rng.standard_gamma(2.0, size, np.float32))
         self.b = rng.random(size, np.float32)
-        self.once = self.c - self.r * (np.floor(self.b) - self.b + 1)  # ln a at weight 1
+        self.once = self.r * (1 - self.b)  # ln a at weight 1 is ln c less this
         self.k = np.arange(samples)
-        self.held, self.equal = np.empty((BLOCK, samples), np.float32), np.empty((BLOCK, samples), bool)
+        self.held, self.less, self.equal = np.empty((BLOCK, samples), np.float32), np.empty((BLOCK, samples), np.float32), np.empty((BLOCK, samples), bool)
         self.words = Words()
 
     def _one(self, hashes: np.ndarray) -> np.ndarray:
         terms, weights = np.unique(hashes, return_counts=True)
-        row = (terms & self.mask).astype(np.int64)
+        row, of_c = (terms & self.mask).astype(np.int64), ((terms >> self.shift) & self.mask).astype(np.int64)
         best, at, t = np.full(self.samples, np.inf, np.float32), np.zeros(self.samples, np.int64), np.zeros(self.samples, np.int64)
         for begin in range(0, len(row), BLOCK):
             part, w = row[begin : begin + BLOCK], weights[begin : begin + BLOCK]
-            a = self.once.take(part, axis=0, out=self.held[: len(part)], mode="clip")
+            c = of_c[begin : begin + BLOCK]
+            a = self.c.take(c, axis=0, out=self.held[: len(part)], mode="clip")
+            a -= self.once.take(part, axis=0, out=self.less[: len(part)], mode="clip")
             steps = np.zeros(a.shape, np.int64) if (more := np.flatnonzero(w > 1)).size else None
             if more.size:
                 r, b = self.r[part[more]], self.b[part[more]]
                 s = np.floor(np.log(w[more]).astype(np.float32)[:, None] / r + b)
-                a[more] = self.c[part[more]] - r * (s - b + 1)
+                a[more] = self.c[c[more]] - r * (s - b + 1)
                 steps[more] = s
             least = a.min(axis=0)
             hit = np.flatnonzero(np.equal(a, least, out=self.equal[: len(part)]))[::-1]  # several times faster than argmin along this axis
@@ -141,7 +146,10 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES, seed: int = 5, c
     Two texts without words are alike (1); one with and one without are not (0). An empty table
     gives an empty one. Extra columns are ignored.
     """
-    n = chunks or max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if chunks is None:
+        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        chunks = max(1, least, math.ceil(docs.count() / RUN_ROWS))
+    n = chunks
     dealt = ordered_chunks(docs.select("doc_id", "text"), n, ["doc_id", "text"])
     dealt = dealt.repartition(n, "chunk").withColumn("h", F.xxhash64("text")).sortWithinPartitions("chunk", "tail", F.col("doc_id").asc_nulls_first(), "h")
 

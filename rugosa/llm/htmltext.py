@@ -21,8 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Comments, other declarations and end tags without a name, and tags. A value has quotes only right
+#: behind its =; another one ends at white space or >.
+TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*(?:>|\Z))"""
+    r"""|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)|[^=>]|=)*+)(?:>|\Z)""",
+    re.S,
+)
+ATTR = re.compile(r"""([^\s=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NAMING = frozenset("class id role itemprop aria-label".split())
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -74,40 +81,47 @@ class Node:
         self.foreign = (parent.foreign if parent else None) or (self if tag in FOREIGN else None)  # the svg or math it is or lies in
         self.tokens = 0
         for m in ATTR.finditer(attrs) if attrs else ():
+            if m[1].lower() not in NAMING:
+                continue
             for w in WORD.findall(CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower()):
                 for g in TOKEN_OF.get(w, ()):
                     self.tokens |= 1 << g
 
 
-def parse(source: str) -> Node:
-    """A tree of elements; `items` hold text and children in page order. Bad markup is repaired as it comes."""
-    root = node = Node("html", None)
+def parse(source: str, element: type = Node) -> Node:
+    """A tree of elements; `items` hold text and children in page order. Bad markup is repaired as it comes.
+
+    `element` makes an element of its tag, parent and attributes.
+    """
+    root = node = element("html", None)
     at, n = 0, len(source)
     while at < n:
         m = TOKEN.search(source, at)
+        text = source[at : m.start() if m else n]
+        if text:
+            if node.tag == "head" and not text.isspace():
+                node = node.parent  # text ends the head
+            node.items.append(text)
         if m is None:
-            node.items.append(source[at:])
             break
-        if m.start() > at:
-            node.items.append(source[at : m.start()])
         at = m.end()
-        tag = m[2] or m[5]
+        tag = m[2]
         if not tag:
             continue
         tag = tag.lower()
-        if m[1] or m[4]:
+        if m[1]:
             x, block = node, tag in BLOCK
             while x is not root and x.tag != tag and (block or x.tag not in BLOCK):
                 x = x.parent
             if x is not root and x.tag == tag:
                 node = x.parent
             continue
-        attrs = m[3] or m[6] or ""
+        attrs = m[3]
         foreign = node.foreign is not None or tag in FOREIGN
         closed = foreign and attrs.endswith("/") and not UNQUOTED.search(attrs)
         if tag == "title" and node.foreign is not None:
             if not closed:
-                node = Node("title", node)  # as head: a drawing's name is never read
+                node = element("title", node)  # as head: a drawing's name is never read
             continue
         if tag in RAW:
             if closed:
@@ -123,7 +137,7 @@ def parse(source: str) -> Node:
         if tag in ("html", "body"):
             continue
         if tag == "head":
-            node = Node("head", node)  # not linked to its parent: its text is never read
+            node = element("head", node)  # not linked to its parent: its text is never read
             continue
         if node.tag == "head" and tag == "noscript":
             continue
@@ -151,7 +165,7 @@ def parse(source: str) -> Node:
         if tag == "br":
             node.items.append(" ")
             continue
-        child = Node(tag, node, attrs)
+        child = element(tag, node, attrs)
         if child.foreign is None or child.foreign is child:
             node.children.append(child)
         else:
@@ -474,32 +488,33 @@ class Layouts:
 KEPT = re.compile(r"\sk(?=[\s>])")
 
 
-def train(pages: int = 450, seed: int = 8) -> BoostedTrees:
-    """Trees fitted on so many made-up pages; an element above a kept one is kept."""
-    layouts, xs, ys = Layouts(seed), [], []
-    real = Node.__init__
+class MarkedNode(Node):
+    """An element of a made-up page, labelled by the attribute k."""
 
-    def noted(self, tag, parent, attrs=""):
-        real(self, tag, parent, KEPT.sub("", attrs))
+    __slots__ = ()
+
+    def __init__(self, tag: str, parent: Node | None, attrs: str = "") -> None:
+        super().__init__(tag, parent, KEPT.sub("", attrs))
         self.label = bool(KEPT.search(attrs + " "))
 
-    Node.__init__ = noted
-    try:
-        for _ in range(pages):
-            order = nodes_of(parse(layouts.page()))
-            for x in reversed(order):
-                x.label = x.label or any(c.label for c in x.children)
-            xs.append(features(order))
-            ys.append(np.array([x.label for x in order], float))
-    finally:
-        Node.__init__ = real
+
+def train(pages: int = 450, seed: int = 8) -> BoostedTrees:
+    """Trees fitted on so many made-up pages; an element above a kept one is kept."""
+    layouts, xs, ys = Layouts(seed), [], []
+    for _ in range(pages):
+        order = nodes_of(parse(layouts.page(), MarkedNode))
+        for x in reversed(order):
+            x.label = x.label or any(c.label for c in x.children)
+        xs.append(features(order))
+        ys.append(np.array([x.label for x in order], float))
     return BoostedTrees().fit(np.concatenate(xs), np.concatenate(ys))
 
 
 def extract_text(pages: DataFrame, html_column: str = "html", keep: tuple = ("page_id", "url"), training_pages: int = 450) -> DataFrame:
     """`keep`, text and n_chars (code points) of every page. Null html counts as empty and gives ''.
 
-    Whole pages are read, however long; repeated rows each get a row.
+    Whole pages are read, however long; repeated rows each get a row. Columns that aren't named are
+    ignored. An empty table gives an empty one.
     """
     model = pages.sparkSession.sparkContext.broadcast(train(training_pages))
     types = dict(pages.dtypes)

@@ -178,8 +178,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = 1) -
     seen, forget = stored(lines.select("doc_id", "r1", "r2", "pos", c1.alias("c1"), F.xxhash64(F.lit(SEED), "line").alias("c2"), F.length("line").alias("length")))
 
     buckets = signed_buckets(lines.where(F.length("line") >= SHINGLE).select(number(c1, F.length("line")).alias("id"), "line"), bands, rows)
-    weight = F.col("id").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).alias("weight")
-    dealt = cut(blocks.tasks(buckets.select("id", weight, "bucket"), 512, 500_000))
+    length = F.col("id").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
+    dealt = cut(blocks.tasks(buckets, 512, 500_000, length))
     met = cut(dealt.select("id").distinct())
     # one place of each class that met another
     at = F.min(F.struct("r1", "r2", "pos")).alias("at")

@@ -20,23 +20,51 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batches, cut
 
-#: Chunks of text kept with their ids by each worker: two generations of this many at most.
-CACHE = 300_000
+#: Bytes that a worker's caches of chunks and of pieces may take, each in two generations; an entry takes about ENTRY.
+CHUNK_BYTES, PIECE_BYTES, ENTRY = 80_000_000, 30_000_000, 220
 #: Longer chunks are tokenised anew each time.
 CACHED_BYTES = 40
+#: Chunks of which the pieces below are exactly those of the tokenizer: characters whose classes and
+#: normal forms are the same in all versions of Unicode.
+SIMPLE = regex.compile(r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
+# How the tokenizer cuts a text into pieces; each ends with one token that ends a word.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+END = "</w>"
+
+
+class Cache:
+    """Values by key in two generations: what wasn't asked for during a generation goes with the next but one."""
+
+    def __init__(self, most_bytes: int) -> None:
+        self.most = most_bytes // 2 // ENTRY
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """Those of the keys that have no value; the others' are in `new` from now on."""
+        left = keys.difference(self.new)
+        again = left.intersection(self.old)
+        self.new.update((k, self.old[k]) for k in again)
+        return list(left - again)
+
+    def trim(self) -> None:
+        if len(self.new) > self.most:
+            self.old, self.new = self.new, {}
 
 
 class ChunkTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     The tokenizer never joins characters over a blank or a line feed, and lowers case, so a text's
-    ids are those of its chunks between blanks and line feeds, of which most are met again and again.
-    Where a special token's opening is in the text, its case is kept.
+    ids are those of its chunks between blanks and line feeds, and a chunk's are those of its pieces:
+    runs of letters, digits, and runs of other characters. Most are met again and again. Where a
+    special token's opening is in the text, its case is kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,29 +72,51 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.new: dict[bytes, bytes] = {b"": b""}
-        self.old: dict[bytes, bytes] = {}
-
-    def _ids(self, chunks: list[bytes]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)]
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(END)]] = True
+        self.chunks, self.pieces = Cache(CHUNK_BYTES), Cache(PIECE_BYTES)
+
+    def _ids(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, tokenised as one text and cut behind the tokens that end a word."""
+        if not pieces:
+            return []
+        ids = np.array(self.tok.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(pieces) or cuts[-1] != len(ids):
+            return self._ids(pieces)
+        raw, cuts = ids.astype("<u4").tobytes(), (4 * cuts).tolist()
+        return [raw[i:j] for i, j in zip([0, *cuts], cuts)]
+
+    def _of_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        texts = [c.decode() for c in chunks]
+        cut = [PIECE.findall(t.lower()) if (t.isascii() and t.isprintable() or SIMPLE.fullmatch(t)) and "<|" not in t else None for t in texts]
+        new = self.pieces.missing(set().union(*[c for c in cut if c is not None]))
+        self.pieces.new.update(zip(new, self._of_pieces(new)))
+        of, odd = self.pieces.new, iter(self._ids([t for t, c in zip(texts, cut) if c is None]))
+        out = [b"".join([of[x] for x in c]) if c is not None else next(odd) for c in cut]
+        for x in new:
+            if len(x) > CACHED_BYTES:
+                del of[x]
+        self.pieces.trim()
+        return out
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         for i, j in batches(texts, 500_000):
             split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts[i:j]]
-            new, old = self.new, self.old
-            missing = set().union(*split).difference(new)
-            again = missing.intersection(old)
-            new.update((c, old[c]) for c in again)
-            missing = list(missing - again)
-            ids = self._ids(missing)
-            new.update(zip(missing, ids))
+            self.chunks.new[b""] = b""
+            missing = self.chunks.missing(set().union(*split))
+            new = self.chunks.new
+            new.update(zip(missing, self._of_chunks(missing)))
             for chunks in split:
                 yield b"".join(map(new.__getitem__, chunks))
             for c in missing:
                 if len(c) > CACHED_BYTES:
                     del new[c]
-            if len(new) > CACHE:
-                self.old, self.new = new, {b"": b""}
+            self.chunks.trim()
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
@@ -160,11 +210,11 @@ def best_fit_plan(lengths: np.ndarray, counts: np.ndarray, max_tokens: int, max_
     return plan
 
 
-def pack_best_fit(pieces: DataFrame, max_tokens: int = 4096, max_docs: int | None = None, max_cost: float | None = None, weights: tuple = (1.0, 0.0, 0.0), score: str = "norm", shards: int = 256) -> DataFrame:
+def pack_best_fit(pieces: DataFrame, max_tokens: int = 4096, max_docs: int | None = None, max_cost: float | None = None, weights: tuple = (1.0, 0.02, 0.02), score: str = "norm", shards: int = 256) -> DataFrame:
     """The pieces (doc_id, piece, length, ...) with sequence_id and offset.
 
     max_docs and max_cost bound a sequence's documents and its sum of squared lengths; by default
-    neither is tighter than max_tokens. An item must fit an empty sequence, or this raises
+    neither is tighter than max_tokens; all three count in choosing a sequence. An item must fit an empty sequence, or this raises
     ValueError. Sequences are gapless from offset 0. Repeated rows are packed one by one. An empty
     table gives an empty one. `pieces` is read three times: pass a checkpointed or stored table.
 

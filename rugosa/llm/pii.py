@@ -1,8 +1,9 @@
 """Personal data by bootstrapped contextual extraction (DataFrame functions only).
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. They are the seeds: the
-word before a seed, and whether a name or a number stands there, make a lexical pattern, and all
-identifier-like strings of the corpus, seeds or not, are the instances that patterns extract.
+word before a seed, the word after it, and both together, each with whether a name or a number
+stands there, make lexical patterns, and all identifier-like strings of the corpus, seeds or not, are
+the instances that patterns extract.
 Pattern confidence and instance confidence are scored against one another over the graph of
 pattern-instance pairs for a few rounds, and instances that confident patterns extract are added
 as spans of the kind that the pattern's seeds have.
@@ -25,11 +26,13 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9]++(?:[ -][0-9]++)*+"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: identifier-like strings: digits with separators, or a name at a host in any spelling
-CANDIDATE = r"(?:\G|(?<![A-Za-z0-9._%+-]))(?:[A-Za-z0-9._%+-]++ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]++(?:(?:\.| ?\[dot\] ?|\(dot\))[A-Za-z0-9-]++)*+)|[+(]?[0-9][0-9() .-]{5,}[0-9]"
+#: identifier-like strings: digits with separators of any kind, or a name at a host in any spelling
+AT, DOT = r" ?(?:@|\[at\]|\(at\)|\{at\}) ?", r"(?:\.| ?\[dot\] ?| ?\(dot\) ?| ?\[\.\] ?)"
+NAME = rf"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++{AT}[A-Za-z0-9-]++(?:{DOT}[A-Za-z0-9-]++)*+"
+CANDIDATE = NAME + r"|[+(]?[0-9][0-9() ./_:\[\]-]{5,}[0-9]"
 #: stands around matches while a text is split; in texts it is replaced by another character
 MARK, OTHER = "\ue000", "\ufffd"
-SPAN = "struct<s:int,e:int,t:string,l:string>"
+SPAN = "struct<s:int,e:int,t:string,l:string,r:string>"
 
 
 def _parts(text: Column, pattern: str, guard: Column) -> Column:
@@ -39,8 +42,8 @@ def _parts(text: Column, pattern: str, guard: Column) -> Column:
 
 
 def _spans(parts: str) -> Column:
-    """Of a column of `_parts`: start, end, text, and up to 40 characters before, of each match."""
-    step = f"""named_struct('at', s.at + length({parts}[i]), 'out', if(i % 2 = 1, array_append(s.out, named_struct('s', s.at, 'e', s.at + length({parts}[i]), 't', {parts}[i], 'l', right({parts}[i - 1], 40))), s.out))"""
+    """Of a column of `_parts`: start, end, text, and up to 40 characters on either side, of each match."""
+    step = f"""named_struct('at', s.at + length({parts}[i]), 'out', if(i % 2 = 1, array_append(s.out, named_struct('s', s.at, 'e', s.at + length({parts}[i]), 't', {parts}[i], 'l', right({parts}[i - 1], 40), 'r', left({parts}[i + 1], 40))), s.out))"""
     return F.expr(f"aggregate(sequence(0, size({parts}) - 1), named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)), (s, i) -> {step}, s -> s.out)")
 
 
@@ -91,24 +94,32 @@ def find_personal_data(docs: DataFrame, least: float = 0.8, support: int = 5, ro
     The counts and base_sha256 are those of the base patterns; spans holds these and what the
     bootstrapped patterns add, as kind:start:end by start, then kind, joined by commas. A pattern
     adds what it extracts if its confidence is >= least and at least `support` different instances
-    bear it out, and if it could be of the kind (a card's check digit, an address's four parts, a phone
-    number's 9 to 15 digits); what overlaps a base span is not added. Null counts as empty and has no spans.
-    Rows repeated with equal text get equal spans. An empty table gives an empty one.
+    bear it out, and if it could be of the kind (a name at a host, an address's four parts, a card's 12
+    to 19 digits, a phone number's 7 to 15); what overlaps a base span or a longer added one is not
+    added. Null counts as empty and has no spans. Rows repeated with equal text get equal spans. An
+    empty table gives an empty one. Columns that aren't named in `keep` are ignored.
     """
     d = base_spans(docs.select(*keep, "text"), CANDIDATE).withColumn("key", F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in keep], "text")).withColumn("size", F.coalesce(F.length("text"), F.lit(0)))
     d = cut(d.select(*keep, "key", "size", "base", "found"))
     c = d.where("size(found) > 0").select("key", "size", "base", F.explode("found").alias("x"))
     clash = "exists(base, b -> b.s < x.e and b.e > x.s)"
-    word = F.lower(F.regexp_extract("x.l", r"([\p{L}:=#]+)[^\p{L}]*$", 1))
-    c = c.select("key", "size", "x.s", "x.e", F.sha2(F.lower("x.t"), 256).alias("instance"), F.concat_ws("\t", word, F.when(F.col("x.t").rlike(r"@|\(at\)|\[at\]"), "name").otherwise("number")).alias("pattern"), "x.t", F.try_element_at(F.expr("transform(filter(base, b -> b.s >= x.s and b.e <= x.e), b -> b.k)"), F.lit(1)).alias("kind"), F.expr(clash).alias("clash"))
+    before = F.lower(F.regexp_extract("x.l", r"([\p{L}:=#]+)[^\p{L}]*$", 1))
+    after = F.lower(F.regexp_extract("x.r", r"^[^\p{L}]*([\p{L}]+)", 1))
+    shape = F.when(F.col("x.t").rlike(r"@|[(\[{]at[)\]}]"), "name").otherwise("number")
+    made = F.array(F.concat_ws("\t", F.lit("before"), before, shape), F.concat_ws("\t", F.lit("after"), after, shape), F.concat_ws("\t", F.lit("both"), before, after, shape))
+    c = c.select("key", "size", "x.s", "x.e", F.sha2(F.lower("x.t"), 256).alias("instance"), made.alias("patterns"), "x.t", F.try_element_at(F.expr("transform(filter(base, b -> b.s >= x.s and b.e <= x.e), b -> b.k)"), F.lit(1)).alias("kind"), F.expr(clash).alias("clash"))
     c = cut(c)
-    pairs = cut(c.groupBy("instance", "pattern", "kind").agg(F.count("*").alias("n")))
+    pairs = cut(c.select("instance", F.explode("patterns").alias("pattern"), "kind").groupBy("instance", "pattern", "kind").agg(F.count("*").alias("n")))
     patterns, _ = score_graph(pairs, rounds)
-    strong = patterns.where((F.col("score") >= least) & (F.col("instances") >= support)).groupBy("pattern").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("p")).select("pattern", (-F.col("p.k")).alias("k"))
+    strong = patterns.where((F.col("score") >= least) & (F.col("instances") >= support)).groupBy("pattern").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("p")).select("pattern", (-F.col("p.k")).alias("k"), "p.score")
     digits = "regexp_replace(t, '[^0-9]', '')"
-    fits = F.expr(f"""case k when 0 then true when 1 then size(split(t, '[^0-9]+')) = 4 and forall(split(t, '[^0-9]+'), p -> cast(p as double) <= 255)
-        when 2 then length({digits}) between 12 and 19 and luhn_check({digits}) else length({digits}) between 9 and 15 end""")
-    added = c.where("not clash").join(strong, "pattern").where(fits).groupBy("key", "size").agg(F.collect_set(F.struct("s", "k", "e")).alias("added"))
+    parts = "filter(split(t, '[^0-9]+'), p -> p <> '')"
+    fits = F.expr(f"""case k when 0 then instr(t, '@') > 0 or lower(t) rlike '[({{\\\\[]at[)}}\\\\]]' when 1 then size({parts}) = 4 and forall({parts}, p -> cast(p as double) <= 255)
+        when 2 then length({digits}) between 12 and 19 else length({digits}) between 7 and 15 end""")
+    open_ = c.where("not clash").select("key", "size", "s", "e", "t", F.explode("patterns").alias("pattern"))
+    # one span and kind for each place: that of its most confident pattern; the number of places is a text's
+    kinds = open_.join(strong, "pattern").where(fits).groupBy("key", "size", "s", "e").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("p"))
+    added = kinds.groupBy("key", "size").agg(F.collect_list(F.struct("s", (-F.col("p.k")).alias("k"), "e")).alias("added"))
     out = d.drop("found").join(added, ["key", "size"], "left")
     names = "element_at(array('email', 'ip', 'card', 'phone'), x.k + 1)"
     text = lambda spans: F.expr(f"concat_ws(',', transform({spans}, x -> concat({names}, ':', x.s, ':', x.e)))")

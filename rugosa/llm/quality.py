@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import fold
 
@@ -127,28 +128,36 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = 1500, max_c
     luck = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), 11) / F.lit(float(1 << 53))
     share = F.when(F.col("quality") == 1, min(1.0, per_label / max(good, 1))).otherwise(min(1.0, per_label / max(n - good, 1)))
     drawn = ids.where(luck < share).dropDuplicates(["doc_id"]).toArrow()  # about 2 x per_label rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(docs.sparkSession.createDataFrame(drawn)), "doc_id").where(F.length("text") <= max_chars)
+    texts = docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(F.broadcast(docs.sparkSession.createDataFrame(drawn)), "doc_id")
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # one of the rows that repeat an id
     sample = sorted((r.doc_id, r.text, r.quality) for r in texts.collect())
     return ByteConvNet().fit([t.encode() for _, t, _ in sample], np.array([q for _, _, q in sample], np.int64), good / n)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: tuple = ("doc_id",), **bounds) -> DataFrame:
-    """`keep`, held_out, score (0 to 1), predicted (1 if score >= threshold) for every document.
-
-    Scores come from the whole text alone; null counts as empty, and empty texts have a score too.
-    Labels of ids that occur several times or not at all in docs do no harm. Where labels show one
-    class or none, every score leans to that class (to 1 for none). Repeated rows each get a row.
-    """
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: tuple = ("doc_id",), **bounds) -> DataFrame:
+    """As `quality_scores`, but with the kept columns in one struct `kept`, so that no names clash."""
     model = docs.sparkSession.sparkContext.broadcast(fit_quality(docs, labels, **bounds))
-    types = dict(docs.dtypes)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            s = model.value.score([t or b"" for t in part.column(part.num_columns - 1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*part.schema.names[:-1], "score", "predicted"])
+            s = model.value.score([t or b"" for t in part.column(2).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["kept", "held_out", "score", "predicted"])
+
+    given = docs.select(F.struct(*keep).alias("kept"), (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("text").cast("binary").alias("text"))
+    schema = StructType([*given.schema.fields[:2], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return given.mapInArrow(run, schema)
 
-    cols = [F.col(c) for c in keep]
-    return docs.select(*cols, (fold(F.col("doc_id")) == 0).alias("held_out"), F.col("text").cast("binary").alias("text_bytes_")).mapInArrow(run, ", ".join(f"`{c}` {types[c]}" for c in keep) + ", held_out boolean, score double, predicted int")
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, keep: tuple = ("doc_id",), **bounds) -> DataFrame:
+    """`keep`, held_out, score (0 to 1), predicted (1 if score >= threshold) for every document.
+
+    Scores come from the whole text alone, however long; null counts as empty, and empty texts have a
+    score too. Labels of ids that occur several times or not at all in docs do no harm, nor do null
+    ids. Where labels show one class or none, every score leans to that class (to 1 for none). Equal
+    texts tie, and repeated rows each get a row. An empty table gives an empty one. Columns that
+    aren't named in `keep` are ignored.
+    """
+    return scored(docs, labels, threshold, keep, **bounds).select("kept.*", "held_out", "score", "predicted")
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:

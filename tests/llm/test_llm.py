@@ -368,6 +368,93 @@ def test_html_letters_that_grow_in_lower_case():
         assert htmltext.extract([article(f"<p>{one}</p>{raw}<p>{two}</p><p>{three}</p>")], model) == ["\n\n".join(["Head line", one, two, three])], raw
 
 
+def test_html_attributes_comments_and_head():
+    model = htmltext.train()
+    one, two, three = "First paragraph of the text, with a number of words in it.", "Second one; it has more words than the first, and a comma.", "Third one ends the story here, with no surprise at all."
+    for first, middle in [
+        ("<p title=it's>", "<p title=it's>"),
+        ('<p title="a > b" lang=en>', "<p class='x' data-a='>'>"),
+        ('<p title=a"b>', '<p alt=c"d>'),
+        ("<p><!-->", "<p><!--->"),
+        ("<p><!-- a > b -->", "<p><!-- c --!>"),
+        ("<p></>", "<p></ x>"),
+        ("<p title = 'a>b'>", "<p =x>"),
+    ]:
+        page = f"<html><body><nav><ul><li><a href=/a>Home</a><li><a href=/b>More things</a></ul></nav><article>{first}{one}</p>{middle}{two}</p><p>{three}</p></article><footer>&copy; us, all rights reserved.</footer>"
+        assert htmltext.extract([page], model) == ["\n\n".join([one, two, three])], first
+    tree = htmltext.parse('<head><title>t</title>some text<p data-x="a class=ad" CLASS=main>b')
+    assert "some text" in tree.items and tree.children[0].tokens == htmltext.Node("p", None, "class=main").tokens
+
+
+def test_decoding_is_the_likeliest_labelling():
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 5, 8):
+        for _ in range(30):
+            nodes = []
+            for i in range(n):
+                up = nodes[rng.integers(0, i)] if i else None
+                nodes.append(htmltext.Node("div", up))
+                if up:
+                    up.children.append(nodes[i])
+            order, stack = [], [nodes[0]]
+            while stack:
+                x = stack.pop()
+                order.append(x)
+                stack.extend(reversed(x.children))
+            z = rng.normal(0, 2, n)
+            htmltext.decode(order, z)
+            best = max((sum(-np.logaddexp(0, -v if k else v) for v, k in zip(z, bits)) for bits in ([m >> i & 1 for i in range(n)] for m in range(1 << n)) if all(x.parent is None or not k or bits[order.index(x.parent)] for x, k in zip(order, bits))))
+            got = sum(-np.logaddexp(0, -v if x.label else v) for v, x in zip(z, order))
+            assert got == pytest.approx(best) and all(x.parent is None or not x.label or x.parent.label for x in order)
+
+
+def test_boosting_takes_the_best_test_and_leaf_values():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 4)).astype(np.float32)
+    y = ((x[:, 1] > 0.3) ^ (rng.random(200) < 0.1)).astype(float)
+    t = htmltext.BoostedTrees(trees=1, depth=1, rate=1.0, bins=8).fit(x, y)
+    q = y.mean()
+    g, h = y - q, np.full(200, q * (1 - q))
+    gain = lambda right: sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (right, ~right))
+    cuts = [(f, c) for f in range(4) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 9)[1:-1]))]
+    best = max(cuts, key=lambda fc: gain(x[:, fc[0]] > fc[1]))
+    ((f, c),), value = t.model[0]
+    assert f == best[0] and c == pytest.approx(best[1], abs=1e-6)
+    right = x[:, f] > best[1]
+    assert value == pytest.approx([g[s].sum() / (h[s].sum() + 1) for s in (~right, right)])
+    assert t.logits(x) == pytest.approx(np.log(q / (1 - q)) + value[right.astype(int)])
+
+
+def test_clashing_columns_and_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    texts = ["A line that is the same in all of these documents.\nAnd one of its own, number %d, with words." % i for i in range(8)] + ODD
+    extra = "score predicted held_out text_bytes_ gone copies m_id text_key kept mine doc lines r1 r2 copy_ rank cell size n_lines_ own_ row".split()
+    d = docs(spark, texts).drop("size").unionByName(docs(spark, texts[:2]).drop("size"))
+    d = d.unionByName(spark.createDataFrame([(None, "no id here, just a few words", None, None, None)], "doc_id long, text string, lang string, source string, n_chars long"))
+    d = d.withColumns({c: F.lit(i) for i, c in enumerate(extra)})
+    spark.createDataFrame([(0, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, d, str(tmp_path))
+        assert out.columns == d.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == i for r in rows for i, c in enumerate(extra)), name
+        assert stage(spark, d.limit(0), str(tmp_path)).count() == 0, name
+    assert corpus_pipeline.sequences(spark, d, str(tmp_path)).count() >= d.count()
+    assert corpus_pipeline.sequences(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
+def test_unseen_identifiers_in_known_contexts(spark):
+    texts = [f"Please dial phone: +1 504 555 {i:04d} today, thanks" for i in range(40)]
+    texts += [f"You can mail to: user{i}@host{i}.org for more of it" for i in range(40)]
+    texts += [f"The order no: {100000 + 37 * i} - {i:04d} left on time" for i in range(40)]
+    hidden = ["Please dial phone: 504/555/7777 today, thanks", "You can mail to: ana [at] host [dot] org for more of it", "They dial phone: (504) 555 1234 and wait"]
+    got = {r.doc_id: r for r in pii.find_personal_data(docs(spark, texts + hidden)).collect()}
+    added = {i: got[i].spans for i in range(80, 123) if got[i].spans}
+    assert added == {120: "phone:19:31", 121: "email:17:40", 122: "phone:17:31"}
+    assert all(got[i].n_phone == (i < 40) and got[i].n_email == (40 <= i < 80) for i in range(123))
+
+
 def test_language(spark):
     rng = random.Random(9)
     kinds = {"aa": "ka to mi ne su ra".split(), "bb": "sch ung ei pf lich ver".split(), "cc": "çé eau oi tion ment què".split()}
