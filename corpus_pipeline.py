@@ -17,38 +17,56 @@ from rugosa.llm.line_dedup import dedup_lines
 from rugosa.llm.mixing import mix_sources
 from rugosa.llm.ngram_join import ngram_join
 from rugosa.llm.packing import pack_documents
-from rugosa.llm.quality import quality_scores
+from rugosa.llm.quality import scored
 
 
-def text_key():
-    """A hash of the text, null counting as empty, as `ngram_join` returns it."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+def held(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, key): each row as a struct, away from working columns, its id and a hash of its text."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), "doc_id", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject.
+
+    Null texts are scored as empty ones, ties alike, repeated rows each; no documents give none.
+    Other columns pass, whatever their names.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_scores(docs, labels, keep=tuple(docs.columns)).where("predicted = 1").select(*docs.columns)
+    return scored(docs, labels, keep=tuple(docs.columns)).where("predicted = 1").select("kept.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, less the lines that occur, or nearly so, in another place; n_chars follows."""
-    done = dedup_lines(docs, least_chars=1)
-    return done.select(*[F.length("text").cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    """Every document, less the lines that occur, or nearly so, in another place; n_chars follows.
+
+    Null texts stay null; of repeated rows each loses the same lines. Other columns pass.
+    """
+    done = dedup_lines(docs)
+    kind = dict(docs.dtypes).get("n_chars")
+    return done.select(*[F.length("text").cast(kind).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that word 5-grams link. Documents without an id stay."""
-    gone = ngram_join(docs).where(~F.col("kept")).select("doc_id", "text_key").distinct()
-    return docs.withColumn("text_key", text_key()).join(gone, ["doc_id", "text_key"], "left_anti").select(*docs.columns)
+    """One document of each group that word 5-grams link: that of the least id.
+
+    Documents without an id stay; null texts count as empty, and equal ones are copies. Rows that
+    repeat both id and text stay or go together. Other columns pass.
+    """
+    gone = ngram_join(docs).where(~F.col("kept")).select("doc_id", F.col("text_key").alias("key")).distinct()
+    return held(docs).join(gone, ["doc_id", "key"], "left_anti").select("doc.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    keyed = docs.withColumn("text_key", text_key())
-    mix = mix_sources(keyed, keep=("doc_id", "text_key")).where("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("text_key").alias("m_key"), F.col("source").alias("m_source"), "copies").dropDuplicates(["m_id", "m_key", "m_source"])
-    taken = keyed.join(mix, (F.col("text_key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")))
-    return taken.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as often as the mix takes it.
+
+    Null and empty texts have no words and no copies but certain ones; a null source is a source; rows
+    that repeat id, text and source are taken alike. Other columns pass.
+    """
+    sized = docs.select("doc_id", "text", "source", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    mix = mix_sources(sized, keep=("doc_id", "key")).where("copies > 0")
+    mix = mix.select(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key"), F.col("source").alias("m_source"), "copies").dropDuplicates(["m_id", "m_key", "m_source"])
+    same = (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("doc.source").eqNullSafe(F.col("m_source"))
+    taken = held(docs).join(mix, same)
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
