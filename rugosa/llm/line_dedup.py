@@ -22,14 +22,15 @@ from . import blocks
 from .common import components, cut, mix64, sent_if_small, stored
 from .ngram_join import band_plan, jaccard_links
 
-SHINGLE, ROWS, RECALL, SEED = 5, 5, 0.9999, 7
+#: Six values a band: with fewer, unrelated lines of a large corpus meet by chance more often than they are worth.
+SHINGLE, ROWS, RECALL, SEED = 5, 6, 0.9999, 7
 LINE = "\n"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Characters hashed or signed together, so that memory stays small.
 CHUNK = 300_000
 #: A line's number in buckets: so many bits of its hash above, its length (up to 2^20 - 1) below.
 #: Two lines may share a number; both are then members, and verifying tells them apart.
-HASH_BITS, LENGTH_BITS = 43, 20
+HASH_BITS, LENGTH_BITS, BUCKET_BITS = 32, 20, 36
 
 
 def powers() -> list[np.uint64]:
@@ -129,7 +130,7 @@ class LineSigner:
             with np.errstate(over="ignore"):
                 for r in range(self.rows):
                     band = mix64(band * BASE + parts[:, :, r] + np.uint64(r + 1))
-            out.append(blocks.bucket_keys(band, 40))
+            out.append(blocks.bucket_keys(band, BUCKET_BITS))
         return np.concatenate(out)
 
 
@@ -186,8 +187,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = 1) -
     where = seen.withColumn("id", number(F.col("c1"), F.col("length"))).join(sent_if_small(met, 32), "id", "left_semi").groupBy("id", "c1", "c2").agg(at)
     where = cut(where.select("id", "c1", "c2", "at.*").withColumn("member", F.monotonically_increasing_id()))
     texts = lines.select("r1", "r2", "pos", "line").join(sent_if_small(where.select("id", "member", "r1", "r2", "pos"), 100), ["r1", "r2", "pos"])
-    payload = texts.select("id", "member", "line").dropDuplicates(["member"])  # rows of docs may repeat
-    found = blocks.compare(dealt, payload, "line string", lambda sets, some: jaccard_links(sets, threshold, some), shingle_sets, count=False)
+    payload = texts.select("id", "member", "line")  # rows of docs may repeat: a member then meets itself, which joins nothing
+    found = blocks.compare(sent_if_small(dealt, 80), payload, "line string", lambda sets, some: jaccard_links(sets, threshold, some), shingle_sets, count=False)
     _, edges = blocks.summed(found)
     comps = components(edges)
 
