@@ -51,11 +51,13 @@ PATCH_ROWS = 100_000
 def with_patches(df: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
     """df joined with a table that has one row for each patch.
 
-    The table is computed once and counted: a short one is broadcast, so that the rows of one large
-    patch stay where they are; a longer one is joined by a shuffle on the patch.
+    The table is computed once, up to PATCH_ROWS rows and one more: a short one is broadcast, so that
+    the rows of one large patch stay where they are; a longer one is joined by a shuffle on the patch.
     """
-    table = cut(table)
-    return df.join(F.broadcast(table) if table.count() <= PATCH_ROWS else table, "patch", how)
+    rows = table.limit(PATCH_ROWS + 1).collect()
+    if len(rows) > PATCH_ROWS:
+        return df.join(cut(table), "patch", how)
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, table.schema)), "patch", how)
 
 
 # Upper limits in mm of each comparator's grades, and what lies above and below.
