@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, htmltext, langid, line_dedup, mixing, near_vectors, ngram_join, packing, pii, quality
+from . import filter_audit, fingerprints, htmltext, langid, line_dedup, mixing, near_vectors, ngram_join, packing, pii, quality
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_html_text": htmltext.op8_html_text,
     "op9_language": langid.op9_language,
     "op10_personal_data": pii.op10_personal_data,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op11_filter_audit": filter_audit.OP11_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
