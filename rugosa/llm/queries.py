@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from . import filter_audit, fingerprints, htmltext, langid, line_dedup, mixing, near_vectors, ngram_join, packing, pii, quality
+from . import (
+    divergence,
+    filter_audit,
+    fingerprints,
+    htmltext,
+    langid,
+    line_dedup,
+    mixing,
+    near_vectors,
+    neighbours,
+    ngram_join,
+    packing,
+    pii,
+    quality,
+)
 
 QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
@@ -16,7 +30,10 @@ QUERIES = {
     "op9_language": langid.op9_language,
     "op10_personal_data": pii.op10_personal_data,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_nearest_vectors": neighbours.op13_nearest_vectors,
 }
 ORACLE_SQL: dict[str, str] = {
     "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
