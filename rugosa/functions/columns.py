@@ -44,20 +44,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-#: A table with a row for each patch is broadcast up to so many rows (of a dozen numbers: about 20 MB).
+#: A table with a row for each patch is broadcast up to so many rows (of a few dozen numbers: about 30 MB).
 PATCH_ROWS = 100_000
 
 
-def with_patches(df: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
-    """df joined with a table that has one row for each patch.
+def patch_table(table: DataFrame) -> DataFrame:
+    """A table with about a row for each patch, stored, and marked for broadcast if it has PATCH_ROWS rows at most.
 
-    The table is computed once, up to PATCH_ROWS rows and one more: a short one is broadcast, so that
-    the rows of one large patch stay where they are; a longer one is joined by a shuffle on the patch.
+    Joined with one, the rows of a single large patch stay where they are; beyond the bound the join
+    shuffles on the patch. What reaches the driver is a count.
     """
-    rows = table.limit(PATCH_ROWS + 1).collect()
-    if len(rows) > PATCH_ROWS:
-        return df.join(cut(table), "patch", how)
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(rows, table.schema)), "patch", how)
+    table = cut(table)
+    return F.broadcast(table) if table.count() <= PATCH_ROWS else table
+
+
+def with_patches(df: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """df joined with a table that has one row for each patch, which is computed once."""
+    return df.join(patch_table(table), "patch", how)
 
 
 # Upper limits in mm of each comparator's grades, and what lies above and below.

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clip, cut, with_patches
+from ..functions.columns import clip, cut, patch_table, with_patches
 from ..functions.quantiles import percentiles
 
 TILE = 512
@@ -43,13 +43,14 @@ def extents(points: DataFrame) -> DataFrame:
     return points.groupBy("patch").agg(F.count("*").alias("n"), F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"))
 
 
-def scatter(points: DataFrame, pitch: float) -> DataFrame:
+def scatter(points: DataFrame, pitch: float, box: DataFrame | None = None) -> DataFrame:
     """Bilinear scatter of (patch, u, v, w): (patch, iy, ix, sw, swz), origins at the least u and v.
 
     Points of one cell are summed for its four corners before anything is multiplied, so the rows
-    that are spread to corners are occupied cells, not points.
+    that are spread to corners are occupied cells, not points. `box`: the patches' extents, if they are
+    known; points of other patches are left out.
     """
-    box = extents(points)
+    box = extents(points) if box is None else box
     steps = lambda a, b: F.ceil((F.col(b) - F.col(a)) / pitch).cast("long") + 1
     box = box.select("patch", "u0", "v0", steps("u0", "u1").alias("w_"), steps("v0", "v1").alias("h_"))
     d = with_patches(points, box)
@@ -120,9 +121,29 @@ def shifted(a: np.ndarray, dy: int, dx: int, fill=0.0) -> np.ndarray:
     return out
 
 
+def correlated(a: np.ndarray, b: np.ndarray, reach: int) -> np.ndarray:
+    """c[dy + reach, dx + reach] = sum of a[y, x] b[y + dy, x + dx] over the cells, by FFT, up to `reach` each way."""
+    size = [n + reach for n in a.shape]
+    c = np.fft.irfft2(np.conj(np.fft.rfft2(a, size)) * np.fft.rfft2(b, size), size)
+    k = np.arange(-reach, reach + 1)
+    return c[np.ix_(k % size[0], k % size[1])]
+
+
+def summed_around(a: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """b[y, x] = sum of kernel[dy + r, dx + r] a[y + dy, x + dx], by FFT; the kernel is 2 r + 1 cells a side."""
+    r = len(kernel) // 2
+    size = [n + 2 * r for n in a.shape]
+    b = np.fft.irfft2(np.fft.rfft2(a, size) * np.fft.rfft2(kernel[::-1, ::-1], size), size)
+    return b[r : r + a.shape[0], r : r + a.shape[1]]
+
+
 CROSS = ((-1, 0), (1, 0), (0, -1), (0, 1))
 
 
+#: From so many displacements on, sums over them are taken by FFT.
+MANY_OFFSETS = 100
+
+
 def fill_holes(grid: DataFrame, rounds: int = 8) -> DataFrame:
     """Fills cells that aren't valid: rounds of the mean of known neighbours, then the mean of the valid.
 
@@ -131,17 +152,7 @@ def fill_holes(grid: DataFrame, rounds: int = 8) -> DataFrame:
     """
 
     def program(a: dict, inside: np.ndarray, core: np.ndarray) -> dict:
-        known = a["valid"] & inside
-        z = np.where(known, a["z"], 0.0)
-        for _ in range(rounds):
-            if known[inside].all():
-                break
-            n = sum(shifted(known.astype(float), *o) for o in CROSS)
-            s = sum(shifted(np.where(known, z, 0.0), *o) for o in CROSS)
-            new = inside & ~known & (n > 0)
-            z = np.where(new, s / np.maximum(n, 1), z)
-            known = known | new
-        return {"z": np.where(known, z, np.nan), "valid": a["valid"]}
+        return {"z": _filled(a["z"], a["valid"] & inside, rounds, inside), "valid": a["valid"]}
 
     filled = tiled(grid, rounds, program, f"patch {dict(grid.dtypes)['patch']}, iy int, ix int, z double, valid boolean")
     mean = grid.where("valid").groupBy("patch").agg(F.avg("z").alias("m"))
@@ -149,10 +160,60 @@ def fill_holes(grid: DataFrame, rounds: int = 8) -> DataFrame:
     return rest.select("patch", "iy", "ix", F.when(F.col("z").isNull() | F.isnan("z"), F.coalesce("m", F.lit(0.0))).otherwise(F.col("z")).alias("z"), "valid")
 
 
-def rasterize(points: DataFrame, pitch: float) -> tuple[DataFrame, DataFrame]:
-    """(filled grid with validity, shape) of (patch, u, v, w) points."""
-    grid, shape = trimmed(scatter(points, pitch))
-    return fill_holes(grid), shape
+def _filled(z: np.ndarray, known: np.ndarray, rounds: int, inside: np.ndarray | bool = True) -> np.ndarray:
+    """z with `rounds` rounds of the mean of known neighbours; NaN where a cell stays unknown."""
+    z = np.where(known, z, 0.0)
+    for _ in range(rounds):
+        if known.all():
+            break
+        n = sum(shifted(known.astype(float), *o) for o in CROSS)
+        s = sum(shifted(np.where(known, z, 0.0), *o) for o in CROSS)
+        new = inside & ~known & (n > 0)
+        z = np.where(new, s / np.maximum(n, 1), z)
+        known = known | new
+    return np.where(known, z, np.nan)
+
+
+def rasterize(points: DataFrame, pitch: float, box: DataFrame | None = None, rounds: int = 8, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(filled grid with validity, shape) of (patch, u, v, w) points: `trimmed` and `fill_holes` of their `scatter`.
+
+    The points are read twice, for their box and for their cells. The cells are stored; the frame of
+    each patch (its first cell, height, width and mean) comes from them. A tile gets the measured cells
+    in reach and a row of its frame, so that the dense lattice is made where it is filled, without a join.
+    """
+    cells = cut(scatter(points, pitch, box))
+    measured = cells.where("sw > 1e-5").select("patch", "iy", "ix", (F.col("swz") / F.col("sw")).alias("z"))
+    size = lambda c: (F.max(c) - F.min(c) + 1)
+    frame = measured.groupBy("patch").agg(F.min("iy").alias("y0"), F.min("ix").alias("x0"), size("iy").alias("h"), size("ix").alias("w"), F.avg("z").alias("mean"))
+    frame = patch_table(frame)
+    moved = measured.join(frame, "patch").select("patch", (F.col("iy") - F.col("y0")).alias("iy"), (F.col("ix") - F.col("x0")).alias("ix"), "z")
+    reach = lambda c: F.explode(F.sequence(F.floor((F.col(c) - rounds) / tile).cast("int"), F.floor((F.col(c) + rounds) / tile).cast("int")))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("h", "int"), ("w", "int"), ("mean", "double"))]
+    dealt = moved.withColumn("ty", reach("iy")).withColumn("tx", reach("ix")).select("patch", "ty", "tx", "iy", "ix", "z", *none)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.floor((F.col(c) - 1) / tile).cast("int")))
+    marks = frame.withColumn("ty", every("h")).withColumn("tx", every("w"))
+    marks = marks.select("patch", "ty", "tx", *[F.lit(None).cast(t).alias(c) for c, t in (("iy", "int"), ("ix", "int"), ("z", "double"))], "h", "w", "mean")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        patch, ty, tx = key
+        mark = pdf[pdf.h.notna()]
+        if not len(mark):  # in reach of a cell, but outside the patch
+            return pd.DataFrame(columns=["patch", "iy", "ix", "z", "valid"])
+        h, w, mean = int(mark.h.iloc[0]), int(mark.w.iloc[0]), float(mark["mean"].iloc[0])
+        y0, x0 = max(0, ty * tile - rounds), max(0, tx * tile - rounds)
+        shape = (min(h, (ty + 1) * tile + rounds) - y0, min(w, (tx + 1) * tile + rounds) - x0)
+        some = pdf[pdf.h.isna()]
+        at = (some.iy.to_numpy().astype(int) - y0, some.ix.to_numpy().astype(int) - x0)
+        known, z = np.zeros(shape, bool), np.zeros(shape)
+        known[at], z[at] = True, some.z.to_numpy()
+        z = _filled(z, known, rounds)
+        own = (slice(ty * tile - y0, (ty + 1) * tile - y0), slice(tx * tile - x0, (tx + 1) * tile - x0))
+        z, known = np.where(np.isnan(z), mean, z)[own], known[own]
+        iy, ix = np.indices(z.shape)
+        return pd.DataFrame({"patch": patch, "iy": (iy + ty * tile).ravel(), "ix": (ix + tx * tile).ravel(), "z": z.ravel(), "valid": known.ravel()})
+
+    filled = dealt.unionByName(marks).groupBy("patch", "ty", "tx").applyInPandas(run, f"patch {dict(points.dtypes)['patch']}, iy int, ix int, z double, valid boolean")
+    return filled, frame.select("patch", "y0", "x0", "h", "w")
 
 
 def gaussian_kernel(cutoff: float, pitch: float) -> np.ndarray:
@@ -210,8 +271,7 @@ def laplacian(grid: DataFrame) -> DataFrame:
 
 def noise_floor(grid: DataFrame) -> DataFrame:
     """(patch, noise_um): the scaled median deviation of the Laplacian over valid cells of a filled grid."""
-    lap = laplacian(grid).where("valid")
-    lap = cut(lap)
+    lap = cut(laplacian(grid).where("valid"))
     off = with_patches(lap, percentiles(lap, "z", {"mid": 0.5})).select("patch", F.abs(F.col("z") - F.col("mid")).alias("off"))
     off = percentiles(off, "off", {"mad": 0.5})
     return off.select("patch", (F.col("mad") / 0.6745 / math.sqrt(20) * 1e6).alias("noise_um"))

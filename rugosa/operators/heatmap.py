@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, finite, with_patches
-from .grid import shifted, tiled
+from .grid import MANY_OFFSETS, shifted, summed_around, tiled
 
 
 def disc_offsets(radius: float, pitch: float) -> list[tuple[int, int]]:
@@ -22,13 +22,13 @@ def disc_offsets(radius: float, pitch: float) -> list[tuple[int, int]]:
     return list(zip((y - r).tolist(), (x - r).tolist()))
 
 
-def heatmap(grid: DataFrame, pitch: float, radius: float = 5.0, min_support: int = 12, disc_averaging: bool | None = None) -> DataFrame:
+def heatmap(grid: DataFrame, pitch: float, radius: float = 5.0, min_support: int = 12, disc_averaging: bool | None = None, many: int = MANY_OFFSETS) -> DataFrame:
     """(patch, iy, ix, value in um, null where unsupported) of a grid in mm whose null or NaN cells are unmeasured.
 
     Point mode: the root of half of (z - m)^2 + v, m and v being the mean and variance of the
     measured cells in the disc without its centre; disc mode: the root of 2 v. A cell needs to be
     measured, with at least max(4, min_support) cells around. disc_averaging None reads the
-    environment variable SVR_DISC_AVERAGING.
+    environment variable SVR_DISC_AVERAGING. Discs of `many` cells and more are summed by FFT.
     """
     if pitch <= 0 or radius <= 0:
         raise ValueError("pitch and radius must be above 0")
@@ -36,6 +36,9 @@ def heatmap(grid: DataFrame, pitch: float, radius: float = 5.0, min_support: int
         disc_averaging = os.environ.get("SVR_DISC_AVERAGING", "").strip().lower() in ("1", "true", "yes", "on")
     offsets, least = disc_offsets(radius, pitch), max(4, min_support)
     reach = max([0, *(abs(o) for p in offsets for o in p)])
+    disc = np.zeros((2 * reach + 1, 2 * reach + 1))
+    for dy, dx in offsets:
+        disc[dy + reach, dx + reach] = 1
 
     def program(a: dict, inside: np.ndarray, core: np.ndarray) -> dict:
         z = a["z"]
@@ -43,12 +46,12 @@ def heatmap(grid: DataFrame, pitch: float, radius: float = 5.0, min_support: int
         z = np.where(live, z, 0.0)
         base = z[live].mean() if live.any() else 0.0  # sums about a nearby level lose less
         y = np.where(live, z - base, 0.0)
-        n, s, q = np.zeros(z.shape), np.zeros(z.shape), np.zeros(z.shape)
         mask, square = live.astype(float), y * y
-        for o in offsets:
-            n += shifted(mask, *o)
-            s += shifted(y, *o)
-            q += shifted(square, *o)
+        if len(offsets) >= many:
+            n, s, q = (summed_around(a, disc) for a in (mask, y, square))
+            n = np.rint(n)
+        else:
+            n, s, q = (sum(shifted(a, *o) for o in offsets) + np.zeros(z.shape) for a in (mask, y, square))
         some = np.maximum(n, 1)
         m = s / some
         v = np.maximum(0, q / some - m * m)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .grid import shifted, tiled
+from .grid import MANY_OFFSETS, correlated, shifted, tiled
 
 
 def sa_sq(grid: DataFrame) -> DataFrame:
@@ -30,11 +30,24 @@ def pair_offsets(pitch: float, points: int, span: float) -> list[tuple[int, int,
     return out
 
 
-def variogram(grid: DataFrame, pitch: float, points: int = 10, span: float = 0.0005) -> DataFrame:
+def _pairs_by_fft(z: np.ndarray, first: np.ndarray, live: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each displacement up to `reach`: pairs of a `first` and a live cell, and their squared differences' sum.
+
+    (a - b)^2 is summed as a^2 + b^2 - 2 ab by three correlations, of heights about their mean.
+    """
+    z = np.where(live, z - z[live].mean(), 0.0) if live.any() else np.zeros(z.shape)
+    f, m = first.astype(float), live.astype(float)
+    n = np.rint(correlated(f, m, reach))
+    total = correlated(f * z * z, m, reach) + correlated(f, z * z, reach) - 2 * correlated(f * z, z, reach)
+    return n, np.maximum(0.0, total)
+
+
+def variogram(grid: DataFrame, pitch: float, points: int = 10, span: float = 0.0005, many: int = MANY_OFFSETS) -> DataFrame:
     """(patch, bucket, pairs, total): twice the pairs of valid cells, and twice their squared differences.
 
     Each pair is counted in the tile that holds its first cell, against a halo of the longest
-    displacement; what is shuffled is cells and a few sums for each tile, never pairs.
+    displacement; what is shuffled is cells and a few sums for each tile, never pairs. From `many`
+    displacements on, those of a tile are summed together by FFT instead of one after another.
     """
     offsets = pair_offsets(pitch, points, span)
     halo = math.ceil(points * span / pitch)
@@ -44,13 +57,19 @@ def variogram(grid: DataFrame, pitch: float, points: int = 10, span: float = 0.0
         z = np.where(live, a["z"], 0.0)
         total, pairs = np.zeros(points), np.zeros(points, np.int64)
         first = live & core
-        for dy, dx, b in offsets:
-            both = first & shifted(live, dy, dx, False)
-            n = int(both.sum())
-            if n:
-                d = (z - shifted(z, dy, dx))[both]
-                pairs[b] += 2 * n
-                total[b] += 2 * float(d @ d)
+        if len(offsets) >= many:
+            n, d = _pairs_by_fft(z, first, live, halo)
+            dy, dx, b = np.array(offsets).T
+            np.add.at(pairs, b, 2 * n[dy + halo, dx + halo].astype(np.int64))
+            np.add.at(total, b, 2 * np.where(n > 0, d, 0.0)[dy + halo, dx + halo])
+        else:
+            for dy, dx, b in offsets:
+                both = first & shifted(live, dy, dx, False)
+                n = int(both.sum())
+                if n:
+                    d = (z - shifted(z, dy, dx))[both]
+                    pairs[b] += 2 * n
+                    total[b] += 2 * float(d @ d)
         return pd.DataFrame({"bucket": np.arange(points, dtype=np.int32), "pairs": pairs, "total": total})
 
     kind = dict(grid.dtypes)["patch"]

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import PATCH_ROWS, finite, with_patches
+from ..functions import eigen
+from ..functions.columns import cut, finite, with_patches
 from ..functions.quantiles import percentiles
 
 
@@ -50,17 +51,34 @@ def covariance(points: DataFrame, sample: bool = False, names: str = "xyz") -> D
     return points.groupBy("patch").agg(F.count("*").alias("n"), *[F.avg(x).alias(f"m{x}") for x in names], *[f(x, y).alias(f"c{x}{y}") for x, y in ((a, a), (a, b), (a, c), (b, b), (b, c), (c, c))])
 
 
+COVARIANCES = ("cxx", "cxy", "cxz", "cyy", "cyz", "czz")
+
+
 def matrix(row) -> np.ndarray:
     return np.array([[row.cxx, row.cxy, row.cxz], [row.cxy, row.cyy, row.cyz], [row.cxz, row.cyz, row.czz]], float)
 
 
-def principal_axes(cov: np.ndarray) -> np.ndarray:
-    """Columns: eigenvectors by descending eigenvalue, made right-handed by the last."""
-    _, e = np.linalg.eigh(cov)
-    e = e[:, ::-1].copy()
-    if np.linalg.det(e) < 0:
-        e[:, 2] = -e[:, 2]
-    return e
+def axis_columns(three: list) -> list:
+    """e00 ... e22 of three axes: e{i}{j} is part j of axis i."""
+    return [part.alias(f"e{i}{j}") for i, axis in enumerate(three) for j, part in enumerate(axis)]
+
+
+def principal_axes(stats: DataFrame) -> DataFrame:
+    """(all columns of a `covariance` table, e00 ... e22): each patch's axes by falling variance, right-handed.
+
+    Signs are fixed: the first axis points to +x, the third up (see functions/eigen.py).
+    """
+    d = stats.withColumn("eigen", eigen.eigen(*[F.col(c) for c in COVARIANCES]))
+    return d.select(*stats.columns, *axis_columns(eigen.axes(F.col("eigen"))))
+
+
+def plane_basis(stats: DataFrame) -> DataFrame:
+    """(all columns of a `covariance` table, e00 ... e22): x axis, y axis and normal of each patch's plane.
+
+    The normal points up, the x axis is the global X laid into the plane (Y, where the plane stands across X).
+    """
+    d = stats.withColumn("eigen", eigen.eigen(*[F.col(c) for c in COVARIANCES]))
+    return d.select(*stats.columns, *axis_columns(eigen.plane_axes(F.col("eigen"))))
 
 
 def angles(n: int) -> list[float]:
@@ -110,40 +128,29 @@ def box_scan(points: DataFrame, n_angles: int, u: str = "u", v: str = "v") -> Da
     return every.groupBy("patch").agg(F.min(F.struct("area", "angle", "w", "h")).alias("m")).select("patch", "m.angle", "m.w", "m.h", "m.area")
 
 
-def rotate(points: DataFrame, axes: dict, names=("u", "v", "w"), center: dict | None = None) -> DataFrame:
-    """points with coordinates along each patch's axes: axes[patch] is 3x3 with axes as columns."""
-    spark = points.sparkSession
-    rows = [(p, *[float(x) for x in np.asarray(a).T.ravel()], *[float(x) for x in (center or {}).get(p, (0, 0, 0))]) for p, a in axes.items()]
-    kind = dict(points.dtypes)["patch"]
-    names_ = [f"e{i}{j}" for i in range(3) for j in range(3)]
-    table = spark.createDataFrame(pd.DataFrame(rows, columns=["patch", *names_, "ox", "oy", "oz"])).withColumn("patch", F.col("patch").cast(kind))
-    d = points.join(F.broadcast(table) if len(rows) <= PATCH_ROWS else table, "patch")
-    rel = [F.col(c) - F.col(f"o{c}") for c in "xyz"]
+AXES = [f"e{i}{j}" for i in range(3) for j in range(3)]
+
+
+def rotate(points: DataFrame, axes: DataFrame, names=("u", "v", "w"), centered: bool = False) -> DataFrame:
+    """points with coordinates along each patch's axes: axes has (patch, e00 ... e22), a row a patch.
+
+    If `centered`, they are counted from the means mx, my, mz of the same table. Points of patches
+    without axes are left out.
+    """
+    d = with_patches(points, axes.select("patch", *AXES, *(["mx", "my", "mz"] if centered else [])))
+    rel = [F.col(c) - F.col(f"m{c}") if centered else F.col(c) for c in "xyz"]
     return d.select(*points.columns, *[sum(rel[j] * F.col(f"e{i}{j}") for j in range(3)).alias(n) for i, n in enumerate(names)])
 
 
-def aligned_axes(points: DataFrame, n_angles: int = 90) -> dict:
-    """PCA axes of each patch, turned in the plane to the least bounding box (if it has over 20 points)."""
-    stats = {r.patch: r for r in covariance(points).collect()}  # a row a patch
-    axes = {p: principal_axes(matrix(r)) for p, r in stats.items()}
-    best = {r.patch: r.angle for r in box_scan(rotate(points, axes), n_angles).collect()}
-    out = {}
-    for p, e in axes.items():
-        if stats[p].n > 20:
-            t = angles(n_angles)[best[p]]
-            c, s = math.cos(t), math.sin(t)
-            e = np.stack([c * e[:, 0] - s * e[:, 1], s * e[:, 0] + c * e[:, 1], e[:, 2]], axis=1)
-        out[p] = e
-    return out
-
-
-def plane_basis(cov: np.ndarray) -> np.ndarray:
-    """Columns x axis, y axis, normal: the normal points up, the x axis is the global X laid into the plane."""
-    normal = np.linalg.eigh(cov)[1][:, 0]
-    normal = normal if normal[2] >= 0 else -normal
-    for g in (np.array([1.0, 0, 0]), np.array([0, 1.0, 0])):
-        x = g - normal * (g @ normal)
-        if np.linalg.norm(x) >= 1e-6:
-            break
-    x = x / np.linalg.norm(x)
-    return np.stack([x, np.cross(normal, x), normal], axis=1)
+def aligned_axes(points: DataFrame, n_angles: int = 90) -> DataFrame:
+    """(patch, n, e00 ... e22): PCA axes of each patch, turned in the plane to the least bounding box.
+
+    Patches of up to 20 points aren't turned. A plan: no row of a patch comes to the driver.
+    """
+    axes = cut(principal_axes(covariance(points)).select("patch", "n", *AXES))
+    best = box_scan(rotate(points, axes), n_angles).select("patch", "angle")
+    turn = F.when(F.col("n") > 20, F.col("angle") * F.lit(math.pi / 2) / (n_angles - 1)).otherwise(F.lit(0.0))
+    d = axes.join(best, "patch").withColumn("c", F.cos(turn)).withColumn("s", F.sin(turn))
+    first = [(F.col("c") * F.col(f"e0{j}") - F.col("s") * F.col(f"e1{j}")).alias(f"e0{j}") for j in range(3)]
+    second = [(F.col("s") * F.col(f"e0{j}") + F.col("c") * F.col(f"e1{j}")).alias(f"e1{j}") for j in range(3)]
+    return d.select("patch", "n", *first, *second, *[f"e2{j}" for j in range(3)])

@@ -20,10 +20,11 @@ PITCH, PITCH_MM, SHORT, LONG = 0.001, 1.0, 0.001, 0.025
 SPAN, BINS = 0.0005, 10
 
 
-def lineitem_mm(spark: SparkSession, d: str) -> DataFrame:
+def lineitem_mm(spark: SparkSession, d: str, patch=None) -> DataFrame:
     t = spark.read.parquet(f"{d}/lineitem.parquet")
     y = ((F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_linenumber")) % 1000) / F.lit(20.0)
-    return t.select(F.lit(0).alias("patch"), (F.col("l_extendedprice") / 1000.0).alias("x"), y.alias("y"), (F.col("l_discount") + F.col("l_tax")).alias("z"))
+    patch = F.lit(0) if patch is None else patch
+    return t.select(patch.alias("patch"), (F.col("l_extendedprice") / 1000.0).alias("x"), y.alias("y"), (F.col("l_discount") + F.col("l_tax")).alias("z"))
 
 
 def lineitem_m(spark: SparkSession, d: str) -> DataFrame:
@@ -330,8 +331,12 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows)
 
 
-def _scatter(where: str = "TRUE", pitch: float = PITCH) -> str:
-    return f"""{MM}, m AS (SELECT x * 0.001::DOUBLE AS u, y * 0.001::DOUBLE AS v, z * 0.001::DOUBLE AS w FROM mm), p AS (SELECT * FROM m WHERE {where}),
+METRES = f"{MM}, m AS (SELECT x * 0.001::DOUBLE AS u, y * 0.001::DOUBLE AS v, z * 0.001::DOUBLE AS w FROM mm)"
+
+
+def _scatter(where: str = "TRUE", pitch: float = PITCH, source: str = METRES) -> str:
+    """`source` defines m (u, v, w)."""
+    return f"""{source}, p AS (SELECT * FROM m WHERE {where}),
 box AS (SELECT min(u) AS u0, min(v) AS v0, ceil((max(u) - min(u)) / {pitch}::DOUBLE)::BIGINT + 1 AS w_, ceil((max(v) - min(v)) / {pitch}::DOUBLE)::BIGINT + 1 AS h_ FROM p),
 g AS (SELECT (u - u0) / {pitch}::DOUBLE AS gx, (v - v0) / {pitch}::DOUBLE AS gy, w, w_, h_ FROM p, box),
 c AS (SELECT *, greatest(0, least(floor(gx)::BIGINT, w_ - 2)) AS ix, greatest(0, least(floor(gy)::BIGINT, h_ - 2)) AS iy FROM g),
@@ -340,15 +345,15 @@ k AS (SELECT iy + dy AS iy, ix + dx AS ix, (CASE WHEN dx = 1 THEN fx ELSE 1 - fx
 cells AS (SELECT iy, ix, sum(q) AS sw, sum(q * w) AS swz FROM k GROUP BY iy, ix)"""
 
 
-def _trim(where: str = "TRUE", pitch: float = PITCH) -> str:
-    return _scatter(where, pitch) + """,
+def _trim(where: str = "TRUE", pitch: float = PITCH, source: str = METRES) -> str:
+    return _scatter(where, pitch, source) + """,
 seen AS (SELECT iy, ix, swz / sw AS z FROM cells WHERE sw > 1e-5), lim AS (SELECT min(iy) AS y0, max(iy) AS y1, min(ix) AS x0, max(ix) AS x1 FROM seen),
 lat AS (SELECT y.y AS iy, x.x AS ix FROM lim, unnest(generate_series(0::BIGINT, y1 - y0)) y(y), unnest(generate_series(0::BIGINT, x1 - x0)) x(x)),
 grid AS (SELECT lat.iy, lat.ix, s.z, s.z IS NOT NULL AS valid FROM lat LEFT JOIN (SELECT iy - y0 AS iy, ix - x0 AS ix, z FROM seen, lim) s ON lat.iy = s.iy AND lat.ix = s.ix)"""
 
 
-def _filled(where: str = "TRUE", pitch: float = PITCH) -> str:
-    return _trim(where, pitch) + _rounds("grid", "full_")
+def _filled(where: str = "TRUE", pitch: float = PITCH, source: str = METRES) -> str:
+    return _trim(where, pitch, source) + _rounds("grid", "full_")
 
 
 def _rounds(last: str, name: str) -> str:
@@ -362,17 +367,20 @@ def _rounds(last: str, name: str) -> str:
 {name} AS (SELECT iy, ix, coalesce(z, (SELECT avg(z) FROM {first} WHERE valid), 0.0::DOUBLE) AS z, valid FROM {last})"""
 
 
-def _smooth(name: str, source: str, cutoff: float) -> str:
-    kernel = grid.gaussian_kernel(cutoff, PITCH)
-    taps = _values((i - len(kernel) // 2, float(w)) for i, w in enumerate(kernel))
+def _smooth(name: str, source: str, cutoff: float, pitch: float = PITCH) -> str:
+    """exp(-pi (x / (0.4697 cutoff))^2) at the cells within half a cutoff, over its sum in bounds; x, then y."""
+    half = f"ceil(0.5::DOUBLE * {cutoff}::DOUBLE / {pitch}::DOUBLE)::INT"
     return f""",
-{name}_k AS (SELECT * FROM (VALUES {taps}) t(o, q)),
-{name}_x AS (SELECT a.iy, a.ix, sum(q * b.z) / sum(q) AS z FROM {source} a, {name}_k, {source} b WHERE b.iy = a.iy AND b.ix = a.ix + o GROUP BY a.iy, a.ix),
-{name} AS (SELECT a.iy, a.ix, sum(q * b.z) / sum(q) AS z FROM {name}_x a, {name}_k, {name}_x b WHERE b.ix = a.ix AND b.iy = a.iy + o GROUP BY a.iy, a.ix)"""
+{name}_t AS (SELECT unnest(generate_series(-{half}, {half}))::INT AS o),
+{name}_k AS (SELECT o, exp(-pi() * pow(o * {pitch}::DOUBLE / {cutoff}::DOUBLE / 0.4697::DOUBLE, 2)) AS q FROM {name}_t),
+{name}_x AS (SELECT a.iy, a.ix, sum(q * b.z) / sum(q) AS z FROM {source} a, {name}_k, {source} b
+ WHERE b.iy = a.iy AND b.ix = a.ix + o GROUP BY a.iy, a.ix),
+{name} AS (SELECT a.iy, a.ix, sum(q * b.z) / sum(q) AS z FROM {name}_x a, {name}_k, {name}_x b
+ WHERE b.ix = a.ix AND b.iy = a.iy + o GROUP BY a.iy, a.ix)"""
 
 
-def _rough() -> str:
-    return _filled() + _smooth("s1", "full_", SHORT) + _smooth("s2", "s1", LONG) + """,
+def _rough(pitch: float = PITCH, source: str = METRES) -> str:
+    return _filled("TRUE", pitch, source) + _smooth("s1", "full_", SHORT, pitch) + _smooth("s2", "s1", LONG, pitch) + """,
 rough AS (SELECT s1.iy, s1.ix, s1.z - s2.z AS z, full_.valid FROM s1 JOIN s2 ON s1.iy = s2.iy AND s1.ix = s2.ix JOIN full_ ON s1.iy = full_.iy AND s1.ix = full_.ix)"""
 
 
@@ -409,6 +417,28 @@ hn AS (SELECT a.iy, a.ix, any_value(a.z) AS z, count(b.z) AS n, avg(b.z) AS m, v
 heat AS (SELECT g.iy, g.ix, CASE WHEN n >= 12 THEN {value} * 1000 END AS value FROM {source} g LEFT JOIN hn ON g.iy = hn.iy AND g.ix = hn.ix)"""
 
 
+def _heat_rows_sql(source: str, pitch: float, radius: float = 5.0) -> str:
+    """Point mode; the disc is summed row by row, each row as a difference of running sums. The grid is dense from 0."""
+    most = f"ceil({radius}::DOUBLE / {pitch}::DOUBLE)::INT"
+    return f""",
+span AS (SELECT unnest(generate_series(-{most}, {most}))::INT AS k),
+half AS (SELECT y.k AS dy, max(x.k) AS hw FROM span y, span x
+ WHERE sqrt(x.k * {pitch}::DOUBLE * (x.k * {pitch}::DOUBLE) + y.k * {pitch}::DOUBLE * (y.k * {pitch}::DOUBLE)) <= {radius}::DOUBLE GROUP BY y.k),
+level AS (SELECT avg(z) AS base, max(ix) AS last FROM {source}),
+flat AS (SELECT iy, ix, z - base AS z FROM {source}, level),
+run AS (SELECT iy, ix, count(z) OVER r AS n, coalesce(sum(z) OVER r, 0) AS s, coalesce(sum(z * z) OVER r, 0) AS q
+ FROM flat WINDOW r AS (PARTITION BY iy ORDER BY ix)),
+disc AS (SELECT a.iy, a.ix, any_value(a.z) AS z, sum(h.n - coalesce(l.n, 0)) - 1 AS n,
+  sum(h.s - coalesce(l.s, 0)) - any_value(a.z) AS s, sum(h.q - coalesce(l.q, 0)) - any_value(a.z) * any_value(a.z) AS q
+ FROM flat a CROSS JOIN half o CROSS JOIN level
+ JOIN run h ON h.iy = a.iy + o.dy AND h.ix = least(a.ix + o.hw, level.last)
+ LEFT JOIN run l ON l.iy = a.iy + o.dy AND l.ix = a.ix - o.hw - 1
+ WHERE a.z IS NOT NULL GROUP BY a.iy, a.ix),
+heat AS (SELECT g.iy, g.ix,
+  CASE WHEN n >= 12 THEN sqrt(0.5 * ((d.z - s / n) * (d.z - s / n) + greatest(0, q / n - (s / n) * (s / n)))) * 1000 END AS value
+ FROM {source} g LEFT JOIN disc d ON g.iy = d.iy AND g.ix = d.ix)"""
+
+
 MMGRID = ", gmm AS (SELECT iy, ix, CASE WHEN valid THEN z * 1000 END AS z, valid FROM rough)"
 MARKS = f"{EV}, mark AS (SELECT y::INT AS iy, x::INT AS ix FROM ev WHERE z < 0.004 OR (x % 40 - 20) * (x % 40 - 20) + (y % 40 - 20) * (y % 40 - 20) <= 81)"
 CROSS12 = _values((dy, dx) for dy in range(-2, 3) for dx in range(-2, 3) if abs(dy) + abs(dx) in (1, 2))
@@ -490,7 +520,7 @@ ORACLE_SQL = {
     "heatmap_interpolate": f"WITH {_rough()}{MMGRID}{_heat_sql('gmm', False)}, {EV}, sh AS (SELECT max(iy) + 1 AS h, max(ix) + 1 AS w FROM heat), pt AS (SELECT pid, greatest(0, least(x * 1.03::DOUBLE + 0.25::DOUBLE, (w - 1)::DOUBLE)) AS gx, greatest(0, least(y * 0.5::DOUBLE + z, (h - 1)::DOUBLE)) AS gy, w, h FROM ev, sh), lo AS (SELECT *, least(floor(gx)::BIGINT, w - 2) AS ix0, least(floor(gy)::BIGINT, h - 2) AS iy0 FROM pt), co AS (SELECT pid, iy0 + dy AS iy, ix0 + dx AS ix, (CASE WHEN dx = 1 THEN gx - ix0 ELSE 1 - (gx - ix0) END) * (CASE WHEN dy = 1 THEN gy - iy0 ELSE 1 - (gy - iy0) END) AS k FROM lo, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx)), s AS (SELECT pid, sum(k) AS k, sum(k * value) AS kv FROM co JOIN heat USING (iy, ix) WHERE value IS NOT NULL GROUP BY pid) SELECT ev.pid, round((CASE WHEN k > 1e-6 THEN kv / k END)::FLOAT::DOUBLE, 2) AS value FROM ev LEFT JOIN s ON ev.pid = s.pid",
     "hole_fill_fine": f"WITH {_filled(pitch=FINE)} SELECT iy::INT AS iy, ix::INT AS ix, round(z * 1e6 + {OFF}::DOUBLE, 3) AS z, valid FROM full_",
     "variogram_fine": f"WITH {_filled(pitch=FINE)}{_vario('full_', pitch=FINE)} SELECT bucket, pairs, round(value_um, 4) AS value_um FROM vario",
-    "heatmap_fine": f"WITH {_filled(pitch=FINE)}, gmm AS (SELECT iy, ix, CASE WHEN valid THEN z * 1000 END AS z, valid FROM full_){_heat_sql('gmm', False, FINE_MM)} SELECT iy::INT AS iy, ix::INT AS ix, round(value, 3) AS value FROM heat",
+    "heatmap_fine": f"WITH {_filled(pitch=FINE)}, gmm AS (SELECT iy, ix, CASE WHEN valid THEN z * 1000 END AS z, valid FROM full_){_heat_rows_sql('gmm', FINE_MM)} SELECT iy::INT AS iy, ix::INT AS ix, round(value, 3) AS value FROM heat",
     "box_scan": f"WITH {MM}, a AS (SELECT i, i * pi() / 2 / 89 AS t FROM range(90) r(i)), "
     "w AS (SELECT i, max(cos(t) * x - sin(t) * y) - min(cos(t) * x - sin(t) * y) AS w, max(sin(t) * x + cos(t) * y) - min(sin(t) * x + cos(t) * y) AS h FROM mm, a GROUP BY i) "
     "SELECT i::INT AS angle, round(w, 6) AS w, round(h, 6) AS h, round(w * h, 4) AS area FROM w ORDER BY w * h, i LIMIT 1",

@@ -1,137 +1,142 @@
 """Point files as DataFrames (scan, pid, x, y, z): PLY, PCD, STL, OBJ, delimited text, NPY and NPZ.
 
-Line formats are read as text, in splits, and parsed by column functions. Binary formats are read
-by Spark's binaryFile source, a file a task, and decoded by numpy; a file must be below 2 GB.
-pid is the row's place in its file, from 0.
+Line formats are read as text, in splits, and parsed by column functions. Binary formats are read by
+ranges of records after a scan of the headers, so that a large file is many tasks. pid is the row's
+place in its file, from 0.
 """
 
 from __future__ import annotations
 
 import io
 import os
-import warnings
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import finite
+from ..functions.columns import cut, finite
+from . import layout
 
 SCHEMA = "scan string, pid long, x double, y double, z double"
-# Type names of the formats, as numpy codes.
-PLY_TYPES = {"char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2", "int": "i4", "int32": "i4", "uint": "u4", "uint32": "u4", "float": "f4", "double": "f8"}
-PLY_ORDER = {"binary_little_endian": "<", "binary_big_endian": ">"}
-
-
-def _xyz(names: list[str]) -> list[int]:
-    low = [n.lower() for n in names]
-    if missing := [c for c in "xyz" if c not in low]:
-        raise ValueError(f"no field {', '.join(missing)}")
-    return [low.index(c) for c in "xyz"]
-
-
-def _rows(body: bytes, count: int, at: list[int]) -> np.ndarray:
-    """The wanted columns of the first `count` rows of numbers; blank lines and what follows a # are no rows."""
-    with warnings.catch_warnings():
-        warnings.simplefilter("ignore", UserWarning)  # a file without rows
-        return np.loadtxt(io.BytesIO(body), usecols=at, max_rows=count, ndmin=2).reshape(-1, 3)
-
-
-def decode_ply(raw: bytes) -> np.ndarray:
-    head, mark, body = raw.partition(b"end_header")
-    if not mark or not raw.startswith(b"ply"):
-        raise ValueError("not a PLY file")
-    body = body[body.index(b"\n") + 1 :]
-    form, element, count, fields = "", "", 0, []
-    for words in (line.split() for line in head.decode("ascii", "replace").splitlines()):
-        if words[:1] == ["format"]:
-            form = words[1]
-        elif words[:1] == ["element"]:
-            element = words[1]
-            count = int(words[2]) if element == "vertex" else count
-        elif words[:1] == ["property"] and element == "vertex" and words[1] != "list":
-            fields.append((words[2], words[1]))
-    at = _xyz([n for n, _ in fields])
-    if form == "ascii":
-        return _rows(body, count, at)
-    if form not in PLY_ORDER:
-        raise ValueError(f"PLY format {form!r} is not known")
-    for _, t in fields:
-        if t not in PLY_TYPES:
-            raise ValueError(f"PLY type {t!r} is not known")
-    kind = np.dtype([(str(i), PLY_ORDER[form] + PLY_TYPES[t]) for i, (_, t) in enumerate(fields)])
-    data = np.frombuffer(body, kind, count)
-    return np.stack([data[str(i)].astype(float) for i in at], axis=1)
-
-
-def decode_pcd(raw: bytes) -> np.ndarray:
-    head, at = {}, 0
-    while at < len(raw):
-        end = raw.find(b"\n", at)
-        end = len(raw) if end < 0 else end
-        line, at = raw[at:end].decode("ascii", "replace").strip(), end + 1
-        if line and not line.startswith("#"):
-            key, *values = line.split()
-            head[key.upper()] = values
-            if key.upper() == "DATA":
-                break
-    if "DATA" not in head or "FIELDS" not in head:
-        raise ValueError("not a PCD file")
-    names, count, form = head["FIELDS"], int(head["POINTS"][0]), head["DATA"][0].lower()
-    xyz = _xyz(names)
-    if form == "ascii":
-        return _rows(raw[at:], count, xyz)
-    if form != "binary":
-        raise ValueError(f"PCD data {form!r} is not read")
-    codes = {"F": ("f4", "f8"), "I": ("i1", "i2", "i4", "i8"), "U": ("u1", "u2", "u4", "u8")}
-    parts = []
-    for i, (size, kind, n) in enumerate(zip(head["SIZE"], head["TYPE"], head.get("COUNT", ["1"] * len(names)))):
-        code = kind.lower() + size
-        if code not in codes.get(kind.upper(), ()):
-            raise ValueError(f"PCD type {kind}{size} is not known")
-        parts.append((str(i), "<" + code) if n == "1" else (str(i), "<" + code, (int(n),)))
-    data = np.frombuffer(raw, np.dtype(parts), count, at)
-    return np.stack([data[str(i)].astype(float).reshape(count, -1)[:, 0] for i in xyz], axis=1)
-
-
-def decode_stl(raw: bytes) -> np.ndarray:
-    """All vertices, three a facet, repeated where facets share them."""
-    if len(raw) >= 84 and len(raw) == 84 + 50 * int.from_bytes(raw[80:84], "little"):
-        kind = np.dtype([("normal", "<f4", 3), ("corners", "<f4", (3, 3)), ("more", "<u2")])
-        return np.frombuffer(raw, kind, offset=84)["corners"].reshape(-1, 3).astype(float)
-    found = [line.split()[1:] for line in raw.decode("utf-8", "replace").splitlines() if line.strip().startswith("vertex ")]
-    if not found or any(len(f) != 3 for f in found):
-        raise ValueError("no vertices of three numbers")
-    return np.array(found, float)
-
-
-def decode_npy(raw: bytes) -> np.ndarray:
-    got = np.load(io.BytesIO(raw), allow_pickle=False)
-    if isinstance(got, np.lib.npyio.NpzFile):
-        if not got.files:
-            raise ValueError("the archive is empty")
-        got = got[got.files[0]]
-    if got.ndim != 2 or got.shape[1] != 3:
-        raise ValueError("not an array of three columns")
-    return got.astype(float)
-
-
-DECODERS = {".ply": decode_ply, ".pcd": decode_pcd, ".stl": decode_stl, ".npy": decode_npy, ".npz": decode_npy}
 SEPARATORS = {".csv": ",", ".tsv": "\t", ".xyz": r"\s+", ".txt": r"\s+"}
 
 
-def _decoded(spark: SparkSession, path: str, decode) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: Records of about so many bytes are read by a task.
+RANGE_BYTES = 32_000_000
+
+
+def _open(path: str):
+    """A file of the shared store, to be read from any place."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return open(unquote("/" + path.removeprefix("file:").lstrip("/")), "rb")
+    system, inside = fs.FileSystem.from_uri(path)
+    return system.open_input_file(inside)
+
+
+def _listed(spark: SparkSession, path: str) -> DataFrame:
+    """(scan, size, content): contents are read only where they are asked for."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("_metadata.file_path").alias("scan"), F.col("length").alias("size"), "content")
+
+
+def _in_reach(files: DataFrame) -> bool:
+    """Whether tasks can open the files by their paths; some stores can be read by Spark's own sources only."""
+    first = files.select("scan").first()
+    try:
+        if first is not None:
+            _open(first.scan).close()
+        return True
+    except (OSError, ValueError, ImportError):  # pyarrow's ArrowInvalid is a ValueError
+        return False
+
+
+def ranges(files: DataFrame, suffix: str, range_bytes: int = RANGE_BYTES, by_path: bool = True) -> DataFrame:
+    """(scan, the columns of Layout, first, n): the record ranges of the listed files.
+
+    Tasks read the headers, so that no file passes the driver. A file of lines, or one to be unpacked,
+    is one range, and so is every file if not `by_path`.
+    """
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for scan, raw in zip(part.path, part.content):
-                p = decode(raw)
-                for i in range(0, len(p), 100_000):
-                    some = p[i : i + 100_000]
-                    yield pd.DataFrame({"scan": scan, "pid": np.arange(i, i + len(some)), "x": some[:, 0], "y": some[:, 1], "z": some[:, 2]})
+            for r in part.itertuples(index=False):
+                with _open(r.scan) if by_path else io.BytesIO(r.content) as f:
+                    at = layout.BY_SUFFIX[suffix](f, int(r.size))
+                split = by_path and at.way == layout.RECORDS
+                step = max(1, range_bytes // max(1, at.dtype.itemsize)) if split else max(1, at.records)
+                firsts = np.arange(0, max(1, at.records), step, dtype=np.int64)
+                yield pd.DataFrame({"scan": r.scan, **at._asdict(), "first": firsts, "n": np.minimum(step, at.records - firsts)})
+
+    kind = "scan string, way string, at long, records long, kind string, xyz string, points int, columns boolean, first long, n long"
+    return (files.drop("content") if by_path else files).mapInPandas(scan, kind)
+
+
+def _points(f, at: layout.Layout, first: int, n: int, scan: str, batch: int = 100_000) -> Iterator[pa.RecordBatch]:
+    if at.way == layout.STREAM:
+        blocks = layout.unpacked(f)
+    else:
+        blocks = ((i * at.points, at.read(f, i, min(batch, first + n - i))) for i in range(first, first + n, batch))
+    for pid, p in blocks:
+        columns = [pa.array([scan] * len(p)), pa.array(np.arange(pid, pid + len(p))), *[pa.array(np.ascontiguousarray(c)) for c in p.T]]
+        yield pa.RecordBatch.from_arrays(columns, ["scan", "pid", "x", "y", "z"])
+
+
+def _read_ranges(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for r in part.to_pylist():
+            with _open(r["scan"]) as f:
+                yield from _points(f, layout.Layout(*[r[c] for c in layout.Layout._fields]), r["first"], r["n"], r["scan"])
+
+
+def _read_contents(files: DataFrame, suffix: str) -> DataFrame:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for r in part.to_pylist():
+                f = io.BytesIO(r["content"])
+                at = layout.BY_SUFFIX[suffix](f, r["size"])
+                if at.way != layout.LINES:
+                    yield from _points(f, at, 0, at.records, r["scan"])
+
+    return files.mapInArrow(run, SCHEMA)
+
+
+def _read_lines(spark: SparkSession, path: str, heads: DataFrame, suffix: str) -> DataFrame:
+    """Points of files of lines, in splits: blank lines, comments and the header's lines are none."""
+    bare = lambda v: F.trim(F.regexp_replace(v, "#.*$", ""))
+    kept = (lambda v: bare(v).startswith("vertex ")) if suffix == ".stl" else (lambda v: bare(v) != "")
+    table = heads.select("scan", "at", "records", F.from_json("xyz", "array<array<int>>").alias("xyz"))
+    d = _numbered(spark, path, kept).join(table, "scan").withColumn("pid", F.col("pid") - F.col("at"))
+    d = d.where((F.col("pid") >= 0) & (F.col("pid") < F.col("records"))).withColumn("t", F.split(bare(F.col("line")), r"\s+"))
+    named = [F.try_element_at("t", F.col("xyz")[i][0] + 1).try_cast("double").alias(c) for i, c in enumerate("xyz")]
+    d = d.select("scan", "pid", *named)
+    bad = F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull()
+    return d.withColumn("x", F.when(bad, F.raise_error(F.concat(F.lit("not three numbers in "), "scan"))).otherwise(F.col("x")))
+
+
+def read_binary(spark: SparkSession, path: str, suffix: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Points of PLY, PCD, STL, NPY or NPZ files of a path or pattern: records by ranges, text by splits of lines.
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, SCHEMA)
+    Files of a store that only Spark's sources reach are taken whole, a file a task (below 2 GB each).
+    """
+    files = _listed(spark, path)
+    by_path = _in_reach(files)
+    found = cut(ranges(files, suffix, range_bytes, by_path))
+    lines = found.where(F.col("way") == layout.LINES)
+    of_records, of_lines = found.agg(F.count_if(F.col("way") != layout.LINES), F.count_if(F.col("way") == layout.LINES)).first()
+    if not by_path:
+        out = _read_contents(files, suffix)
+    else:
+        out = found.where(F.col("way") != layout.LINES).repartition(max(1, of_records)).mapInArrow(_read_ranges, SCHEMA)
+    if not of_lines:
+        return out
+    text = _read_lines(spark, path, lines, suffix)
+    return out.unionByName(text) if of_records else text
 
 
 def _numbered(spark: SparkSession, path: str, keep) -> DataFrame:
@@ -169,8 +174,8 @@ def read_delimited(spark: SparkSession, path: str, separator: str) -> DataFrame:
 def read_points(spark: SparkSession, path: str) -> DataFrame:
     """Points of a file, or of files of one kind by a pattern, by the path's suffix; ValueError for an unknown one."""
     suffix = os.path.splitext(path)[1].lower()
-    if suffix in DECODERS:
-        return _decoded(spark, path, DECODERS[suffix])
+    if suffix in layout.BY_SUFFIX:
+        return read_binary(spark, path, suffix)
     if suffix == ".obj":
         return read_obj(spark, path)
     if suffix in SEPARATORS:
@@ -187,15 +192,15 @@ def clean(points: DataFrame, least: int = 3) -> DataFrame:
 
 
 def load_ply(spark, path):
-    return clean(_decoded(spark, path, decode_ply))
+    return clean(read_binary(spark, path, ".ply"))
 
 
 def load_pcd(spark, path):
-    return clean(_decoded(spark, path, decode_pcd))
+    return clean(read_binary(spark, path, ".pcd"))
 
 
 def load_stl_vertices(spark, path):
-    return clean(_decoded(spark, path, decode_stl))
+    return clean(read_binary(spark, path, ".stl"))
 
 
 def load_obj(spark, path):

@@ -9,19 +9,23 @@ from ..config import RoughnessConfig
 from ..plans.analyze import analyze_patches
 
 
+def write_figures(scans: DataFrame, epoch: int, out: str, config: RoughnessConfig) -> None:
+    """A row of figures for each scan of a batch (scan, x, y, z), into the folder `epoch=<n>` of `out`.
+
+    A batch that is retried overwrites its own folder, so nothing is written twice.
+    """
+    found = analyze_patches(scans.withColumn("patch", F.col("scan")), config).figures
+    figures = ("svr_um", "sa_um", "sq_um", F.col("noise_floor_um").alias("noise_um"), "points", "error")
+    found.select(F.col("patch").alias("scan"), *figures).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+
 def watch_scans(spark: SparkSession, folder: str, out: str, config: RoughnessConfig | None = None, checkpoint: str | None = None):
     """Starts a stream over Parquet files (scan string, x, y, z); a row of figures for each scan goes to `out`.
 
     Each batch's scans are analysed in one plan. A scan must come whole in one batch; one that can't
     be analysed gives a row with its error.
     """
-    schema = "scan string, x double, y double, z double"
-    stream = spark.readStream.schema(schema).parquet(folder)
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        results, errors = analyze_patches(df.withColumn("patch", F.col("scan")), config or RoughnessConfig())
-        rows = [(k, r.svr_um, r.sa_um, r.sq_um, r.noise_floor_um, r.points, None) for k, r in results.items()] + [(k, None, None, None, None, None, str(e)) for k, e in errors.items()]
-        if rows:
-            spark.createDataFrame(rows, "scan string, svr_um double, sa_um double, sq_um double, noise_um double, points long, error string").write.mode("append").parquet(out)
-
+    stream = spark.readStream.schema("scan string, x double, y double, z double").parquet(folder)
+    settings = config or RoughnessConfig()
+    batch = lambda df, epoch: write_figures(df, epoch, out, settings)
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint or f"{out}-checkpoint").trigger(availableNow=True).start()

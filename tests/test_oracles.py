@@ -3,7 +3,9 @@
 import duckdb
 import pytest
 
-from rugosa.plans.queries import ORACLE_SQL, QUERIES
+from rugosa.plans import engine_queries, queries
+
+ORACLE_SQL, QUERIES = queries.ORACLE_SQL | engine_queries.ORACLE_SQL, queries.QUERIES | engine_queries.QUERIES
 
 SF = "/root/testdata/sf0.001"
 

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from rugosa.config import DecompositionConfig, RoughnessConfig, config_from_values, parse_range
+from rugosa.functions import eigen
 from rugosa.functions.columns import COMPARATORS, grade, grade_of
 from rugosa.functions.quantiles import percentiles
 from rugosa.operators import defects, grid, heatmap, metrics, morphology, neighbors, points
-from rugosa.plans import decompose
+from rugosa.plans import analyze, decompose
 from rugosa.plans.analyze import analyze_file, analyze_object, analyze_points
 from rugosa.result import RoughnessResult, grid_array
 from rugosa.sources import readers
@@ -54,13 +55,20 @@ def test_voxels(spark):
     assert [r.n for r in got] == [2, 1] and got[0].x == pytest.approx(0.0002)
 
 
+def axes_of(table):
+    """The axes of one patch, as columns of a matrix."""
+    r = table.first()
+    return np.array([[r[f"e{i}{j}"] for j in range(3)] for i in range(3)]).T
+
+
 def test_axes_of_a_tilted_plane(spark):
     rng = np.random.default_rng(42)
     xy = rng.uniform(-1, 1, (500, 2))
     p = frame(spark, np.column_stack([xy, 0.5 * xy[:, 0] - 0.3 * xy[:, 1] + 2]))
-    e = points.aligned_axes(p)[0]
+    axes = points.aligned_axes(p)
+    e = axes_of(axes)
     assert np.allclose(e.T @ e, np.eye(3)) and np.linalg.det(e) > 0
-    assert points.rotate(p, {0: e}).agg(F.stddev("w")).first()[0] < 1e-6
+    assert points.rotate(p, axes).agg(F.stddev("w")).first()[0] < 1e-6
 
 
 def test_tiles_agree_with_one_tile(spark):
@@ -129,9 +137,9 @@ def test_axes_turn_towards_the_least_box(spark):
     x, y = np.meshgrid(np.linspace(-5, 5, 60), np.linspace(-2, 2, 25))
     x, y = x.ravel(), y.ravel()
     p = frame(spark, np.column_stack([0.8 * x - 0.6 * y, 0.6 * x + 0.8 * y, np.zeros(x.size)]))
-    stats = points.covariance(p).first()
-    e = points.principal_axes(points.matrix(stats))
-    laid = points.rotate(p, {0: e})
+    axes = points.principal_axes(points.covariance(p))
+    e = axes_of(axes)
+    laid = points.rotate(p, axes)
     boxes = {r.angle: (r.w, r.h) for r in points.box_scan_all(laid, 90).collect()}
     a = np.array(laid.select("u", "v").collect())
     for i in (0, 23, 66, 89):
@@ -141,14 +149,98 @@ def test_axes_turn_towards_the_least_box(spark):
         assert boxes[i] == pytest.approx((w, h))
     best = points.box_scan(laid, 90).first()
     assert best.area == pytest.approx(min(w * h for w, h in boxes.values()))
-    got = points.aligned_axes(p)[0]
+    aligned = points.aligned_axes(p)
+    got = axes_of(aligned)
     t = best.angle * math.pi / 2 / 89
     assert np.allclose(got[:, 0], math.cos(t) * e[:, 0] - math.sin(t) * e[:, 1])
-    turned = points.rotate(p, {0: got})
+    turned = points.rotate(p, aligned)
     spans = turned.agg(F.max("u") - F.min("u"), F.max("v") - F.min("v")).first()
     assert sorted(spans) == pytest.approx([4, 10], rel=0.02)
 
 
+def test_eigenvectors_of_columns(spark):
+    """Against LAPACK: any symmetric matrices, equal eigenvalues, zeros, and entries of very different sizes."""
+    rng = np.random.default_rng(8)
+    all_ = [a + a.T for a in rng.normal(size=(60, 3, 3))]
+    all_ += [np.eye(3), np.zeros((3, 3)), np.diag([1.0, 3.0, 2.0]), np.diag([2.0, 2.0, 1.0]), np.ones((3, 3)), np.diag([1e12, 1e-12, 1.0]) + 1e-7, 1e-200 * all_[0], np.array([[0, 1, 0], [1, 0, 0], [0, 0, 0.0]])]
+    i, j = (0, 0, 0, 1, 1, 2), (0, 1, 2, 1, 2, 2)
+    d = spark.createDataFrame([(k, *map(float, a[i, j])) for k, a in enumerate(all_)] + [(99, None, 0.0, 0.0, 1.0, 0.0, 1.0)], ["k", *points.COVARIANCES])
+    columns = [F.col(c) for c in points.COVARIANCES]
+    got = {r.k: r.e for r in d.select("k", eigen.eigen(*columns).alias("e")).collect()}
+    assert got.pop(99) is None
+    for k, a in enumerate(all_):
+        values, v = np.array([x.value for x in got[k]]), np.array([x.v for x in got[k]]).T
+        size = max(np.abs(a).max(), 1e-300)
+        assert np.allclose(values / size, np.linalg.eigvalsh(a / size)[::-1], atol=1e-13)
+        assert np.allclose(v.T @ v, np.eye(3), atol=1e-13) and np.allclose(a / size @ v, v * (values / size), atol=1e-12)
+    stats = d.where("k < 99").withColumnRenamed("k", "patch")
+    for r in points.principal_axes(stats).collect():
+        e = np.array([[r[f"e{m}{n}"] for n in range(3)] for m in range(3)])
+        assert np.allclose(e @ e.T, np.eye(3)) and np.linalg.det(e) == pytest.approx(1)
+        first = lambda v, order: next(v[n] for n in order if abs(v[n]) > 1e-9)
+        assert first(e[0], (0, 1, 2)) > 0 and first(e[2], (2, 1, 0)) > 0
+
+
+def test_plane_basis(spark):
+    """The x axis is X laid into the plane; Y, where the plane stands across X."""
+    rng = np.random.default_rng(6)
+    flat = rng.uniform(-1, 1, (300, 2))
+    tilted = np.column_stack([flat, 0.4 * flat[:, 0] + 0.2 * flat[:, 1]])
+    across = np.column_stack([np.zeros(300), flat])
+    d = frame(spark, np.vstack([tilted, across])).withColumn("patch", F.when(F.col("pid") < 300, 0).otherwise(1))
+    got = {r.patch: np.array([[r[f"e{i}{j}"] for j in range(3)] for i in range(3)]) for r in points.plane_basis(points.covariance(d)).collect()}
+    n = np.array([-0.4, -0.2, 1]) / math.sqrt(1.2)
+    x = np.array([1, 0, 0]) - n[0] * n
+    assert np.allclose(got[0], [x / np.linalg.norm(x), np.cross(n, x / np.linalg.norm(x)), n])
+    assert np.allclose(np.abs(got[1]), [[0, 1, 0], [0, 0, 1], [1, 0, 0]]) and np.linalg.det(got[1]) == pytest.approx(1)
+
+
+def test_percentiles_of_a_stretched_range(spark):
+    """One value at 1e30, and one that repeats: ranges narrow by ranks, and few values are left."""
+    rng = np.random.default_rng(5)
+    v = {0: np.append(rng.normal(size=9000), 1e30), 1: np.append(np.repeat(2.5, 50_000), rng.normal(size=6000)), 2: np.exp(rng.normal(0, 40, 5000)), 3: np.append(np.repeat(0.0, 4000), rng.random(4000) - 2)}
+    d = spark.createDataFrame(pd.DataFrame([(k, x) for k, a in v.items() for x in a], columns=["patch", "v"]))
+    got = {r.patch: r for r in percentiles(d, "v", {"low": 0.01, "mid": 0.5, "high": 0.999}, few=1).collect()}
+    for k, a in v.items():
+        assert [got[k][n] for n in ("low", "mid", "high")] == pytest.approx(np.percentile(a, [1, 50, 99.9]).tolist(), rel=1e-12)
+
+
+def test_figures_are_rows(spark):
+    """A row for each patch, those that can't be analysed too; the same figures as one by one."""
+    rng = np.random.default_rng(9)
+    a = lattice(14, 9, 0.47)  # no point lies between two cells of the pitch, and the sides differ
+    a[:, 2] = 0.05 * np.sin(a[:, 0]) + rng.normal(0, 0.005, len(a))
+    b = lattice(10, 6, 0.47)
+    b[:, 2] = rng.normal(0, 0.02, len(b))
+    sparse, few = lattice(30, 30, 5.0), a[:7]
+    line = np.column_stack([np.linspace(0, 9, 40), np.zeros(40), np.zeros(40)])
+    parts = [frame(spark, q).withColumn("patch", F.lit(k)) for k, q in enumerate((a, b, sparse, few, line))]
+    every = parts[0]
+    for q in parts[1:]:
+        every = every.unionByName(q)
+    found = analyze.analyze_patches(every, RoughnessConfig(grid_mm=0.5))
+    rows = {r.patch: r for r in found.figures.collect()}
+    assert [rows[k].error for k in range(5)] == [None, None, analyze.SPARSE, analyze.FEW, analyze.LINE]
+    for k, p in ((0, a), (1, b)):
+        one = analyze_points(frame(spark, p), grid_mm=0.5)
+        for name in ("svr_um", "sa_um", "sq_um", "noise_floor_um", "points", "processed_points"):
+            assert rows[k][name] == pytest.approx(getattr(one, name), rel=1e-9)
+        assert (rows[k].height, rows[k].width) == one.grid_shape and tuple(rows[k].pairs) == one.variogram_counts
+
+
+@pytest.mark.parametrize("pitch", [0.1, 0.5])
+def test_sums_by_fft_equal_those_one_by_one(spark, pitch):
+    rng = np.random.default_rng(2)
+    z = 5 + np.cumsum(rng.normal(0, 0.01, (70, 90)), axis=1)
+    d = spark.createDataFrame(pd.DataFrame({"patch": 0, "iy": np.repeat(np.arange(70), 90), "ix": np.tile(np.arange(90), 70), "z": z.ravel(), "valid": (rng.random(z.size) > 0.1)})).withColumn("iy", F.col("iy").cast("int")).withColumn("ix", F.col("ix").cast("int"))
+    a, b = ({r.bucket: r for r in metrics.variogram(d, pitch * 0.001, 10, 0.0005 * pitch * 4, many=m).collect()} for m in (1, 10**9))
+    assert all(a[k].pairs == b[k].pairs and a[k].total == pytest.approx(b[k].total, rel=1e-9) for k in b)
+    measured = d.withColumn("z", F.when(F.col("valid"), F.col("z")))
+    for disc in (False, True):
+        a, b = (heatmap.heatmap(measured, pitch, 12 * pitch, disc_averaging=disc, many=m).orderBy("iy", "ix").toPandas().value.to_numpy(float) for m in (1, 10**9))
+        assert np.allclose(a, b, rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
 def test_percentiles(spark):
     rng = np.random.default_rng(3)
     v = {0: rng.normal(size=5001), 1: rng.integers(0, 4, 1000).astype(float), 2: np.array([7.0]), 3: np.exp(rng.normal(0, 6, 2000)), 4: np.full(9, -2.0)}
@@ -408,6 +500,68 @@ def test_formats(spark, tmp_path):
         readers.load_points(spark, "a.unknown")
 
 
+def test_ranges_equal_one_read(spark, tmp_path):
+    """Files cut into ranges of a few records, and files in whole, give the same rows."""
+    p = np.random.default_rng(3).normal(size=(1000, 3))
+    q = p.astype("<f4").astype(float)
+    head = "ply\nformat {} 1.0\ncomment made\nelement vertex 1000\nproperty uchar red\nproperty {} z\nproperty {} x\nproperty {} y\nend_header\n"
+    pack = lambda kind, order: b"".join(struct.pack(f"{order}B3{kind}", 7, r[2], r[0], r[1]) for r in p)
+    (tmp_path / "l.ply").write_bytes(head.format("binary_little_endian", *["float"] * 3).encode() + pack("f", "<"))
+    (tmp_path / "b.ply").write_bytes(head.format("binary_big_endian", *["double"] * 3).encode() + pack("d", ">"))
+    (tmp_path / "a.ply").write_bytes(head.format("ascii", *["float"] * 3).encode() + "".join(f"7 {r[2]!r} {r[0]!r} {r[1]!r}\n" for r in p.tolist()).encode())
+    pcd = "FIELDS x n y z\nSIZE 4 8 4 4\nTYPE F U F F\nCOUNT 1 2 1 1\nPOINTS 1000\nDATA binary\n"
+    (tmp_path / "b.pcd").write_bytes(pcd.encode() + b"".join(struct.pack("<fQQff", r[0], 1, 2, r[1], r[2]) for r in p))
+    (tmp_path / "b.stl").write_bytes(bytes(80) + struct.pack("<I", 333) + b"".join(struct.pack("<12fH", 0, 0, 1, *p[i : i + 3].ravel(), 0) for i in range(0, 999, 3)))
+    np.save(tmp_path / "c.npy", p)
+    np.save(tmp_path / "f.npy", np.asfortranarray(p))
+    np.save(tmp_path / "i.npy", (p * 100).astype(">i2"))
+    np.savez(tmp_path / "s.npz", p)
+    np.savez(tmp_path / "t.npz", np.asfortranarray(p))
+    np.savez_compressed(tmp_path / "d.npz", p)
+    np.savez_compressed(tmp_path / "e.npz", np.asfortranarray(p))
+    want = {"l.ply": q, "b.ply": p, "a.ply": p, "b.pcd": q, "b.stl": q[:999], "c.npy": p, "f.npy": p, "i.npy": (p * 100).astype(">i2"), "s.npz": p, "t.npz": p, "d.npz": p, "e.npz": p}
+    for name, a in want.items():
+        path, suffix = str(tmp_path / name), name[1:]
+        files = readers._listed(spark, path)
+        cuts = readers.ranges(files, suffix, 640).collect()
+        assert len(cuts) == 1 if name in ("a.ply", "d.npz", "e.npz") else len(cuts) > 5
+        for got in (readers.read_binary(spark, path, suffix, 640), readers._read_contents(files, suffix) if name != "a.ply" else readers.read_points(spark, path)):
+            got = got.orderBy("pid").toPandas()
+            assert got.pid.tolist() == list(range(len(a))) and np.array_equal(got[["x", "y", "z"]].to_numpy(), a), name
+    # by a pattern: each file numbered by itself, text and binary together
+    both = readers.read_points(spark, str(tmp_path / "*.ply")).groupBy("scan").agg(F.count("*").alias("n"), F.max("pid").alias("last"), F.min("pid").alias("first")).collect()
+    assert sorted((r.scan[-5:], r.n, r.first, r.last) for r in both) == [(f"{c}.ply", 1000, 0, 999) for c in "abl"]
+
+
+def test_a_large_file_is_many_tasks(spark, tmp_path):
+    """A sparse file of 3.6 GB: its ranges cover all records once, and the last are read by themselves."""
+    n = 300_000_000
+    head = f"ply\nformat binary_little_endian 1.0\nelement vertex {n}\nproperty float x\nproperty float y\nproperty float z\nend_header\n".encode()
+    with open(tmp_path / "large.ply", "wb") as f:
+        f.write(head)
+        f.truncate(len(head) + 12 * n)
+        f.seek(len(head) + 12 * (n - 1))
+        f.write(struct.pack("<3f", 1, 2, 3))
+    cuts = readers.ranges(readers._listed(spark, str(tmp_path / "large.ply")), ".ply").orderBy("first")
+    rows = cuts.collect()
+    assert len(rows) > 100 and rows[0]["first"] == 0 and all(a["first"] + a.n == b["first"] for a, b in zip(rows, rows[1:])) and rows[-1]["first"] + rows[-1].n == n
+    last = cuts.where(F.col("first") == rows[-1]["first"]).mapInArrow(readers._read_ranges, readers.SCHEMA)
+    assert last.agg(F.count("*"), F.max("pid"), F.max("z")).first()[:] == (rows[-1].n, n - 1, 3.0)
+
+
+def test_files_that_end_too_soon(spark, tmp_path):
+    """PLY gives the rows that are there; the other formats fail."""
+    head = "ply\nformat binary_little_endian 1.0\nelement vertex 9\nproperty float x\nproperty float y\nproperty float z\nend_header\n"
+    (tmp_path / "s.ply").write_bytes(head.encode() + struct.pack("<12f", *range(12)) + b"xx")
+    assert readers.load_ply(spark, str(tmp_path / "s.ply")).count() == 4
+    (tmp_path / "s.pcd").write_bytes(b"FIELDS x y z\nSIZE 4 4 4\nTYPE F F F\nPOINTS 9\nDATA binary\n" + bytes(50))
+    np.save(tmp_path / "s.npy", np.zeros((9, 3)))
+    (tmp_path / "s.npy").write_bytes((tmp_path / "s.npy").read_bytes()[:-3])
+    for name in ("s.pcd", "s.npy"):
+        with pytest.raises(Exception, match="before its points do"):
+            readers.load_points(spark, str(tmp_path / name)).collect()
+
+
 def test_planarity(spark):
     rng = np.random.default_rng(1)
     flat = np.column_stack([rng.uniform(0, 50, (1000, 2)), rng.normal(0, 0.01, 1000)])
@@ -450,15 +604,22 @@ def test_command_line(spark, tmp_path, capsys):
 
 
 def test_stream_of_scans(spark, tmp_path):
-    from rugosa.streaming.watch import watch_scans
+    from rugosa.streaming.watch import write_figures, watch_scans
 
     a = lattice(10, 10, 0.5)
-    pd.DataFrame({"scan": "a", "x": a[:, 0], "y": a[:, 1], "z": np.random.default_rng(0).normal(0, 0.01, len(a))}).to_parquet(tmp_path / "in.parquet")
+    a[:, 2] = 0.1 * np.sin(2 * a[:, 0]) + np.random.default_rng(0).normal(0, 0.002, len(a))
     (tmp_path / "in").mkdir()
+    pd.DataFrame({"scan": "a", "x": a[:, 0], "y": a[:, 1], "z": a[:, 2]}).to_parquet(tmp_path / "in.parquet")
     os.rename(tmp_path / "in.parquet", tmp_path / "in" / "1.parquet")
-    watch_scans(spark, str(tmp_path / "in"), str(tmp_path / "out"), RoughnessConfig(grid_mm=0.5)).awaitTermination(120)
+    config = RoughnessConfig(grid_mm=0.5)
+    watch_scans(spark, str(tmp_path / "in"), str(tmp_path / "out"), config).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()
-    assert len(got) == 1 and got[0].svr_um > 0
+    one = analyze_points(frame(spark, a), config)
+    assert len(got) == 1 and got[0].scan == "a" and got[0].error is None and one.svr_um > 10
+    assert got[0].svr_um == pytest.approx(one.svr_um, rel=1e-9)
+    # the same batch once more, as after a failure: no row is added
+    write_figures(spark.read.parquet(str(tmp_path / "in")), 0, str(tmp_path / "out"), config)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
 def test_auto_decompose_keeps_a_flat_file(spark, tmp_path):
