@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -44,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """`cut`, and the number of rows, which is observed while they are written."""
+    seen = Observation()
+    stored = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return stored, seen.get["n"]
+
+
 #: A table with a row for each patch is broadcast up to so many rows (of a few dozen numbers: about 30 MB).
 PATCH_ROWS = 100_000
 
@@ -54,8 +61,8 @@ def patch_table(table: DataFrame) -> DataFrame:
     Joined with one, the rows of a single large patch stay where they are; beyond the bound the join
     shuffles on the patch. What reaches the driver is a count.
     """
-    table = cut(table)
-    return F.broadcast(table) if table.count() <= PATCH_ROWS else table
+    table, n = counted_cut(table)
+    return F.broadcast(table) if n <= PATCH_ROWS else table
 
 
 def with_patches(df: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:

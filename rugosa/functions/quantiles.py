@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .columns import cut, patch_table
+from .columns import PATCH_ROWS, cut
 
 #: A range of values is cut at so many splitters, drawn from a sketch of the values themselves.
 SPLITTERS = 512
@@ -26,7 +26,7 @@ def _counted(d: DataFrame, state: DataFrame) -> DataFrame:
     inner = F.expr("v > lo and v < hi")
     counts = {"below": F.expr("v < lo"), "first": F.expr("v = lo"), "inside": inner, "last": F.expr("v = hi and hi > lo")}
     drawn = F.percentile_approx(F.when(inner, F.col("v")), cuts, ACCURACY).alias("s")
-    return d.join(patch_table(state.select(*of)), "patch").groupBy(*of).agg(*[F.count_if(c).alias(n) for n, c in counts.items()], drawn)
+    return d.join(state.select(*of), "patch").groupBy(*of).agg(*[F.count_if(c).alias(n) for n, c in counts.items()], drawn)
 
 
 def _narrowed(counted: DataFrame) -> DataFrame:
@@ -53,27 +53,29 @@ def percentiles(df: DataFrame, value: str, shares: dict[str, float], few: int =
     d = df.where(F.col(value).isNotNull()).select("patch", F.col(value).cast("double").alias("v"))
     low = lambda p: F.floor((F.col("all") - 1) * F.lit(float(p)))
     names = list(shares)
-    whole = patch_table(d.groupBy("patch").agg(F.count("*").alias("all"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    whole = cut(d.groupBy("patch").agg(F.count("*").alias("all"), F.min("v").alias("lo"), F.max("v").alias("hi")))
+    patches, largest = whole.agg(F.count("*"), F.max("all")).first()
+    small = F.broadcast if patches <= PATCH_ROWS else (lambda t: t)
     asked = F.array(*[F.struct(F.lit(i).alias("i"), low(shares[n]).alias("a"), F.least(low(shares[n]) + 1, F.col("all") - 1).alias("b")) for i, n in enumerate(names)])
     state = whole.select("patch", F.explode(asked).alias("w"), "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("all").alias("inside"))
     state = state.select("patch", "w.*", "lo", "hi", "below", "inside")
     held = [*state.columns]
     wide = F.col("inside") > few
-    for turn in range(rounds + 1):
+    for turn in range(rounds + 1 if (largest or 0) > few else 0):
         n, largest = state.where(wide).agg(F.count("*"), F.max("inside")).first()
         if not n:
             break
         if turn == rounds:
             raise RuntimeError(f"a range still holds {largest} values after {rounds} rounds")
         todo = state.where(wide)
-        counted = cut(_counted(d, _narrowed(todo) if turn else todo))
+        counted = cut(_counted(d, small(_narrowed(todo) if turn else todo)))
         if counted.where("a < below or b >= below + first + inside + last").limit(1).count():
             raise RuntimeError("a rank lies outside its range")
         state = cut(state.where(~wide).select(*held, *([] if not turn else ["first", "s"])).unionByName(counted.drop("last"), allowMissingColumns=True))
-    values = d.join(patch_table(state.select("patch", "i", "a", "b", "lo", "hi", "below")), "patch").where("v between lo and hi")
+    values = d.join(small(state.select("patch", "i", "a", "b", "lo", "hi", "below")), "patch").where("v between lo and hi")
     values = values.groupBy("patch", "i", "a", "b", "below", "v").agg(F.count("*").alias("n"))
     upto = F.col("below") + F.sum("n").over(Window.partitionBy("patch", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     at = lambda r, i: F.max(F.when((F.col("i") == i) & (F.col(r) < F.col("upto")) & (F.col(r) >= F.col("upto") - F.col("n")), F.col("v")))
     read = values.withColumn("upto", upto).groupBy("patch").agg(*[at(r, i).alias(f"{r}{i}") for i in range(len(names)) for r in "ab"])
     share = lambda n: (F.col("all") - 1) * F.lit(float(shares[n])) - low(shares[n])
-    return read.join(whole, "patch").select("patch", *[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * share(n)).alias(n) for i, n in enumerate(names)])
+    return read.join(small(whole), "patch").select("patch", *[(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * share(n)).alias(n) for i, n in enumerate(names)])

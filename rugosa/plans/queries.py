@@ -11,7 +11,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import COMPARATORS, grade
+from ..functions.columns import COMPARATORS, cut, grade
 from ..functions.quantiles import percentiles
 from ..operators import defects, grid, heatmap, metrics, morphology, neighbors, planes, points
 from . import decompose
@@ -156,7 +156,7 @@ def q_svr(s, d):
 
 
 def q_svr_denoised(s, d):
-    g = surface(s, d)
+    g = cut(surface(s, d))  # for two branches
     v = metrics.svr(metrics.variogram(grid.band_pass(g, PITCH, SHORT, LONG), PITCH, BINS, SPAN), BINS)
     return v.join(grid.noise_floor(g), "patch").select(r("svr_um"), r("noise_um"), F.round(metrics.less_noise(F.col("svr_um"), F.col("noise_um")), 6).alias("denoised_um"))
 
@@ -260,7 +260,7 @@ def q_components(s, d):
 
 
 def q_defects(s, d):
-    g = bumpy(in_mm(roughness(s, d)))
+    g = cut(bumpy(in_mm(roughness(s, d))))
     v = metrics.svr(metrics.variogram(g.withColumn("z", F.col("z") / 1000), PITCH, BINS, SPAN), BINS)
     found, _ = defects.detect(g, heatmap.heatmap(g, PITCH_MM, 5.0, disc_averaging=False), v, PITCH_MM)
     return found.select(F.col("id").cast("long").alias("id"), "kind", r("area_mm2", 4), r("diameter_mm", 4), r("peak_deviation_um", 2), r("u_mm", 3), r("v_mm", 3), F.col("points").cast("long").alias("points"))
