@@ -128,8 +128,8 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, max_labels: int
     """(text, label as text) of about `per_label` rows of each label, on the driver.
 
     For fitting classifiers: at most per_label x max_labels texts of up to max_chars characters,
-    drawn by a hash of id and text, so that reruns agree. The commonest labels count where there
-    are more than max_labels.
+    drawn by a hash of id and text, so that reruns agree and rows that repeat count once. The commonest
+    labels count where there are more than max_labels.
     """
     rows = rows.where(F.col(label).isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
     counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).collect()
@@ -137,7 +137,8 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, max_labels: int
         return []
     share = F.create_map(*[x for r in counts for x in (F.lit(str(r[0])), F.lit(min(1.0, 1.2 * per_label / r[1])))])
     luck = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    drawn = rows.select("text", F.col(label).cast("string").alias("label"), luck.alias("luck")).where(F.col("luck") < F.element_at(share, F.col("label"))).collect()
+    drawn = rows.select("text", F.col(label).cast("string").alias("label"), luck.alias("luck")).where(F.col("luck") < F.element_at(share, F.col("label")))
+    drawn = drawn.dropDuplicates(["luck", "label"]).collect()  # rows that repeat have one chance between them
     out, seen = [], {}
     for r in sorted(drawn, key=lambda r: (r.luck, r.label, r.text)):
         seen[r.label] = seen.get(r.label, 0) + 1

@@ -269,6 +269,42 @@ def test_mixing(spark):
     assert mixing.mix_sources(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_mixing_of_repeated_rows(spark, parts):
+    """Rows alike in most of a source: the words come within a document of the target all the same."""
+    rng = random.Random(3)
+    rows = [(1, words(rng, 10), "a")] * 400 + [(100 + i, words(rng, rng.randint(2, 60)), "a") for i in range(100)]
+    rows += [(2, words(rng, 10), "b")] * 400 + [(3, words(rng, 7), "b")] * 300 + [(300 + i, words(rng, rng.randint(2, 60)), "b") for i in range(200)]
+    rows += [(None, words(rng, 9), None)] * 250 + [(600 + i, words(rng, 20), None) for i in range(60)] + [(None, None, "b")] * 5
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(parts)).toPandas()
+    assert len(got) == len(rows)
+    for s, g in got.groupby("source", dropna=False):
+        assert abs(g.taken.sum() - g.target.iloc[0]) <= g["size"].max() and (g.taken <= 3 * g["size"]).all(), s
+    counts = Counter(zip(got.doc_id.fillna(-1), got["size"], got.taken))
+    again = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert Counter(zip(again.doc_id.fillna(-1), again["size"], again.taken)) == counts
+
+
+def test_targets_of_many_sources(spark):
+    """Each of 300 sources is capped by itself; the running sums find the level that rounds would."""
+    sizes = [(f"s{i:03d}", int(1.05**i) + (i % 5) * 40) for i in range(300)] + [(None, 0)]
+    got = {r.source: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    weight = {s: (5, 2, 1)[i % 3] for i, (s, _) in enumerate(sizes)}
+    free, left, want = {s for s, _ in sizes}, float(sum(n for _, n in sizes)), {}
+    while over := {s for s, n in sizes if s in free and left / sum(weight[x] for x in free) * weight[s] > 3 * n}:
+        for s in over:
+            want[s] = 3.0 * dict(sizes)[s]
+        free, left = free - over, left - sum(want[s] for s in over)
+    level = left / sum(weight[x] for x in free)
+    assert {s: want.get(s, level * weight[s]) for s, _ in sizes} == pytest.approx(got)
+
+
+def test_a_repeated_row_is_drawn_once(spark):
+    rows = [(1, "the same text", "en")] * 3000 + [(2 + i, f"text {i}", "en") for i in range(20)] + [(50 + i, f"wort {i}", "de") for i in range(5)]
+    got = common.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 4000)
+    assert sorted(got) == sorted({(t, label) for _, t, label in rows})
+
+
 def test_line_dedup_is_brute_force(spark):
     rng = random.Random(8)
     base = [words(rng, 20) for _ in range(40)]
