@@ -12,9 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rugosa.llm.common import checkpoint_dir
+from rugosa.llm.common import checkpoint_dir, cut
 from rugosa.llm.line_dedup import dedup_lines
-from rugosa.llm.mixing import mix_sources
+from rugosa.llm.mixing import mix_sources, nth_by_uid
 from rugosa.llm.ngram_join import ngram_join
 from rugosa.llm.packing import pack_documents
 from rugosa.llm.quality import scored
@@ -58,14 +58,22 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it.
 
-    Null and empty texts have no words and no copies but certain ones; a null source is a source; rows
-    that repeat id, text and source are taken alike. Other columns pass.
+    Null and empty texts have no words and no copies but certain ones; a null source is a source. Of
+    rows that repeat id, text and source, where the mix takes some once more than others, any may be
+    those. Other columns pass.
     """
     sized = docs.select("doc_id", "text", "source", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
-    mix = mix_sources(sized, keep=("doc_id", "key")).where("copies > 0")
-    mix = mix.select(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key"), F.col("source").alias("m_source"), "copies").dropDuplicates(["m_id", "m_key", "m_source"])
+    mix = mix_sources(sized, keep=("doc_id", "key")).groupBy("doc_id", "key", "source")
+    mix = mix.agg(F.min("copies").alias("low"), F.max("copies").alias("copies"), F.sum("copies").alias("sum"), F.count("*").alias("n"))
+    mix = mix.where("copies > 0").select(F.col("doc_id").alias("m_id"), F.col("key").alias("m_key"), F.col("source").alias("m_source"), "low", "copies", (F.col("sum") - F.col("low") * F.col("n")).alias("k"))
+    mix = cut(mix.withColumn("of", F.monotonically_increasing_id()))
     same = (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("doc.source").eqNullSafe(F.col("m_source"))
-    taken = held(docs).join(mix, same)
+    alike = held(docs).join(mix.where("low = copies"), same).select("doc", "copies")
+    # rows alike of which only some are taken once more: the first k of them, as they are stored
+    unlike = cut(held(docs).join(mix.where("low < copies"), same).select("doc", "of", "low", "k", F.monotonically_increasing_id().alias("uid")))
+    upto = nth_by_uid(unlike).withColumnRenamed("of", "in_")
+    unlike = unlike.join(upto, F.col("of") == F.col("in_")).select("doc", (F.col("low") + F.when(F.col("uid") <= F.col("upto"), 1).otherwise(0)).alias("copies"))
+    taken = alike.unionByName(unlike).where("copies > 0")
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")
 
 
@@ -86,4 +94,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{top}/{k}-{name}")
             docs = spark.read.parquet(f"{top}/{k}-{name}")
+            if k:  # the stage before isn't read again
+                at = spark._jvm.org.apache.hadoop.fs.Path(f"{top}/{k - 1}-{STAGES[k - 1][0]}")
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
     return docs

@@ -27,11 +27,11 @@ def bucket_keys(hashes: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
 
 
 def tasks(rows: DataFrame, block_rows: int, block_weight: int, weight: Column | None = None) -> DataFrame:
-    """rows (id, bucket, and weight, unless `weight` is one of their columns) -> rows with first, second, own.
+    """rows (id, bucket, and weight, unless `weight` is one of their columns) -> rows with blocks and own.
 
     Buckets of one member go, and of buckets with the very same members the first table's stays.
-    first <= second are the two blocks a task compares, own is the member's. A block has about
-    block_rows members or block_weight of their weights.
+    A bucket has so many blocks, and own is the member's: each pair of them is compared in one task. A
+    block has about block_rows members or block_weight of their weights.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # counted and joined on the bucket: one exchange serves both, if both have the join's own filter and all columns
@@ -42,8 +42,7 @@ def tasks(rows: DataFrame, block_rows: int, block_weight: int, weight: Column |
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("weight") / block_weight), F.lit(1)).cast("int")
     kept = kept.select("bucket", blocks.alias("blocks"))
     at = rows.join(kept, "bucket").withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int"))
-    at = at.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return at.select(*rows.columns, F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own")
+    return at.select(*rows.columns, "blocks", "own")
 
 
 #: Rows of a task that are compared with all its members at once: matrices have so many rows at most.
@@ -63,7 +62,9 @@ def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Cal
     """
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value, more = payload.columns[-1], ["size", "keys"] if count else []
-    rows = dealt.join(payload, "id").select("bucket", "first", "second", "own", "member", *more, value)
+    # members are dealt to their pairs of blocks where they are joined, by id: those of a large bucket lie apart there
+    rows = dealt.join(payload, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("first"), F.greatest("own", "other").alias("second"), "own", "member", *more, value)
     rows = rows.repartition(n, "bucket", "first", "second").sortWithinPartitions("bucket", "first", "second")
 
     def task(own: np.ndarray, first: int, second: int, bucket: int, ids: np.ndarray, size: np.ndarray, keys: np.ndarray, values: list) -> tuple | None:

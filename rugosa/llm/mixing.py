@@ -54,13 +54,14 @@ def source_targets(sizes: DataFrame, weights: tuple = (5, 2, 1), most: float = 3
 KEY = ("rank", "doc_id", "h")
 
 
-def _cut_places(d: DataFrame, partial: DataFrame) -> DataFrame:
-    """(of, upto): of the rows alike that are taken in part (of, key, k), the uid of the k-th by uid.
+def nth_by_uid(rows: DataFrame) -> DataFrame:
+    """(of, upto): of rows (of, k, uid), the uid of each group's k-th row by uid.
 
-    Their rows are counted by the task that numbered them, and only those of the task in which the
-    k-th lies are put in order, so that a text copied very often isn't ordered in one place.
+    uid is a stored monotonically_increasing_id. Rows are counted by the task that numbered them, and
+    only those of the task in which the k-th lies are put in order, so that a group of very many rows
+    isn't ordered in one place.
     """
-    rows = d.join(partial, d.source.eqNullSafe(partial.of) & (F.struct(*KEY) == F.col("key"))).select("of", "k", "uid", F.shiftright("uid", 33).alias("task"))
+    rows = rows.select("of", "k", "uid", F.shiftright("uid", 33).alias("task"))
     counts = rows.groupBy("of", "k", "task").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("of").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     where = counts.withColumn("before", before).where("before < k and k <= before + n").select(F.col("of").alias("in_"), F.col("task").alias("at"), (F.col("k") - F.col("before")).alias("need"))
@@ -87,7 +88,8 @@ def _draw(d: DataFrame) -> DataFrame:
     alike = alike.withColumn("before", before).withColumn("k", F.least("n", F.floor((F.col("gap") - F.col("before")) / F.col("size")))).where("k > 0")
     alike = cut(alike.select(F.col("source").alias("of"), F.struct(*KEY).alias("key"), "k", "n", (F.col("before") + F.col("k") * F.col("size")).alias("run")))
     last = alike.groupBy("of").agg(F.max("run").alias("l_run"), F.max(F.when(F.col("k") == F.col("n"), F.col("key"))).alias("l_key"), F.max(F.when(F.col("k") < F.col("n"), F.col("key"))).alias("b_key"))
-    places = _cut_places(d, alike.where("k < n").select("of", "key", "k"))
+    partial = alike.where("k < n").select("of", "key", "k")
+    places = nth_by_uid(d.join(partial, d.source.eqNullSafe(partial.of) & (F.struct(*KEY) == partial.key)).select(partial.of, partial.k, d.uid))
     last = last.join(places.withColumnRenamed("of", "p_of"), F.col("of").eqNullSafe(F.col("p_of")), "left").drop("p_of")
     d = d.join(last, d.source.eqNullSafe(last.of), "left").drop("of")
     key = F.struct(*KEY)
