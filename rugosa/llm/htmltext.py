@@ -72,13 +72,17 @@ N_TOKENS = len(TOKENS)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "items", "tokens", "depth", "own", "text", "link", "tags", "punct", "para", "controls", "start", "index", "label", "foreign")
+    __slots__ = ("tag", "parent", "children", "items", "tokens", "depth", "own", "text", "link", "tags", "punct", "para", "controls", "start", "index", "label", "foreign", "scope", "block", "held")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = "") -> None:
         self.tag, self.parent, self.children, self.items = tag, parent, [], []
         self.depth = parent.depth + 1 if parent else 0
         self.index, self.label = None, False
         self.foreign = (parent.foreign if parent else None) or (self if tag in FOREIGN else None)  # the svg or math it is or lies in
+        # the nearest of itself and what it lies in that: bounds a paragraph; is a block (its depth); bounds a drawing's parts
+        self.scope = self if parent is None or tag == "p" or tag in SCOPE else parent.scope
+        self.block = self.depth if tag in BLOCK else parent.block if parent else -1
+        self.held = None if self.foreign is None else self if self.foreign is self or tag in INTEGRATION else parent.held
         self.tokens = 0
         for m in ATTR.finditer(attrs) if attrs else ():
             if m[1].lower() not in NAMING:
@@ -91,16 +95,29 @@ class Node:
 def parse(source: str, element: type = Node) -> Node:
     """A tree of elements; `items` hold text and children in page order. Bad markup is repaired as it comes.
 
-    `element` makes an element of its tag, parent and attributes.
+    `element` makes an element of its tag, parent and attributes. Open elements are known by tag, so an
+    end tag without a start costs nothing, however deep it stands; an element is closed once.
     """
     root = node = element("html", None)
     at, n = 0, len(source)
+    opened: dict[str, list] = {}
+
+    def down(x: Node) -> Node:
+        opened.setdefault(x.tag, []).append(x)
+        return x
+
+    def up(x: Node, to: Node) -> Node:
+        while x is not to:
+            opened[x.tag].pop()
+            x = x.parent
+        return to
+
     while at < n:
         m = TOKEN.search(source, at)
         text = source[at : m.start() if m else n]
         if text:
             if node.tag == "head" and not text.isspace():
-                node = node.parent  # text ends the head
+                node = up(node, node.parent)  # text ends the head
             node.items.append(text)
         if m is None:
             break
@@ -110,18 +127,16 @@ def parse(source: str, element: type = Node) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            x, block = node, tag in BLOCK
-            while x is not root and x.tag != tag and (block or x.tag not in BLOCK):
-                x = x.parent
-            if x is not root and x.tag == tag:
-                node = x.parent
+            x = opened[tag][-1] if opened.get(tag) else None
+            if x is not None and (tag in BLOCK or node.block < x.depth):  # no block lies between
+                node = up(node, x.parent)
             continue
         attrs = m[3]
         foreign = node.foreign is not None or tag in FOREIGN
         closed = foreign and attrs.endswith("/") and not UNQUOTED.search(attrs)
         if tag == "title" and node.foreign is not None:
             if not closed:
-                node = element("title", node)  # as head: a drawing's name is never read
+                node = down(element("title", node))  # as head: a drawing's name is never read
             continue
         if tag in RAW:
             if closed:
@@ -137,31 +152,24 @@ def parse(source: str, element: type = Node) -> Node:
         if tag in ("html", "body"):
             continue
         if tag == "head":
-            node = element("head", node)  # not linked to its parent: its text is never read
+            node = down(element("head", node))  # not linked to its parent: its text is never read
             continue
         if node.tag == "head" and tag == "noscript":
             continue
         if node.tag == "head" and tag not in VOID:
-            node = node.parent
+            node = up(node, node.parent)
         if tag in BLOCK:
-            if node.foreign is not None:
-                x = node
-                while x is not node.foreign and x.tag not in INTEGRATION:
-                    x = x.parent
-                if x is node.foreign:  # it ends the formula or drawing
-                    node = x.parent
-            x = node
-            while x is not root and x.tag != "p" and x.tag not in SCOPE:
-                x = x.parent
-            if x.tag == "p":
-                node = x.parent
+            if node.foreign is not None and node.held is node.foreign:  # it ends the formula or drawing
+                node = up(node, node.foreign.parent)
+            if node.scope.tag == "p":
+                node = up(node, node.scope.parent)
             closes = SELF_CLOSING.get(tag)
             if closes:
                 x = node
                 while x is not root and x.tag not in closes and (x.tag not in SCOPE or x.tag in ("td", "th") and tag == "tr"):
                     x = x.parent
                 if x.tag in closes:
-                    node = x.parent
+                    node = up(node, x.parent)
         if tag == "br":
             node.items.append(" ")
             continue
@@ -179,7 +187,7 @@ def parse(source: str, element: type = Node) -> Node:
             child.items.append(source[at:end].replace("&", "&amp;"))
             at = end
         if tag not in VOID and not closed:
-            node = child
+            node = down(child)
     return root
 
 
@@ -331,7 +339,7 @@ def text_of(root: Node) -> str:
 
     def end() -> None:
         if now:
-            line = " ".join(html.unescape("".join(now)).split())
+            line = " ".join("".join(now).split())
             if line:
                 blocks.append(line)
             now.clear()
@@ -340,7 +348,7 @@ def text_of(root: Node) -> str:
     while stack:
         x = stack.pop()
         if x.__class__ is str:
-            now.append(x)
+            now.append(html.unescape(x))  # a reference doesn't go on behind a tag
         elif x is None:
             end()
         elif x.label:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -397,6 +398,26 @@ def test_html_keeps_formulas_drawings_and_fallbacks():
         assert htmltext.extract([page], model) == ["\n\n".join(["Head line", one, *want, three])], middle
 
 
+def test_html_of_hostile_depth():
+    """Ends without starts and deep nesting take time in proportion; what they mean stays as it was."""
+    began = time.time()
+    n = 20_000
+    for page in ("<div>" * n + "</p>" * n, "<i><div>" + "<b>" * n + "</i>" * n, "<p><b>" * n + "x", "<svg><desc>" + "<b>" * n + "<div></div>" * n, "<ul>" + "<li><b>" * n + "</ul>" * n):
+        htmltext.parse(page)
+    assert time.time() - began < 10
+    shape = lambda x: (x.tag, [shape(i) if not isinstance(i, str) else i for i in x.items])
+    assert shape(htmltext.parse("<div><b>a</i></div><p>b<div>c</b></p>d</div>e")) == ("html", [("div", [("b", ["a"])]), ("p", ["b"]), ("div", ["c", "d"]), "e"])
+    assert shape(htmltext.parse("<p>a<b>b<p>c</b>d")) == ("html", [("p", ["a", ("b", ["b"])]), ("p", ["c", "d"])])
+    assert shape(htmltext.parse("<b>a<div>b</b>c</div>d</b>e")) == ("html", [("b", ["a", ("div", ["b", "c"]), "d"]), "e"])
+
+
+def test_html_references_end_at_tags():
+    page = htmltext.parse("<p>&<b>amp;</b> &amp;lt; &lt;b&gt;</p>")
+    for x in htmltext.nodes_of(page):
+        x.label = True
+    assert htmltext.text_of(page) == "&amp; &lt; <b>"
+
+
 def test_html_letters_that_grow_in_lower_case():
     model = htmltext.train()
     one, two, three = "İ" * 20 + " stands first in the text, with some words.", "Second one; it has more words than the first, and a comma.", "Third one ends the story here, with no surprise at all."
