@@ -19,16 +19,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, batches, cut, mix64, shingles
+from .common import Words, batches, cut, mix64, sent_if_small, shingles
 
 SAMPLES = 128
 ROWS_LOG2 = 16
 WORDS = 5
 #: Documents of a run that one task goes through in order.
 RUN_ROWS = 20_000
+#: More documents than so many runs hold make the runs longer: the bounds of runs are numbers in the plan.
+MOST_RUNS = 1 << 16
 #: Shingles looked at together, so that memory stays small for very long texts.
 BLOCK = 1024
 
@@ -112,8 +114,8 @@ def ordered_chunks(docs: DataFrame, chunks: int, columns: list[str], by: str = "
     """The rows dealt into runs of ascending ids, each followed by the first row of the next run.
 
     Adds chunk (int) and tail (boolean: the row belongs to the next run). The last run is followed
-    by the first row of all. Only the bounds of the runs pass through the driver. Rows of equal id
-    stay in one run; null ids come first.
+    by the first row of all. Only the bounds of the runs pass through the driver: `chunks` numbers. Rows
+    of equal id stay in one run; null ids come first.
     """
     ids = docs.select(F.col(by).cast("double").alias("x"))
     bounds = sorted(set(ids.approxQuantile("x", [i / chunks for i in range(1, chunks)], 0.2 / chunks) if chunks > 1 else []))
@@ -124,16 +126,14 @@ def ordered_chunks(docs: DataFrame, chunks: int, columns: list[str], by: str = "
         step = f"if(s.lo >= s.hi, s, if(element_at(bounds_, {middle} + 1) < cast({by} as double), named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle})))"
         at = F.expr(f"coalesce(aggregate(sequence(1, {len(bounds).bit_length() + 1}), named_struct('lo', 0, 'hi', {len(bounds)}), (s, i) -> {step}, s -> s.lo), 0)")
     d = docs.select(by, *[c for c in columns if c != by], F.array(*[F.lit(float(b)) for b in bounds]).alias("bounds_")).withColumn("chunk", at).drop("bounds_")
-    firsts = sorted(d.groupBy("chunk").agg(F.min(F.struct(F.col(by), F.xxhash64("text"))).alias("f")).collect())  # one row a run
-    if not firsts:
-        return d.withColumn("tail", F.lit(False))
-    before = {firsts[i][0]: firsts[i - 1][0] for i in range(len(firsts))}
-    lead = F.lit(None).cast("int")
-    key = F.create_map(*[x for c, p in before.items() for x in (F.lit(c), F.lit(p))])
-    mark = F.create_map(*[x for c, f in firsts for x in (F.lit(c), F.struct(F.lit(f[0]).cast(dict(docs.dtypes)[by]).alias(by), F.lit(f[1]).alias("h")))])
-    is_first = F.struct(F.col(by).alias(by), F.xxhash64("text").alias("h")).eqNullSafe(F.element_at(mark, F.col("chunk")))
-    lead = F.when(is_first, F.element_at(key, F.col("chunk")))
-    both = F.when(lead.isNull(), F.array(F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("tail")))).otherwise(F.array(F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("tail")), F.struct(lead.alias("chunk"), F.lit(True).alias("tail"))))
+    # a row a run: its first row's key, and the run before, which is the last one for the first
+    firsts = d.groupBy("chunk").agg(F.min(F.struct(F.col(by), F.xxhash64("text").alias("h"))).alias("first_"))
+    every = Window.orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.lag("chunk").over(Window.orderBy("chunk")), F.max("chunk").over(every))
+    d = d.join(sent_if_small(cut(firsts.withColumn("before_", before)), 64), "chunk")
+    is_first = F.struct(F.col(by).alias(by), F.xxhash64("text").alias("h")).eqNullSafe(F.col("first_"))
+    own = F.struct(F.col("chunk").alias("chunk"), F.lit(False).alias("tail"))
+    both = F.when(is_first, F.array(own, F.struct(F.col("before_").alias("chunk"), F.lit(True).alias("tail")))).otherwise(F.array(own))
     return d.withColumn("to", F.explode(both)).select(by, *[c for c in columns if c != by], "to.chunk", "to.tail")
 
 
@@ -148,7 +148,7 @@ def compare_with_edits(docs: DataFrame, samples: int = SAMPLES, seed: int = 5, c
     """
     if chunks is None:
         least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        chunks = max(1, least, math.ceil(docs.count() / RUN_ROWS))
+        chunks = max(1, least, min(MOST_RUNS, math.ceil(docs.count() / RUN_ROWS)))
     n = chunks
     dealt = ordered_chunks(docs.select("doc_id", "text"), n, ["doc_id", "text"])
     dealt = dealt.repartition(n, "chunk").withColumn("h", F.xxhash64("text")).sortWithinPartitions("chunk", "tail", F.col("doc_id").asc_nulls_first(), "h")
