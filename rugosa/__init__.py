@@ -7,6 +7,7 @@ __version__ = "0.2.0"
 # so that executors import what a task needs only.
 _WHERE = {
     "config": ["DecompositionConfig", "RoughnessConfig"],
+    "interface": ["compute_heatmap_grid", "detect_surface_abnormalities", "interpolate_heatmap_at_points"],
     "operators.grid": ["SparseScanError"],
     "plans.analyze": [
         "PurePythonResult", "analyze_file", "analyze_object", "analyze_ply", "analyze_points", "analyze_pure_python",
@@ -19,12 +20,7 @@ _WHERE = {
     ],
     "sources.readers": ["load_delimited", "load_obj", "load_pcd", "load_ply", "load_points", "load_stl_vertices"],
 }
-_RENAMED = {
-    "compute_heatmap_grid": ("operators.heatmap", "heatmap"),
-    "detect_surface_abnormalities": ("operators.defects", "detect"),
-    "interpolate_heatmap_at_points": ("operators.heatmap", "interpolate"),
-}
-_NAMES = _RENAMED | {n: (m, n) for m, names in _WHERE.items() for n in names}
+_NAMES = {n: (m, n) for m, names in _WHERE.items() for n in names}
 __all__ = ["__version__", *_NAMES]
 
 

@@ -9,8 +9,9 @@ from pyspark.sql import SparkSession
 
 from .config import DecompositionConfig, RoughnessConfig
 from .plans.analyze import analyze_object, analyze_points
-from .result import ObjectRoughnessResult, format_report, grid_array, save_grid_npz, save_metrics_json
+from .result import ObjectRoughnessResult, format_report, save_grid_npz, save_metrics_json
 from .sources.readers import load_points
+from .sources.writers import save_npy, save_npz
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -45,16 +46,17 @@ def main(argv: list[str] | None = None) -> None:
         save_metrics_json(result, a.metrics_out)
     if isinstance(result, ObjectRoughnessResult):
         if a.grid_out:
-            np.savez(a.grid_out, **{f"face_{f.patch_id}": grid_array(f.roughness.grid, f.roughness.grid_shape) for f in result.patches})
+            save_npz(a.grid_out, {f"face_{f.patch_id}": (f.roughness.grid, f.roughness.grid_shape, "z") for f in result.patches})
         return
     if a.grid_out:
         save_grid_npz(result, a.grid_out)
     if a.heatmap_out:
-        heat = grid_array(result.heatmap(disc_averaging=a.disc_averaging), result.grid_shape, "value")
+        heat = (result.heatmap(disc_averaging=a.disc_averaging), result.grid_shape)
         if a.heatmap_out.endswith(".npz"):
-            np.savez(a.heatmap_out, heatmap=heat, pitch_mm=result.grid_pitch_mm, origin=np.array([*result.grid_origin_mm, result.grid_pitch_mm]))
+            origin = np.array([*result.grid_origin_mm, result.grid_pitch_mm])
+            save_npz(a.heatmap_out, {"heatmap": (*heat, "value"), "pitch_mm": result.grid_pitch_mm, "origin": origin})
         else:
-            np.save(a.heatmap_out, heat)
+            save_npy(*heat, a.heatmap_out if a.heatmap_out.endswith(".npy") else f"{a.heatmap_out}.npy", "value")
 
 
 if __name__ == "__main__":

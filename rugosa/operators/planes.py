@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,27 @@ def assign(points: DataFrame, planes: list[tuple]) -> DataFrame:
     return points.withColumn("near_", nearest).select(*points.columns, F.col("near_.model").alias("model"), F.col("near_.distance").alias("distance"))
 
 
+def adjacent(planes: list[tuple], parallel_deg: float) -> list[tuple]:
+    """(model, planes that aren't nearly parallel to it) of (model, nx, ny, nz, d)."""
+    least = math.cos(math.radians(parallel_deg))
+    dot = lambda p, q: abs(sum(a * b for a, b in zip(p[1:4], q[1:4])))
+    return [(p[0], [q for q in planes if q[0] != p[0] and dot(p, q) < least]) for p in planes]
+
+
+def beyond(points: DataFrame, planes: list[tuple], margin: float, parallel_deg: float = 10.0) -> DataFrame:
+    """points (patch: the model of their plane) that lie in front of another face's plane, or less than `margin` behind it.
+
+    Adds `by`, the lowest model of such a plane. Planes nearly parallel to the point's own aren't asked.
+    The planes are a table of a row a face, which holds the adjacent ones as an array.
+    """
+    kind = f"patch {dict(points.dtypes)['patch']}, planes array<struct<model:int,nx:double,ny:double,nz:double,d:double>>"
+    table = points.sparkSession.createDataFrame(adjacent(planes, parallel_deg), kind)
+    ahead = lambda p: F.col("x") * p["nx"] + F.col("y") * p["ny"] + F.col("z") * p["nz"] + p["d"] > -margin
+    d = points.join(F.broadcast(table), "patch")  # as many rows as an object has faces
+    d = d.withColumn("by", F.array_min(F.transform(F.filter("planes", ahead), lambda p: p["model"])))
+    return d.where("by is not null").select(*points.columns, "by")
+
+
 def ordered(faces: DataFrame) -> DataFrame:
     """faces (face, nx, ny, nz, area) with patch_id from 1: main axis Z, X, Y, then plus before minus, then by area down.
 

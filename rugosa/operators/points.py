@@ -122,6 +122,77 @@ def box_scan_all(points: DataFrame, n_angles: int, u: str = "u", v: str = "v") -
     return every.select("patch", "angle", (F.col("x1") - F.col("x0")).alias("w"), (F.col("y1") - F.col("y0")).alias("h"))
 
 
+def _inside(p: np.ndarray, corners: np.ndarray) -> np.ndarray:
+    """Which points lie strictly inside a convex polygon whose corners run counterclockwise."""
+    a, b = corners, np.roll(corners, -1, axis=0)
+    out = np.ones(len(p), bool)
+    for (ax, ay), (bx, by) in zip(a, b):
+        out &= (bx - ax) * (p[:, 1] - ay) - (by - ay) * (p[:, 0] - ax) > 0
+    return out
+
+
+def hull_of(p: np.ndarray, directions: int = 32) -> np.ndarray:
+    """Corners of the convex hull of (n, 2) points, counterclockwise from the least; none between two others.
+
+    Points inside the polygon of those that lie furthest in some directions are no corners: most go
+    by array operations, and the chain walks over what is left.
+    """
+    p = np.unique(p, axis=0)
+    if len(p) > 4 * directions:
+        t = np.arange(directions) * 2 * math.pi / directions
+        far = np.argmax(p @ np.stack([np.cos(t), np.sin(t)]), axis=0)
+        ring = p[far[np.concatenate(([True], far[1:] != far[:-1]))]]
+        if len(ring) > 2:
+            p = p[~_inside(p, ring)]
+
+    def chain(rows: np.ndarray) -> list:
+        out: list = []
+        for x, y in rows.tolist():
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (y - out[-2][1]) - (out[-1][1] - out[-2][1]) * (x - out[-2][0]) <= 0:
+                out.pop()
+            out.append((x, y))
+        return out
+
+    if len(p) < 3:
+        return p
+    return np.array(chain(p)[:-1] + chain(p[::-1])[:-1])
+
+
+def convex_hull(points: DataFrame, u: str = "u", v: str = "v", groups: int = 64) -> DataFrame:
+    """(patch, place, u, v): the corners of each patch's convex hull, counterclockwise from the least u, then v.
+
+    Partitions send the corners of their own points; these are merged in `groups` parts of a patch, and
+    the parts' corners once more, so that no task gets more than the corners of many hulls.
+    """
+    kind = dict(points.dtypes)["patch"]
+
+    def local(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+
+        def out() -> pd.DataFrame:
+            rows = pd.concat([pd.DataFrame({"patch": k, "u": h[:, 0], "v": h[:, 1]}) for k, h in held.items()])
+            held.clear()
+            return rows
+
+        for part in parts:
+            for k, p in part.groupby("patch", sort=False):
+                now = p[["u", "v"]].to_numpy(float)
+                held[k] = hull_of(np.vstack([held[k], now]) if k in held else now)
+            if sum(map(len, held.values())) > 100_000:
+                yield out()
+        if held:
+            yield out()
+
+    def merged(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        h = hull_of(pdf[["u", "v"]].to_numpy(float))
+        return pd.DataFrame({"patch": key[0], "place": np.arange(len(h), dtype=np.int32), "u": h[:, 0], "v": h[:, 1]})
+
+    plane = points.select("patch", F.col(u).alias("u"), F.col(v).alias("v")).where(finite("u", "v"))
+    corners = plane.mapInPandas(local, f"patch {kind}, u double, v double").withColumn("group", F.pmod(F.spark_partition_id(), F.lit(groups)))
+    schema = f"patch {kind}, place int, u double, v double"
+    return corners.groupBy("patch", "group").applyInPandas(merged, schema).groupBy("patch").applyInPandas(merged, schema)
+
+
 def box_scan(points: DataFrame, n_angles: int, u: str = "u", v: str = "v") -> DataFrame:
     """(patch, angle, w, h, area) of each patch's least box of `box_scan_all`; of equal areas the first angle's."""
     every = box_scan_all(points, n_angles, u, v).withColumn("area", F.col("w") * F.col("h"))

@@ -324,22 +324,23 @@ def grid_array(cells: DataFrame, shape: tuple[int, int], column: str = "z") -> n
 
 
 def save_grid_npz(result: RoughnessResult, path: str) -> None:
-    """One array file on the driver; `save_grid_parquet` is the way for large grids."""
+    """The grid and its frame in one archive; executors write the grid, into a folder shared with the driver."""
+    from .sources.writers import save_npz
+
     if result.grid is None:
         raise ValueError("the result has no grid")
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     p, zero = result.plane, np.zeros(3)
     # The names of the arrays.
-    np.savez(
-        path,
-        grid=grid_array(result.grid, result.grid_shape),
-        grid_pitch_mm=result.grid_pitch_mm,
-        grid_origin=np.array([*result.grid_origin_mm, result.grid_pitch_mm]),
-        plane_centroid=p.centroid if p else zero,
-        plane_normal=p.normal if p else zero,
-        plane_x_axis=p.x_axis if p else zero,
-        plane_y_axis=p.y_axis if p else zero,
-    )
+    arrays = {
+        "grid": (result.grid, result.grid_shape, "z"),
+        "grid_pitch_mm": result.grid_pitch_mm,
+        "grid_origin": np.array([*result.grid_origin_mm, result.grid_pitch_mm]),
+        "plane_centroid": p.centroid if p else zero,
+        "plane_normal": p.normal if p else zero,
+        "plane_x_axis": p.x_axis if p else zero,
+        "plane_y_axis": p.y_axis if p else zero,
+    }
+    save_npz(path, arrays)
 
 
 RULE = "─" * 55

@@ -3,9 +3,11 @@
 import duckdb
 import pytest
 
-from rugosa.plans import engine_queries, queries
+from rugosa.plans import engine_queries, queries, shape_queries
 
-ORACLE_SQL, QUERIES = queries.ORACLE_SQL | engine_queries.ORACLE_SQL, queries.QUERIES | engine_queries.QUERIES
+ALL = (queries, engine_queries, shape_queries)
+ORACLE_SQL = {k: v for m in ALL for k, v in m.ORACLE_SQL.items()}
+QUERIES = {k: f for m in ALL for k, f in m.QUERIES.items()}
 
 SF = "/root/testdata/sf0.001"
 

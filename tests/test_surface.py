@@ -16,7 +16,7 @@ from rugosa.operators import defects, grid, heatmap, metrics, morphology, neighb
 from rugosa.plans import analyze, decompose
 from rugosa.plans.analyze import analyze_file, analyze_object, analyze_points
 from rugosa.result import RoughnessResult, grid_array
-from rugosa.sources import readers
+from rugosa.sources import readers, writers
 
 
 def frame(spark, a):
@@ -562,6 +562,69 @@ def test_files_that_end_too_soon(spark, tmp_path):
             readers.load_points(spark, str(tmp_path / name)).collect()
 
 
+@pytest.mark.parametrize("band_cells", [1, 70, 10**6])
+def test_grids_are_written_by_bands(spark, tmp_path, band_cells):
+    """The file equals the array, also where cells and whole rows are missing; nothing else is left in the folder."""
+    z = np.random.default_rng(1).normal(size=(23, 17))
+    z[5:9] = np.nan
+    z[2, 3] = np.nan
+    d = cells(spark, np.nan_to_num(z), np.isfinite(z)).where("valid or iy = 2")
+    d = d.withColumn("z", F.when(F.col("valid"), F.col("z"))).repartition(5)
+    writers.save_npy(d, z.shape, str(tmp_path / "to" / "g.npy"), band_cells=band_cells)
+    assert np.array_equal(np.load(tmp_path / "to" / "g.npy"), z, equal_nan=True)
+    assert np.load(tmp_path / "to" / "g.npy", mmap_mode="r").shape == (23, 17) and os.listdir(tmp_path / "to") == ["g.npy"]
+    writers.save_npz(str(tmp_path / "a"), {"grid": (d, z.shape, "z"), "pitch": 0.2, "names": np.arange(3)})
+    got = np.load(tmp_path / "a.npz")
+    assert np.array_equal(got["grid"], z, equal_nan=True) and got["pitch"] == 0.2 and got["names"].tolist() == [0, 1, 2]
+    assert sorted(os.listdir(tmp_path)) == ["a.npz", "to"]
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    z = np.zeros((4, 4))
+    (tmp_path / "g.npy").write_bytes(b"before")
+    d = cells(spark, z, z == 0).withColumn("ix", F.when(F.col("iy") == 3, 99).otherwise(F.col("ix")))  # beyond the shape
+    with pytest.raises(Exception):
+        writers.save_npy(d, (4, 4), str(tmp_path / "g.npy"))
+    assert os.listdir(tmp_path) == ["g.npy"] and (tmp_path / "g.npy").read_bytes() == b"before"
+
+
+def test_functions_of_the_interface(spark):
+    """The names that take arrays elsewhere take cells here: a bump is found, and the heatmap read between cells."""
+    import rugosa
+
+    z = np.random.default_rng(3).normal(0, 0.001, (60, 60))
+    y, x = np.indices(z.shape)
+    z[(y - 30) ** 2 + (x - 20) ** 2 <= 16] += 0.1
+    d = cells(spark, z, z < 9).select("iy", "ix", "z")
+    heat = rugosa.compute_heatmap_grid(d, pitch_mm=0.5, radius_mm=3.0, min_support_cells=12, disc_averaging=False)
+    a = dense(heat, z.shape, "value")
+    found, where = rugosa.detect_surface_abnormalities(d, 0.5, 10.0, threshold_factor=2.0, min_area_mm2=2.0, heatmap_grid_um=heat)
+    assert [f.kind for f in found] == ["protrusion"] and found[0].point_count == where.count()
+    masked, _ = rugosa.detect_surface_abnormalities(d, 0.5, 10.0, valid_mask=d.where("iy < 20").select("iy", "ix"))
+    assert masked == []
+    p = spark.createDataFrame([(1.0, 2.0, "a"), (7.25, 10.5, "b"), (-5.0, 99.0, "c")], "u_mm double, v_mm double, patch string")
+    got = {r.patch: r.value for r in rugosa.interpolate_heatmap_at_points(heat, 0.0, 0.0, 0.5, p).collect()}
+    assert got == pytest.approx({"a": a[4, 2], "b": (a[21, 14] + a[21, 15]) / 2, "c": a[59, 0]}, rel=1e-6)
+
+
+def test_hulls(spark):
+    """Against the definition: the corners are the points that no triangle of others holds; in any partitioning."""
+    rng = np.random.default_rng(7)
+    sets = {0: rng.normal(size=(3000, 2)), 1: rng.integers(0, 12, (500, 2)).astype(float), 2: np.array([[1.0, 2.0]] * 5), 3: np.column_stack([np.arange(9.0), 2 * np.arange(9.0)]), 4: np.array([[np.cos(t), np.sin(t)] for t in np.arange(200) / 200 * 2 * np.pi])}
+    d = spark.createDataFrame(pd.DataFrame([(k, *map(float, q)) for k, a in sets.items() for q in a], columns=["patch", "u", "v"])).repartition(7)
+    got = {}
+    for r in points.convex_hull(d).orderBy("patch", "place").collect():
+        got.setdefault(r.patch, []).append((r.u, r.v))
+    for k in (0, 1, 4):
+        h, a = np.array(got[k]), sets[k]
+        e = np.roll(h, -1, axis=0) - h
+        side = e[:, 0, None] * (a[None, :, 1] - h[:, 1, None]) - e[:, 1, None] * (a[None, :, 0] - h[:, 0, None])
+        assert (side > -1e-9).all()  # all points lie to the left of every side
+        turn = e[:, 0] * np.roll(e, -1, axis=0)[:, 1] - e[:, 1] * np.roll(e, -1, axis=0)[:, 0]
+        assert (turn > 0).all() and tuple(h[0]) == min(map(tuple, h))
+    assert got[2] == [(1.0, 2.0)] and got[3] == [(0.0, 0.0), (8.0, 16.0)]
+
+
 def test_planarity(spark):
     rng = np.random.default_rng(1)
     flat = np.column_stack([rng.uniform(0, 50, (1000, 2)), rng.normal(0, 0.01, 1000)])
