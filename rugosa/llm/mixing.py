@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import patch_table
 from .common import cut
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -82,15 +83,16 @@ def _draw(d: DataFrame) -> DataFrame:
     cells = cells.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     #: the cell in which the gap ends, and what the cells before it have used
     edge = cells.groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("gap"), F.col("cell"))).alias("edge"), F.coalesce(F.max(F.when(F.col("upto") <= F.col("gap"), F.col("upto"))), F.lit(0)).alias("used")).withColumnRenamed("source", "of")
+    edge = patch_table(edge)  # a row a source: short, the documents stay where they are
     d = cut(d.join(edge, d.source.eqNullSafe(edge.of), "left").drop("of").withColumn("part", F.expr(takes_part)))
     alike = d.where("part and cell = edge").groupBy("source", *KEY, "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"), F.first("used").alias("used"))
     before = F.coalesce(F.sum(F.expr("n * size")).over(Window.partitionBy("source").orderBy(*KEY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("used")
     alike = alike.withColumn("before", before).withColumn("k", F.least("n", F.floor((F.col("gap") - F.col("before")) / F.col("size")))).where("k > 0")
     alike = cut(alike.select(F.col("source").alias("of"), F.struct(*KEY).alias("key"), "k", "n", (F.col("before") + F.col("k") * F.col("size")).alias("run")))
     last = alike.groupBy("of").agg(F.max("run").alias("l_run"), F.max(F.when(F.col("k") == F.col("n"), F.col("key"))).alias("l_key"), F.max(F.when(F.col("k") < F.col("n"), F.col("key"))).alias("b_key"))
-    partial = alike.where("k < n").select("of", "key", "k")
+    partial = patch_table(alike.where("k < n").select("of", "key", "k"))
     places = nth_by_uid(d.join(partial, d.source.eqNullSafe(partial.of) & (F.struct(*KEY) == partial.key)).select(partial.of, partial.k, d.uid))
-    last = last.join(places.withColumnRenamed("of", "p_of"), F.col("of").eqNullSafe(F.col("p_of")), "left").drop("p_of")
+    last = patch_table(last.join(places.withColumnRenamed("of", "p_of"), F.col("of").eqNullSafe(F.col("p_of")), "left").drop("p_of"))
     d = d.join(last, d.source.eqNullSafe(last.of), "left").drop("of")
     key = F.struct(*KEY)
     inside = (key <= F.col("l_key")) | ((key == F.col("b_key")) & (F.col("uid") <= F.col("upto")))
@@ -113,7 +115,7 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0,
     power = F.pow(F.col("size").cast("double"), F.lit(size_power))
     sums = base.groupBy("source").agg(F.sum(power * F.col("size")).alias("pooled"))
     per = targets.join(sums, targets.source.eqNullSafe(sums.source)).select(targets.source, "source_size", "target", "pooled")
-    per = cut(per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
+    per = patch_table(per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")).withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))))
     d = base.alias("d").join(per.withColumnRenamed("source", "of"), F.col("d.source").eqNullSafe(F.col("of")), "left").drop("of")
     u = ((F.shiftrightunsigned("h", 11)) + F.lit(0.5)) / F.lit(float(1 << 53))
     p = F.least(F.lit(0.999), F.greatest(F.lit(1e-9), F.col("left") * power / F.greatest(F.col("pooled"), F.lit(1e-300))))
@@ -125,7 +127,7 @@ def mix_sources(docs: DataFrame, weights: tuple = (5, 2, 1), most: float = 3.0,
     #: the document outside the sample whose size comes nearest to the gap, if that is nearer than none
     off = F.abs(F.col("size") - F.col("gap"))
     closing = d.where("more = 0 and size > 0").where(off < F.col("gap")).groupBy("source").agg(F.min(F.struct(off.alias("off"), *KEY, "uid")).alias("c")).select(F.col("source").alias("c_of"), F.col("c.uid").alias("c_uid"))
-    d = d.join(closing, d.source.eqNullSafe(F.col("c_of")), "left").drop("c_of")
+    d = d.join(patch_table(closing), d.source.eqNullSafe(F.col("c_of")), "left").drop("c_of")
     chosen = F.when((F.col("more") > 0) | F.coalesce((F.col("size") > 0) & (F.col("uid") == F.col("c_uid")), F.lit(False)), 1).otherwise(0)
     copies = (F.coalesce("whole", F.lit(0)) + chosen).cast("long")
     return d.withColumn("copies", copies).select(*keep, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
