@@ -36,3 +36,11 @@ def detect(grid_mm: DataFrame, heat: DataFrame, svr: DataFrame, pitch_mm: float,
     found = found.withColumn("id", F.row_number().over(Window.partitionBy("patch").orderBy("label")))
     defects = found.select("patch", "id", F.when(F.col("mean") >= 0, "protrusion").otherwise("depression").alias("kind"), area.alias("area_mm2"), (2 * F.sqrt(area / math.pi)).alias("diameter_mm"), (F.col("peak") * 1000).alias("peak_deviation_um"), (F.col("mx") * pitch_mm).alias("u_mm"), (F.col("my") * pitch_mm).alias("v_mm"), "points", "label")
     return defects.drop("label"), cells.join(defects.select("patch", "label", "id"), ["patch", "label"]).select("patch", "iy", "ix", "id")
+
+
+def totals(defects: DataFrame, areas: DataFrame) -> DataFrame:
+    """(patch, defects, area_mm2, area_pct, per_dm2) for each patch of areas (patch, patch_area_mm2); 0 where it has none."""
+    found = defects.groupBy("patch").agg(F.count("*").alias("defects"), F.sum("area_mm2").alias("area_mm2"))
+    d = areas.join(found, "patch", "left").na.fill(0, ["defects"]).na.fill(0.0, ["area_mm2"])
+    of_area = lambda c: F.when(F.col("patch_area_mm2") > 0, c / F.col("patch_area_mm2")).otherwise(0.0)
+    return d.select("patch", "defects", "area_mm2", of_area(100 * F.col("area_mm2")).alias("area_pct"), of_area(10_000 * F.col("defects")).alias("per_dm2"))

@@ -259,11 +259,21 @@ def q_components(s, d):
     return c.select("iy", "ix", F.col("label.iy").alias("label_y"), F.col("label.ix").alias("label_x"))
 
 
-def q_defects(s, d):
+def bumps(s, d):
+    """(the grid with a raised and a sunken disc, its defects)."""
     g = cut(bumpy(in_mm(roughness(s, d))))
     v = metrics.svr(metrics.variogram(g.withColumn("z", F.col("z") / 1000), PITCH, BINS, SPAN), BINS)
-    found, _ = defects.detect(g, heatmap.heatmap(g, PITCH_MM, 5.0, disc_averaging=False), v, PITCH_MM)
-    return found.select(F.col("id").cast("long").alias("id"), "kind", r("area_mm2", 4), r("diameter_mm", 4), r("peak_deviation_um", 2), r("u_mm", 3), r("v_mm", 3), F.col("points").cast("long").alias("points"))
+    return g, defects.detect(g, heatmap.heatmap(g, PITCH_MM, 5.0, disc_averaging=False), v, PITCH_MM)[0]
+
+
+def q_defects(s, d):
+    return bumps(s, d)[1].select(F.col("id").cast("long").alias("id"), "kind", r("area_mm2", 4), r("diameter_mm", 4), r("peak_deviation_um", 2), r("u_mm", 3), r("v_mm", 3), F.col("points").cast("long").alias("points"))
+
+
+def q_defect_totals(s, d):
+    g, found = bumps(s, d)
+    areas = g.groupBy("patch").agg(((F.max("iy") + 1) * (F.max("ix") + 1) * PITCH_MM**2).alias("patch_area_mm2"))
+    return defects.totals(found, areas).select("defects", r("area_mm2", 4), r("area_pct", 6), r("per_dm2", 6))
 
 
 def q_plane_score(s, d):
@@ -546,3 +556,7 @@ ORACLE_SQL = {
     "area_weighted_svr": f"WITH {FACES} SELECT round(sum(area * svr_um) / sum(area), 6) AS mean_svr_um, round(max(svr_um), 6) AS worst_svr_um, round(min(svr_um), 6) AS best_svr_um FROM face",
     "density": f"WITH s AS (SELECT l_returnflag AS patch, l_extendedprice / 1000.0::DOUBLE AS u, {Y} AS v FROM lineitem), d AS (SELECT patch, count(*) AS points, max(u) - min(u) AS width, max(v) - min(v) AS height FROM s GROUP BY patch) SELECT patch, points, round(width, 6) AS width, round(height, 6) AS height, round(width * height, 6) AS area, round(points / (width * height), 6) AS density, round(1 / sqrt(points / (width * height)), 6) AS spacing FROM d",
 }
+ORACLE_SQL["defect_totals"] = f"""WITH d AS ({ORACLE_SQL["defects"]}),
+area AS (WITH {_filled()} SELECT (max(iy) + 1) * (max(ix) + 1) * {PITCH_MM}::DOUBLE AS a FROM full_)
+SELECT count(*) AS defects, round(sum(area_mm2), 4) AS area_mm2, round(100 * sum(area_mm2) / any_value(a), 6) AS area_pct,
+ round(10000 * count(*) / any_value(a), 6) AS per_dm2 FROM d, area"""

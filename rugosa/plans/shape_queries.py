@@ -6,10 +6,13 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import morphology, planes, points
-from .queries import MARKS, MM, PL, lineitem_mm, marks, unit_planes
+from ..functions.columns import cut
+from ..operators import morphology, neighbors, planes, points
+from .queries import EV, MARKS, MM, PL, _curvature, events_mm, lineitem_mm, marks, unit_planes
 
-MARGIN, PARALLEL_DEG, REACH = 3.0, 10.0, 6.0
+MARGIN, PARALLEL_DEG, REACH = -10.0, 10.0, 6.0
+#: Half way between two figures of five decimals.
+NOT_FLAT = 0.100005
 
 
 def q_convex_hull(s, d):
@@ -29,6 +32,19 @@ def q_distance(s, d):
     return morphology.distances(marks(s, d), REACH).select("iy", "ix", "d2")
 
 
+def rough_events(s, d):
+    """The events lattice with heights that make some neighbourhoods anything but flat."""
+    return events_mm(s, d).withColumn("z", F.col("z") * 20)
+
+
+def q_edge_points(s, d):
+    """Points within 1.6 mm of one whose neighbourhood isn't flat."""
+    e = cut(rough_events(s, d))
+    seeds = neighbors.curvature(e, e).where((F.col("n") >= 8) & (F.col("sigma") > NOT_FLAT)).select("pid")
+    at = e.join(seeds, "pid", "left_semi")
+    return neighbors.pairs_within(e, at, 1.6).select("pid").distinct()
+
+
 QUERIES = {k[2:]: f for k, f in list(globals().items()) if k.startswith("q_")}
 
 
@@ -42,7 +58,14 @@ def _chain(name: str, ends: str, worst: str, best: str, sign: str) -> str:
  WHERE b.s IS NULL OR a.s IS NULL OR b.s {sign} a.s)"""
 
 
+ROUGH = EV.replace("value / 1000.0::DOUBLE AS z", "value / 1000.0::DOUBLE * 20 AS z")
+
 ORACLE_SQL = {
+    "edge_points": f"""WITH {ROUGH}, sig AS ({_curvature().replace(EV, ROUGH)}),
+seed AS (SELECT ev.* FROM ev JOIN sig USING (pid) WHERE n >= 8 AND sigma > {NOT_FLAT}::DOUBLE),
+o AS (SELECT y AS dy, x AS dx FROM range(-2, 3) a(y), range(-2, 3) b(x))
+SELECT DISTINCT a.pid FROM ev a, o, seed b WHERE b.y = a.y + o.dy AND b.x = a.x + o.dx
+ AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 1.6::DOUBLE * 1.6::DOUBLE""",
     "convex_hull": f"""WITH {MM},{_chain("leftmost", "min", "max", "min", "<")},{_chain("rightmost", "max", "min", "max", ">")}
 SELECT round(x, 6) AS x, round(y, 6) AS y FROM (SELECT * FROM leftmost UNION SELECT * FROM rightmost)""",
     "half_space": f"""WITH {MM}, {PL}, r AS (SELECT row_number() OVER () AS rid, * FROM mm),
