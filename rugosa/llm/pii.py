@@ -88,14 +88,23 @@ def score_graph(pairs: DataFrame, rounds: int = 3) -> tuple[DataFrame, DataFrame
     return patterns, known
 
 
-def find_personal_data(docs: DataFrame, least: float = 0.8, support: int = 5, rounds: int = 3, keep: tuple = ("doc_id",)) -> DataFrame:
+def base_rates(pairs: DataFrame) -> DataFrame:
+    """(shape, kind, rate): the share of seeds of each kind among all occurrences of a shape; a few rows."""
+    every = pairs.where(F.col("pattern").startswith("before\t")).withColumn("shape", F.element_at(F.split("pattern", "\t"), -1))
+    total = every.groupBy("shape").agg(F.sum("n").alias("total"))
+    return every.where("kind is not null").groupBy("shape", "kind").agg(F.sum("n").alias("n")).join(total, "shape").select("shape", "kind", (F.col("n") / F.col("total")).alias("rate"))
+
+
+def find_personal_data(docs: DataFrame, least: float = 0.8, support: int = 5, rounds: int = 3, keep: tuple = ("doc_id",), lift: float = 3.0) -> DataFrame:
     """`keep`, n_email, n_ip, n_card, n_phone, base_sha256, spans for every document (doc_id, text).
 
     The counts and base_sha256 are those of the base patterns; spans holds these and what the
     bootstrapped patterns add, as kind:start:end by start, then kind, joined by commas. A pattern
     adds what it extracts if its confidence is >= least and at least `support` different instances
     bear it out, and if it could be of the kind (a name at a host, an address's four parts, a card's 12
-    to 19 digits, a phone number's 7 to 15); what overlaps a base span or a longer added one is not
+    to 19 digits with a valid check digit, a phone number's 7 to 15). A pattern of numbers must also
+    be wrong at most 1 / `lift` as often as any number is: where most numbers of a corpus are of one
+    kind, a word that stands beside some of them says nothing. What overlaps a base span or a longer added one is not
     added. Null counts as empty and has no spans. Rows repeated with equal text get equal spans. An
     empty table gives an empty one. Columns that aren't named in `keep` are ignored.
     """
@@ -111,11 +120,14 @@ def find_personal_data(docs: DataFrame, least: float = 0.8, support: int = 5, ro
     c = cut(c)
     pairs = cut(c.select("instance", F.explode("patterns").alias("pattern"), "kind").groupBy("instance", "pattern", "kind").agg(F.count("*").alias("n")))
     patterns, _ = score_graph(pairs, rounds)
-    strong = patterns.where((F.col("score") >= least) & (F.col("instances") >= support)).groupBy("pattern").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("p")).select("pattern", (-F.col("p.k")).alias("k"), "p.score")
+    rates = F.broadcast(base_rates(pairs))  # two shapes, four kinds
+    patterns = patterns.withColumn("shape", F.element_at(F.split("pattern", "\t"), -1)).join(rates, ["shape", "kind"], "left")
+    telling = (F.col("shape") == "name") | (1 - F.col("score") <= (1 - F.coalesce("rate", F.lit(0.0))) / lift)
+    strong = patterns.where((F.col("score") >= least) & (F.col("instances") >= support) & telling).groupBy("pattern").agg(F.max(F.struct("score", (-F.col("kind")).alias("k"))).alias("p")).select("pattern", (-F.col("p.k")).alias("k"), "p.score")
     digits = "regexp_replace(t, '[^0-9]', '')"
     parts = "filter(split(t, '[^0-9]+'), p -> p <> '')"
     fits = F.expr(f"""case k when 0 then instr(t, '@') > 0 or lower(t) rlike '[({{\\\\[]at[)}}\\\\]]' when 1 then size({parts}) = 4 and forall({parts}, p -> cast(p as double) <= 255)
-        when 2 then length({digits}) between 12 and 19 else length({digits}) between 7 and 15 end""")
+        when 2 then length({digits}) between 12 and 19 and luhn_check({digits}) else length({digits}) between 7 and 15 end""")
     open_ = c.where("not clash").select("key", "size", "s", "e", "t", F.explode("patterns").alias("pattern"))
     # one span and kind for each place: that of its most confident pattern; the number of places is a text's
     kinds = open_.join(strong, "pattern").where(fits).groupBy("key", "size", "s", "e").agg(F.max(F.struct("score", (-F.col("k")).alias("k"))).alias("p"))
