@@ -41,7 +41,7 @@ def detect_surface_abnormalities(
     g = _one_patch(roughness_grid_mm).select("patch", "iy", "ix", F.when(finite("z"), F.col("z")).alias("z"))
     if valid_mask is not None:
         marked = valid_mask.select("iy", "ix", F.lit(True).alias("marked"))
-        g = g.join(marked, ["iy", "ix"], "left").select("patch", "iy", "ix", F.when("marked", F.col("z")).alias("z"))
+        g = g.join(marked, ["iy", "ix"], "left").select("patch", "iy", "ix", F.when(F.col("marked"), F.col("z")).alias("z"))
     g = cut(g.withColumn("valid", F.col("z").isNotNull()))
     heat = compute_heatmap_grid(g, pitch_mm) if heatmap_grid_um is None else _one_patch(heatmap_grid_um)
     level = g.select("patch").distinct().withColumn("svr_um", F.lit(float(global_svr_um)))
