@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rugosa.llm.common import checkpoint_dir, cut
+from rugosa.llm.common import checkpoint_dir, cut, sent_if_small
 from rugosa.llm.line_dedup import dedup_lines
 from rugosa.llm.mixing import mix_sources, nth_by_uid
 from rugosa.llm.ngram_join import ngram_join
@@ -70,7 +70,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = (F.col("key") == F.col("m_key")) & F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("doc.source").eqNullSafe(F.col("m_source"))
     alike = held(docs).join(mix.where("low = copies"), same).select("doc", "copies")
     # rows alike of which only some are taken once more: the first k of them, as they are stored
-    unlike = cut(held(docs).join(mix.where("low < copies"), same).select("doc", "of", "low", "k", F.monotonically_increasing_id().alias("uid")))
+    unlike = cut(held(docs).join(sent_if_small(mix.where("low < copies"), 64), same).select("doc", "of", "low", "k", F.monotonically_increasing_id().alias("uid")))
     upto = nth_by_uid(unlike).withColumnRenamed("of", "in_")
     unlike = unlike.join(upto, F.col("of") == F.col("in_")).select("doc", (F.col("low") + F.when(F.col("uid") <= F.col("upto"), 1).otherwise(0)).alias("copies"))
     taken = alike.unionByName(unlike).where("copies > 0")
