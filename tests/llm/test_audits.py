@@ -202,7 +202,8 @@ def test_neighbours_with_ties_and_odd_rows(spark):
 
 def test_neighbours_of_a_hot_vector_and_of_repeated_ids(spark):
     """A third of the rows are one vector; ids that repeat are rows of their own."""
-    x = np.random.default_rng(5).normal(size=(600, 8)).astype(np.float32)
+    x = np.random.default_rng(5).normal(size=(600, 8))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     x[::3] = x[0]
     got = searched(vectors(spark, x), leaf_rows=64, block_rows=50)
     best = [i for i in range(3, 600, 3)]
