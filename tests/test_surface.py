@@ -689,3 +689,33 @@ def test_auto_decompose_keeps_a_flat_file(spark, tmp_path):
     a = lattice(20, 20, 0.5)
     np.save(tmp_path / "a.npy", a)
     assert isinstance(analyze_file(spark, str(tmp_path / "a.npy"), auto_decompose=True, grid_mm=0.5), RoughnessResult)
+
+
+def test_neighbours_by_tiles_and_by_cubes(spark, monkeypatch):
+    """Tiles that are joined instead, and probes on borders of tiles, find the same neighbours."""
+    rng = np.random.default_rng(5)
+    p = np.concatenate([rng.random((1500, 3)) * [60, 60, 1], lattice(8, 8, 1.0), rng.normal(30, 0.01, (300, 3))])
+    f = frame(spark, p)
+    d = np.linalg.norm(p[:, None] - p[None], axis=2)
+    for rows in (200_000, 150):
+        monkeypatch.setattr(neighbors, "TILE_ROWS", rows)
+        monkeypatch.setattr(neighbors, "PAIRS", 5000)
+        got = {r.pid: r for r in neighbors.nearest_sums(f, f, 12, 6.0).collect()}
+        assert len(got) == len(p)
+        for i in range(0, len(p), 17):
+            near = np.lexsort((np.arange(len(p)), d[i]))[:12]
+            near = near[d[i, near] <= 6.0]
+            assert got[i].n == len(near) and got[i].far == pytest.approx(d[i, near].sum())
+            assert [got[i].cxx, got[i].cxz, got[i].czz] == pytest.approx([np.mean(a * b) - a.mean() * b.mean() for a, b in ((p[near][:, u], p[near][:, v]) for u, v in ((0, 0), (0, 2), (2, 2)))], abs=1e-9)
+        some = f.where("pid % 50 = 0")
+        want = set(np.flatnonzero((d[:, ::50] <= 1.5).any(axis=1)))
+        assert [*sorted(r.pid for r in neighbors.near(f, some, 1.5).collect())] == sorted(want)
+
+
+def test_neighbours_make_no_rows_of_pairs(spark):
+    """What is shuffled and stored is about a row a point, and nothing is broadcast by a stored table's estimate."""
+    f = frame(spark, lattice(30, 30, 1.0))
+    made = neighbors.near(f, f.where("x < 3"), 1.5)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in made and "bx" not in made
+    sums = neighbors.nearest_sums(f, f, 30, 4.5)
+    assert sums.count() == f.count()
