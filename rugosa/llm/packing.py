@@ -14,6 +14,7 @@ are dealt to the items in a distributed way, and the plan is joined back.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import batches, cut
 
 #: Bytes that a worker's caches of chunks and of pieces may take, each in two generations; an entry takes about ENTRY.
-CHUNK_BYTES, PIECE_BYTES, ENTRY = 80_000_000, 30_000_000, 220
+CHUNK_BYTES, PIECE_BYTES, ENTRY = 80_000_000, 10_000_000, 220
 #: Longer chunks are tokenised anew each time.
 CACHED_BYTES = 40
 #: Chunks of which the pieces below are exactly those of the tokenizer: characters whose classes and
@@ -36,6 +37,16 @@ SIMPLE = regex.compile(r"[\x21-\x7e\xa1-\u012f\u0131-\u024f]+")
 # How the tokenizer cuts a text into pieces; each ends with one token that ends a word.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 END = "</w>"
+#: Letters of ASCII and Latin-1 only, in UTF-8.
+WORD = re.compile(rb"(?:[A-Za-z]++|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])++")
+#: A single mark behind a letter of ASCII or Latin-1 and before a blank is a piece, so it may stand as a chunk of its own.
+MARKS = [(re.compile(rb"%b(?=[ \n])(?:(?<=[a-z]%b)|(?<=\xc3[\xa0-\xb6\xb8-\xbf]%b))" % (m, m, m)), b" " + c) for c in (b".", b",") for m in [re.escape(c)]]
+
+
+def marks_apart(text: bytes) -> bytes:
+    for pattern, apart in MARKS:
+        text = pattern.sub(apart, text)
+    return text
 
 
 class Cache:
@@ -48,10 +59,10 @@ class Cache:
 
     def missing(self, keys: set) -> list:
         """Those of the keys that have no value; the others' are in `new` from now on."""
-        left = keys.difference(self.new)
-        again = left.intersection(self.old)
-        self.new.update((k, self.old[k]) for k in again)
-        return list(left - again)
+        left, old = keys.difference(self.new), self.old
+        again = [k for k in left if k in old]  # a set's `intersection` would walk over all of `old`
+        self.new.update(zip(again, map(old.__getitem__, again)))
+        return list(left.difference(again))
 
     def trim(self) -> None:
         if len(self.new) > self.most:
@@ -71,20 +82,27 @@ class ChunkTokenizer:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        vocabulary = self.tok.get_vocab()
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        self.load = lambda: Tokenizer.from_file(path)
+        self.tok, self.cut_already = None, self.load()
+        # pieces are in normal form, lower case and cut: bytes as letters and the model are left to do
+        self.cut_already.normalizer, self.cut_already.pre_tokenizer = None, Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.cut_already.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(END)]] = True
         self.chunks, self.pieces = Cache(CHUNK_BYTES), Cache(PIECE_BYTES)
 
     def _ids(self, chunks: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        if chunks and self.tok is None:
+            self.tok = self.load()  # few texts need the whole tokenizer
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)] if chunks else []
 
     def _of_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, tokenised as one text and cut behind the tokens that end a word."""
         if not pieces:
             return []
-        ids = np.array(self.tok.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(self.cut_already.encode_batch_fast([" ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(pieces) or cuts[-1] != len(ids):
             return self._ids(pieces)
@@ -92,6 +110,14 @@ class ChunkTokenizer:
         return [raw[i:j] for i, j in zip([0, *cuts], cuts)]
 
     def _of_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        out = dict.fromkeys(chunks)
+        words = list(filter(WORD.fullmatch, chunks))  # one piece
+        out.update(zip(words, self._of_pieces([c.decode().lower() for c in words])))
+        chunks = [c for c, ids in out.items() if ids is None]
+        out.update(zip(chunks, self._of_mixed(chunks)))
+        return list(out.values())
+
+    def _of_mixed(self, chunks: list[bytes]) -> list[bytes]:
         texts = [c.decode() for c in chunks]
         cut = [PIECE.findall(t.lower()) if (t.isascii() and t.isprintable() or SIMPLE.fullmatch(t)) and "<|" not in t else None for t in texts]
         new = self.pieces.missing(set().union(*[c for c in cut if c is not None]))
@@ -106,7 +132,7 @@ class ChunkTokenizer:
 
     def __call__(self, texts: list[bytes]) -> Iterator[bytes]:
         for i, j in batches(texts, 500_000):
-            split = [(t if b"<|" in t else t.lower()).replace(b"\n", b" ").split(b" ") for t in texts[i:j]]
+            split = [(t if b"<|" in t else marks_apart(t.lower())).replace(b"\n", b" ").split(b" ") for t in texts[i:j]]
             self.chunks.new[b""] = b""
             missing = self.chunks.missing(set().union(*split))
             new = self.chunks.new

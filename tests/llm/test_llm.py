@@ -145,6 +145,21 @@ def test_packing(spark):
     assert packing.pack_documents(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_tokens_of_marks_and_letters(monkeypatch):
+    """Marks set apart and pieces cut beforehand have the ids of the whole text, and the whole tokenizer isn't asked."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, chunks = Tokenizer.from_file(path), packing.ChunkTokenizer(path)
+    texts = ["Écoute, é. ß, a. b.\nC., x.. y ., 5. z!. ÷. q,r s's. T'S, Ünder***, ab%%%", "a, b, a. b. ÑANDÚ. ñandú, \u00d7. e\u00aa. end.", "word " * 50 + "word, word. WORD. x"]
+    got = list(chunks([t.encode() for t in texts]))
+    assert got == [array("I", tok.encode(t, add_special_tokens=False).ids).tobytes() for t in texts]
+    assert chunks.tok is None and b"word." not in chunks.chunks.new and b"word" in chunks.chunks.new
+    odd = ["e\u0301a, \u0130x. \x1c.", "<|endoftext|>A. b", "日本. 語, x"]
+    assert list(chunks([t.encode() for t in odd])) == [array("I", tok.encode(t, add_special_tokens=False).ids).tobytes() for t in odd]
+
+
 @pytest.mark.parametrize("score", ["norm", "dot"])
 def test_packing_keeps_every_capacity(score):
     rng = np.random.default_rng(0)
