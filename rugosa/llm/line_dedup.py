@@ -28,6 +28,8 @@ LINE = "\n"
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Characters hashed or signed together, so that memory stays small.
 CHUNK = 300_000
+#: Lines signed together: each has a whole signature, however short it is.
+LINES = 4_000
 #: A line's number in buckets: so many bits of its hash above, its length (up to 2^20 - 1) below.
 #: Two lines may share a number; both are then members, and verifying tells them apart.
 HASH_BITS, LENGTH_BITS, BUCKET_BITS = 32, 20, 36
@@ -63,7 +65,7 @@ def shingle_set(line: str) -> np.ndarray:
 def chunks(lines: list[str]) -> Iterator[tuple[int, int]]:
     begin, held = 0, 0
     for i, line in enumerate(lines):
-        if held and held + len(line) > CHUNK:
+        if held and (held + len(line) > CHUNK or i - begin == LINES):
             yield begin, i
             begin, held = i, 0
         held += len(line) + 1

@@ -124,6 +124,16 @@ def test_long_lines_hash_in_chunks(monkeypatch):
     assert (line_dedup.shingle_set(line) == want).all() and (line_dedup.LineSigner(24, 5)([line, line[:100]]) == keys).all()
 
 
+def test_short_lines_are_signed_in_small_parts(monkeypatch):
+    """Memory of signatures follows the number of lines, not their characters only."""
+    short = [f"{i:07d}" for i in range(9000)]
+    parts = list(line_dedup.chunks(short))
+    assert max(j - i for i, j in parts) <= 4000 and [x for i, j in parts for x in short[i:j]] == short
+    keys = line_dedup.LineSigner(4, 2)(short)
+    monkeypatch.setattr(line_dedup, "LINES", 100_000)
+    assert (line_dedup.LineSigner(4, 2)(short) == keys).all()
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
