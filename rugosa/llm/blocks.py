@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -26,23 +26,34 @@ def bucket_keys(hashes: np.ndarray, bits: int = TABLE_BITS) -> np.ndarray:
     return ((hashes & np.uint64((1 << bits) - 1)) | tables).astype(np.int64)
 
 
-def tasks(rows: DataFrame, block_rows: int, block_weight: int, weight: Column | None = None) -> DataFrame:
+def tasks(rows: DataFrame, block_rows: int, block_weight: int, weight: Column | None = None, scale: Column | None = None, apart: int = 0) -> DataFrame:
     """rows (id, bucket, and weight, unless `weight` is one of their columns) -> rows with blocks and own.
 
-    Buckets of one member go, and of buckets with the very same members the first table's stays.
+    Buckets of one member go, and of buckets with the very same members the first table's stays. If a
+    `scale` of the rows is given, members go that have no other of their bucket within `apart` of it.
     A bucket has so many blocks, and own is the member's: each pair of them is compared in one task. A
     block has about block_rows members or block_weight of their weights.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # counted and joined on the bucket: one exchange serves both, if both have the join's own filter and all columns
-    rows = rows.where("bucket is not null").repartition(n, "bucket").dropDuplicates(["bucket", "id"])
+    n, columns = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.columns
+    # looked through and joined on the bucket: one exchange serves both, if both have the join's own filter and all columns
+    rows = rows.where("bucket is not null").repartition(n, "bucket")
+    used = [F.max("weight").alias("most")] if weight is None else []
+    met = rows.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high"), *used).where("low < high and most >= 0" if used else "low < high")
+    # few rows meet another: those are hashed (a row a bucket, so no task has more), and all rows pass by unsorted
+    rows = rows.join(met.select("bucket").hint("shuffle_hash"), "bucket").select(*columns).dropDuplicates(["bucket", "id"])
+    if scale is not None:
+        # in order of the scale, whoever is near any other member is near its neighbour
+        order = Window.partitionBy("bucket").orderBy("scale")
+        rows = rows.withColumn("scale", scale).withColumn("below", F.col("scale") - F.lag("scale").over(order)).withColumn("above", F.lead("scale").over(order) - F.col("scale"))
+        rows = rows.where((F.col("below") <= apart) | (F.col("above") <= apart)).select(*columns)
+    rows = cut(rows)
     of_members = [F.sum(F.xxhash64("id") % (1 << 40)).alias("s1"), F.bit_xor(F.xxhash64("id", F.lit(7))).alias("s2")]
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("weight") if weight is None else weight).alias("weight"), *of_members).where("n > 1")
     kept = sizes.groupBy("n", "s1", "s2").agg(F.min("bucket").alias("bucket"), F.min("weight").alias("weight"))
     blocks = F.greatest(F.ceil(F.col("n") / block_rows), F.ceil(F.col("weight") / block_weight), F.lit(1)).cast("int")
     kept = kept.select("bucket", blocks.alias("blocks"))
     at = rows.join(kept, "bucket").withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("blocks")).cast("int"))
-    return at.select(*rows.columns, "blocks", "own")
+    return at.select(*columns, "blocks", "own")
 
 
 #: Rows of a task that are compared with all its members at once: matrices have so many rows at most.

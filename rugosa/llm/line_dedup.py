@@ -11,6 +11,7 @@ verifying are array programs inside tasks; the README says why not column functi
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +31,9 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 CHUNK = 300_000
 #: Lines signed together: each has a whole signature, however short it is.
 LINES = 4_000
-#: A line's number in buckets: so many bits of its hash above, its length (up to 2^20 - 1) below.
-#: Two lines may share a number; both are then members, and verifying tells them apart.
-HASH_BITS, LENGTH_BITS, BUCKET_BITS = 32, 20, 36
+#: A line's number in buckets: so many bits of its hash, and above them how many shingles it has, as a logarithm in
+#: steps of 1 / SCALE. Two lines may share a number; both are then members, and verifying tells them apart.
+HASH_BITS, BUCKET_BITS, SCALE = 40, 36, 128
 
 
 def powers() -> list[np.uint64]:
@@ -89,6 +90,24 @@ def hashed(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield h[inside[:-1]], size - SHINGLE + 1
 
 
+def sizes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many distinct hashes each line has, of lines with so many of the hashes each, one after another."""
+    if len(counts) == 1:
+        return np.array([len(distinct(h))])
+    x = distinct(np.repeat(np.arange(len(counts), dtype=np.uint64) << np.uint64(48), counts) | h >> np.uint64(16))
+    return np.bincount((x >> np.uint64(48)).astype(np.int64), minlength=len(counts))
+
+
+def scale(size: np.ndarray) -> np.ndarray:
+    return np.floor(np.log2(np.maximum(size, 1)) * SCALE).astype(np.int64)
+
+
+def apart(threshold: float) -> int:
+    """How far the scales of two lines are apart at most whose similarity reaches the threshold: the smaller set is at
+    least that share of the larger one. A step more is for rounding."""
+    return math.ceil(SCALE * math.log2(1 / threshold)) + 1
+
+
 def shingle_sets(lines: pa.Array) -> list[np.ndarray]:
     return [shingle_set(x) for x in lines.to_pylist()]
 
@@ -123,9 +142,9 @@ class LineSigner:
             h, line = h[keep], line[keep]
         return least.reshape(n, k)
 
-    def __call__(self, lines: list[str]) -> np.ndarray:
-        """Bucket keys of the lines' bands; lines have at least SHINGLE characters."""
-        out = []
+    def signed(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket keys of the lines' bands, and how many shingles each has; lines have at least SHINGLE characters."""
+        out, many = [], []
         for h, counts in hashed(lines):
             parts = self.signatures(h, counts).reshape(len(counts), self.bands, self.rows)
             band = np.zeros((len(counts), self.bands), np.uint64)
@@ -133,16 +152,20 @@ class LineSigner:
                 for r in range(self.rows):
                     band = mix64(band * BASE + parts[:, :, r] + np.uint64(r + 1))
             out.append(blocks.bucket_keys(band, BUCKET_BITS))
-        return np.concatenate(out)
+            many.append(sizes(h, counts))
+        return np.concatenate(out), np.concatenate(many)
+
+    def __call__(self, lines: list[str]) -> np.ndarray:
+        return self.signed(lines)[0]
 
 
-def number(c1, length):
-    """A line's number in buckets, of columns."""
-    return F.shiftleft(c1.bitwiseAND(F.lit((1 << HASH_BITS) - 1)), LENGTH_BITS).bitwiseOR(F.least(length, F.lit((1 << LENGTH_BITS) - 1)).cast("long"))
+def number(c):
+    """A line's number, of a column of its hash or of its number in buckets."""
+    return c.bitwiseAND(F.lit((1 << HASH_BITS) - 1))
 
 
 def signed_buckets(lines: DataFrame, bands: int, rows: int) -> DataFrame:
-    """lines (id, line) -> (id, bucket): a row for each band. A task signs a line that repeats once."""
+    """lines (c1, line) -> (id, bucket): a row for each band. A task signs a line that repeats once."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer, seen = LineSigner(bands, rows), set()
@@ -154,8 +177,9 @@ def signed_buckets(lines: DataFrame, bands: int, rows: int) -> DataFrame:
                 if i not in seen:
                     seen.add(i), ids.append(i), texts.append(line)
             for i, j in chunks(texts):
-                keys = signer(texts[i:j])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids[i:j], np.int64), bands)), pa.array(keys.ravel())], ["id", "bucket"])
+                keys, many = signer.signed(texts[i:j])
+                numbers = np.array(ids[i:j], np.int64) & ((1 << HASH_BITS) - 1) | scale(many) << HASH_BITS
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, bands)), pa.array(keys.ravel())], ["id", "bucket"])
 
     return lines.mapInArrow(run, "id long, bucket long")
 
@@ -178,15 +202,16 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = 1) -
     lines = source.select("doc_id", "r1", "r2", F.posexplode(F.split("text", LINE)).alias("pos", "line"))
     lines = lines.where((F.length("line") >= max(least_chars, 1)) & F.col("line").rlike(r"(?U)\S"))
     c1 = F.xxhash64("line")
-    seen, forget = stored(lines.select("doc_id", "r1", "r2", "pos", c1.alias("c1"), F.xxhash64(F.lit(SEED), "line").alias("c2"), F.length("line").alias("length")))
+    seen, forget = stored(lines.select("doc_id", "r1", "r2", "pos", c1.alias("c1"), F.xxhash64(F.lit(SEED), "line").alias("c2")))
 
-    buckets = signed_buckets(lines.where(F.length("line") >= SHINGLE).select(number(c1, F.length("line")).alias("id"), "line"), bands, rows)
-    length = F.col("id").bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
-    dealt = cut(blocks.tasks(buckets, 512, 500_000, length))
+    buckets = signed_buckets(lines.where(F.length("line") >= SHINGLE).select(c1.alias("c1"), "line"), bands, rows)
+    size = F.shiftrightunsigned("id", HASH_BITS)
+    dealt = blocks.tasks(buckets, 512, 500_000, F.pow(F.lit(2.0), size / SCALE), size, apart(threshold))
+    dealt = cut(dealt.withColumn("id", number(F.col("id"))))
     met = cut(dealt.select("id").distinct())
     # one place of each class that met another
     at = F.min(F.struct("r1", "r2", "pos")).alias("at")
-    where = seen.withColumn("id", number(F.col("c1"), F.col("length"))).join(sent_if_small(met, 32), "id", "left_semi").groupBy("id", "c1", "c2").agg(at)
+    where = seen.withColumn("id", number(F.col("c1"))).join(sent_if_small(met, 32), "id", "left_semi").groupBy("id", "c1", "c2").agg(at)
     where = cut(where.select("id", "c1", "c2", "at.*").withColumn("member", F.monotonically_increasing_id()))
     texts = lines.select("r1", "r2", "pos", "line").join(sent_if_small(where.select("id", "member", "r1", "r2", "pos"), 100), ["r1", "r2", "pos"])
     payload = texts.select("id", "member", "line")  # rows of docs may repeat: a member then meets itself, which joins nothing

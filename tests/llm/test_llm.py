@@ -134,6 +134,23 @@ def test_short_lines_are_signed_in_small_parts(monkeypatch):
     assert (line_dedup.LineSigner(4, 2)(short) == keys).all()
 
 
+def test_lines_of_other_sizes_leave_their_buckets(spark):
+    """Members of a bucket that are too far apart in size for any other are not dealt; all near pairs stay together."""
+    rng = random.Random(21)
+    lines = ["aaaaa", "ab" * 400, *[words(rng, rng.randint(2, 90)).ljust(5, "z") for _ in range(60)]]
+    many = line_dedup.LineSigner(4, 2).signed(lines)[1]
+    assert many.tolist() == [len({x[i : i + 5] for i in range(len(x) - 4)}) for x in lines]
+    most = line_dedup.apart(0.8)
+    for n in range(1, 400):
+        assert abs(np.diff(line_dedup.scale(np.array([n, -(-4 * n // 5)])))[0]) <= most
+    assert np.diff(line_dedup.scale(np.array([70, 100])))[0] > most
+    at = [(i | int(s) << 40, b) for b, part in enumerate([range(0, 62), range(2, 4), range(0, 62, 9), [5]]) for i, s in ((i, line_dedup.scale(many)[i]) for i in part)]
+    members = spark.createDataFrame(at * 2, "id long, bucket long")
+    got = {(r.id, r.bucket) for r in blocks.tasks(members, 512, 1 << 40, F.lit(1), F.shiftrightunsigned("id", 40), most).collect()}
+    assert got == {(i, b) for i, b in at if any(b == c and i != j and abs((i >> 40) - (j >> 40)) <= most for j, c in at)}
+    assert 0 < len(got) < len(at)
+
+
 def test_packing(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
