@@ -58,16 +58,20 @@ def tasks(rows: DataFrame, block_rows: int, block_weight: int, weight: Column |
 
 #: Rows of a task that are compared with all its members at once: matrices have so many rows at most.
 STRIP = 256
+#: Tasks of so many members have their pairs compared together, if that is wanted.
+FEW = 4
 
 
-def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Callable[[list, slice], np.ndarray], prepare: Callable[[pa.Array], list], count: bool = True) -> DataFrame:
+def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Callable[[list, slice], np.ndarray], prepare: Callable[[pa.Array], list], count: bool = True, pairs: Callable[[list, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Compares the members of each task; (a, b, links): links of a where b is null, else a link a-b of the forest.
 
     payload: (id, member, size, keys, and the column of payload_schema). `prepare` turns that column
     of many rows into an object a row; `link(objects, rows)` returns which objects each of some rows is
     linked to, as a boolean matrix. A member's links count the sizes of those it is linked to, each
     pair in the first table in which it meets. If not `count`, only the forest is wanted: pairs that
-    are joined already are not compared, and keys may be left out of the payload.
+    are joined already are not compared, and keys may be left out of the payload. `pairs(objects, a, b)`,
+    which is for that case, tells of many pairs whether objects a and b are linked: all pairs of tasks
+    of up to FEW members are then compared together, and each link found is one of the forest.
 
     A task holds two blocks of members and matrices of STRIP rows: its memory doesn't grow with a bucket.
     """
@@ -129,6 +133,17 @@ def compare(dealt: DataFrame, payload: DataFrame, payload_schema: str, link: Cal
                     continue
                 low, high = bounds[group[0]], bounds[group[-1] + 1]
                 values = prepare(t.column(value).slice(low, high - low).combine_chunks())
+                if pairs is not None:
+                    begin, m = bounds[group], bounds[group + 1] - bounds[group]
+                    few = (m <= FEW) & (first[begin] == second[begin])
+                    x, y = [], []
+                    for i in range(FEW - 1):
+                        for j in range(i + 1, FEW):
+                            x.append(begin[few & (m > j)] + i), y.append(begin[few & (m > j)] + j)
+                    x, y = np.concatenate(x), np.concatenate(y)
+                    ok = pairs(values, x - low, y - low)
+                    a.extend(ids[x[ok]].tolist()), b.extend(ids[y[ok]].tolist()), links.extend([0] * int(ok.sum()))
+                    group = group[~few]
                 for g in group:
                     s = slice(bounds[g], bounds[g + 1])
                     if s.stop - s.start > 1:

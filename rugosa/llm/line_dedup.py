@@ -27,10 +27,13 @@ from .ngram_join import band_plan, jaccard_links
 SHINGLE, ROWS, RECALL, SEED = 5, 6, 0.9999, 7
 LINE = "\n"
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Characters hashed or signed together, so that memory stays small.
-CHUNK = 300_000
+#: Characters hashed or signed together, so that memory stays small and arrays stay in a core's cache.
+CHUNK = 100_000
 #: Lines signed together: each has a whole signature, however short it is.
 LINES = 4_000
+#: Bits of a shingle's hash that lie below a line's number, where many lines are sorted at once.
+LOW_BITS = 48
+LOW = np.uint64((1 << LOW_BITS) - 1)
 #: A line's number in buckets: so many bits of its hash, and above them how many shingles it has, as a logarithm in
 #: steps of 1 / SCALE. Two lines may share a number; both are then members, and verifying tells them apart.
 HASH_BITS, BUCKET_BITS, SCALE = 40, 36, 128
@@ -90,12 +93,9 @@ def hashed(lines: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield h[inside[:-1]], size - SHINGLE + 1
 
 
-def sizes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """How many distinct hashes each line has, of lines with so many of the hashes each, one after another."""
-    if len(counts) == 1:
-        return np.array([len(distinct(h))])
-    x = distinct(np.repeat(np.arange(len(counts), dtype=np.uint64) << np.uint64(48), counts) | h >> np.uint64(16))
-    return np.bincount((x >> np.uint64(48)).astype(np.int64), minlength=len(counts))
+def keyed(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """48 bits of each hash below its line's number, sorted, of lines with so many of the hashes each, one after another."""
+    return np.sort(np.repeat(np.arange(len(counts), dtype=np.uint64) << np.uint64(LOW_BITS), counts) | h >> np.uint64(64 - LOW_BITS))
 
 
 def scale(size: np.ndarray) -> np.ndarray:
@@ -109,50 +109,98 @@ def apart(threshold: float) -> int:
 
 
 def shingle_sets(lines: pa.Array) -> list[np.ndarray]:
-    return [shingle_set(x) for x in lines.to_pylist()]
+    """48 bits of the distinct shingle hashes of each line, sorted. Lines are hashed together."""
+    out = []
+    for h, counts in hashed([x.ljust(SHINGLE, "\0") for x in lines.to_pylist()]):
+        x = keyed(h, counts)
+        x = x[np.concatenate(([True], x[1:] != x[:-1]))]
+        at = np.searchsorted(x, np.arange(len(counts) + 1, dtype=np.uint64) << np.uint64(LOW_BITS)).tolist()
+        x &= LOW
+        out += [x[i:j] for i, j in zip(at[:-1], at[1:])]
+    return out
+
+
+def alike(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the sets numbered a and b, pair by pair, have a Jaccard similarity of at least the threshold."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    ok = np.flatnonzero(np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
+    common, begin = np.zeros(len(a), np.int64), 0
+    while begin < len(ok):  # so many at once that a pair's number fits above the hashes and memory stays small
+        held = np.cumsum((n[a] + n[b])[ok[begin : begin + 4_000]])
+        some = ok[begin : begin + max(1, int(np.searchsorted(held, CHUNK, "right")))]
+        each = np.stack((a[some], b[some]), 1).ravel()
+        x = np.sort(np.concatenate([sets[i] for i in each]) | np.repeat(np.repeat(np.arange(len(some), dtype=np.uint64), 2) << np.uint64(LOW_BITS), n[each]))
+        common[some] = np.bincount((x[1:][x[1:] == x[:-1]] >> np.uint64(LOW_BITS)).astype(np.int64), minlength=len(some))
+        begin += len(some)
+    return (common >= threshold * (n[a] + n[b] - common) - 1e-9) & (common > 0)
 
 
 class LineSigner:
-    """MinHash signatures of many lines at once, by hashing each shingle to one place of the signature.
+    """MinHash signatures of many lines at once, by one hash of each shingle.
 
-    In each round every shingle of a line goes to one of the k places, with a random value above
-    those of the rounds before; places keep the least. A line is done once all its places are taken,
-    so that a round or two do for a long line, where k hash functions would cost k rounds. From round
-    k on the place is the round's number, which ends any line (fast similarity sketching). Two lines
-    agree at a place with a probability equal to their Jaccard similarity.
+    A shingle goes to one of the k places by its hash, and a place keeps the least (one permutation
+    hashing). A place that stays empty takes the value of another that has a shingle of its own: the
+    first one in a random order of places, which is drawn for each place beforehand. The place that is
+    first for both lines' shingles together has their least value there, and the lines agree if both
+    have that shingle: with a probability equal to their Jaccard similarity.
     """
 
+    #: Places that an empty one looks at by chance; beyond, it takes the next one that isn't empty.
+    LOOKS = 32
+
     def __init__(self, bands: int, rows: int, seed: int = SEED) -> None:
         self.bands, self.rows, self.k = bands, rows, bands * rows
-        self.turn = np.random.default_rng(seed).integers(0, 1 << 63, 2 * self.k, dtype=np.uint64)
+        rng = np.random.default_rng(seed)
+        self.turn = rng.integers(0, 1 << 63, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.weight = rng.integers(0, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.other = rng.permuted(np.tile(np.arange(self.k), (self.LOOKS, 1)), axis=1)  # in each look, a place is looked at once
+
+    def sorted(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return keyed(h * self.turn, counts)
 
     def signatures(self, h: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """(lines, k) of lines with so many of the shingle hashes each, one after another."""
-        n, k, none = len(counts), self.k, np.uint64(0xFFFFFFFFFFFFFFFF)
-        least, line = np.full(n * k, none, np.uint64), np.repeat(np.arange(n) * k, counts)
-        for i in range(2 * k):
-            with np.errstate(over="ignore"):
-                v = mix64(h + self.turn[i])
-            place = ((v >> np.uint64(32)) * np.uint64(k) >> np.uint64(32)).astype(np.int64) if i < k else i - k
-            np.minimum.at(least, line + place, (v & np.uint64(0xFFFFFFFF)) | np.uint64(i << 32))
-            todo = (least.reshape(n, k) == none).any(axis=1)
-            if not todo.any():
+        return self.least(self.sorted(h, counts), len(counts))
+
+    def least(self, x: np.ndarray, n: int) -> np.ndarray:
+        """(n, k) of what `sorted` gives: places follow the order of the hashes, so that a place's first is its least."""
+        k, none = self.k, np.uint64(0xFFFFFFFFFFFFFFFF)
+        low = x & LOW
+        place = ((x >> np.uint64(LOW_BITS)) * np.uint64(k) + (low * np.uint64(k) >> np.uint64(LOW_BITS))).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        own = np.full(n * k, none, np.uint64)
+        own[place[first]] = low[first]
+        out, todo = own.copy(), np.flatnonzero(own == none)
+        line, column = todo // k * k, todo % k
+        for other in self.other:
+            if not len(todo):
                 break
-            keep = todo[line // k]
-            h, line = h[keep], line[keep]
-        return least.reshape(n, k)
+            got = own[line + other[column]]
+            out[todo] = got
+            left = got == none
+            todo, line, column = todo[left], line[left], column[left]
+        if len(todo):
+            rows, at = np.unique(line // k, return_inverse=True)
+            next_ = np.where(own.reshape(n, k)[rows] != none, np.arange(k), 2 * k)
+            next_ = np.minimum.accumulate(np.concatenate((next_, next_ + k), axis=1)[:, ::-1], axis=1)[:, ::-1]
+            out[todo] = own[line + next_[at, column] % k]
+        return out.reshape(n, k)
 
     def signed(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bucket keys of the lines' bands, and how many shingles each has; lines have at least SHINGLE characters."""
         out, many = [], []
         for h, counts in hashed(lines):
-            parts = self.signatures(h, counts).reshape(len(counts), self.bands, self.rows)
+            x = self.sorted(h, counts)
+            parts = self.least(x, len(counts)).reshape(len(counts), self.rows, self.bands)
             band = np.zeros((len(counts), self.bands), np.uint64)
             with np.errstate(over="ignore"):
                 for r in range(self.rows):
-                    band = mix64(band * BASE + parts[:, :, r] + np.uint64(r + 1))
+                    band += parts[:, r] * self.weight[r]
+            band = mix64(band)
             out.append(blocks.bucket_keys(band, BUCKET_BITS))
-            many.append(sizes(h, counts))
+            x = x[np.concatenate(([True], x[1:] != x[:-1]))] >> np.uint64(LOW_BITS)
+            many.append(np.bincount(x.astype(np.int64), minlength=len(counts)))
         return np.concatenate(out), np.concatenate(many)
 
     def __call__(self, lines: list[str]) -> np.ndarray:
@@ -215,7 +263,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = 1) -
     where = cut(where.select("id", "c1", "c2", "at.*").withColumn("member", F.monotonically_increasing_id()))
     texts = lines.select("r1", "r2", "pos", "line").join(sent_if_small(where.select("id", "member", "r1", "r2", "pos"), 100), ["r1", "r2", "pos"])
     payload = texts.select("id", "member", "line")  # rows of docs may repeat: a member then meets itself, which joins nothing
-    found = blocks.compare(sent_if_small(dealt, 80), payload, "line string", lambda sets, some: jaccard_links(sets, threshold, some), shingle_sets, count=False)
+    found = blocks.compare(sent_if_small(dealt, 80), payload, "line string", lambda sets, some: jaccard_links(sets, threshold, some), shingle_sets, count=False, pairs=lambda sets, a, b: alike(sets, a, b, threshold))
     _, edges = blocks.summed(found)
     comps = components(edges)
 

@@ -7,6 +7,7 @@ from array import array
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +135,41 @@ def test_short_lines_are_signed_in_small_parts(monkeypatch):
     assert (line_dedup.LineSigner(4, 2)(short) == keys).all()
 
 
+def test_a_shingle_is_hashed_once(monkeypatch):
+    """Signing mixes each shingle and each band once, not in rounds; short lines meet as surely as long ones."""
+    mixed, mix = [], line_dedup.mix64
+    monkeypatch.setattr(line_dedup, "mix64", lambda x: mixed.append(x.size) or mix(x))
+    rng = random.Random(31)
+    lines = [words(rng, rng.randint(1, 90)).ljust(5, "z") for _ in range(300)]
+    assert line_dedup.LineSigner(31, 6)(lines).shape == (300, 31)
+    assert sum(mixed) <= sum(len(x) + 1 for x in lines) + 300 * 31
+    signer, draw = line_dedup.LineSigner(31, 6), np.random.default_rng(2)
+    for n in (9, 45, 360):  # 0.8 of both lines' shingles are common
+        x = draw.integers(0, 1 << 63, (2000, n // 9 * 10), dtype=np.uint64) * np.uint64(2)
+        h = np.concatenate((x[:, :n], x[:, : n // 9 * 8], x[:, n:]), axis=1)
+        parts = signer.signatures(h.ravel(), np.full(4000, n)).reshape(-1, 2, 6, 31)
+        assert ((parts[:, 0] == parts[:, 1]).all(1).any(1)).mean() >= 0.998, n
+
+
+def test_pairs_of_small_tasks_are_compared_together(spark):
+    rng = random.Random(32)
+    lines = [words(rng, rng.randint(1, 60)).ljust(5, "z") for _ in range(60)] + ["ab", "abc\0", "\0" * 7]
+    lines += [x[:-4] + "#" + x[-3:] for x in lines] + lines[:5]
+    grams = [{x[i : i + 5] for i in range(max(1, len(x) - 4))} for x in (x.ljust(5, "\0") for x in lines)]
+    near = lambda i, j: len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])
+    sets = line_dedup.shingle_sets(pa.array(lines))
+    assert [len(s) for s in sets] == list(map(len, grams))
+    a, b = (x.ravel() for x in np.indices((len(lines), len(lines))))
+    assert line_dedup.alike(sets, a, b, 0.8).tolist() == [near(i, j) for i, j in zip(a, b)]
+    buckets = [rng.sample(range(len(lines)), rng.randint(2, 7)) for _ in range(150)] + [[i, 63 + i] for i in range(0, 60, 2)]
+    members = spark.createDataFrame([(i, k) for k, part in enumerate(buckets) for i in part], "id long, bucket long")
+    payload = spark.createDataFrame([(i, i, x) for i, x in enumerate(lines)], "id long, member long, line string")
+    link = lambda sets, some: ngram_join.jaccard_links(sets, 0.8, some)
+    found = [blocks.compare(blocks.tasks(members, 512, 1 << 40, F.lit(1)), payload, "line string", link, line_dedup.shingle_sets, count=False, pairs=p) for p in (None, lambda sets, a, b: line_dedup.alike(sets, a, b, 0.8))]
+    got = [{(r.node, r.component) for r in common.components(blocks.summed(f)[1]).collect()} for f in found]
+    assert got[0] == got[1] and len(got[0]) >= 60
+
+
 def test_lines_of_other_sizes_leave_their_buckets(spark):
     """Members of a bucket that are too far apart in size for any other are not dealt; all near pairs stay together."""
     rng = random.Random(21)
