@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .common import components, cut, mix64, sent_if_small, stored
+from .common import BROADCAST_BYTES, components, cut, mix64, sent_if_small, stored
 from .ngram_join import band_plan, jaccard_links
 
 #: Six values a band: with fewer, unrelated lines of a large corpus meet by chance more often than they are worth.
@@ -232,6 +232,20 @@ def signed_buckets(lines: DataFrame, bands: int, rows: int) -> DataFrame:
     return lines.mapInArrow(run, "id long, bucket long")
 
 
+def signed_once(lines: DataFrame, repeated: DataFrame) -> DataFrame:
+    """lines (r1, r2, pos, line), of classes of several places (c1, c2, first) the first place only.
+
+    A line that is signed twice costs time and changes nothing: where the classes are too many to be
+    sent to every executor, all lines pass.
+    """
+    if repeated.count() * 80 > BROADCAST_BYTES:
+        return lines
+    first = repeated.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.struct("first.r1", "first.r2", "first.pos").alias("at"))
+    same = (F.xxhash64("line") == F.col("d1")) & (F.xxhash64(F.lit(SEED), "line") == F.col("d2"))
+    out = lines.join(F.broadcast(first), same, "left")
+    return out.where(F.col("at").isNull() | F.struct("r1", "r2", "pos").eqNullSafe(F.col("at"))).select(*lines.columns)
+
+
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = 1) -> DataFrame:
     """docs with `text` less its duplicate lines, and n_lines and n_removed.
 
@@ -252,24 +266,28 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, least_chars: int = 1) -
     c1 = F.xxhash64("line")
     seen, forget = stored(lines.select("doc_id", "r1", "r2", "pos", c1.alias("c1"), F.xxhash64(F.lit(SEED), "line").alias("c2")))
 
-    buckets = signed_buckets(lines.where(F.length("line") >= SHINGLE).select(c1.alias("c1"), "line"), bands, rows)
+    # the classes of several places, and the first place of each
+    first = F.min(F.struct("doc_id", "r1", "r2", "pos")).alias("first")
+    repeated = cut(seen.groupBy("c1", "c2").agg(F.count("*").alias("n"), first).where("n > 1").select("c1", "c2", "first"))
+    once = signed_once(lines.where(F.length("line") >= SHINGLE), repeated)
+    buckets = signed_buckets(once.select(c1.alias("c1"), "line"), bands, rows)
     size = F.shiftrightunsigned("id", HASH_BITS)
     dealt = blocks.tasks(buckets, 512, 500_000, F.pow(F.lit(2.0), size / SCALE), size, apart(threshold))
     dealt = cut(dealt.withColumn("id", number(F.col("id"))))
     met = cut(dealt.select("id").distinct())
-    # one place of each class that met another
-    at = F.min(F.struct("r1", "r2", "pos")).alias("at")
-    where = seen.withColumn("id", number(F.col("c1"))).join(sent_if_small(met, 32), "id", "left_semi").groupBy("id", "c1", "c2").agg(at)
-    where = cut(where.select("id", "c1", "c2", "at.*").withColumn("member", F.monotonically_increasing_id()))
-    texts = lines.select("r1", "r2", "pos", "line").join(sent_if_small(where.select("id", "member", "r1", "r2", "pos"), 100), ["r1", "r2", "pos"])
+    # the first place of each class that met another
+    where = seen.withColumn("id", number(F.col("c1"))).join(sent_if_small(met, 32), "id", "left_semi").groupBy("id", "c1", "c2").agg(first)
+    where = cut(where.withColumn("member", F.monotonically_increasing_id()))
+    places = sent_if_small(where.select("id", "member", "first.r1", "first.r2", "first.pos"), 100)
+    texts = lines.select("r1", "r2", "pos", "line").join(places, ["r1", "r2", "pos"])
     payload = texts.select("id", "member", "line")  # rows of docs may repeat: a member then meets itself, which joins nothing
     found = blocks.compare(sent_if_small(dealt, 80), payload, "line string", lambda sets, some: jaccard_links(sets, threshold, some), shingle_sets, count=False, pairs=lambda sets, a, b: alike(sets, a, b, threshold))
     _, edges = blocks.summed(found)
     comps = components(edges)
 
-    linked = comps.join(where.select("member", "c1", "c2"), comps.node == F.col("member")).select("c1", "c2", "component")
-    every = seen.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "r1", "r2", "pos")).alias("first"))
-    part = cut(every.join(linked, ["c1", "c2"], "left").where("n > 1 or component is not null"))
+    linked = comps.join(where.select("member", "c1", "c2", "first"), comps.node == F.col("member")).select("c1", "c2", "component", F.col("first").alias("own"))
+    part = repeated.join(linked, ["c1", "c2"], "full").select("c1", "c2", F.coalesce("first", "own").alias("first"), "component")
+    part = cut(part)
     kept = part.where("component is not null").groupBy("component").agg(F.min(F.struct("first", "c1", "c2")).alias("k"))
     part = part.join(kept.select("k.c1", "k.c2", F.lit(True).alias("leads")), ["c1", "c2"], "left")
     stays = F.when(F.col("component").isNull() | F.col("leads"), F.struct("first.r1", "first.r2", "first.pos"))

@@ -428,6 +428,19 @@ def test_line_dedup_links_one_edit_in_lines_of_middle_length(spark):
     assert all(got[i] == ("" if near[i] else lines[i]) for i in range(len(lines)))
 
 
+def test_a_repeated_line_is_signed_once(spark, monkeypatch):
+    """Of lines that repeat in several tasks one is signed; if their table isn't small, all are, with the same result."""
+    rng, signed, sign = random.Random(19), [], line_dedup.signed_buckets
+    base = [words(rng, 20) for _ in range(30)]
+    texts = docs(spark, ["\n".join(rng.choices(base + [b[:-3] + "xyz" for b in base[:10]], k=12)) for _ in range(40)]).repartition(7)
+    distinct = texts.select(F.explode(F.split("text", "\n")).alias("line")).distinct().count()
+    monkeypatch.setattr(line_dedup, "signed_buckets", lambda lines, *a: signed.append(lines.count()) or sign(lines, *a))
+    got = [sorted(line_dedup.dedup_lines(texts).collect())]
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", -1)
+    got.append(sorted(line_dedup.dedup_lines(texts).collect()))
+    assert signed == [distinct, 480] and got[0] == got[1]
+
+
 def test_line_dedup_of_short_lines(spark, tmp_path):
     texts = ["Les.\n\nShare\na", "Share\n \nLes.\nLes", "a\nLes.\nabcde\nabcdef", "a line that has more than ten characters\nLes.\nabcdef", None, "", "b\nb"]
     want = ["Les.\n\nShare\na", " \nLes", "abcde\nabcdef", "a line that has more than ten characters", None, "", "b"]
